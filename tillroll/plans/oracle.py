@@ -156,3 +156,277 @@ oracle("demand_trend", ["st"], """SELECT branch, growth_pct,
             WHEN growth_pct > -3 THEN 'Stable' WHEN growth_pct > -10 THEN 'Moderate Decline'
             ELSE 'Sharp Decline' END AS trend_band
   FROM st""")
+
+
+# --- segments -----------------------------------------------------------------
+def _segment_case(col: str) -> str:
+    from tillroll.sources import tables as tb
+
+    def any_of(kws):
+        return " OR ".join(f"contains(upper({col}), '{k}')" for k in kws)
+
+    return (f"CASE WHEN {any_of(tb.PART_MILKSHAKE_KEYWORDS)} THEN 'milkshake' "
+            f"WHEN {any_of(tb.PART_COFFEE_KEYWORDS)} THEN 'coffee' "
+            f"WHEN {any_of(tb.PART_CHIMNEY_KEYWORDS)} THEN 'chimney_cake' ELSE 'other' END")
+
+
+CTES.update({
+    "seg": (f"SELECT *, {_segment_case('item')} AS segment FROM item_sales", ["item_sales"]),
+    "share": ("""SELECT branch, segment, segment_revenue, branch_total,
+              CASE WHEN branch_total <> 0 THEN segment_revenue / branch_total * 100 END AS share_pct
+       FROM (SELECT *, sum(segment_revenue) OVER (PARTITION BY branch) AS branch_total
+             FROM (SELECT branch, segment, sum(total_amount) AS segment_revenue
+                   FROM seg WHERE branch IS NOT NULL GROUP BY 1, 2))""", ["seg"]),
+})
+
+oracle("segment_classify", ["seg"], "SELECT DISTINCT item, segment FROM seg")
+oracle("segment_share", ["share"], "SELECT * FROM share")
+oracle("top_segment_items", ["seg"], """SELECT * FROM (
+  (SELECT item, sum(qty) AS total_qty, sum(total_amount) AS total_revenue, 'coffee' AS segment
+     FROM seg WHERE segment = 'coffee' GROUP BY item ORDER BY total_revenue DESC, item LIMIT 10)
+  UNION ALL
+  (SELECT item, sum(qty) AS total_qty, sum(total_amount) AS total_revenue, 'milkshake' AS segment
+     FROM seg WHERE segment = 'milkshake' GROUP BY item ORDER BY total_revenue DESC, item LIMIT 10))""")
+oracle("segment_comparison", ["seg"], """SELECT branch, segment, sum(qty) AS total_qty,
+       sum(total_amount) AS total_revenue
+  FROM seg WHERE segment IN ('coffee', 'milkshake') AND branch IS NOT NULL GROUP BY 1, 2""")
+oracle("segment_totals", ["seg"], """SELECT *, coffee_total_revenue / greatest(total_revenue, 1.0) * 100
+         AS coffee_share_pct,
+       milkshake_total_revenue / greatest(total_revenue, 1.0) * 100 AS milkshake_share_pct
+  FROM (SELECT coalesce(sum(CASE WHEN segment = 'coffee' THEN total_amount END), 0.0)
+                 AS coffee_total_revenue,
+               coalesce(sum(CASE WHEN segment = 'milkshake' THEN total_amount END), 0.0)
+                 AS milkshake_total_revenue,
+               coalesce(sum(total_amount), 0.0) AS total_revenue FROM seg)""")
+oracle("segment_pivot", ["share"], """SELECT branch,
+       coalesce(max(CASE WHEN segment = 'coffee' THEN share_pct END), 0.0) AS coffee,
+       coalesce(max(CASE WHEN segment = 'milkshake' THEN share_pct END), 0.0) AS milkshake,
+       coalesce(max(CASE WHEN segment = 'chimney_cake' THEN share_pct END), 0.0) AS chimney_cake,
+       coalesce(max(CASE WHEN segment = 'other' THEN share_pct END), 0.0) AS other
+  FROM share GROUP BY branch""")
+oracle("segment_performance", ["share"], """SELECT branch, segment, share_pct, threshold_pct,
+       CASE WHEN share_pct < threshold_pct THEN 'underperforming' ELSE 'performing' END AS status
+  FROM (SELECT branch, segment, round_even(share_pct, 2) AS share_pct,
+               CASE segment WHEN 'coffee' THEN 20.0::DOUBLE ELSE 10.0::DOUBLE END AS threshold_pct
+        FROM share WHERE segment IN ('coffee', 'milkshake'))""")
+oracle("beverage_gap", ["share"], """SELECT branch, bev AS beverage_share_pct,
+       greatest(35.0::DOUBLE - bev, 0.0) AS gap_pct,
+       CASE WHEN bev >= 35.0 THEN 'green' WHEN bev >= 0.7::DOUBLE * 35.0::DOUBLE THEN 'amber'
+            ELSE 'red' END AS status
+  FROM (SELECT branch, sum(round_even(share_pct, 2)) AS bev FROM share
+        WHERE segment IN ('coffee', 'milkshake') GROUP BY branch)""")
+oracle("growth_actions", ["seg", "share"], """, flags AS (
+    SELECT coalesce(bool_or(segment = 'coffee'), false) AS has_top_coffee,
+           coalesce(bool_or(segment = 'milkshake'), false) AS has_top_milkshake FROM seg),
+  under AS (SELECT list_sort(list(branch)) AS under_coffee FROM share
+            WHERE segment = 'coffee' AND round_even(share_pct, 2) < 20),
+  acts AS (
+    SELECT 1 AS ordinal, 'Star Product Upsell' AS strategy, 'coffee' AS target,
+           has_top_coffee AS fired FROM flags
+    UNION ALL SELECT 2, 'Coffee + Chimney Cake Combo Bundle', 'coffee + chimney_cake', true
+    UNION ALL SELECT 3, 'Branch-Level Coffee Drive',
+           'Branches: ' || array_to_string(under_coffee, ', '),
+           coalesce(len(under_coffee) > 0, false) FROM under
+    UNION ALL SELECT 4, 'Seasonal Milkshake Menu', 'milkshake', has_top_milkshake FROM flags
+    UNION ALL SELECT 5, 'Off-Peak Happy Hour', 'coffee + milkshake', true)
+SELECT CAST(rank AS INTEGER) AS rank, strategy, target,
+       CASE rank WHEN 1 THEN 'IMMEDIATE' WHEN 2 THEN 'IMMEDIATE' WHEN 3 THEN 'THIS MONTH'
+                 WHEN 4 THEN 'THIS QUARTER' WHEN 5 THEN 'THIS QUARTER' ELSE 'PLANNED' END AS priority
+  FROM (SELECT *, row_number() OVER (ORDER BY ordinal) AS rank FROM acts WHERE fired)""")
+
+
+# --- branches / expansion -----------------------------------------------------
+_CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _suffix(v: str) -> str:
+    from tillroll.functions.scalar import column_suffix
+    return column_suffix(v)
+
+
+_sales_cols = ", ".join(
+    f"coalesce(sum(sales) FILTER (WHERE menu_channel = '{c}'), 0.0) AS sales_{_suffix(c)}"
+    for c in _CHANNELS)
+_total = "greatest(" + "".join("(" for _ in _CHANNELS) + "0.0" + "".join(
+    f" + sales_{_suffix(c)})" for c in _CHANNELS) + ", 1.0)"
+_pct_cols = ", ".join(f"sales_{_suffix(c)} / {_total} * 100 AS pct_{_suffix(c)}"
+                      for c in _CHANNELS)
+
+CTES.update({
+    "bg": ("""SELECT branch, n_months,
+              CASE WHEN n_months >= 2 AND first_sales > 0
+                   THEN (pow(last_sales / first_sales, 1.0 / greatest(n_months - 1, 1)) - 1) * 100
+                   ELSE 0.0 END AS monthly_growth_pct
+       FROM (SELECT branch, count(*) AS n_months,
+                    arg_min(total_sales, year * 100 + month_num) AS first_sales,
+                    arg_max(total_sales, year * 100 + month_num) AS last_sales
+             FROM monthly_sales WHERE branch IS NOT NULL GROUP BY branch)""", ["monthly_sales"]),
+    "mix": (f"""SELECT branch, {', '.join('sales_' + _suffix(c) for c in _CHANNELS)}, {_pct_cols}
+       FROM (SELECT branch, {_sales_cols} FROM menu_channels WHERE branch IS NOT NULL
+             GROUP BY branch)""", ["menu_channels"]),
+    "kpis": (f"""SELECT b.branch, coalesce(total_revenue, 0.0) AS total_revenue,
+              CASE WHEN coalesce(network_revenue, 0.0) <> 0
+                   THEN round_even(coalesce(total_revenue, 0.0) / network_revenue * 100, 2)
+                   ELSE 0.0 END AS revenue_share_pct,
+              round_even(coalesce(monthly_growth_pct, 0.0), 2) AS monthly_growth_pct,
+              coalesce(CAST(nc AS BIGINT), 0) AS num_customers,
+              coalesce(round_even(avg_spend, 2), 0.0) AS avg_spend,
+              {', '.join(f'coalesce(round_even(pct_{_suffix(c)}, 1), 0.0) AS pct_{_suffix(c)}'
+                         for c in _CHANNELS)}
+       FROM (SELECT coalesce(rev.branch, bg.branch) AS branch, total_revenue, monthly_growth_pct
+             FROM (SELECT branch, sum(revenue) AS total_revenue FROM branch_revenue
+                   WHERE branch IS NOT NULL GROUP BY 1) rev
+             FULL OUTER JOIN bg ON rev.branch = bg.branch) b
+       LEFT JOIN (SELECT branch, sum(num_customers) AS nc,
+                         sum(sales) / greatest(sum(num_customers), 1.0) AS avg_spend
+                  FROM menu_channels WHERE branch IS NOT NULL GROUP BY 1) cu
+              ON b.branch = cu.branch
+       LEFT JOIN mix ON b.branch = mix.branch
+       CROSS JOIN (SELECT sum(revenue) AS network_revenue FROM branch_revenue
+                   WHERE branch IS NOT NULL) net""", ["bg", "mix", "branch_revenue"]),
+    "signals": ("""SELECT *, growing_network::INTEGER + saturated_branch_present::INTEGER
+                   + high_customer_density::INTEGER AS signal_score,
+              CASE WHEN growing_network::INTEGER + saturated_branch_present::INTEGER
+                        + high_customer_density::INTEGER >= 2
+                   THEN 'RECOMMENDED' ELSE 'NOT RECOMMENDED' END AS feasibility
+       FROM (SELECT *, avg_monthly_growth_pct > 1.0 AS growing_network,
+                    max_share_pct > 40.0 AS saturated_branch_present,
+                    total_customers > 500 AS high_customer_density
+             FROM (SELECT sum(total_revenue) AS total_revenue,
+                          CAST(sum(num_customers) AS BIGINT) AS total_customers,
+                          avg(monthly_growth_pct) AS avg_monthly_growth_pct,
+                          max(revenue_share_pct) AS max_share_pct,
+                          arg_max(branch, revenue_share_pct) AS saturated_branch,
+                          count(*) AS n_branches FROM kpis))""", ["kpis"]),
+    "cand": ("""SELECT location, 0.5 + pos_share AS growth_factor,
+              60.0 + 40.0 * coalesce(n_cust / CASE WHEN max_cust > 0 THEN max_cust END, 0.0)
+                AS demand_base,
+              20.0 + 40.0 * coalesce(n_supp / CASE WHEN max_supp > 0 THEN max_supp END, 0.0)
+                AS competition_risk
+       FROM (SELECT n_name AS location, coalesce(n_cust, 0) AS n_cust,
+                    coalesce(n_supp, 0) AS n_supp, coalesce(pos_share, 0.0) AS pos_share
+             FROM nation
+             LEFT JOIN (SELECT c_nationkey, count(*) AS n_cust,
+                               avg(CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+                                 AS pos_share
+                        FROM customer GROUP BY 1) c ON n_nationkey = c.c_nationkey
+             LEFT JOIN (SELECT s_nationkey, count(*) AS n_supp FROM supplier GROUP BY 1) s
+                    ON n_nationkey = s.s_nationkey) per,
+            (SELECT max(coalesce(n_cust, 0)) AS max_cust, max(coalesce(n_supp, 0)) AS max_supp
+             FROM nation
+             LEFT JOIN (SELECT c_nationkey, count(*) AS n_cust FROM customer GROUP BY 1) c
+                    ON n_nationkey = c.c_nationkey
+             LEFT JOIN (SELECT s_nationkey, count(*) AS n_supp FROM supplier GROUP BY 1) s
+                    ON n_nationkey = s.s_nationkey) mx""", []),
+})
+
+oracle("branch_growth", ["bg"], "SELECT * FROM bg")
+oracle("channel_mix", ["mix"], "SELECT * FROM mix")
+oracle("branch_kpis", ["kpis"], "SELECT * FROM kpis")
+oracle("expansion_signals", ["signals"], "SELECT * FROM signals")
+oracle("score_candidates", ["cand", "signals"], """SELECT location,
+       demand_base * (1 + avg_monthly_growth_pct / 100) AS demand_score, competition_risk,
+       demand_base * (1 + avg_monthly_growth_pct / 100) * growth_factor
+         - competition_risk * 0.3 AS composite_score
+  FROM cand CROSS JOIN (SELECT avg_monthly_growth_pct FROM signals) g""")
+
+
+# --- baskets --------------------------------------------------------------------
+CTES.update({
+    "bk": ("""SELECT branch, customer, item, sum(qty) AS q
+       FROM (SELECT branch, customer, upper(trim(item)) AS item, qty FROM delivery_lines
+             WHERE price > 0)
+       WHERE item NOT IN ('DELIVERY CHARGE', 'SERVICE CHARGE')
+         AND branch IS NOT NULL AND customer IS NOT NULL AND item IS NOT NULL
+       GROUP BY 1, 2, 3""", ["delivery_lines"]),
+    "bsk": ("""SELECT branch, customer,
+              coalesce(list_sort(list(item) FILTER (WHERE q <> 0)), []) AS items
+       FROM bk GROUP BY 1, 2""", ["bk"]),
+    "bi": ("""SELECT branch || chr(31) || customer AS bid, item FROM bk WHERE q <> 0""", ["bk"]),
+    "nb": ("""SELECT count(*) AS n_baskets FROM bsk""", ["bsk"]),
+    "f1": ("""SELECT item AS i1, count(*) AS c FROM bi GROUP BY 1
+       HAVING count(*) >= 0.02::DOUBLE * (SELECT n_baskets FROM nb)""", ["bi", "nb"]),
+    "f2": ("""SELECT a.item AS i1, b.item AS i2, count(*) AS c
+       FROM bi a JOIN bi b ON a.bid = b.bid AND a.item < b.item
+       WHERE a.item IN (SELECT i1 FROM f1) AND b.item IN (SELECT i1 FROM f1)
+       GROUP BY 1, 2 HAVING count(*) >= 0.02::DOUBLE * (SELECT n_baskets FROM nb)""",
+           ["bi", "f1"]),
+    "f3": ("""SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS c
+       FROM bi a JOIN bi b ON a.bid = b.bid AND a.item < b.item
+                 JOIN bi c ON b.bid = c.bid AND b.item < c.item
+       WHERE a.item IN (SELECT i1 FROM f1) AND b.item IN (SELECT i1 FROM f1)
+         AND c.item IN (SELECT i1 FROM f1)
+       GROUP BY 1, 2, 3 HAVING count(*) >= 0.02::DOUBLE * (SELECT n_baskets FROM nb)""",
+           ["bi", "f1"]),
+    "fis": ("""SELECT itemset, size, freq, freq / (SELECT n_baskets FROM nb) AS support FROM (
+         SELECT i1 AS itemset, 1 AS size, c AS freq FROM f1
+         UNION ALL SELECT i1 || ', ' || i2, 2, c FROM f2
+         UNION ALL SELECT i1 || ', ' || i2 || ', ' || i3, 3, c FROM f3)""", ["f1", "f2", "f3"]),
+    "splits": ("""SELECT i1 AS antecedents, i2 AS consequents, c FROM f2
+       UNION ALL SELECT i2, i1, c FROM f2
+       UNION ALL SELECT i1, i2 || ', ' || i3, c FROM f3
+       UNION ALL SELECT i2, i1 || ', ' || i3, c FROM f3
+       UNION ALL SELECT i3, i1 || ', ' || i2, c FROM f3
+       UNION ALL SELECT i1 || ', ' || i2, i3, c FROM f3
+       UNION ALL SELECT i1 || ', ' || i3, i2, c FROM f3
+       UNION ALL SELECT i2 || ', ' || i3, i1, c FROM f3""", ["f2", "f3"]),
+    "rules": ("""SELECT antecedents, consequents, support, confidence, lift, leverage, conviction
+       FROM (SELECT *, confidence / consequent_support AS lift,
+                    support - antecedent_support * consequent_support AS leverage,
+                    CASE WHEN confidence = 1 THEN 'inf'::DOUBLE
+                         ELSE (1 - consequent_support) / (1 - confidence) END AS conviction
+             FROM (SELECT s.antecedents, s.consequents,
+                          s.c / (SELECT n_baskets FROM nb) AS support,
+                          fa.support AS antecedent_support, fc.support AS consequent_support,
+                          (s.c / (SELECT n_baskets FROM nb)) / fa.support AS confidence
+                   FROM splits s JOIN fis fa ON s.antecedents = fa.itemset
+                                 JOIN fis fc ON s.consequents = fc.itemset))
+       WHERE lift >= 1.0 AND confidence >= 0.1""", ["splits", "fis"]),
+    "combos": ("""SELECT antecedents || ' + ' || consequents AS items, antecedents, consequents,
+              round_even(support, 4) AS support, round_even(confidence, 4) AS confidence,
+              round_even(lift, 4) AS lift
+       FROM rules WHERE (SELECT n_baskets FROM nb) >= 5
+       ORDER BY lift DESC, antecedents, consequents LIMIT 10""", ["rules", "nb"]),
+    "single": ("""SELECT item, count(*) AS cnt FROM bi GROUP BY 1""", ["bi"]),
+})
+
+oracle("baskets", ["bsk"], """SELECT branch, customer, array_to_string(items, ', ') AS items,
+       CAST(len(items) AS INTEGER) AS n_items FROM bsk""")
+oracle("item_frequency", ["single", "nb"], """SELECT item, cnt AS n_baskets_with_item,
+       cnt / (SELECT n_baskets FROM nb) AS support FROM single""")
+oracle("basket_stats", ["bsk", "bi"], """SELECT n_baskets, nnz, n_items,
+       CASE WHEN n_baskets * n_items > 0 THEN 1 - nnz / (n_baskets * n_items) END AS sparsity
+  FROM (SELECT count(*) AS n_baskets, CAST(coalesce(sum(len(items)), 0) AS BIGINT) AS nnz
+        FROM bsk), (SELECT count(DISTINCT item) AS n_items FROM bi)""")
+oracle("frequent_itemsets", ["fis"], "SELECT * FROM fis")
+oracle("association_rules", ["rules"], "SELECT * FROM rules")
+oracle("combo_top", ["combos"], """SELECT *,
+       CASE WHEN lift > 3 THEN 'very strong' WHEN lift > 2 THEN 'strong'
+            WHEN lift > 1.5 THEN 'moderate' ELSE 'present' END AS strength,
+       CASE WHEN lift >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS priority,
+       format('Bundle ''{}'' — {:,.0f}% of customers who buy one also buy the other (lift {:,.2f}x)',
+              items, confidence * 100, lift) AS recommendation
+  FROM combos""")
+oracle("combo_kpis", ["combos"], """SELECT count(*) AS n_rules,
+       count(*) FILTER (WHERE lift >= 2) AS n_strong, max(lift) AS max_lift,
+       avg(confidence) AS mean_confidence,
+       CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE lift >= 2) / count(*) * 100
+            ELSE 0.0 END AS strong_share_pct
+  FROM combos""")
+oracle("item_pairs", ["bi", "single", "nb"], """SELECT a AS antecedents, b AS consequents,
+       both_ / n_baskets AS support,
+       greatest(both_ / greatest(cnt_a, 1), both_ / greatest(cnt_b, 1)) AS confidence,
+       (both_ / greatest(cnt_a, 1)) / greatest(cnt_b / n_baskets, 1e-9) AS lift
+  FROM (SELECT x.item AS a, y.item AS b, count(*) AS both_
+        FROM bi x JOIN bi y ON x.bid = y.bid AND x.item < y.item GROUP BY 1, 2) p
+  JOIN (SELECT item, cnt AS cnt_a FROM single) sa ON p.a = sa.item
+  JOIN (SELECT item, cnt AS cnt_b FROM single) sb ON p.b = sb.item
+  CROSS JOIN nb
+  ORDER BY support DESC, antecedents, consequents LIMIT 20""")
+oracle("top_items_by_qty", ["delivery_lines"], """SELECT item, qty,
+       format('Promote {} as a featured item (sold {:.0f} units)', item, qty) AS recommendation
+  FROM (SELECT upper(trim(item)) AS item, sum(qty) AS qty FROM delivery_lines
+        WHERE price > 0 AND item IS NOT NULL GROUP BY 1 ORDER BY qty DESC, item LIMIT 10)""")
+oracle("top_items_by_revenue", ["item_sales"], """SELECT item, sum(total_amount) AS total_revenue,
+       sum(qty) AS total_qty FROM item_sales WHERE item IS NOT NULL
+  GROUP BY item ORDER BY total_revenue DESC, item LIMIT 20""")

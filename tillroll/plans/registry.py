@@ -88,3 +88,161 @@ def q_demand_ranking(t: Tables) -> DataFrame:
 @query("demand_trend")
 def q_demand_trend(t: Tables) -> DataFrame:
     return demand.demand_trend(tb.monthly_sales(t))
+
+
+# --- segments -----------------------------------------------------------------
+from tillroll.operators import baskets, branches, segments  # noqa: E402
+
+
+def _seg(t: Tables) -> DataFrame:
+    return segments.classify(tb.item_sales(t), "item", tb.PART_MILKSHAKE_KEYWORDS,
+                             tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
+
+
+@query("segment_classify")
+def q_segment_classify(t: Tables) -> DataFrame:
+    """Segment of every distinct item name."""
+    return _seg(t).select("item", "segment").distinct()
+
+
+@query("segment_share")
+def q_segment_share(t: Tables) -> DataFrame:
+    return segments.segment_share(_seg(t))
+
+
+@query("top_segment_items")
+def q_top_segment_items(t: Tables) -> DataFrame:
+    s = _seg(t)
+    return (segments.top_segment_items(s, "coffee", 10)
+            .unionByName(segments.top_segment_items(s, "milkshake", 10)))
+
+
+@query("segment_comparison")
+def q_segment_comparison(t: Tables) -> DataFrame:
+    return segments.segment_comparison(_seg(t))
+
+
+@query("segment_totals")
+def q_segment_totals(t: Tables) -> DataFrame:
+    return segments.segment_totals(_seg(t))
+
+
+@query("segment_pivot")
+def q_segment_pivot(t: Tables) -> DataFrame:
+    return segments.segment_pivot(segments.segment_share(_seg(t)))
+
+
+@query("segment_performance")
+def q_segment_performance(t: Tables) -> DataFrame:
+    return segments.segment_performance(segments.segment_share(_seg(t)))
+
+
+@query("beverage_gap")
+def q_beverage_gap(t: Tables) -> DataFrame:
+    return segments.beverage_gap(segments.segment_share(_seg(t)))
+
+
+@query("growth_actions")
+def q_growth_actions(t: Tables) -> DataFrame:
+    s = _seg(t)
+    return segments.growth_actions(s, segments.segment_share(s))
+
+
+# --- branches / expansion -------------------------------------------------------
+CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _kpis(t: Tables) -> DataFrame:
+    return branches.branch_kpis(tb.monthly_sales(t), tb.branch_revenue(t),
+                                tb.menu_channels(t), CHANNELS)
+
+
+@query("branch_growth")
+def q_branch_growth(t: Tables) -> DataFrame:
+    return branches.branch_growth(tb.monthly_sales(t))
+
+
+@query("channel_mix")
+def q_channel_mix(t: Tables) -> DataFrame:
+    return branches.channel_mix(tb.menu_channels(t), CHANNELS)
+
+
+@query("branch_kpis")
+def q_branch_kpis(t: Tables) -> DataFrame:
+    return _kpis(t)
+
+
+@query("expansion_signals")
+def q_expansion_signals(t: Tables) -> DataFrame:
+    return branches.expansion_signals(_kpis(t))
+
+
+@query("score_candidates")
+def q_score_candidates(t: Tables) -> DataFrame:
+    """All candidate locations ranked (the top 3 are the report's picks)."""
+    return branches.score_candidates(tb.candidate_sites(t),
+                                     branches.expansion_signals(_kpis(t)))
+
+
+# --- baskets --------------------------------------------------------------------
+def _baskets(t: Tables) -> DataFrame:
+    return baskets.build_baskets(tb.delivery_lines(t))
+
+
+@query("baskets")
+def q_baskets(t: Tables) -> DataFrame:
+    from pyspark.sql import functions as F
+    return _baskets(t).select("branch", "customer",
+                              F.array_join("items", ", ").alias("items"),
+                              F.size("items").alias("n_items"))
+
+
+@query("item_frequency")
+def q_item_frequency(t: Tables) -> DataFrame:
+    return baskets.item_frequency(_baskets(t))
+
+
+@query("basket_stats")
+def q_basket_stats(t: Tables) -> DataFrame:
+    return baskets.basket_stats(_baskets(t))
+
+
+@query("frequent_itemsets")
+def q_frequent_itemsets(t: Tables) -> DataFrame:
+    from pyspark.sql import functions as F
+    fi = baskets.frequent_itemsets(_baskets(t), 0.02)
+    return fi.select(F.array_join("items", ", ").alias("itemset"), "size", "freq", "support")
+
+
+def _rules(t: Tables) -> DataFrame:
+    return baskets.association_rules(baskets.frequent_itemsets(_baskets(t), 0.02), 1.0, 0.1)
+
+
+@query("association_rules")
+def q_association_rules(t: Tables) -> DataFrame:
+    return _rules(t)
+
+
+@query("combo_top")
+def q_combo_top(t: Tables) -> DataFrame:
+    return baskets.combo_top(_rules(t), _baskets(t), 10)
+
+
+@query("combo_kpis")
+def q_combo_kpis(t: Tables) -> DataFrame:
+    return baskets.combo_kpis(baskets.combo_top(_rules(t), _baskets(t), 10))
+
+
+@query("item_pairs")
+def q_item_pairs(t: Tables) -> DataFrame:
+    return baskets.item_pairs(_baskets(t), 20)
+
+
+@query("top_items_by_qty")
+def q_top_items_by_qty(t: Tables) -> DataFrame:
+    return baskets.top_items_by_qty(tb.delivery_lines(t), 10)
+
+
+@query("top_items_by_revenue")
+def q_top_items_by_revenue(t: Tables) -> DataFrame:
+    return baskets.top_items_by_revenue(tb.item_sales(t), 20)
