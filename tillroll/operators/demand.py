@@ -117,9 +117,7 @@ def demand_insight(monthly: DataFrame, n_months: int = 3) -> DataFrame:
           .agg(F.avg(F.bround("forecast", 2)).alias("avg_forecast")))
     return g.join(fc, "branch").select(
         "branch",
-        F.format_string("%s shows a %s trend (%s%s%% over the data period). "
+        F.format_string("%s shows a %s trend (%+.1f%% over the data period). "
                         "Next %d months avg projected demand: %s units.",
-                        "branch", trend3("growth_pct"),
-                        F.when(F.col("growth_pct") >= 0, "+").otherwise(""),
-                        F.format_number("growth_pct", 1), F.lit(int(n_months)),
+                        "branch", trend3("growth_pct"), "growth_pct", F.lit(int(n_months)),
                         F.format_number("avg_forecast", 0)).alias("insight"))

@@ -93,6 +93,9 @@ def with_(names: list[str], body: str) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} AS ({CTES[n][0]})" for n in order]
+    if not parts:
+        b = body.lstrip()
+        return "WITH " + b[1:] if b.startswith(",") else body
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
@@ -385,8 +388,8 @@ CTES.update({
     "combos": ("""SELECT antecedents || ' + ' || consequents AS items, antecedents, consequents,
               round_even(support, 4) AS support, round_even(confidence, 4) AS confidence,
               round_even(lift, 4) AS lift
-       FROM rules WHERE (SELECT n_baskets FROM nb) >= 5
-       ORDER BY lift DESC, antecedents, consequents LIMIT 10""", ["rules", "nb"]),
+       FROM (SELECT * FROM rules WHERE (SELECT n_baskets FROM nb) >= 5
+             ORDER BY rules.lift DESC, antecedents, consequents LIMIT 10)""", ["rules", "nb"]),
     "single": ("""SELECT item, count(*) AS cnt FROM bi GROUP BY 1""", ["bi"]),
 })
 
@@ -430,3 +433,134 @@ oracle("top_items_by_qty", ["delivery_lines"], """SELECT item, qty,
 oracle("top_items_by_revenue", ["item_sales"], """SELECT item, sum(total_amount) AS total_revenue,
        sum(qty) AS total_qty FROM item_sales WHERE item IS NOT NULL
   GROUP BY item ORDER BY total_revenue DESC, item LIMIT 20""")
+
+
+# --- report primitives over driver data ---------------------------------------
+oracle("clean_number", [], """, x AS (SELECT 1) SELECT l_orderkey, l_linenumber,
+       format('{:,.2f}', l_extendedprice) AS price_text,
+       CAST(replace(format('{:,.2f}', l_extendedprice), ',', '') AS DOUBLE) AS price,
+       CASE WHEN l_discount = 0 THEN '-' ELSE '"' || format('{:,.2f}', l_discount) || '"' END
+         AS discount_text,
+       CASE WHEN l_discount = 0 THEN 0.0::DOUBLE
+            ELSE CAST(format('{:.2f}', l_discount) AS DOUBLE) END AS discount
+  FROM lineitem""")
+oracle("duration_hours", [], """, x AS (SELECT 1) SELECT event_id,
+       strftime(ts, '%H.%M.%S') AS clock_text,
+       hour(ts) + minute(ts) / 60.0::DOUBLE + second(ts) / 3600.0::DOUBLE AS clock_hours,
+       format('{}:{:02d}:{:02d}', h, m, s) AS span_text,
+       h + m / 60.0::DOUBLE + s / 3600.0::DOUBLE AS span_hours
+  FROM (SELECT event_id, ts, CAST(floor(value) AS BIGINT) AS h,
+               CAST(floor(value * 60) AS BIGINT) % 60 AS m,
+               CAST(floor(value * 3600) AS BIGINT) % 60 AS s FROM events)""")
+oracle("compact_cells", [], """, x AS (SELECT 1) SELECT o_orderkey, CAST(3 AS INTEGER) AS n_cells,
+       o_orderpriority || '|' || format('{:,.2f}', o_totalprice) || '|' || o_orderstatus AS cells
+  FROM orders""")
+_FOOT = r"(?i)Copyright|omegapos|Page \d+ of"
+oracle("drop_boilerplate", [], f""", x AS (SELECT 1) SELECT conv_id, turn FROM conversations
+ WHERE NOT (coalesce(regexp_matches(role, '{_FOOT}'), false)
+            OR coalesce(regexp_matches(text, '{_FOOT}'), false))
+   AND NOT (contains(lower(concat_ws(' ', role, text)), 'page')
+            OR contains(lower(concat_ws(' ', role, text)), 'total'))""")
+oracle("forward_fill_context", [], """, lines AS (
+    SELECT c.c_mktsegment AS branch, o.o_custkey AS ck, l.l_orderkey, l.l_linenumber,
+           NULL::VARCHAR AS ctx
+      FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+      JOIN customer c ON o.o_custkey = c.c_custkey
+    UNION ALL
+    SELECT c_mktsegment, c_custkey, -1, -1, c_name FROM customer WHERE c_acctbal > 0)
+SELECT branch, l_orderkey, l_linenumber, customer
+  FROM (SELECT *, last_value(ctx IGNORE NULLS) OVER (
+                    PARTITION BY branch ORDER BY ck, l_orderkey, l_linenumber
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS customer
+        FROM lines)
+ WHERE l_orderkey >= 0""")
+
+# fixed values: the driver's table schemas, in column order
+_SCHEMAS = {
+    "region": "r_regionkey, r_name",
+    "nation": "n_nationkey, n_name, n_regionkey",
+    "customer": "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment",
+    "supplier": "s_suppkey, s_name, s_nationkey, s_acctbal",
+    "part": "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice",
+    "orders": "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority",
+    "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+                "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate",
+    "events": "event_id, ts, user_id, event_type, value, props",
+    "documents": "doc_id, text, lang, source, n_chars",
+    "embeddings": "vec_id, embedding, label",
+    "pages": "page_id, url, html",
+    "benchmark": "item_id, text",
+    "labels": "doc_id, quality, toxic",
+    "conversations": "conv_id, turn, role, text",
+}
+oracle("dataset_profile", [], ", x AS (SELECT 1) " + "\nUNION ALL ".join(
+    f"SELECT '{t}' AS dataset, count(*) AS n_rows, "
+    f"CAST({len(cols.split(', '))} AS INTEGER) AS n_columns, '{cols}' AS columns FROM {t}"
+    for t, cols in _SCHEMAS.items()))
+
+
+# --- topics ---------------------------------------------------------------------
+def _topic_select(text: str) -> str:
+    from tillroll.functions.constants import TOPIC_KEYWORDS
+    scores = []
+    for name, kws in TOPIC_KEYWORDS.items():
+        terms = " + ".join(f"(CASE WHEN contains(lower({text}), '{k}') THEN 1 ELSE 0 END)"
+                           for k in kws)
+        scores.append(f"CAST({terms} AS INTEGER) AS score_{name}")
+    names = list(TOPIC_KEYWORDS)
+    best = "greatest(" + ", ".join(f"score_{n}" for n in names) + ")"
+    case = f"CASE WHEN {best} = 0 THEN 'overview' " + " ".join(
+        f"WHEN score_{n} = {best} THEN '{n}'" for n in names) + " END AS topic"
+    return ", ".join(scores), case
+
+
+_tsc, _tcase = _topic_select("text")
+oracle("topic_classify", [], f""", x AS (SELECT 1)
+SELECT *, {_tcase} FROM (SELECT conv_id, turn, {_tsc} FROM conversations)""")
+oracle("topic_classify_documents", [], f""", x AS (SELECT 1)
+SELECT *, {_tcase} FROM (SELECT doc_id, {_tsc} FROM documents)""")
+oracle("topic_counts", [], f""", x AS (SELECT 1)
+SELECT topic, count(*) AS n FROM (SELECT *, {_tcase} FROM (SELECT {_tsc} FROM conversations))
+ GROUP BY topic""")
+
+
+# --- text reports and overview ----------------------------------------------------
+oracle("demand_insight", ["st", "fc"], """SELECT st.branch,
+       format('{} shows a {} trend ({:+.1f}% over the data period). '
+              || 'Next {} months avg projected demand: {:,.0f} units.',
+              st.branch, CASE WHEN growth_pct > 5 THEN 'growing'
+                              WHEN growth_pct < -5 THEN 'declining' ELSE 'stable' END,
+              growth_pct, 3, avg_forecast) AS insight
+  FROM st JOIN (SELECT branch, avg(round_even(forecast, 2)) AS avg_forecast FROM fc
+                GROUP BY branch) r ON st.branch = r.branch""")
+oracle("network_overview", ["fc", "signals", "cand", "shift_summary", "seg", "rules"], """,
+  rk AS (SELECT branch, avg(round_even(forecast, 2)) AS avg_forecast FROM fc GROUP BY branch),
+  dem AS (SELECT arg_max(branch, avg_forecast) AS top_branch,
+                 arg_min(branch, avg_forecast) AS bottom_branch,
+                 (max(avg_forecast) - min(avg_forecast)) / greatest(min(avg_forecast), 1.0) * 100
+                   AS demand_spread_pct FROM rk),
+  sg AS (SELECT feasibility,
+                CASE WHEN avg_monthly_growth_pct > 3 THEN 'strong'
+                     WHEN avg_monthly_growth_pct > 1 THEN 'moderate'
+                     WHEN avg_monthly_growth_pct > 0 THEN 'slow' ELSE 'negative' END
+                  AS network_growth FROM signals),
+  best AS (SELECT arg_max(location, demand_base * (1 + g / 100) * growth_factor
+                                    - competition_risk * 0.3) AS top_location
+           FROM cand, (SELECT avg_monthly_growth_pct AS g FROM signals)),
+  stf AS (SELECT count(*) FILTER (WHERE min_staff < 2) AS n_staff_alerts FROM shift_summary),
+  tot AS (SELECT coffee_share_pct, milkshake_share_pct,
+                 CASE WHEN bev >= 35.0 THEN 'green' WHEN bev >= 0.7::DOUBLE * 35.0::DOUBLE
+                      THEN 'amber' ELSE 'red' END AS beverage_status
+          FROM (SELECT *, round_even(coffee_share_pct, 2) + round_even(milkshake_share_pct, 2)
+                          AS bev
+                FROM (SELECT c / greatest(a, 1.0) * 100 AS coffee_share_pct,
+                             m / greatest(a, 1.0) * 100 AS milkshake_share_pct
+                      FROM (SELECT coalesce(sum(total_amount) FILTER (WHERE segment = 'coffee'),
+                                            0.0) AS c,
+                                   coalesce(sum(total_amount) FILTER (WHERE segment = 'milkshake'),
+                                            0.0) AS m,
+                                   coalesce(sum(total_amount), 0.0) AS a FROM seg)))),
+  nr AS (SELECT count(*) AS n_rules FROM rules),
+  cb AS (SELECT antecedents || ' + ' || consequents AS top_combo FROM rules
+         ORDER BY lift DESC, antecedents, consequents LIMIT 1)
+SELECT * FROM dem, sg, best, stf, tot, nr LEFT JOIN cb ON true""")

@@ -246,3 +246,128 @@ def q_top_items_by_qty(t: Tables) -> DataFrame:
 @query("top_items_by_revenue")
 def q_top_items_by_revenue(t: Tables) -> DataFrame:
     return baskets.top_items_by_revenue(tb.item_sales(t), 20)
+
+
+# --- report primitives over driver data ---------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from tillroll.functions.scalar import clean_number, compact_cells, duration_hours  # noqa: E402
+from tillroll.operators import topics  # noqa: E402
+from tillroll.sources import reports  # noqa: E402
+
+
+@query("clean_number")
+def q_clean_number(t: Tables) -> DataFrame:
+    """Prices rendered as report text ("12,345.67", quoted, "-" for zero) and parsed back."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    price_text = F.format_number("l_extendedprice", 2)
+    disc_text = F.when(F.col("l_discount") == 0, F.lit("-")).otherwise(
+        F.concat(F.lit('"'), F.format_number("l_discount", 2), F.lit('"')))
+    return li.select("l_orderkey", "l_linenumber",
+                     price_text.alias("price_text"), clean_number(price_text).alias("price"),
+                     disc_text.alias("discount_text"), clean_number(disc_text).alias("discount"))
+
+
+@query("duration_hours")
+def q_duration_hours(t: Tables) -> DataFrame:
+    """Punch times ("HH.mm.ss") and long spans ("H:MM:SS", H may exceed 24) to hours."""
+    e = t.events.select("event_id", "ts", "value")
+    h = F.floor("value")
+    m = F.floor(F.col("value") * 60) % 60
+    s = F.floor(F.col("value") * 3600) % 60
+    span = F.format_string("%d:%02d:%02d", h, m, s)
+    clock = F.date_format("ts", "HH.mm.ss")
+    return e.select("event_id", clock.alias("clock_text"),
+                    duration_hours(clock).alias("clock_hours"),
+                    span.alias("span_text"), duration_hours(span).alias("span_hours"))
+
+
+@query("compact_cells")
+def q_compact_cells(t: Tables) -> DataFrame:
+    """Order rows rendered as CSV report lines with blank and quoted cells, then compacted."""
+    o = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    line = F.concat_ws(",", F.lit(""), "o_orderpriority", F.lit(""),
+                       F.concat(F.lit('"'), F.format_number("o_totalprice", 2), F.lit('"')),
+                       F.lit("  "), "o_orderstatus", F.lit(""))
+    vals = compact_cells(reports.csv_cells(line, 8))
+    return o.select("o_orderkey", F.size(vals).alias("n_cells"),
+                    F.array_join(vals, "|").alias("cells"))
+
+
+@query("drop_boilerplate")
+def q_drop_boilerplate(t: Tables) -> DataFrame:
+    """Conversation turns as report rows; footer rows and page-header rows are dropped."""
+    c = t.conversations.select("conv_id", "turn", "role", "text")
+    rows_ = c.withColumn("cells", F.array("role", "text"))
+    kept = reports.drop_boilerplate(rows_, "cells", header_keywords=["Page", "Total"])
+    return kept.select("conv_id", "turn")
+
+
+@query("forward_fill_context")
+def q_forward_fill_context(t: Tables) -> DataFrame:
+    """Customer context carried down a per-segment "report" of order lines.
+
+    One report per market segment (a few hot groups); a header line per
+    customer with a positive balance, none for the others, so their lines
+    inherit the previous customer's name, also across block boundaries.
+    Blocks are ranges of 16 customer keys.
+    """
+    cust = t.customer.select("c_custkey", "c_name", "c_acctbal",
+                             F.col("c_mktsegment").alias("branch"))
+    o = t.orders.select("o_orderkey", "o_custkey")
+    li = t.lineitem.select("l_orderkey", "l_linenumber")
+    detail = (li.join(o, li.l_orderkey == o.o_orderkey)
+              .join(cust, o.o_custkey == cust.c_custkey)
+              .select("branch", F.col("o_custkey").alias("ck"), "l_orderkey", "l_linenumber",
+                      F.lit(None).cast("string").alias("ctx")))
+    header = (cust.filter(F.col("c_acctbal") > 0)
+              .select("branch", F.col("c_custkey").alias("ck"),
+                      F.lit(-1).cast("long").alias("l_orderkey"),
+                      F.lit(-1).alias("l_linenumber"), F.col("c_name").alias("ctx")))
+    lines = (detail.unionByName(header)
+             .withColumn("block", (F.col("ck") / 16).cast("long"))
+             .withColumn("seq", F.struct("ck", "l_orderkey", "l_linenumber")))
+    filled = reports.forward_fill_blocked(lines, ["ctx"], group="branch")
+    return (filled.filter(F.col("l_orderkey") >= 0)
+            .select("branch", "l_orderkey", "l_linenumber", F.col("ctx").alias("customer")))
+
+
+@query("dataset_profile")
+def q_dataset_profile(t: Tables) -> DataFrame:
+    """Row and column counts of every driver table."""
+    from tillroll.sources.parsers import dataset_profile
+    from tillroll.sources.tables import TABLE_NAMES
+    return dataset_profile({n: getattr(t, n) for n in TABLE_NAMES})
+
+
+# --- topics ---------------------------------------------------------------------
+@query("topic_classify")
+def q_topic_classify(t: Tables) -> DataFrame:
+    """Topic of every conversation turn."""
+    c = t.conversations.select("conv_id", "turn", "text")
+    return topics.classify_topics(c, "text").drop("text")
+
+
+@query("topic_classify_documents")
+def q_topic_classify_documents(t: Tables) -> DataFrame:
+    """Topic of every document (whole texts)."""
+    d = t.documents.select("doc_id", "text")
+    return topics.classify_topics(d, "text").drop("text")
+
+
+@query("topic_counts")
+def q_topic_counts(t: Tables) -> DataFrame:
+    c = t.conversations.select("text")
+    return topics.topic_counts(topics.classify_topics(c, "text"))
+
+
+# --- text reports and overview ----------------------------------------------------
+@query("demand_insight")
+def q_demand_insight(t: Tables) -> DataFrame:
+    return demand.demand_insight(tb.monthly_sales(t), 3)
+
+
+@query("network_overview")
+def q_network_overview(t: Tables) -> DataFrame:
+    from tillroll.plans.overview import network_overview
+    return network_overview(t)

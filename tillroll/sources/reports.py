@@ -70,6 +70,13 @@ def split_cells(lines: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
                             1, F.least(F.col("width"), F.lit(max_cells))).alias("cells")))
 
 
+def csv_cells(line: str | Column, n_cells: int) -> Column:
+    """Parse one CSV text line into an array of ``n_cells`` strings (NULL = empty)."""
+    schema = ", ".join(f"c{i} STRING" for i in range(n_cells))
+    parsed = F.from_csv(col_(line), schema, {"escape": '"'})
+    return F.array(*[parsed[f"c{i}"] for i in range(n_cells)])
+
+
 def joined_text(cells: str | Column) -> Column:
     """Cells joined by single spaces, empty cells skipped (for keyword tests)."""
     return F.array_join(F.filter(col_(cells), lambda x: x.isNotNull()), " ")
@@ -123,9 +130,13 @@ def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "fi
                          block: str = "block", seq: str = "seq") -> DataFrame:
     """Skew-safe forward fill over ``(group, block, seq)`` order.
 
-    Phase 1 fills inside each (group, block); phase 2 takes the last non-NULL
-    value of every block, carries it forward over the blocks of the group
-    (one row per block) and fills what phase 1 left NULL.
+    ``block`` must be non-decreasing along the order (contiguous chunks);
+    ``seq`` orders rows inside a block and may be any orderable column
+    (a struct for compound orders).  Phase 1 fills inside each (group,
+    block); phase 2 takes the last non-NULL value of every block, carries it
+    forward over the blocks of the group (one row per block) and fills what
+    phase 1 left NULL.  A group holding a third of all rows is spread over
+    its blocks; no window spans a whole group.
     """
     columns = list(columns)
     local = forward_fill(df, columns, [group, block], [seq])
