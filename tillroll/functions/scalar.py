@@ -89,7 +89,7 @@ def contains_any(text: Column, keywords: Sequence[str]) -> Column:
     """True when ``text`` contains any keyword (plain substring)."""
     cond = F.lit(False)
     for kw in keywords:
-        cond = cond | (F.instr(text, kw) > 0)
+        cond = cond | text.contains(kw)
     return cond
 
 
@@ -97,7 +97,7 @@ def count_present(text: Column, keywords: Sequence[str]) -> Column:
     """Number of keywords present in ``text`` as substrings (each counts once)."""
     total = F.lit(0)
     for kw in keywords:
-        total = total + F.when(F.instr(text, kw) > 0, 1).otherwise(0)
+        total = total + F.when(text.contains(kw), 1).otherwise(0)
     return total
 
 

@@ -14,7 +14,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,21 +78,48 @@ def basket_stats(baskets: DataFrame) -> DataFrame:
             .withColumn("sparsity", F.when(cells > 0, 1 - F.col("nnz") / cells)))
 
 
+@dataclass
+class Mined:
+    """Frequent itemsets (materialised) and the number of baskets mined."""
+    itemsets: DataFrame
+    n_baskets: int
+
+
+def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
+         num_partitions: int | None = None) -> Mined:
+    """Parallel FP-growth over the basket item-sets.
+
+    The item-sets are persisted for the duration of the fit (as FPGrowth
+    itself does), counted once, and the frequent itemsets — bounded by the
+    support threshold — are checkpointed into the shared checkpoint folder,
+    so every later use (rules, combos, overview) reads them instead of
+    re-running basket building and mining.
+    """
+    from pyspark.ml.fpm import FPGrowth
+
+    from tillroll.session import cut_lineage
+
+    items = baskets.select("items").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fp = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=0.0)
+        if num_partitions:
+            fp = fp.setNumPartitions(int(num_partitions))
+        model = fp.fit(items)
+        n = items.count()
+        fi = (model.freqItemsets
+              .select(F.array_sort("items").alias("items"), "freq")
+              .select("items", F.size("items").alias("size"), "freq",
+                      (F.col("freq") / F.lit(max(n, 1))).alias("support")))
+        fi = cut_lineage(fi)
+    finally:
+        items.unpersist()
+    return Mined(fi, n)
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
                       num_partitions: int | None = None) -> DataFrame:
     """items (sorted array), size, freq, support — every itemset with support >= min_support."""
-    from pyspark.ml.fpm import FPGrowth
-
-    fp = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=0.0)
-    if num_partitions:
-        fp = fp.setNumPartitions(int(num_partitions))
-    model = fp.fit(baskets.select("items"))
-    n = basket_count(baskets)
-    return (model.freqItemsets
-            .select(F.array_sort("items").alias("items"), "freq")
-            .crossJoin(F.broadcast(n))
-            .select("items", F.size("items").alias("size"), "freq",
-                    (F.col("freq") / F.col("n_baskets")).alias("support")))
+    return mine(baskets, min_support, num_partitions).itemsets
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = K.MIN_LIFT,
@@ -128,14 +157,14 @@ def association_rules(itemsets: DataFrame, min_lift: float = K.MIN_LIFT,
                     "leverage", "conviction"))
 
 
-def combo_top(rules: DataFrame, baskets: DataFrame, top_n: int = K.TOP_COMBOS,
+def combo_top(rules: DataFrame, n_baskets: int, top_n: int = K.TOP_COMBOS,
               min_baskets: int = K.MIN_BASKETS) -> DataFrame:
     """Top rules by lift (ties by names) with 4-dp metrics, labels and a sentence.
 
     No rules when there are fewer than ``min_baskets`` baskets.
     """
-    n = basket_count(baskets)
-    top = (rules.crossJoin(F.broadcast(n)).filter(F.col("n_baskets") >= min_baskets)
+    gate = F.lit(int(n_baskets) >= int(min_baskets))
+    top = (rules.filter(gate)
            .orderBy(F.desc("lift"), "antecedents", "consequents").limit(int(top_n)))
     items = F.concat_ws(" + ", "antecedents", "consequents")
     conf4, lift4 = F.bround("confidence", 4), F.bround("lift", 4)

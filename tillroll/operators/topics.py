@@ -3,7 +3,7 @@
 Score of a topic = number of its keywords present in the lower-cased text as
 plain substrings (each keyword counts once, overlapping keywords all count).
 The topic is the highest score, ties going to the earlier topic; all-zero is
-the fallback topic.  Whole texts are scanned with native ``instr`` — no
+the fallback topic.  Whole texts are scanned with native ``contains`` — no
 tokenising, no Python.
 """
 

@@ -48,6 +48,7 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
                      beverage_status(bev).alias("beverage_status"))
     bk = baskets.build_baskets(tb.delivery_lines(t))
     rules = baskets.association_rules(baskets.frequent_itemsets(bk, 0.02), 1.0, 0.1)
+    # (thresholds as in the registered rule queries: the driver data has lift ~ 1)
     combo = (rules.orderBy(F.desc("lift"), "antecedents", "consequents").limit(1)
              .select(F.concat_ws(" + ", "antecedents", "consequents").alias("top_combo")))
     n_rules = rules.agg(F.count("*").alias("n_rules"))

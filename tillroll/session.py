@@ -12,6 +12,22 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Session option: spread CPU-heavy per-row work over at least this many
+# partitions.  Unset on a cluster, where scans already have many splits.
+MIN_SCAN_PARTITIONS = "tillroll.minScanPartitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over ``tillroll.minScanPartitions`` partitions when set.
+
+    Parquet files written as one row group scan as one task; before a
+    CPU-heavy per-row expression (text scoring, CSV parsing) that leaves all
+    but one core idle.  Left unset, this is the identity.
+    """
+    n = df.sparkSession.conf.get(MIN_SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "tillroll") -> SparkSession:
     """A local session tuned for small inputs (tests, bench)."""
@@ -26,6 +42,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TILLROLL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(MIN_SCAN_PARTITIONS, str(cpus if isinstance(cpus, int) else os.cpu_count()))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

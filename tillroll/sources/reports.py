@@ -87,7 +87,7 @@ def has_keyword(cells: str | Column, keywords: Sequence[str]) -> Column:
     low = F.lower(joined_text(cells))
     cond = F.lit(False)
     for kw in keywords:
-        cond = cond | (F.instr(low, kw.lower()) > 0)
+        cond = cond | low.contains(kw.lower())
     return cond
 
 

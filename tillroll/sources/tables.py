@@ -39,6 +39,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Fact tables: large at scale; spread over the cores when the session asks for
+# it (see ``tillroll.session.spread``; a no-op on a cluster).
+FACT_TABLES = {"lineitem", "orders", "events", "documents", "conversations", "pages"}
+
+
 class Tables:
     """Lazy access to the driver tables of one scale-factor folder."""
 
@@ -48,7 +53,9 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
-            return read_table(self.spark, self.sf_dir, name)
+            from tillroll.session import spread
+            df = read_table(self.spark, self.sf_dir, name)
+            return spread(df) if name in FACT_TABLES else df
         raise AttributeError(name)
 
 
