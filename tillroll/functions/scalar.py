@@ -28,6 +28,18 @@ def safe_div(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den)
 
 
+MONEY_TYPE = "decimal(18,2)"
+
+
+def money_sum(c: str | Column) -> Column:
+    """Exact sum of 2-decimal money amounts, returned as DOUBLE.
+
+    Accumulating in DECIMAL makes the total independent of partitioning and
+    aggregation order (a DOUBLE sum is not), so reruns and engines agree.
+    """
+    return F.sum(col_(c).cast(MONEY_TYPE)).cast("double")
+
+
 def clean_number(c: str | Column) -> Column:
     """Report number text -> DOUBLE.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import lift_priority, lift_strength, strip
+from tillroll.functions.scalar import lift_priority, lift_strength, money_sum, strip
 
 KEY_SEP = ", "
 
@@ -232,5 +232,5 @@ def top_items_by_qty(lines: DataFrame, top_n: int = 10, item: str = "item",
 def top_items_by_revenue(sales: DataFrame, top_n: int = 20) -> DataFrame:
     """Top items by summed revenue."""
     return (sales.filter(F.col("item").isNotNull()).groupBy("item")
-            .agg(F.sum("total_amount").alias("total_revenue"), F.sum("qty").alias("total_qty"))
+            .agg(money_sum("total_amount").alias("total_revenue"), F.sum("qty").alias("total_qty"))
             .orderBy(F.desc("total_revenue"), "item").limit(int(top_n)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import column_suffix
+from tillroll.functions.scalar import column_suffix, money_sum
 
 
 def branch_growth(monthly: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def channel_mix(menu: DataFrame, channels: Sequence[str] = K.MENU_CHANNELS) -> D
     chans = list(channels)
     names = [column_suffix(c) for c in chans]
     pv = (menu.filter(F.col("branch").isNotNull())
-          .groupBy("branch").pivot("menu_channel", chans).agg(F.sum("sales"))
+          .groupBy("branch").pivot("menu_channel", chans).agg(money_sum("sales"))
           .na.fill(0.0, chans))
     total = F.greatest(sum((F.col(f"`{c}`") for c in chans), F.lit(0.0)), F.lit(1.0))
     return pv.select(
@@ -52,7 +52,7 @@ def customer_kpis(menu: DataFrame) -> DataFrame:
     """Customers, sales and spend per customer (customers floored at 1)."""
     return (menu.filter(F.col("branch").isNotNull())
             .groupBy("branch")
-            .agg(F.sum("num_customers").alias("num_customers"), F.sum("sales").alias("sales"))
+            .agg(F.sum("num_customers").alias("num_customers"), money_sum("sales").alias("sales"))
             .withColumn("avg_spend", F.col("sales") / F.greatest(F.col("num_customers"),
                                                                  F.lit(1.0))))
 
@@ -66,14 +66,14 @@ def branch_kpis(monthly: DataFrame, revenue: DataFrame, menu: DataFrame,
     Values are rounded as the analysed application reports them (half-even).
     """
     rev = (revenue.filter(F.col("branch").isNotNull())
-           .groupBy("branch").agg(F.sum("revenue").alias("total_revenue")))
+           .groupBy("branch").agg(money_sum("revenue").alias("total_revenue")))
     growth = branch_growth(monthly).select("branch", "monthly_growth_pct")
     base = rev.join(growth, "branch", "full_outer")
     cust = customer_kpis(menu).select("branch", "num_customers", "avg_spend")
     mix = channel_mix(menu, channels)
     pct_cols = [c for c in mix.columns if c.startswith("pct_")]
     mix = mix.select("branch", *pct_cols)
-    net = rev.agg(F.sum("total_revenue").alias("network_revenue"))   # exactly one row
+    net = rev.agg(money_sum("total_revenue").alias("network_revenue"))   # exactly one row
     out = (base.join(cust, "branch", "left").join(mix, "branch", "left")
            .crossJoin(F.broadcast(net)))
     r = F.coalesce(F.col("total_revenue"), F.lit(0.0))

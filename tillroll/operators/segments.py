@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import beverage_status, segment_of
+from tillroll.functions.scalar import beverage_status, money_sum, segment_of
 
 
 def classify(sales: DataFrame, item_col: str = "item",
@@ -29,7 +29,7 @@ def segment_share(seg: DataFrame) -> DataFrame:
     """Revenue per (branch, segment) and its percent of the branch total."""
     agg = (seg.filter(F.col("branch").isNotNull())
            .groupBy("branch", "segment")
-           .agg(F.sum("total_amount").alias("segment_revenue")))
+           .agg(money_sum("total_amount").alias("segment_revenue")))
     total = F.sum("segment_revenue").over(Window.partitionBy("branch"))
     return (agg.withColumn("branch_total", total)
                .withColumn("share_pct", F.when(F.col("branch_total") != 0,
@@ -41,7 +41,7 @@ def top_segment_items(seg: DataFrame, segment: str, top_n: int = 10) -> DataFram
     """Top ``top_n`` items of one segment by revenue (ties by item name)."""
     return (seg.filter(F.col("segment") == segment)
             .groupBy("item")
-            .agg(F.sum("qty").alias("total_qty"), F.sum("total_amount").alias("total_revenue"))
+            .agg(F.sum("qty").alias("total_qty"), money_sum("total_amount").alias("total_revenue"))
             .orderBy(F.desc("total_revenue"), "item")
             .limit(int(top_n))
             .withColumn("segment", F.lit(segment)))
@@ -52,18 +52,18 @@ def segment_comparison(seg: DataFrame, segments: Sequence[str] = ("coffee", "mil
     """Quantity and revenue per (branch, segment) for the given segments."""
     return (seg.filter(F.col("segment").isin(list(segments)) & F.col("branch").isNotNull())
             .groupBy("branch", "segment")
-            .agg(F.sum("qty").alias("total_qty"), F.sum("total_amount").alias("total_revenue")))
+            .agg(F.sum("qty").alias("total_qty"), money_sum("total_amount").alias("total_revenue")))
 
 
 def segment_totals(seg: DataFrame) -> DataFrame:
     """One row: coffee and milkshake revenue and their share of all revenue."""
     amt = F.col("total_amount")
     t = seg.agg(
-        F.coalesce(F.sum(F.when(F.col("segment") == "coffee", amt)), F.lit(0.0))
+        F.coalesce(money_sum(F.when(F.col("segment") == "coffee", amt)), F.lit(0.0))
         .alias("coffee_total_revenue"),
-        F.coalesce(F.sum(F.when(F.col("segment") == "milkshake", amt)), F.lit(0.0))
+        F.coalesce(money_sum(F.when(F.col("segment") == "milkshake", amt)), F.lit(0.0))
         .alias("milkshake_total_revenue"),
-        F.coalesce(F.sum(amt), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(money_sum(amt), F.lit(0.0)).alias("total_revenue"),
     )
     den = F.greatest(F.col("total_revenue"), F.lit(1.0))
     return (t.withColumn("coffee_share_pct", F.col("coffee_total_revenue") / den * 100)

@@ -14,13 +14,13 @@ CTES: dict[str, tuple[str, list[str]]] = {
        FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""", []),
     "monthly_sales": ("""SELECT branch, CAST(year(o_orderdate) AS INTEGER) AS year,
               CAST(month(o_orderdate) AS INTEGER) AS month_num,
-              sum(o_totalprice) AS total_sales
+              CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_sales
        FROM ob GROUP BY 1, 2, 3""", ["ob"]),
-    "branch_revenue": ("""SELECT branch, sum(o_totalprice) AS revenue FROM ob GROUP BY 1""",
+    "branch_revenue": ("""SELECT branch, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM ob GROUP BY 1""",
                        ["ob"]),
     "menu_channels": ("""SELECT branch, o_orderpriority AS menu_channel,
               CAST(count(DISTINCT o_custkey) AS DOUBLE) AS num_customers,
-              sum(o_totalprice) AS sales
+              CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS sales
        FROM ob GROUP BY 1, 2""", ["ob"]),
     "lp": ("""SELECT l.l_orderkey, l.l_quantity, l.l_extendedprice, p.p_name, p.p_brand,
               p.p_type, ob.branch
@@ -178,29 +178,29 @@ CTES.update({
     "share": ("""SELECT branch, segment, segment_revenue, branch_total,
               CASE WHEN branch_total <> 0 THEN segment_revenue / branch_total * 100 END AS share_pct
        FROM (SELECT *, sum(segment_revenue) OVER (PARTITION BY branch) AS branch_total
-             FROM (SELECT branch, segment, sum(total_amount) AS segment_revenue
+             FROM (SELECT branch, segment, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS segment_revenue
                    FROM seg WHERE branch IS NOT NULL GROUP BY 1, 2))""", ["seg"]),
 })
 
 oracle("segment_classify", ["seg"], "SELECT DISTINCT item, segment FROM seg")
 oracle("segment_share", ["share"], "SELECT * FROM share")
 oracle("top_segment_items", ["seg"], """SELECT * FROM (
-  (SELECT item, sum(qty) AS total_qty, sum(total_amount) AS total_revenue, 'coffee' AS segment
+  (SELECT item, sum(qty) AS total_qty, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, 'coffee' AS segment
      FROM seg WHERE segment = 'coffee' GROUP BY item ORDER BY total_revenue DESC, item LIMIT 10)
   UNION ALL
-  (SELECT item, sum(qty) AS total_qty, sum(total_amount) AS total_revenue, 'milkshake' AS segment
+  (SELECT item, sum(qty) AS total_qty, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, 'milkshake' AS segment
      FROM seg WHERE segment = 'milkshake' GROUP BY item ORDER BY total_revenue DESC, item LIMIT 10))""")
 oracle("segment_comparison", ["seg"], """SELECT branch, segment, sum(qty) AS total_qty,
-       sum(total_amount) AS total_revenue
+       CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
   FROM seg WHERE segment IN ('coffee', 'milkshake') AND branch IS NOT NULL GROUP BY 1, 2""")
 oracle("segment_totals", ["seg"], """SELECT *, coffee_total_revenue / greatest(total_revenue, 1.0) * 100
          AS coffee_share_pct,
        milkshake_total_revenue / greatest(total_revenue, 1.0) * 100 AS milkshake_share_pct
-  FROM (SELECT coalesce(sum(CASE WHEN segment = 'coffee' THEN total_amount END), 0.0)
+  FROM (SELECT coalesce(CAST(sum(CAST(CASE WHEN segment = 'coffee' THEN total_amount END AS DECIMAL(18,2))) AS DOUBLE), 0.0)
                  AS coffee_total_revenue,
-               coalesce(sum(CASE WHEN segment = 'milkshake' THEN total_amount END), 0.0)
+               coalesce(CAST(sum(CAST(CASE WHEN segment = 'milkshake' THEN total_amount END AS DECIMAL(18,2))) AS DOUBLE), 0.0)
                  AS milkshake_total_revenue,
-               coalesce(sum(total_amount), 0.0) AS total_revenue FROM seg)""")
+               coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS total_revenue FROM seg)""")
 oracle("segment_pivot", ["share"], """SELECT branch,
        coalesce(max(CASE WHEN segment = 'coffee' THEN share_pct END), 0.0) AS coffee,
        coalesce(max(CASE WHEN segment = 'milkshake' THEN share_pct END), 0.0) AS milkshake,
@@ -248,7 +248,8 @@ def _suffix(v: str) -> str:
 
 
 _sales_cols = ", ".join(
-    f"coalesce(sum(sales) FILTER (WHERE menu_channel = '{c}'), 0.0) AS sales_{_suffix(c)}"
+    f"coalesce(CAST(sum(CAST(sales AS DECIMAL(18,2))) FILTER (WHERE menu_channel = '{c}') "
+    f"AS DOUBLE), 0.0) AS sales_{_suffix(c)}"
     for c in _CHANNELS)
 _total = "greatest(" + "".join("(" for _ in _CHANNELS) + "0.0" + "".join(
     f" + sales_{_suffix(c)})" for c in _CHANNELS) + ", 1.0)"
@@ -277,16 +278,17 @@ CTES.update({
               {', '.join(f'coalesce(round_even(pct_{_suffix(c)}, 1), 0.0) AS pct_{_suffix(c)}'
                          for c in _CHANNELS)}
        FROM (SELECT coalesce(rev.branch, bg.branch) AS branch, total_revenue, monthly_growth_pct
-             FROM (SELECT branch, sum(revenue) AS total_revenue FROM branch_revenue
+             FROM (SELECT branch, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue FROM branch_revenue
                    WHERE branch IS NOT NULL GROUP BY 1) rev
              FULL OUTER JOIN bg ON rev.branch = bg.branch) b
        LEFT JOIN (SELECT branch, sum(num_customers) AS nc,
-                         sum(sales) / greatest(sum(num_customers), 1.0) AS avg_spend
+                         CAST(sum(CAST(sales AS DECIMAL(18,2))) AS DOUBLE) / greatest(sum(num_customers), 1.0) AS avg_spend
                   FROM menu_channels WHERE branch IS NOT NULL GROUP BY 1) cu
               ON b.branch = cu.branch
        LEFT JOIN mix ON b.branch = mix.branch
-       CROSS JOIN (SELECT sum(revenue) AS network_revenue FROM branch_revenue
-                   WHERE branch IS NOT NULL) net""", ["bg", "mix", "branch_revenue"]),
+       CROSS JOIN (SELECT CAST(sum(CAST(total_revenue AS DECIMAL(18,2))) AS DOUBLE) AS network_revenue
+                   FROM (SELECT branch, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue FROM branch_revenue
+                         WHERE branch IS NOT NULL GROUP BY 1)) net""", ["bg", "mix", "branch_revenue"]),
     "signals": ("""SELECT *, growing_network::INTEGER + saturated_branch_present::INTEGER
                    + high_customer_density::INTEGER AS signal_score,
               CASE WHEN growing_network::INTEGER + saturated_branch_present::INTEGER
@@ -430,7 +432,7 @@ oracle("top_items_by_qty", ["delivery_lines"], """SELECT item, qty,
        format('Promote {} as a featured item (sold {:.0f} units)', item, qty) AS recommendation
   FROM (SELECT upper(trim(item)) AS item, sum(qty) AS qty FROM delivery_lines
         WHERE price > 0 AND item IS NOT NULL GROUP BY 1 ORDER BY qty DESC, item LIMIT 10)""")
-oracle("top_items_by_revenue", ["item_sales"], """SELECT item, sum(total_amount) AS total_revenue,
+oracle("top_items_by_revenue", ["item_sales"], """SELECT item, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue,
        sum(qty) AS total_qty FROM item_sales WHERE item IS NOT NULL
   GROUP BY item ORDER BY total_revenue DESC, item LIMIT 20""")
 
@@ -555,11 +557,11 @@ oracle("network_overview", ["fc", "signals", "cand", "shift_summary", "seg", "ru
                           AS bev
                 FROM (SELECT c / greatest(a, 1.0) * 100 AS coffee_share_pct,
                              m / greatest(a, 1.0) * 100 AS milkshake_share_pct
-                      FROM (SELECT coalesce(sum(total_amount) FILTER (WHERE segment = 'coffee'),
+                      FROM (SELECT coalesce(CAST(sum(CAST(CASE WHEN segment = 'coffee' THEN total_amount END AS DECIMAL(18,2))) AS DOUBLE),
                                             0.0) AS c,
-                                   coalesce(sum(total_amount) FILTER (WHERE segment = 'milkshake'),
+                                   coalesce(CAST(sum(CAST(CASE WHEN segment = 'milkshake' THEN total_amount END AS DECIMAL(18,2))) AS DOUBLE),
                                             0.0) AS m,
-                                   coalesce(sum(total_amount), 0.0) AS a FROM seg)))),
+                                   coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS a FROM seg)))),
   nr AS (SELECT count(*) AS n_rules FROM rules),
   cb AS (SELECT antecedents || ' + ' || consequents AS top_combo FROM rules
          ORDER BY lift DESC, antecedents, consequents LIMIT 1)

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions.scalar import money_sum
+
 TABLE_NAMES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -75,7 +77,7 @@ def monthly_sales(t: Tables) -> DataFrame:
             F.year("o_orderdate").cast("int").alias("year"),
             F.month("o_orderdate").cast("int").alias("month_num"),
         )
-        .agg(F.sum("o_totalprice").alias("total_sales"))
+        .agg(money_sum("o_totalprice").alias("total_sales"))
         .withColumn("month", F.date_format(F.make_date("year", "month_num", F.lit(1)), "MMMM"))
     )
 
@@ -83,7 +85,7 @@ def monthly_sales(t: Tables) -> DataFrame:
 def branch_revenue(t: Tables) -> DataFrame:
     """branch, revenue."""
     return (_orders_with_branch(t).groupBy("branch")
-            .agg(F.sum("o_totalprice").alias("revenue")))
+            .agg(money_sum("o_totalprice").alias("revenue")))
 
 
 def menu_channels(t: Tables) -> DataFrame:
@@ -92,7 +94,7 @@ def menu_channels(t: Tables) -> DataFrame:
         _orders_with_branch(t)
         .groupBy("branch", F.col("o_orderpriority").alias("menu_channel"))
         .agg(F.countDistinct("o_custkey").cast("double").alias("num_customers"),
-             F.sum("o_totalprice").alias("sales"))
+             money_sum("o_totalprice").alias("sales"))
         .withColumn("avg_per_customer", F.col("sales") / F.col("num_customers"))
     )
 
