@@ -108,3 +108,26 @@ def test_staffing(cat):
     assert (round(t["avg_hours"], 4), round(t["median_hours"], 4), round(t["min_hours"], 4),
             round(t["max_hours"], 4), t["shift_records"]) == (8.6881, 8.5908, 1.1858, 23.9153, 91)
     assert h["Conut Jnah"]["shift_records"] == 72 and h["Main Street Coffee"]["shift_records"] == 106
+
+
+def test_expansion_recommendations(spark, cat):
+    k = branches.branch_kpis(cat["monthly_sales"], cat["branch_revenue"],
+                             cat["menu_avg_sales"])
+    sig = branches.expansion_signals(k)
+    cand = spark.read.csv(fixture_path("candidates.csv"), header=True, inferSchema=True)
+    rec = branches.expansion_recommendations(sig, branches.score_candidates(cand, sig), 2)
+    got = [r["recommendation"] for r in rec.orderBy("rank").collect()]
+    assert got[0] == ("Expansion is RECOMMENDED. Network shows 56.0% avg monthly growth with "
+                      "14546 total customers across 4 branches.")
+    assert got[1].startswith("Consider Verdun (") and got[1].endswith("composite 172.4).")
+    assert got[2].startswith("Consider Sidon (") and got[2].endswith("composite 161.5).")
+
+
+def test_forecast_branch_and_unknown_branch(cat):
+    m = cat["monthly_sales"]
+    rows_ = demand.forecast_branch(m, "Conut", 3).collect()
+    assert len(rows_) == 3 and all(r["error"] is None for r in rows_)
+    missing = demand.forecast_branch(m, "Nowhere", 3).collect()
+    assert len(missing) == 1 and missing[0]["error"] == "No data for this branch"
+    w = demand.worst_decline(m).collect()[0]
+    assert w["worst_branch"] == "Conut" and round(w["worst_growth_pct"], 2) == -87.75

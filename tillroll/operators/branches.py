@@ -130,3 +130,38 @@ def score_candidates(candidates: DataFrame, signals: DataFrame,
                     - F.col("competition_risk") * K.COMPETITION_WEIGHT).alias("composite_score")))
     out = out.orderBy(F.desc("composite_score"), "location")
     return out.limit(int(top_n)) if top_n else out
+
+
+def expansion_recommendations(signals: DataFrame, ranked: DataFrame,
+                              n_locations: int = 2) -> DataFrame:
+    """rank, recommendation: the verdict (rank 0), then the top locations if feasible.
+
+    ``ranked`` is ``score_candidates`` output (best first); the picks are at
+    most ``n_locations`` rows, numbered inside one sorted, bounded list.
+    """
+    head = signals.select(
+        F.lit(0).alias("rank"),
+        F.when(F.col("feasibility") == "RECOMMENDED",
+               F.format_string("Expansion is RECOMMENDED. Network shows %s%% avg monthly growth "
+                               "with %d total customers across %d branches.",
+                               F.format_number("avg_monthly_growth_pct", 1),
+                               "total_customers", "n_branches"))
+        .otherwise(F.format_string("Expansion is PREMATURE. Avg monthly growth is only %s%%. "
+                                   "Focus on optimising existing branch performance first.",
+                                   F.format_number("avg_monthly_growth_pct", 1)))
+        .alias("recommendation"))
+    pick = F.struct(F.negative("composite_score").alias("k"), F.col("location").alias("location"),
+                    F.bround("demand_score", 1).alias("d"),
+                    F.bround("competition_risk", 1).alias("r"),
+                    F.bround("composite_score", 1).alias("c"))
+    picks = (ranked.limit(int(n_locations))
+             .agg(F.sort_array(F.collect_list(pick)).alias("picks"))
+             .crossJoin(signals.select("feasibility"))
+             .filter(F.col("feasibility") == "RECOMMENDED")
+             .select(F.posexplode("picks").alias("pos", "p"))
+             .select((F.col("pos") + 1).cast("int").alias("rank"),
+                     F.format_string("Consider %s (demand score %s, competition risk %s, "
+                                     "composite %s).", "p.location", F.col("p.d").cast("string"),
+                                     F.col("p.r").cast("string"), F.col("p.c").cast("string"))
+                     .alias("recommendation")))
+    return head.unionByName(picks)

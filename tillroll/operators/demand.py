@@ -121,3 +121,29 @@ def demand_insight(monthly: DataFrame, n_months: int = 3) -> DataFrame:
                         "Next %d months avg projected demand: %s units.",
                         "branch", trend3("growth_pct"), "growth_pct", F.lit(int(n_months)),
                         F.format_number("avg_forecast", 0)).alias("insight"))
+
+
+def worst_decline(monthly: DataFrame, threshold: float = -5.0) -> DataFrame:
+    """One row: the branch with the lowest growth among those below ``threshold``."""
+    g = demand_growth(monthly).filter(F.col("growth_pct") < threshold)
+    return g.agg(F.min_by("branch", "growth_pct").alias("worst_branch"),
+                 F.min("growth_pct").alias("worst_growth_pct"),
+                 F.count("*").alias("n_declining"))
+
+
+def forecast_branch(monthly: DataFrame, branch: str, n_months: int = 3) -> DataFrame:
+    """Forecast of one branch (the filter reaches the scan), or an error row.
+
+    Columns of ``demand_forecast`` plus ``error``; a branch without data yields
+    a single row carrying the branch name and the error text.
+    """
+    fc = demand_forecast(monthly, n_months, branch).withColumn(
+        "error", F.lit(None).cast("string"))
+    found = (monthly.filter(F.col("branch") == branch)
+             .agg(F.count("*").alias("n")))
+    missing = found.filter(F.col("n") == 0).select(
+        F.lit(branch).alias("branch"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in fc.schema.fields
+          if f.name not in ("branch", "error")],
+        F.lit("No data for this branch").alias("error"))
+    return fc.unionByName(missing)

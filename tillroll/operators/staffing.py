@@ -120,3 +120,11 @@ def staffing_alerts(summary: DataFrame, at_risk_below: int = K.UNDERSTAFFED_MIN)
                F.format_string("ALERT: %s – %s had as few as %d staff on some days.",
                                "branch", "shift", "min_staff")).alias("alert"),
     )
+
+
+def top_slots(summary: DataFrame, top_n: int = 4) -> DataFrame:
+    """Slots needing the most staff (ties by branch, shift)."""
+    return (summary.orderBy(F.desc("recommended_staff"), "branch", "shift")
+            .limit(int(top_n))
+            .select("branch", "shift", "recommended_staff", "mean_staff", "min_staff",
+                    "max_staff"))

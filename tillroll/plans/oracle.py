@@ -566,3 +566,32 @@ oracle("network_overview", ["fc", "signals", "cand", "shift_summary", "seg", "ru
   cb AS (SELECT antecedents || ' + ' || consequents AS top_combo FROM rules
          ORDER BY lift DESC, antecedents, consequents LIMIT 1)
 SELECT * FROM dem, sg, best, stf, tot, nr LEFT JOIN cb ON true""")
+
+
+# --- remaining report pieces ----------------------------------------------------
+oracle("top_slots", ["shift_summary"], """SELECT branch, shift, recommended_staff, mean_staff,
+       min_staff, max_staff FROM shift_summary
+ ORDER BY recommended_staff DESC, branch, shift LIMIT 4""")
+oracle("worst_decline", ["st"], """SELECT arg_min(branch, growth_pct) AS worst_branch,
+       min(growth_pct) AS worst_growth_pct, count(*) AS n_declining
+  FROM st WHERE growth_pct < -5""")
+oracle("expansion_recommendations", ["signals", "cand"], """,
+  ranked AS (SELECT location, demand_base * (1 + g / 100) AS d, competition_risk AS r,
+                    demand_base * (1 + g / 100) * growth_factor - competition_risk * 0.3 AS c
+             FROM cand, (SELECT avg_monthly_growth_pct AS g FROM signals)
+             ORDER BY c DESC, location LIMIT 2)
+SELECT CAST(0 AS INTEGER) AS rank,
+       CASE WHEN feasibility = 'RECOMMENDED'
+            THEN format('Expansion is RECOMMENDED. Network shows {:,.1f}% avg monthly growth '
+                        || 'with {} total customers across {} branches.',
+                        avg_monthly_growth_pct, total_customers, n_branches)
+            ELSE format('Expansion is PREMATURE. Avg monthly growth is only {:,.1f}%. '
+                        || 'Focus on optimising existing branch performance first.',
+                        avg_monthly_growth_pct) END AS recommendation
+  FROM signals
+UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY c DESC, location) AS INTEGER),
+       format('Consider {} (demand score {}, competition risk {}, composite {}).', location,
+              CAST(round_even(d, 1) AS VARCHAR), CAST(round_even(r, 1) AS VARCHAR),
+              CAST(round_even(c, 1) AS VARCHAR))
+  FROM ranked, signals WHERE feasibility = 'RECOMMENDED'""")

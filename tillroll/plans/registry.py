@@ -378,3 +378,22 @@ def q_demand_insight(t: Tables) -> DataFrame:
 def q_network_overview(t: Tables) -> DataFrame:
     from tillroll.plans.overview import network_overview
     return network_overview(t)
+
+
+# --- remaining report pieces ----------------------------------------------------
+@query("top_slots")
+def q_top_slots(t: Tables) -> DataFrame:
+    """The four shift slots needing the most staff."""
+    return staffing.top_slots(staffing.shift_staffing(tb.attendance(t)), 4)
+
+
+@query("worst_decline")
+def q_worst_decline(t: Tables) -> DataFrame:
+    return demand.worst_decline(tb.monthly_sales(t))
+
+
+@query("expansion_recommendations")
+def q_expansion_recommendations(t: Tables) -> DataFrame:
+    sig = branches.expansion_signals(_kpis(t))
+    return branches.expansion_recommendations(
+        sig, branches.score_candidates(tb.candidate_sites(t), sig), 2)

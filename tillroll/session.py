@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Session option: spread CPU-heavy per-row work over at least this many
 # partitions.  Unset on a cluster, where scans already have many splits.
-MIN_SCAN_PARTITIONS = "tillroll.minScanPartitions"
+MIN_SCAN_PARTITIONS = "spark.tillroll.minScanPartitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over ``tillroll.minScanPartitions`` partitions when set.
+    """Round-robin ``df`` over ``spark.tillroll.minScanPartitions`` partitions when set.
 
     Parquet files written as one row group scan as one task; before a
     CPU-heavy per-row expression (text scoring, CSV parsing) that leaves all
