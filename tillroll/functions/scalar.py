@@ -18,9 +18,14 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters ``str.isspace()`` accepts, for ``strip``.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+              "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: str | Column) -> Column:
-    """Strip leading/trailing whitespace the way ``str.strip()`` does."""
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    """Strip leading/trailing whitespace the way ``str.strip()`` does (no regex)."""
+    return F.trim(col_(c), F.lit(WHITESPACE))
 
 
 def safe_div(num: Column, den: Column) -> Column:

@@ -595,3 +595,44 @@ SELECT CAST(row_number() OVER (ORDER BY c DESC, location) AS INTEGER),
               CAST(round_even(d, 1) AS VARCHAR), CAST(round_even(r, 1) AS VARCHAR),
               CAST(round_even(c, 1) AS VARCHAR))
   FROM ranked, signals WHERE feasibility = 'RECOMMENDED'""")
+
+
+# --- report round trips ------------------------------------------------------------
+def _money_text(x: str) -> str:
+    return f"CAST(replace(format('{{:,.2f}}', {x}), ',', '') AS DOUBLE)"
+
+
+def _fixed2(x: str) -> str:
+    return f"CAST(format('{{:.2f}}', {x}) AS DOUBLE)"
+
+
+oracle("report_monthly_sales", ["monthly_sales"], f"""SELECT branch,
+       strftime(make_date(year, month_num, 1), '%B') AS month, year,
+       {_money_text('total_sales')} AS total_sales, month_num FROM monthly_sales""")
+oracle("report_branch_revenue", ["branch_revenue"], f"""SELECT branch,
+       {_money_text('revenue')} AS revenue FROM branch_revenue""")
+oracle("report_item_sales", ["item_sales"], f"""SELECT branch, division, grp AS "group", item,
+       {_fixed2('sum(qty)')} AS qty,
+       {_money_text('CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE)')} AS total_amount
+  FROM item_sales GROUP BY branch, division, grp, item""")
+oracle("report_delivery_lines", ["lp"], f"""SELECT branch,
+       'Person_' || CAST(l_orderkey AS VARCHAR) AS customer, p_brand AS item,
+       {_fixed2('l_quantity')} AS qty, {_money_text('l_extendedprice')} AS price FROM lp""")
+oracle("report_customer_orders", [], f""", x AS (SELECT 1)
+SELECT c_mktsegment AS branch, 'Person_' || CAST(c_custkey AS VARCHAR) AS customer,
+       min(o_orderdate) AS first_order, max(o_orderdate) AS last_order,
+       {_money_text('CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)')} AS total,
+       CAST(count(*) AS INTEGER) AS num_orders
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, c_custkey""")
+oracle("report_attendance", [], """, x AS (SELECT 1)
+SELECT CAST(user_id AS INTEGER) AS employee_id,
+       'Person_' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS employee_name,
+       'Store ' || event_type AS branch, CAST(ts AS DATE) AS date,
+       strftime(ts, '%H.%M.%S') AS punch_in,
+       h + m / 60.0::DOUBLE + s / 3600.0::DOUBLE AS work_hours
+  FROM (SELECT *, CAST(floor(value) AS BIGINT) AS h,
+               CAST(floor(value * 60) AS BIGINT) % 60 AS m,
+               CAST(floor(value * 3600) AS BIGINT) % 60 AS s FROM events)""")
+oracle("report_menu_channels", ["menu_channels"], f"""SELECT branch, menu_channel,
+       {_fixed2('num_customers')} AS num_customers, {_fixed2('sales')} AS sales,
+       {_fixed2('sales / num_customers')} AS avg_per_customer FROM menu_channels""")

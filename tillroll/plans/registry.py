@@ -397,3 +397,12 @@ def q_expansion_recommendations(t: Tables) -> DataFrame:
     sig = branches.expansion_signals(_kpis(t))
     return branches.expansion_recommendations(
         sig, branches.score_candidates(tb.candidate_sites(t), sig), 2)
+
+
+# --- report round trips (render driver data as report files, parse back) --------
+from tillroll.plans import roundtrip  # noqa: E402
+
+for _name in ["report_monthly_sales", "report_branch_revenue", "report_item_sales",
+              "report_delivery_lines", "report_customer_orders", "report_attendance",
+              "report_menu_channels"]:
+    query(_name)(getattr(roundtrip, _name))

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from tillroll.functions import constants as K
 from tillroll.functions.scalar import col_, compact_cells, strip
 
-MAX_CELLS = 64
 ORDER = ["block", "seq"]
 
 
@@ -44,37 +43,55 @@ def read_report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
             .filter(F.trim(F.col("line")) != ""))
 
 
+# a comma followed by an even number of quotes up to the end of the line,
+# i.e. a comma outside any quoted cell
+CSV_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def csv_split(line: str | Column) -> Column:
+    """Split one CSV text line into cells (quotes removed, ``""`` unescaped, '' -> NULL).
+
+    One regular-expression split per line; every cell of any line count.
+    """
+    raw = F.split(col_(line), CSV_COMMA, -1)
+
+    def unquote(x: Column) -> Column:
+        inner = F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+        return (F.when(x == "", F.lit(None).cast("string"))
+                .when((F.length(x) >= 2) & x.startswith('"') & x.endswith('"'), inner)
+                .otherwise(x))
+
+    return F.transform(raw, unquote)
+
+
 def field_count(line: str | Column) -> Column:
     """Number of CSV fields in a line (quoted sections may hold commas)."""
-    unquoted = F.regexp_replace(col_(line), r'"(?:[^"]|"")*"', "")
-    return F.size(F.split(unquoted, ",", -1))
+    return F.size(F.split(col_(line), CSV_COMMA, -1))
 
 
-def split_cells(lines: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+def split_cells(lines: DataFrame) -> DataFrame:
     """Parse each line into ``cells`` (array<string>, NULL = empty cell).
 
     The width of a file is the field count of its first line; longer lines
-    are dropped, shorter ones padded with NULL.  The first line of each file
-    comes from a one-row-per-file aggregate.
+    are dropped, shorter ones padded with NULL.  The split is computed once
+    per line below the join with the one-row-per-file width table, so later
+    projections reference a column instead of re-parsing the line.
     """
-    schema = ", ".join(f"c{i} STRING" for i in range(max_cells))
-    df = lines.withColumn("n_fields", field_count("line"))
+    df = lines.select("file", "block", "seq", "line", csv_split("line").alias("raw"))
+    df = df.withColumn("n_fields", F.size("raw"))
     first = (df.groupBy("file")
              .agg(F.min_by("n_fields", F.struct(*ORDER)).alias("width")))
-    parsed = F.from_csv(F.col("line"), schema, {"escape": '"'})
+    pad = F.array_repeat(F.lit(None).cast("string"),
+                         F.greatest(F.col("width") - F.col("n_fields"), F.lit(0)).cast("int"))
     return (df.join(first, "file")
             .filter(F.col("n_fields") <= F.col("width"))
-            .withColumn("p", parsed)
-            .select("file", "block", "seq", "line",
-                    F.slice(F.array(*[F.col(f"p.c{i}") for i in range(max_cells)]),
-                            1, F.least(F.col("width"), F.lit(max_cells))).alias("cells")))
+            .select("file", "block", "seq", "line", F.concat("raw", pad).alias("cells")))
 
 
 def csv_cells(line: str | Column, n_cells: int) -> Column:
-    """Parse one CSV text line into an array of ``n_cells`` strings (NULL = empty)."""
-    schema = ", ".join(f"c{i} STRING" for i in range(n_cells))
-    parsed = F.from_csv(col_(line), schema, {"escape": '"'})
-    return F.array(*[parsed[f"c{i}"] for i in range(n_cells)])
+    """Parse one CSV text line into exactly ``n_cells`` strings (NULL = empty)."""
+    pad = F.array_repeat(F.lit(None).cast("string"), F.lit(n_cells))
+    return F.slice(F.concat(csv_split(line), pad), 1, n_cells)
 
 
 def joined_text(cells: str | Column) -> Column:
