@@ -22,7 +22,8 @@ CTES: dict[str, tuple[str, list[str]]] = {
               CAST(count(DISTINCT o_custkey) AS DOUBLE) AS num_customers,
               CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS sales
        FROM ob GROUP BY 1, 2""", ["ob"]),
-    "lp": ("""SELECT l.l_orderkey, l.l_quantity, l.l_extendedprice, p.p_name, p.p_brand,
+    "lp": ("""SELECT l.l_orderkey, l.l_quantity, l.l_extendedprice, l.l_returnflag,
+              p.p_name, p.p_brand,
               p.p_type, ob.branch
        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
        JOIN ob ON l.l_orderkey = ob.o_orderkey""", ["ob"]),
@@ -636,3 +637,20 @@ SELECT CAST(user_id AS INTEGER) AS employee_id,
 oracle("report_menu_channels", ["menu_channels"], f"""SELECT branch, menu_channel,
        {_fixed2('num_customers')} AS num_customers, {_fixed2('sales')} AS sales,
        {_fixed2('sales / num_customers')} AS avg_per_customer FROM menu_channels""")
+oracle("report_division_summary", ["lp"], """, d AS (
+    SELECT branch, l_returnflag, l_extendedprice, p_type FROM lp)
+SELECT branch, category,
+       CAST(format('{:.2f}', delivery) AS DOUBLE) AS delivery,
+       CAST(format('{:.2f}', dine_in) AS DOUBLE) AS "table",
+       CAST(format('{:.2f}', takeaway) AS DOUBLE) AS takeaway,
+       CAST(format('{:.2f}', total) AS DOUBLE) AS total
+  FROM (SELECT branch,
+               upper(p_type[1]) || lower(p_type[2:]) || ' Delivery' AS category,
+               CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2)))
+                             FILTER (WHERE l_returnflag = 'R'), 0) AS DOUBLE) AS delivery,
+               CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2)))
+                             FILTER (WHERE l_returnflag = 'A'), 0) AS DOUBLE) AS dine_in,
+               CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2)))
+                             FILTER (WHERE l_returnflag = 'N'), 0) AS DOUBLE) AS takeaway,
+               CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+        FROM d GROUP BY 1, 2)""")

@@ -404,5 +404,5 @@ from tillroll.plans import roundtrip  # noqa: E402
 
 for _name in ["report_monthly_sales", "report_branch_revenue", "report_item_sales",
               "report_delivery_lines", "report_customer_orders", "report_attendance",
-              "report_menu_channels"]:
+              "report_menu_channels", "report_division_summary"]:
     query(_name)(getattr(roundtrip, _name))

@@ -210,3 +210,43 @@ def report_menu_channels(t: Tables) -> DataFrame:
     lines = hdr.unionByName(name).unionByName(rows_).unionByName(tot)
     return _parse(t, lines, ["branch"], ["k", "o"], P.parse_menu_channels,
                   branches=SEGMENTS, channels=PRIORITIES)
+
+
+def report_division_summary(t: Tables) -> DataFrame:
+    """Channel sales per (branch, category); branches A-F in the wide layout, others compact.
+
+    Channels: DELIVERY = returned lines (R), TABLE = accepted (A), TAKE AWAY = open (N).
+    """
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag")
+    p = t.part.select("p_partkey", "p_type")
+    o = tb._orders_with_branch(t).select("o_orderkey", "branch")
+    amt = F.col("l_extendedprice").cast("decimal(18,2)")
+    s = (li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey)
+         .groupBy("branch", F.concat(F.initcap("p_type"), F.lit(" Delivery")).alias("category"))
+         .agg(*[F.coalesce(F.sum(F.when(F.col("l_returnflag") == f, amt)), F.lit(0))
+                .cast("double").alias(n)
+                for f, n in [("R", "delivery"), ("A", "dine_in"), ("N", "takeaway")]],
+              F.sum(amt).cast("double").alias("total")))
+    wide = F.col("branch") < "G"
+    num = [fixed2(F.col(c)) for c in ["delivery", "dine_in", "takeaway", "total"]]
+    row = F.when(wide, csv_line(["", F.col("category"), "", num[0], num[1], "", num[2],
+                                 num[3]], 11)).otherwise(
+        csv_line(["", F.col("category"), *num], 6))
+    br = s.select("branch").distinct()
+    title = br.select("branch", F.lit(0).alias("k"), F.lit("").alias("o"),
+                      csv_line(["Summary By Division"], 11).alias("text"))
+    name = br.select("branch", F.lit(1).alias("k"), F.lit("").alias("o"),
+                     csv_line([F.col("branch")], 11).alias("text"))
+    head = br.select("branch", F.lit(2).alias("k"), F.lit("").alias("o"),
+                     F.when(F.col("branch") < "G",
+                            csv_line(["", "", "", "DELIVERY", "TABLE", "", "TAKE AWAY", "TOTAL"],
+                                     11))
+                     .otherwise(csv_line(["", "", "DELIVERY", "TABLE", "TAKE AWAY", "TOTAL"], 6))
+                     .alias("text"))
+    rows_ = s.select("branch", F.lit(3).alias("k"), F.col("category").alias("o"),
+                     row.alias("text"))
+    tot = br.select("branch", F.lit(4).alias("k"), F.lit("").alias("o"),
+                    csv_line(["", "TOTAL", "0.00", "0.00", "0.00", "0.00"], 6).alias("text"))
+    lines = title.unionByName(name).unionByName(head).unionByName(rows_).unionByName(tot)
+    return _parse(t, lines, ["branch"], ["k", "o"], P.parse_division_summary,
+                  branches=SEGMENTS)

@@ -171,14 +171,16 @@ def parse_customer_orders(lines: DataFrame,
     df = _fill(df, ["branch"])
     vals = F.col("vals")
     dates = F.filter(vals, lambda x: x.rlike(r"^\d{4}-\d{2}-\d{2}"))
-    first_order = F.try_to_timestamp(F.get(dates, 0))
+    # wall-clock timestamps (no time zone), as the report prints them
+    first_order = F.try_to_timestamp(F.get(dates, 0)).cast("timestamp_ntz")
     n_orders = _last(vals).try_cast("double").try_cast("int")
     return (df.filter((F.col("kind") == "detail") & first.rlike(r"^Person_\d+$")
                       & F.col("branch").isNotNull() & (F.size("vals") >= 5)
                       & n_orders.isNotNull())
               .select("branch", first.alias("customer"),
                       first_order.alias("first_order"),
-                      F.when(F.size(dates) > 1, F.try_to_timestamp(F.get(dates, 1)))
+                      F.when(F.size(dates) > 1,
+                             F.try_to_timestamp(F.get(dates, 1)).cast("timestamp_ntz"))
                       .otherwise(first_order).alias("last_order"),
                       clean_number(F.try_element_at(vals, F.lit(-2))).alias("total"),
                       n_orders.alias("num_orders")))
