@@ -150,22 +150,27 @@ def report_customer_orders(t: Tables) -> DataFrame:
                 .alias("total"), F.count("*").alias("n"))
            .join(c, F.col("o_custkey") == F.col("c_custkey")))
     stamp = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
-    rows_ = per.select("branch", F.lit(1).alias("k"), F.col("c_custkey").alias("o"),
+    # sections of 1024 customer keys, each opening with its branch line, so a
+    # branch holding most customers still spreads over many files
+    per = per.withColumn("chunk", (F.col("c_custkey") / 1024).cast("long"))
+    sec = ["branch", "chunk"]
+    rows_ = per.select(*sec, F.lit(1).alias("k"), F.col("c_custkey").alias("o"),
                        csv_line([F.concat(F.lit("Person_"), F.col("c_custkey").cast("string")),
                                  F.col("c_name"), F.concat(F.lit("+"), F.col("c_nationkey")),
                                  stamp("first"), stamp("last"), quoted(F.col("total")),
                                  F.col("n")], 8).alias("text"))
-    head = per.select("branch").distinct().select(
-        "branch", F.lit(0).alias("k"), F.lit(-1).cast("long").alias("o"),
+    head = per.select(*sec).distinct().select(
+        *sec, F.lit(0).alias("k"), F.lit(-1).cast("long").alias("o"),
         csv_line([F.col("branch")], 8).alias("text"))
-    return _parse(t, head.unionByName(rows_), ["branch"], ["k", "o"], P.parse_customer_orders,
+    return _parse(t, head.unionByName(rows_), sec, ["k", "o"], P.parse_customer_orders,
                   branches=SEGMENTS)
 
 
 def report_attendance(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_type", "ts", "value")
+    # one section per employee-day, each opening with its employee and branch lines
     sec = ["user_id", "event_type", "month"]
-    e = e.withColumn("month", F.date_trunc("month", "ts"))
+    e = e.withColumn("month", F.date_trunc("day", "ts"))
     keys = e.select(*sec).distinct()
     uid = F.col("user_id").cast("string")
     emp = keys.select(*sec, F.lit(0).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
