@@ -192,3 +192,38 @@ def test_staffing_counts_distinct_employees(spark):
     m = s[("b", K.SHIFT_MORNING)]
     assert (m["mean_staff"], m["max_staff"], m["min_staff"], m["days_observed"],
             m["recommended_staff"]) == (2.0, 2, 2, 1, 2)
+
+
+def test_configurable_shift_bins(spark):
+    from tillroll.functions.scalar import shift_of_bins
+    bins = [("early", 5, 13), ("late", 13, 21), ("overnight", 21, 29)]
+    got = one_col(spark, [0, 4, 5, 12, 13, 20, 21, 23, None],
+                  lambda c: shift_of_bins(c, bins, "overnight"), "int")
+    assert got == ["overnight", "overnight", "early", "early", "late", "late", "overnight",
+                   "overnight", K.SHIFT_UNKNOWN]
+    default = [(K.SHIFT_MORNING, 6, 14), (K.SHIFT_AFTERNOON, 14, 22), (K.SHIFT_NIGHT, 22, 30)]
+    hours = list(range(24)) + [None]
+    assert one_col(spark, hours, lambda c: shift_of_bins(c, default, K.SHIFT_NIGHT), "int") == \
+        one_col(spark, hours, shift_of, "int")
+
+
+def test_exclusion_list_as_data(spark):
+    lines = spark.createDataFrame(BASKET_LINES, "branch string, customer string, item string, "
+                                                "qty double, price double")
+    excl = spark.createDataFrame([(" delivery charge",), ("Service Charge",)], "name string")
+    a = baskets.build_baskets(lines, exclude=excl)
+    b = baskets.build_baskets(lines)
+    assert rows(a) == rows(b)
+
+
+def test_segment_performance_include_missing(spark):
+    df = spark.createDataFrame([("n", "LATTE", 1.0, 10.0), ("s", "SHAKE", 1.0, 10.0),
+                                ("s", "TEA", 1.0, 90.0)],
+                               "branch string, item string, qty double, total_amount double")
+    share = segments.segment_share(segments.classify(df))
+    base = rows(segments.segment_performance(share), "branch", "segment", "status")
+    assert base == [("n", "coffee", "performing"), ("s", "milkshake", "performing")]
+    full = rows(segments.segment_performance(share, include_missing=True),
+                "branch", "segment", "status")
+    assert full == [("n", "coffee", "performing"), ("n", "milkshake", "missing"),
+                    ("s", "coffee", "missing"), ("s", "milkshake", "performing")]

@@ -102,6 +102,23 @@ def shift_of(hour: str | Column) -> Column:
     )
 
 
+def shift_of_bins(hour: str | Column, bins: Sequence[tuple[str, int, int]],
+                  fallback: str, unknown: str = K.SHIFT_UNKNOWN) -> Column:
+    """Shift label from configurable [start, end) hour bins, tried in order.
+
+    A bin with end > 24 wraps past midnight (e.g. ("Night", 22, 30) covers
+    22-24 and 0-6); hours in no bin get ``fallback``, NULL gets ``unknown``.
+    """
+    h = col_(hour)
+    out = F.when(h.isNull(), F.lit(unknown))
+    for label, start, end in bins:
+        cond = (h >= start) & (h < min(end, 24))
+        if end > 24:
+            cond = cond | (h < end - 24)
+        out = out.when(cond, F.lit(label))
+    return out.otherwise(F.lit(fallback))
+
+
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
     """True when ``text`` contains any keyword (plain substring)."""
     cond = F.lit(False)

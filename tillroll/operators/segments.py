@@ -78,21 +78,34 @@ def segment_pivot(share: DataFrame, value_col: str = "share_pct",
 
 
 def segment_performance(share: DataFrame,
-                        thresholds: dict[str, float] | None = None) -> DataFrame:
+                        thresholds: dict[str, float] | None = None,
+                        include_missing: bool = False) -> DataFrame:
     """Per branch and thresholded segment: rounded share and under/at-or-above status.
 
-    A branch with no row for a segment gets none (as in the analysed
-    application); shares are compared after rounding to 2 decimals.
+    By default a branch with no row for a segment gets none (as in the
+    analysed application); ``include_missing`` adds those pairs with share 0
+    and status ``missing``.  Shares are compared after rounding to 2 decimals.
     """
     thresholds = thresholds or {"coffee": K.COFFEE_UNDER_PCT,
                                 "milkshake": K.MILKSHAKE_UNDER_PCT}
     th = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))])
     rounded = F.bround("share_pct", 2)
-    return (share.filter(F.col("segment").isin(list(thresholds)))
-            .select("branch", "segment", rounded.alias("share_pct"),
-                    th[F.col("segment")].alias("threshold_pct"))
-            .withColumn("status", F.when(F.col("share_pct") < F.col("threshold_pct"),
-                                         "underperforming").otherwise("performing")))
+    out = (share.filter(F.col("segment").isin(list(thresholds)))
+           .select("branch", "segment", rounded.alias("share_pct"),
+                   th[F.col("segment")].alias("threshold_pct"))
+           .withColumn("status", F.when(F.col("share_pct") < F.col("threshold_pct"),
+                                        "underperforming").otherwise("performing")))
+    if not include_missing:
+        return out
+    # every branch x thresholded segment: the segment list is a literal array
+    pairs = (share.select("branch").distinct()
+             .select("branch", F.explode(F.array(*[F.lit(k) for k in thresholds]))
+                     .alias("segment")))
+    missing = (pairs.join(out.select("branch", "segment"), ["branch", "segment"], "left_anti")
+               .select("branch", "segment", F.lit(0.0).alias("share_pct"),
+                       th[F.col("segment")].alias("threshold_pct"),
+                       F.lit("missing").alias("status")))
+    return out.unionByName(missing)
 
 
 def beverage_gap(share: DataFrame, target: float = K.BEVERAGE_TARGET_PCT) -> DataFrame:
