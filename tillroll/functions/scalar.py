@@ -28,11 +28,6 @@ def strip(c: str | Column) -> Column:
     return F.trim(col_(c), F.lit(WHITESPACE))
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """num / den, NULL when den is 0 or NULL (no ANSI divide-by-zero error)."""
-    return F.when(den != 0, num / den)
-
-
 MONEY_TYPE = "decimal(18,2)"
 
 

@@ -240,7 +240,7 @@ SELECT CAST(rank AS INTEGER) AS rank, strategy, target,
 
 
 # --- branches / expansion -----------------------------------------------------
-_CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+from tillroll.sources.tables import DRIVER_CHANNELS as _CHANNELS  # noqa: E402
 
 
 def _suffix(v: str) -> str:

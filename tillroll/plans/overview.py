@@ -16,7 +16,7 @@ from tillroll.operators import baskets, branches, demand, segments, staffing
 from tillroll.sources import tables as tb
 from tillroll.sources.tables import Tables
 
-CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+CHANNELS = tb.DRIVER_CHANNELS
 
 
 def network_overview(t: Tables, n_months: int = 3) -> DataFrame:

@@ -149,7 +149,7 @@ def q_growth_actions(t: Tables) -> DataFrame:
 
 
 # --- branches / expansion -------------------------------------------------------
-CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+CHANNELS = tb.DRIVER_CHANNELS
 
 
 def _kpis(t: Tables) -> DataFrame:

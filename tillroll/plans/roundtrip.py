@@ -26,9 +26,8 @@ from tillroll.sources import tables as tb
 from tillroll.sources.reports import read_report_lines
 from tillroll.sources.tables import Tables
 
-# fixed values: the driver's market segments (= branches) and order priorities
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+SEGMENTS = tb.DRIVER_SEGMENTS
+PRIORITIES = tb.DRIVER_CHANNELS
 
 
 def csv_line(cells: Sequence[Column | str], width: int) -> Column:

@@ -29,6 +29,11 @@ TABLE_NAMES = [
     "conversations",
 ]
 
+# fixed values of the driver's tables: market segments (= branches) and order
+# priorities (= menu channels)
+DRIVER_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+DRIVER_CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
 # Keyword lists that map the driver's part names onto the product segments
 # (cold drinks = milkshake, hot drinks = coffee, ring-shaped = chimney cake).
 # "BLUE" sits in both drink lists to exercise the milkshake-first precedence.
