@@ -182,6 +182,11 @@ def beverage_status(share_pct: str | Column,
     return F.when(s >= target, "green").when(s >= amber_ratio * target, "amber").otherwise("red")
 
 
+def fixed(x: str | Column, decimals: int) -> Column:
+    """``f"{x:.Nf}"``: rounded half-even on the binary value, no thousands separators."""
+    return F.replace(F.format_number(col_(x), decimals), F.lit(","), F.lit(""))
+
+
 def month_label(year: str | Column, month: str | Column) -> Column:
     """``December 2025`` style label."""
     return F.date_format(F.make_date(col_(year), col_(month), F.lit(1)), "MMMM yyyy")

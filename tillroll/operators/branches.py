@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import column_suffix, money_sum
+from tillroll.functions.scalar import column_suffix, fixed, money_sum
 
 
 def branch_growth(monthly: DataFrame) -> DataFrame:
@@ -144,11 +144,11 @@ def expansion_recommendations(signals: DataFrame, ranked: DataFrame,
         F.when(F.col("feasibility") == "RECOMMENDED",
                F.format_string("Expansion is RECOMMENDED. Network shows %s%% avg monthly growth "
                                "with %d total customers across %d branches.",
-                               F.format_number("avg_monthly_growth_pct", 1),
+                               fixed("avg_monthly_growth_pct", 1),
                                "total_customers", "n_branches"))
         .otherwise(F.format_string("Expansion is PREMATURE. Avg monthly growth is only %s%%. "
                                    "Focus on optimising existing branch performance first.",
-                                   F.format_number("avg_monthly_growth_pct", 1)))
+                                   fixed("avg_monthly_growth_pct", 1)))
         .alias("recommendation"))
     pick = F.struct(F.negative("composite_score").alias("k"), F.col("location").alias("location"),
                     F.bround("demand_score", 1).alias("d"),

@@ -583,10 +583,10 @@ oracle("expansion_recommendations", ["signals", "cand"], """,
              ORDER BY c DESC, location LIMIT 2)
 SELECT CAST(0 AS INTEGER) AS rank,
        CASE WHEN feasibility = 'RECOMMENDED'
-            THEN format('Expansion is RECOMMENDED. Network shows {:,.1f}% avg monthly growth '
+            THEN format('Expansion is RECOMMENDED. Network shows {:.1f}% avg monthly growth '
                         || 'with {} total customers across {} branches.',
                         avg_monthly_growth_pct, total_customers, n_branches)
-            ELSE format('Expansion is PREMATURE. Avg monthly growth is only {:,.1f}%. '
+            ELSE format('Expansion is PREMATURE. Avg monthly growth is only {:.1f}%. '
                         || 'Focus on optimising existing branch performance first.',
                         avg_monthly_growth_pct) END AS recommendation
   FROM signals
