@@ -157,9 +157,11 @@ def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "fi
     """
     columns = list(columns)
     local = forward_fill(df, columns, [group, block], [seq])
-    tails = (df.groupBy(group, block)
-             .agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(c)
-                    for c in columns]))
+    # the filled value on a block's last row is the block's last non-NULL
+    # value; ``local`` is already partitioned by (group, block), so this
+    # aggregate adds no shuffle and does not re-read the input
+    tails = (local.groupBy(group, block)
+             .agg(*[F.max_by(F.col(c), F.col(seq)).alias(c) for c in columns]))
     wb = (Window.partitionBy(group).orderBy(block)
           .rowsBetween(Window.unboundedPreceding, -1))
     carry = tails.select(group, block,
