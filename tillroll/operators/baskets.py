@@ -68,22 +68,21 @@ def basket_count(baskets: DataFrame) -> DataFrame:
 
 def item_frequency(baskets: DataFrame) -> DataFrame:
     """Baskets per item and its support."""
-    n = basket_count(baskets)
+    n = basket_count(baskets).scalar()
     return (baskets.select(F.explode("items").alias("item"))
             .groupBy("item").agg(F.count("*").alias("n_baskets_with_item"))
-            .crossJoin(F.broadcast(n))
             .select("item", "n_baskets_with_item",
-                    (F.col("n_baskets_with_item") / F.col("n_baskets")).alias("support")))
+                    (F.col("n_baskets_with_item") / n).alias("support")))
 
 
 def basket_stats(baskets: DataFrame) -> DataFrame:
     """One row: baskets, distinct items, non-zero cells and matrix sparsity."""
     per = baskets.select(F.size("items").alias("k"))
-    items = (baskets.select(F.explode("items").alias("item"))
-             .agg(F.countDistinct("item").alias("n_items")))
+    n_items = (baskets.select(F.explode("items").alias("item"))
+               .agg(F.countDistinct("item")).scalar())
     s = per.agg(F.count("*").alias("n_baskets"), F.coalesce(F.sum("k"), F.lit(0)).alias("nnz"))
     cells = F.col("n_baskets") * F.col("n_items")
-    return (s.crossJoin(items)
+    return (s.withColumn("n_items", n_items)
             .withColumn("sparsity", F.when(cells > 0, 1 - F.col("nnz") / cells)))
 
 
@@ -205,7 +204,7 @@ def item_pairs(baskets: DataFrame, top_n: int = K.TOP_PAIRS) -> DataFrame:
     with a map-side partial aggregate before the shuffle.  confidence is the
     larger of both directions; lift = P(b|a) / P(b).
     """
-    n = basket_count(baskets)
+    n = basket_count(baskets).scalar()
     single = (baskets.select(F.explode("items").alias("item"))
               .groupBy("item").agg(F.count("*").alias("cnt")))
     pairs = (baskets.select("items", F.posexplode("items").alias("p", "a"))
@@ -214,7 +213,7 @@ def item_pairs(baskets: DataFrame, top_n: int = K.TOP_PAIRS) -> DataFrame:
              .groupBy("a", "b").agg(F.count("*").alias("both")))
     sa = single.select(F.col("item").alias("a"), F.col("cnt").alias("cnt_a"))
     sb = single.select(F.col("item").alias("b"), F.col("cnt").alias("cnt_b"))
-    j = pairs.join(sa, "a").join(sb, "b").crossJoin(F.broadcast(n))
+    j = pairs.join(sa, "a").join(sb, "b").withColumn("n_baskets", n)
     conf_ab = F.col("both") / F.greatest(F.col("cnt_a"), F.lit(1))
     conf_ba = F.col("both") / F.greatest(F.col("cnt_b"), F.lit(1))
     out = j.select(

@@ -73,9 +73,9 @@ def branch_kpis(monthly: DataFrame, revenue: DataFrame, menu: DataFrame,
     mix = channel_mix(menu, channels)
     pct_cols = [c for c in mix.columns if c.startswith("pct_")]
     mix = mix.select("branch", *pct_cols)
-    net = rev.agg(money_sum("total_revenue").alias("network_revenue"))   # exactly one row
+    net = rev.agg(money_sum("total_revenue")).scalar()                  # scalar subquery
     out = (base.join(cust, "branch", "left").join(mix, "branch", "left")
-           .crossJoin(F.broadcast(net)))
+           .withColumn("network_revenue", net))
     r = F.coalesce(F.col("total_revenue"), F.lit(0.0))
     share = F.when(F.coalesce(F.col("network_revenue"), F.lit(0.0)) != 0,
                    F.bround(r / F.col("network_revenue") * 100, 2)).otherwise(F.lit(0.0))
@@ -120,9 +120,9 @@ def score_candidates(candidates: DataFrame, signals: DataFrame,
     demand = demand_base * (1 + g / 100) with g the network's mean monthly
     growth; composite = demand * growth_factor - 0.3 * competition_risk.
     """
-    g = signals.select("avg_monthly_growth_pct")                  # exactly one row
-    demand = F.col("demand_base") * (1 + F.col("avg_monthly_growth_pct") / 100)
-    out = (candidates.crossJoin(F.broadcast(g))
+    g = signals.select("avg_monthly_growth_pct").scalar()         # scalar subquery
+    demand = F.col("demand_base") * (1 + g / 100)
+    out = (candidates
            .select("location",
                    demand.alias("demand_score"),
                    F.col("competition_risk"),
@@ -154,10 +154,10 @@ def expansion_recommendations(signals: DataFrame, ranked: DataFrame,
                     F.bround("demand_score", 1).alias("d"),
                     F.bround("competition_risk", 1).alias("r"),
                     F.bround("composite_score", 1).alias("c"))
+    feasible = signals.select(F.col("feasibility") == "RECOMMENDED").scalar()
     picks = (ranked.limit(int(n_locations))
              .agg(F.sort_array(F.collect_list(pick)).alias("picks"))
-             .crossJoin(signals.select("feasibility"))
-             .filter(F.col("feasibility") == "RECOMMENDED")
+             .filter(feasible)
              .select(F.posexplode("picks").alias("pos", "p"))
              .select((F.col("pos") + 1).cast("int").alias("rank"),
                      F.format_string("Consider %s (demand score %s, competition risk %s, "

@@ -135,14 +135,15 @@ def growth_actions(seg: DataFrame, share: DataFrame) -> DataFrame:
     Triggers come from one aggregate row over the data; the triggered actions
     are filtered and numbered inside that row (no window, no literal table).
     """
+    # branches below the coffee threshold: one per branch at most (scalar subquery)
+    under = (share.filter((F.col("segment") == "coffee")
+                          & (F.bround("share_pct", 2) < K.COFFEE_UNDER_PCT))
+             .agg(F.array_sort(F.collect_list("branch"))).scalar())
     flags = seg.agg(
         F.coalesce(F.max(F.col("segment") == "coffee"), F.lit(False)).alias("has_top_coffee"),
         F.coalesce(F.max(F.col("segment") == "milkshake"), F.lit(False))
         .alias("has_top_milkshake"),
-    ).crossJoin(
-        share.filter((F.col("segment") == "coffee")
-                     & (F.bround("share_pct", 2) < K.COFFEE_UNDER_PCT))
-        .agg(F.array_sort(F.collect_list("branch")).alias("under_coffee")))
+    ).withColumn("under_coffee", under)
     fired = {"always": F.lit(True),
              "has_top_coffee": F.col("has_top_coffee"),
              "has_top_milkshake": F.col("has_top_milkshake"),

@@ -83,20 +83,19 @@ def hours_histogram(att: DataFrame, hours_col: str = "work_hours", bins: int = 3
                     min_hours: float = K.GHOST_PUNCH_HOURS) -> DataFrame:
     """Equal-width histogram of worked hours over [min, max]; max falls in the last bin."""
     df = att.filter(F.col(hours_col) > min_hours).select(F.col(hours_col).alias("h"))
-    rng = df.agg(F.min("h").alias("lo"), F.max("h").alias("hi"))   # exactly one row
-    width = F.col("hi") - F.col("lo")
-    binned = (df.crossJoin(F.broadcast(rng))
-              .select(F.when(width > 0,
-                             F.least(F.floor((F.col("h") - F.col("lo")) * bins / width),
-                                     F.lit(bins - 1)))
-                      .otherwise(F.lit(0)).cast("int").alias("bin"))
+    lo, hi = df.agg(F.min("h")).scalar(), df.agg(F.max("h")).scalar()   # scalar subqueries
+    width = hi - lo
+    binned = (df.select(F.when(width > 0,
+                               F.least(F.floor((F.col("h") - lo) * bins / width),
+                                       F.lit(bins - 1)))
+                        .otherwise(F.lit(0)).cast("int").alias("bin"))
               .groupBy("bin").agg(F.count("*").alias("n")))
+    # the bin domain (0 .. bins-1) keeps empty bins in the histogram
     all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (all_bins.crossJoin(F.broadcast(rng))
-            .join(binned, "bin", "left")
+    return (all_bins.join(binned, "bin", "left")
             .select("bin",
-                    (F.col("lo") + width * F.col("bin") / bins).alias("bin_start"),
-                    (F.col("lo") + width * (F.col("bin") + 1) / bins).alias("bin_end"),
+                    (lo + width * F.col("bin") / bins).alias("bin_start"),
+                    (lo + width * (F.col("bin") + 1) / bins).alias("bin_end"),
                     F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 

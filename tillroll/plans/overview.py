@@ -1,8 +1,8 @@
 """Network overview: one row combining every analysis (A34, A36, P14, P17).
 
-Each part is a one-row aggregate (or a top-1 of a sorted frame); they are
-combined with broadcast cross joins of single rows.  Shared inputs are lazy
-views, so Catalyst and AQE reuse identical exchanges.
+Each part is a one-row aggregate (or the top row of a sorted frame) attached
+as a scalar subquery — no joins; shared inputs are lazy views, so Catalyst
+merges scalar subqueries over one source and AQE reuses identical exchanges.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ CHANNELS = tb.DRIVER_CHANNELS
 
 
 def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
+    """One row: demand ranking ends and spread, expansion verdict, best site, staffing
+    alerts, beverage shares and status, rule count and the strongest combo."""
     monthly = tb.monthly_sales(t)
     rank = (demand.demand_forecast(monthly, n_months).groupBy("branch")
             .agg(F.avg(F.bround("forecast", 2)).alias("avg_forecast")))
@@ -27,33 +29,34 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
                    F.max("avg_forecast").alias("top_avg"),
                    F.min_by("branch", "avg_forecast").alias("bottom_branch"),
                    F.min("avg_forecast").alias("bottom_avg"))
-    dem = dem.select("top_branch", "bottom_branch",
-                     ((F.col("top_avg") - F.col("bottom_avg"))
-                      / F.greatest(F.col("bottom_avg"), F.lit(1.0)) * 100)
-                     .alias("demand_spread_pct"))
     kpis = branches.branch_kpis(monthly, tb.branch_revenue(t), tb.menu_channels(t), CHANNELS)
     sig = branches.expansion_signals(kpis)
-    best = (branches.score_candidates(tb.candidate_sites(t), sig)
-            .agg(F.max_by("location", "composite_score").alias("top_location")))
-    sig = sig.select("feasibility",
-                     network_growth_label("avg_monthly_growth_pct").alias("network_growth"))
+    ranked = branches.score_candidates(tb.candidate_sites(t), sig)
     slots = staffing.shift_staffing(tb.attendance(t))
-    staff = slots.agg(F.count_if(F.col("min_staff") < K.UNDERSTAFFED_MIN)
-                      .alias("n_staff_alerts"))
     seg = segments.classify(tb.item_sales(t), "item", tb.PART_MILKSHAKE_KEYWORDS,
                             tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
     tot = segments.segment_totals(seg)
-    bev = F.bround("coffee_share_pct", 2) + F.bround("milkshake_share_pct", 2)
-    tot = tot.select("coffee_share_pct", "milkshake_share_pct",
-                     beverage_status(bev).alias("beverage_status"))
     bk = baskets.build_baskets(tb.delivery_lines(t))
+    # thresholds as in the registered rule queries (the driver data has lift ~ 1)
     rules = baskets.association_rules(baskets.frequent_itemsets(bk, 0.02), 1.0, 0.1)
-    # (thresholds as in the registered rule queries: the driver data has lift ~ 1)
-    combo = (rules.orderBy(F.desc("lift"), "antecedents", "consequents").limit(1)
-             .select(F.concat_ws(" + ", "antecedents", "consequents").alias("top_combo")))
-    n_rules = rules.agg(F.count("*").alias("n_rules"))
-    out = dem
-    for part in (sig, best, staff, tot, n_rules):
-        out = out.crossJoin(F.broadcast(part))
-    # an empty rule set still yields the overview row
-    return out.join(F.broadcast(combo), F.lit(True), "left")
+    best_rule = (rules.orderBy(F.desc("lift"), "antecedents", "consequents").limit(1)
+                 .select(F.concat_ws(" + ", "antecedents", "consequents")))
+
+    # every other part is a scalar subquery on the one-row demand summary
+    coffee = tot.select("coffee_share_pct").scalar()
+    shake = tot.select("milkshake_share_pct").scalar()
+    growth = sig.select("avg_monthly_growth_pct").scalar()
+    return dem.select(
+        "top_branch", "bottom_branch",
+        ((F.col("top_avg") - F.col("bottom_avg"))
+         / F.greatest(F.col("bottom_avg"), F.lit(1.0)) * 100).alias("demand_spread_pct"),
+        sig.select("feasibility").scalar().alias("feasibility"),
+        network_growth_label(growth).alias("network_growth"),
+        ranked.agg(F.max_by("location", "composite_score")).scalar().alias("top_location"),
+        slots.agg(F.count_if(F.col("min_staff") < K.UNDERSTAFFED_MIN)).scalar()
+        .alias("n_staff_alerts"),
+        coffee.alias("coffee_share_pct"), shake.alias("milkshake_share_pct"),
+        beverage_status(F.bround(coffee, 2) + F.bround(shake, 2)).alias("beverage_status"),
+        rules.agg(F.count("*")).scalar().alias("n_rules"),
+        best_rule.scalar().alias("top_combo"),
+    )

@@ -165,15 +165,16 @@ def candidate_sites(t: Tables) -> DataFrame:
     nat = t.nation.select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("location"))
     per = (nat.join(cust, "nk", "left").join(supp, "nk", "left")
            .na.fill(0, ["n_cust", "n_supp"]).na.fill(0.0, ["pos_share"]))
-    # One-row global maxima (exactly one row: a global aggregate).
-    mx = per.agg(F.max("n_cust").alias("max_cust"), F.max("n_supp").alias("max_supp"))
-    return per.crossJoin(F.broadcast(mx)).select(
+    # global maxima as scalar subqueries (merged into one aggregate by the optimizer)
+    max_cust = per.agg(F.max("n_cust")).scalar()
+    max_supp = per.agg(F.max("n_supp")).scalar()
+    return per.select(
         "location",
         (F.lit(0.5) + F.col("pos_share")).alias("growth_factor"),
         (F.lit(60.0) + F.lit(40.0) * F.coalesce(
-            F.col("n_cust") / F.when(F.col("max_cust") > 0, F.col("max_cust")), F.lit(0.0)))
+            F.col("n_cust") / F.when(max_cust > 0, max_cust), F.lit(0.0)))
         .alias("demand_base"),
         (F.lit(20.0) + F.lit(40.0) * F.coalesce(
-            F.col("n_supp") / F.when(F.col("max_supp") > 0, F.col("max_supp")), F.lit(0.0)))
+            F.col("n_supp") / F.when(max_supp > 0, max_supp), F.lit(0.0)))
         .alias("competition_risk"),
     )
