@@ -131,7 +131,7 @@ SELECT allb.bin, lo + (hi - lo) * allb.bin / 30 AS bin_start,
        lo + (hi - lo) * (allb.bin + 1) / 30 AS bin_end, coalesce(b.n, 0) AS n
   FROM allb CROSS JOIN r LEFT JOIN b ON allb.bin = b.bin""")
 oracle("staffing_kpis", ["shift_summary"], """SELECT count(*) AS n_slots,
-       coalesce(sum(recommended_staff), 0) AS total_recommended,
+       CAST(coalesce(sum(recommended_staff), 0) AS BIGINT) AS total_recommended,
        count(*) FILTER (WHERE min_staff < 2) AS n_at_risk FROM shift_summary""")
 oracle("staffing_alerts", ["shift_summary"], """SELECT branch, shift,
        format('{} – {}: recommend {} staff (observed range {}–{}, avg {:,.1f})',
