@@ -9,6 +9,8 @@ from tillroll.sources.tables import TABLE_NAMES
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,9 @@ def test_entry(spark):
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
     got_cols, got = df.columns, [tuple(r) for r in df.collect()]
+    rel = con.sql(ORACLE[name])
+    types = dict(zip(rel.columns, [str(x) for x in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == types
     res = con.execute(ORACLE[name])
     want_cols = [d[0] for d in res.description]
     want = res.fetchall()
