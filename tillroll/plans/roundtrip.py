@@ -167,9 +167,10 @@ def report_customer_orders(t: Tables) -> DataFrame:
 
 def report_attendance(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_type", "ts", "value")
-    # one section per employee-day, each opening with its employee and branch lines
+    # one section per employee, branch and month (a monthly attendance report),
+    # each opening with its employee and branch lines
     sec = ["user_id", "event_type", "month"]
-    e = e.withColumn("month", F.date_trunc("day", "ts"))
+    e = e.withColumn("month", F.date_trunc("month", "ts"))
     keys = e.select(*sec).distinct()
     uid = F.col("user_id").cast("string")
     emp = keys.select(*sec, F.lit(0).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
