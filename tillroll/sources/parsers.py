@@ -15,7 +15,6 @@ header test compares whole cells so a "Delivery Service" category survives.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -295,13 +294,18 @@ def load_reports(spark: SparkSession, folder: str,
     Files are selected by exact name (a glob would also pick up duplicate
     copies such as ``name (1).csv``).
     """
+    from pyspark.errors import AnalysisException
+
     out = {}
     for name, (fname, parser) in REPORT_FILES.items():
         if datasets is not None and name not in datasets:
             continue
-        path = os.path.join(folder, fname)
-        if os.path.exists(path) or "://" in folder:
-            out[name] = parser(read_report_lines(spark, path))
+        path = f"{folder.rstrip('/')}/{fname}"
+        try:
+            lines = read_report_lines(spark, path)      # lists the file: fails if absent
+        except AnalysisException:
+            continue
+        out[name] = parser(lines)
     return out
 
 
