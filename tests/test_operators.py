@@ -119,6 +119,10 @@ def test_baskets_and_rules_match_brute_force(spark):
     assert any(", " in k[1] for k in want)              # multi-item consequents exercised
     for k, v in want.items():
         assert have[k] == pytest.approx(v)
+    lifts = {(r["antecedents"], r["consequents"]): r["lift"] for r in rules.collect()}
+    for (a, c), lift in lifts.items():                  # lift is symmetric
+        if (c, a) in lifts:
+            assert lifts[(c, a)] == pytest.approx(lift)
     for r in rules.collect():
         assert r["confidence"] <= 1 + 1e-12
         if r["confidence"] == 1:
