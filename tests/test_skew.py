@@ -42,3 +42,20 @@ def test_hot_basket_is_exact(spark):
     m = baskets.mine(bk, 0.1)
     for r in m.itemsets.collect():
         assert r["freq"] == sum(1 for x in sets if set(r["items"]) <= x)
+
+
+def test_pairs_of_split_baskets_are_exact(spark):
+    """Baskets larger than the chunk size are split into hash chunks; counts are unchanged."""
+    recs = [("b", "hot", f"i{n}", 1.0, 1.0) for n in range(40)]
+    recs += [("b", f"c{j}", f"i{(j * 7 + k) % 40}", 1.0, 1.0) for j in range(50) for k in range(5)]
+    lines = spark.createDataFrame(recs, "branch string, customer string, item string, "
+                                        "qty double, price double")
+    bk = baskets.build_baskets(lines)
+    sets = [set(r["items"]) for r in bk.collect()]
+    want = {}
+    for x in sets:
+        for p in itertools.combinations(sorted(x), 2):
+            want[p] = want.get(p, 0) + 1
+    for chunk in (3, 6, 2048):                     # 3 and 6 split the 40-item basket
+        got = {(r["a"], r["b"]): r["both"] for r in baskets.pair_counts(bk, chunk=chunk).collect()}
+        assert got == want, chunk

@@ -197,20 +197,47 @@ def combo_kpis(combos: DataFrame) -> DataFrame:
                                F.col("n_strong") / F.col("n_rules") * 100).otherwise(0.0)))
 
 
-def item_pairs(baskets: DataFrame, top_n: int = K.TOP_PAIRS) -> DataFrame:
+def pair_counts(baskets: DataFrame, keys: Sequence[str] = ("branch", "customer"),
+                chunk: int = 2048) -> DataFrame:
+    """a, b (a < b), both: baskets containing both items.
+
+    Baskets with at most ``chunk`` distinct items pair their items inside the
+    basket's row (no shuffle).  A larger basket is split: its items are
+    hashed into k = ceil(size / chunk) chunks and every chunk pair (i <= j)
+    becomes one join key, so the pairs of a basket holding a third of all
+    lines are produced by k(k+1)/2 tasks of at most chunk^2 pairs each.
+    Counts are partially aggregated before the shuffle.
+    """
+    keys = list(keys)
+    b = baskets.withColumn("d", F.size("items"))
+    small = (b.filter(F.col("d") <= chunk)
+             .select("items", F.posexplode("items").alias("p", "a"))
+             .select("a", F.explode(F.slice("items", F.col("p") + 2, F.size("items")))
+                     .alias("b")))
+    k = F.ceil(F.col("d") / chunk)
+    e = (b.filter(F.col("d") > chunk)
+         .select(*keys, k.alias("k"), F.explode("items").alias("item"))
+         .withColumn("c", F.pmod(F.xxhash64("item"), F.col("k"))))
+    left = e.select(*keys, F.col("item").alias("a"), F.col("c").alias("ci"),
+                    F.explode(F.sequence(F.col("c"), F.col("k") - 1)).alias("cj"))
+    right = e.select(*keys, F.col("item").alias("b2"), F.col("c").alias("cj"),
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.col("c"))).alias("ci"))
+    big = (left.join(right, [*keys, "ci", "cj"])
+           .filter((F.col("ci") < F.col("cj")) | (F.col("a") < F.col("b2")))
+           .select(F.least("a", "b2").alias("a"), F.greatest("a", "b2").alias("b")))
+    return small.unionByName(big).groupBy("a", "b").agg(F.count("*").alias("both"))
+
+
+def item_pairs(baskets: DataFrame, top_n: int | None = K.TOP_PAIRS,
+               keys: Sequence[str] = ("branch", "customer"), chunk: int = 2048) -> DataFrame:
     """Most frequent co-occurring item pairs (the fallback when nothing is frequent).
 
-    Pairs (a < b) come from each basket's distinct items and are counted
-    with a map-side partial aggregate before the shuffle.  confidence is the
-    larger of both directions; lift = P(b|a) / P(b).
+    confidence is the larger of both directions; lift = P(b|a) / P(b).
     """
     n = basket_count(baskets).scalar()
     single = (baskets.select(F.explode("items").alias("item"))
               .groupBy("item").agg(F.count("*").alias("cnt")))
-    pairs = (baskets.select("items", F.posexplode("items").alias("p", "a"))
-             .select("a", F.explode(F.slice("items", F.col("p") + 2, F.size("items")))
-                     .alias("b"))
-             .groupBy("a", "b").agg(F.count("*").alias("both")))
+    pairs = pair_counts(baskets, keys, chunk)
     sa = single.select(F.col("item").alias("a"), F.col("cnt").alias("cnt_a"))
     sb = single.select(F.col("item").alias("b"), F.col("cnt").alias("cnt_b"))
     j = pairs.join(sa, "a").join(sb, "b").withColumn("n_baskets", n)
