@@ -44,7 +44,7 @@ def test_shift_is_total_over_the_day(spark):
 
 def test_segment_precedence(spark):
     items = ["Frappe Mocha", "HOT CHOCOLATE", "Chimney Cake", "mocha shake", "donut box",
-             "water", "Conut Classic", "Iced Latte"]
+             "water", "Chimney Roll", "Iced Latte"]
     assert one_col(spark, items, segment_of) == [
         "milkshake", "coffee", "chimney_cake", "milkshake", "chimney_cake", "other",
         "chimney_cake", "coffee"]
