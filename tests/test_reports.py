@@ -113,3 +113,18 @@ def test_catalog_and_profile(spark, tmp_path):
     assert list(cat) == ["monthly_sales"]
     prof = P.dataset_profile(cat).collect()
     assert prof[0]["n_rows"] == 5 and prof[0]["n_columns"] == 5
+
+
+@pytest.mark.parametrize("dataset,fixture,kw", [
+    ("monthly_sales", "monthly.csv", {}),
+    ("sales_by_item", "item_sales.csv", {}),
+    ("delivery_items", "delivery.csv", {}),
+    ("customer_orders", "customer_orders.csv", {"branches": ["North Cafe", "South Cafe"]}),
+    ("attendance", "attendance.csv", {"branch_markers": ("Cafe",)}),
+    ("division_summary", "division.csv", {"branches": ["Harbor Cafe", "Hill Cafe"]}),
+    ("branch_revenue", "monthly.csv", {}),
+    ("menu_avg_sales", "monthly.csv", {}),
+])
+def test_declared_schemas(spark, dataset, fixture, kw):
+    parser = P.REPORT_FILES[dataset][1]
+    assert parser(lines(spark, fixture), **kw).dtypes == P.SCHEMAS[dataset]

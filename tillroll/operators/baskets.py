@@ -94,14 +94,15 @@ class Mined:
 
 
 def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
-         num_partitions: int | None = None) -> Mined:
+         num_partitions: int | None = None, max_len: int | None = None) -> Mined:
     """Parallel FP-growth over the basket item-sets.
 
     The item-sets are persisted for the duration of the fit (as FPGrowth
     itself does), counted once, and the frequent itemsets — bounded by the
     support threshold — are checkpointed into the shared checkpoint folder,
     so every later use (rules, combos, overview) reads them instead of
-    re-running basket building and mining.
+    re-running basket building and mining.  ``max_len`` optionally keeps
+    itemsets of at most that many items (rules split each itemset 2^n - 2 ways).
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -118,6 +119,8 @@ def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
               .select(F.array_sort("items").alias("items"), "freq")
               .select("items", F.size("items").alias("size"), "freq",
                       (F.col("freq") / F.lit(max(n, 1))).alias("support")))
+        if max_len:
+            fi = fi.filter(F.col("size") <= int(max_len))
         fi = cut_lineage(fi)
     finally:
         items.unpersist()

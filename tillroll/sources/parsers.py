@@ -273,6 +273,29 @@ def parse_division_summary(lines: DataFrame, branches: Sequence[str] = K.BRANCH_
                       .alias("total")))
 
 
+# --- declared schemas of the parsed datasets ------------------------------------------
+SCHEMAS = {
+    "monthly_sales": [("branch", "string"), ("month", "string"), ("year", "int"),
+                      ("total_sales", "double"), ("month_num", "int")],
+    "branch_revenue": [("branch", "string"), ("revenue", "double")],
+    "sales_by_item": [("branch", "string"), ("division", "string"), ("group", "string"),
+                      ("item", "string"), ("qty", "double"), ("total_amount", "double")],
+    "delivery_items": [("branch", "string"), ("customer", "string"), ("item", "string"),
+                       ("qty", "double"), ("price", "double")],
+    "customer_orders": [("branch", "string"), ("customer", "string"),
+                        ("first_order", "timestamp_ntz"), ("last_order", "timestamp_ntz"),
+                        ("total", "double"), ("num_orders", "int")],
+    "attendance": [("employee_id", "int"), ("employee_name", "string"), ("branch", "string"),
+                   ("date", "date"), ("punch_in", "string"), ("punch_out", "string"),
+                   ("work_hours", "double")],
+    "menu_avg_sales": [("branch", "string"), ("menu_channel", "string"),
+                       ("num_customers", "double"), ("sales", "double"),
+                       ("avg_per_customer", "double")],
+    "division_summary": [("branch", "string"), ("category", "string"), ("delivery", "double"),
+                         ("table", "double"), ("takeaway", "double"), ("total", "double")],
+}
+
+
 # --- S16 catalog -------------------------------------------------------------------
 # fixed values: report file names per dataset
 REPORT_FILES = {
