@@ -128,3 +128,13 @@ def test_catalog_and_profile(spark, tmp_path):
 def test_declared_schemas(spark, dataset, fixture, kw):
     parser = P.REPORT_FILES[dataset][1]
     assert parser(lines(spark, fixture), **kw).dtypes == P.SCHEMAS[dataset]
+
+
+def test_byte_order_mark_and_crlf(spark, tmp_path):
+    text = open(fixture_path("monthly.csv")).read().replace("North Cafe", "Branch Name: Zeta", 1)
+    path = tmp_path / "bom.csv"
+    path.write_bytes(("﻿" + text).replace("\n", "\r\n").encode("utf-8"))
+    df = P.parse_monthly_sales(read_report_lines(spark, str(path)))
+    # the first line now names a branch, so the early August row is kept under it
+    assert ("Zeta", "August", 2025, 100.0, 8) in rows(df)
+    assert len(rows(df)) == 6

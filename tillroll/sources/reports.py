@@ -39,7 +39,8 @@ def read_report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     return (df.select(F.col("_metadata.file_path").alias("file"),
                       F.col("_metadata.file_block_start").alias("block"),
                       F.monotonically_increasing_id().alias("seq"),
-                      F.col("value").alias("line"))
+                      # a byte-order mark would hide the first line's label
+                      F.regexp_replace("value", "^\ufeff", "").alias("line"))
             .filter(F.trim(F.col("line")) != ""))
 
 
