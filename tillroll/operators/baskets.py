@@ -99,14 +99,14 @@ def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
 
     The item-sets are persisted for the duration of the fit (as FPGrowth
     itself does), counted once, and the frequent itemsets — bounded by the
-    support threshold — are checkpointed into the shared checkpoint folder,
-    so every later use (rules, combos, overview) reads them instead of
-    re-running basket building and mining.  ``max_len`` optionally keeps
+    support threshold — are written as a table in the shared checkpoint
+    folder, so every later use (rules, combos, overview) reads them instead
+    of re-running basket building and mining.  ``max_len`` optionally keeps
     itemsets of at most that many items (rules split each itemset 2^n - 2 ways).
     """
     from pyspark.ml.fpm import FPGrowth
 
-    from tillroll.session import cut_lineage
+    from tillroll.session import write_table
 
     items = baskets.select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -121,7 +121,7 @@ def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
                       (F.col("freq") / F.lit(max(n, 1))).alias("support")))
         if max_len:
             fi = fi.filter(F.col("size") <= int(max_len))
-        fi = cut_lineage(fi)
+        fi = write_table(fi, "itemsets")
     finally:
         items.unpersist()
     return Mined(fi, n)
