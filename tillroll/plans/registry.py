@@ -9,8 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.operators import demand, staffing
+from tillroll.functions.scalar import clean_number, compact_cells, duration_hours
+from tillroll.operators import baskets, branches, demand, segments, staffing, topics
+from tillroll.plans import roundtrip
+from tillroll.sources import reports
 from tillroll.sources import tables as tb
 from tillroll.sources.tables import Tables
 
@@ -91,7 +95,6 @@ def q_demand_trend(t: Tables) -> DataFrame:
 
 
 # --- segments -----------------------------------------------------------------
-from tillroll.operators import baskets, branches, segments  # noqa: E402
 
 
 def _seg(t: Tables) -> DataFrame:
@@ -191,7 +194,6 @@ def _baskets(t: Tables) -> DataFrame:
 
 @query("baskets")
 def q_baskets(t: Tables) -> DataFrame:
-    from pyspark.sql import functions as F
     return _baskets(t).select("branch", "customer",
                               F.array_join("items", ", ").alias("items"),
                               F.size("items").alias("n_items"))
@@ -215,7 +217,6 @@ RULE_MIN_SUPPORT, RULE_MIN_LIFT, RULE_MIN_CONF = 0.02, 1.0, 0.1
 
 @query("frequent_itemsets")
 def q_frequent_itemsets(t: Tables) -> DataFrame:
-    from pyspark.sql import functions as F
     fi = baskets.frequent_itemsets(_baskets(t), RULE_MIN_SUPPORT)
     return fi.select(F.array_join("items", ", ").alias("itemset"), "size", "freq", "support")
 
@@ -256,11 +257,7 @@ def q_top_items_by_revenue(t: Tables) -> DataFrame:
 
 
 # --- report primitives over driver data ---------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from tillroll.functions.scalar import clean_number, compact_cells, duration_hours  # noqa: E402
-from tillroll.operators import topics  # noqa: E402
-from tillroll.sources import reports  # noqa: E402
 
 
 @query("clean_number")
@@ -400,7 +397,6 @@ def q_expansion_recommendations(t: Tables) -> DataFrame:
 
 
 # --- report round trips (render driver data as report files, parse back) --------
-from tillroll.plans import roundtrip  # noqa: E402
 
 for _name in ["report_monthly_sales", "report_branch_revenue", "report_item_sales",
               "report_delivery_lines", "report_customer_orders", "report_attendance",
