@@ -29,7 +29,7 @@ from tillroll.sources.reports import (drop_boilerplate, forward_fill_blocked, ha
 def _rows(lines: DataFrame, footer: bool = True) -> DataFrame:
     df = split_cells(lines)
     if footer:
-        df = drop_boilerplate(df)
+        df = drop_boilerplate(df, line="line")
     return with_values(df)
 
 

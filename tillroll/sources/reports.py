@@ -116,10 +116,17 @@ def is_footer(cells: str | Column, pattern: str = K.FOOTER_PATTERN) -> Column:
 
 def drop_boilerplate(df: DataFrame, cells: str = "cells",
                      header_keywords: Sequence[str] | None = None,
-                     footer: bool = True) -> DataFrame:
-    """Drop footer rows and (optionally) rows containing page-header keywords."""
+                     footer: bool = True, line: str | None = None) -> DataFrame:
+    """Drop footer rows and (optionally) rows containing page-header keywords.
+
+    With ``line`` (the raw CSV text) the footer pattern is tested once on the
+    line instead of on every cell: the pattern never spans a comma and
+    unquoting a cell cannot create a match, so both tests agree.
+    """
     cond = F.lit(False)
-    if footer:
+    if footer and line:
+        cond = cond | F.coalesce(F.col(line).rlike(K.FOOTER_PATTERN), F.lit(False))
+    elif footer:
         cond = cond | is_footer(cells)
     if header_keywords:
         cond = cond | has_keyword(cells, header_keywords)
