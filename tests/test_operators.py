@@ -231,3 +231,13 @@ def test_segment_performance_include_missing(spark):
                 "branch", "segment", "status")
     assert full == [("n", "coffee", "performing"), ("n", "milkshake", "missing"),
                     ("s", "coffee", "missing"), ("s", "milkshake", "performing")]
+
+
+def test_order_baskets_equal_generic_build(spark):
+    from conftest import SF
+    from tillroll.sources import tables as tb
+    t = tb.Tables(spark, SF)
+    a = tb.order_baskets(t).select("branch", "customer", F.array_join("items", "|").alias("i"))
+    b = baskets.build_baskets(tb.delivery_lines(t)).select(
+        "branch", "customer", F.array_join("items", "|").alias("i"))
+    assert rows(a) == rows(b)

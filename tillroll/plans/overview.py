@@ -36,7 +36,7 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
     seg = segments.classify(tb.item_sales(t), "item", tb.PART_MILKSHAKE_KEYWORDS,
                             tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
     tot = segments.segment_totals(seg)
-    bk = baskets.build_baskets(tb.delivery_lines(t))
+    bk = tb.order_baskets(t)
     # thresholds as in the registered rule queries (the driver data has lift ~ 1)
     rules = baskets.association_rules(baskets.frequent_itemsets(bk, 0.02), 1.0, 0.1)
     best_rule = (rules.orderBy(F.desc("lift"), "antecedents", "consequents").limit(1)

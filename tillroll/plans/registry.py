@@ -189,7 +189,7 @@ def q_score_candidates(t: Tables) -> DataFrame:
 
 # --- baskets --------------------------------------------------------------------
 def _baskets(t: Tables) -> DataFrame:
-    return baskets.build_baskets(tb.delivery_lines(t))
+    return tb.order_baskets(t)
 
 
 @query("baskets")

@@ -123,6 +123,29 @@ def delivery_lines(t: Tables) -> DataFrame:
     )
 
 
+def order_baskets(t: Tables) -> DataFrame:
+    """branch, customer (= order key as text), items — the baskets of ``delivery_lines``.
+
+    Equal to ``build_baskets(delivery_lines(t))`` but aggregated *before* the
+    join with orders x customer: the order key determines the branch, so line
+    items are reduced to one basket per order first and only the baskets are
+    joined (the baskets come out partitioned by order key, which the join
+    reuses).  This removes the shuffle of every line item for the join.
+    """
+    from tillroll.operators.baskets import build_baskets
+
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    p = t.part.select("p_partkey", "p_brand")
+    lines = li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("l_orderkey").alias("order"), F.col("p_brand").alias("item"),
+        F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
+    bk = build_baskets(lines, keys=["order"])
+    o = _orders_with_branch(t).select("o_orderkey", "branch")
+    return (bk.join(o, bk.order == o.o_orderkey)
+            .filter(F.col("branch").isNotNull())
+            .select("branch", F.col("order").cast("string").alias("customer"), "items"))
+
+
 def item_sales(t: Tables) -> DataFrame:
     """branch, division (= part type), group (= brand), item (= part name), qty, total_amount."""
     return _lines_with_part(t).select(
