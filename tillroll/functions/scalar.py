@@ -28,7 +28,13 @@ def strip(c: str | Column) -> Column:
     return F.trim(col_(c), F.lit(WHITESPACE))
 
 
-MONEY_TYPE = "decimal(18,2)"
+# wide enough for totals of totals at 100 TB (a network's revenue exceeds 10^16)
+MONEY_TYPE = "decimal(38,2)"
+
+
+def money(c: str | Column) -> Column:
+    """A 2-decimal money amount as an exact DECIMAL."""
+    return col_(c).cast(MONEY_TYPE)
 
 
 def money_sum(c: str | Column) -> Column:
@@ -37,7 +43,7 @@ def money_sum(c: str | Column) -> Column:
     Accumulating in DECIMAL makes the total independent of partitioning and
     aggregation order (a DOUBLE sum is not), so reruns and engines agree.
     """
-    return F.sum(col_(c).cast(MONEY_TYPE)).cast("double")
+    return F.sum(money(c)).cast("double")
 
 
 def clean_number(c: str | Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import beverage_status, money_sum, segment_of
+from tillroll.functions.scalar import beverage_status, money, money_sum, segment_of
 
 
 def classify(sales: DataFrame, item_col: str = "item",
@@ -30,7 +30,7 @@ def segment_share(seg: DataFrame) -> DataFrame:
     agg = (seg.filter(F.col("branch").isNotNull())
            .groupBy("branch", "segment")
            .agg(money_sum("total_amount").alias("segment_revenue")))
-    total = F.sum("segment_revenue").over(Window.partitionBy("branch"))
+    total = F.sum(money("segment_revenue")).over(Window.partitionBy("branch")).cast("double")
     return (agg.withColumn("branch_total", total)
                .withColumn("share_pct", F.when(F.col("branch_total") != 0,
                                                F.col("segment_revenue") / F.col("branch_total")

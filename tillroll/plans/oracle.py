@@ -178,7 +178,8 @@ CTES.update({
     "seg": (f"SELECT *, {_segment_case('item')} AS segment FROM item_sales", ["item_sales"]),
     "share": ("""SELECT branch, segment, segment_revenue, branch_total,
               CASE WHEN branch_total <> 0 THEN segment_revenue / branch_total * 100 END AS share_pct
-       FROM (SELECT *, sum(segment_revenue) OVER (PARTITION BY branch) AS branch_total
+       FROM (SELECT *, CAST(sum(CAST(segment_revenue AS DECIMAL(38,2)))
+                             OVER (PARTITION BY branch) AS DOUBLE) AS branch_total
              FROM (SELECT branch, segment, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS segment_revenue
                    FROM seg WHERE branch IS NOT NULL GROUP BY 1, 2))""", ["seg"]),
 })

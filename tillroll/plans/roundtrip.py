@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.scalar import money, money_sum
 from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources import parsers as P
 from tillroll.sources import tables as tb
@@ -95,7 +96,7 @@ def report_branch_revenue(t: Tables) -> DataFrame:
 def report_item_sales(t: Tables) -> DataFrame:
     s = (tb.item_sales(t).groupBy("branch", "division", "group", "item")
          .agg(F.sum("qty").alias("qty"),
-              F.sum(F.col("total_amount").cast("decimal(18,2)")).cast("double").alias("amt")))
+              money_sum("total_amount").alias("amt")))
     sec = ["branch", "division", "group"]
     keys = s.select(*sec).distinct()
     parts = [keys.select(*sec, F.lit(i).alias("k"), F.lit("").alias("o"),
@@ -145,7 +146,7 @@ def report_customer_orders(t: Tables) -> DataFrame:
                           F.col("c_mktsegment").alias("branch"))
     per = (o.groupBy("o_custkey")
            .agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"),
-                F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+                money_sum("o_totalprice")
                 .alias("total"), F.count("*").alias("n"))
            .join(c, F.col("o_custkey") == F.col("c_custkey")))
     stamp = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
@@ -225,7 +226,7 @@ def report_division_summary(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag")
     p = t.part.select("p_partkey", "p_type")
     o = tb._orders_with_branch(t).select("o_orderkey", "branch")
-    amt = F.col("l_extendedprice").cast("decimal(18,2)")
+    amt = money("l_extendedprice")
     s = (li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey)
          .groupBy("branch", F.concat(F.initcap("p_type"), F.lit(" Delivery")).alias("category"))
          .agg(*[F.coalesce(F.sum(F.when(F.col("l_returnflag") == f, amt)), F.lit(0))
