@@ -21,12 +21,22 @@ def py_clean_number(v):
     return None if math.isnan(x) else x
 
 
+LIMIT = 2 ** 63   # Spark integers are 64-bit; Python's are unbounded
+
+
+def py_int(p):
+    x = int(p)
+    if not -LIMIT <= x < LIMIT:
+        raise ValueError(p)
+    return x
+
+
 def py_duration(v):
     parts = v.replace(".", ":").split(":")
     if len(parts) != 3:
         return 0.0
     try:
-        h, m, s = (int(p) for p in parts)
+        h, m, s = (py_int(p) for p in parts)
     except ValueError:
         return None
     return h + m / 60 + s / 3600
@@ -34,7 +44,7 @@ def py_duration(v):
 
 def py_hour(v):
     try:
-        return int(v.replace(".", ":").strip().split(":")[0])
+        return py_int(v.replace(".", ":").strip().split(":")[0])
     except ValueError:
         return None
 
@@ -70,5 +80,5 @@ def test_duration_and_punch_hour_match_rule(spark, values):
         if want is None or d is None:
             assert want is None and d is None, (v, d, want)
         else:
-            assert abs(d - want) < 1e-9, (v, d, want)
+            assert d == want or abs(d - want) <= 1e-9 * max(1.0, abs(want)), (v, d, want)
         assert h == py_hour(v), (v, h, py_hour(v))

@@ -80,16 +80,16 @@ def duration_hours(c: str | Column) -> Column:
     are not integers give NULL.
     """
     parts = F.split(F.regexp_replace(col_(c), r"\.", ":"), ":")
-    h = F.get(parts, 0).try_cast("int")
-    m = F.get(parts, 1).try_cast("int")
-    s = F.get(parts, 2).try_cast("int")
+    h = F.get(parts, 0).try_cast("bigint")
+    m = F.get(parts, 1).try_cast("bigint")
+    s = F.get(parts, 2).try_cast("bigint")
     return F.when(F.size(parts) == 3, h + m / 60.0 + s / 3600.0).otherwise(F.lit(0.0))
 
 
 def punch_hour(c: str | Column) -> Column:
-    """Hour of a ``HH.MM.SS`` / ``HH:MM:SS`` punch; NULL when unparsable."""
+    """Hour of a ``HH.MM.SS`` / ``HH:MM:SS`` punch; NULL when unparsable (or beyond 64 bits)."""
     s = strip(F.regexp_replace(col_(c), r"\.", ":"))
-    return F.get(F.split(s, ":"), 0).try_cast("int")
+    return F.get(F.split(s, ":"), 0).try_cast("bigint")
 
 
 def shift_of(hour: str | Column) -> Column:

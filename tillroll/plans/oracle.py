@@ -43,7 +43,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
                    ELSE 'Night (22–06)' END AS shift,
               dayname(date) AS day_of_week
        FROM (SELECT *, TRY_CAST(split_part(replace(trim(punch_in), '.', ':'), ':', 1)
-                                AS INTEGER) AS punch_hour
+                                AS BIGINT) AS punch_hour
              FROM attendance WHERE work_hours > 0.5)""", ["attendance"]),
     "daily": ("""SELECT branch, shift, date, day_of_week,
               count(DISTINCT employee_id) AS staff_count
