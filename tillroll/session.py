@@ -60,7 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir() or None
     if not current:
-        current = tempfile.mkdtemp(prefix="tillroll-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        current = tempfile.mkdtemp(prefix="tillroll-ckpt-")      # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
