@@ -79,14 +79,18 @@ def split_cells(lines: DataFrame) -> DataFrame:
     projections reference a column instead of re-parsing the line.
     """
     df = lines.select("file", "block", "seq", "line", csv_split("line").alias("raw"))
-    df = df.withColumn("n_fields", F.size("raw"))
+    # the compacted cells are computed here, below the join, so every later
+    # reference reads a column instead of re-running the compaction
+    df = (df.withColumn("n_fields", F.size("raw"))
+            .withColumn("vals", compact_cells("raw")))
     first = (df.groupBy("file")
              .agg(F.min_by("n_fields", F.struct(*ORDER)).alias("width")))
     pad = F.array_repeat(F.lit(None).cast("string"),
                          F.greatest(F.col("width") - F.col("n_fields"), F.lit(0)).cast("int"))
     return (df.join(first, "file")
             .filter(F.col("n_fields") <= F.col("width"))
-            .select("file", "block", "seq", "line", F.concat("raw", pad).alias("cells")))
+            .select("file", "block", "seq", "line", F.concat("raw", pad).alias("cells"),
+                    "vals"))
 
 
 def csv_cells(line: str | Column, n_cells: int) -> Column:
@@ -134,9 +138,10 @@ def drop_boilerplate(df: DataFrame, cells: str = "cells",
 
 
 def with_values(df: DataFrame) -> DataFrame:
-    """Add ``vals`` (stripped non-empty cells) and ``first`` (vals[0]); drop empty rows."""
-    return (df.withColumn("vals", compact_cells("cells"))
-              .filter(F.size("vals") > 0)
+    """Add ``vals`` (stripped non-empty cells, unless present) and ``first``; drop empty rows."""
+    if "vals" not in df.columns:
+        df = df.withColumn("vals", compact_cells("cells"))
+    return (df.filter(F.size("vals") > 0)
               .withColumn("first", F.get(F.col("vals"), 0)))
 
 
