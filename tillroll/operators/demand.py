@@ -68,8 +68,8 @@ def demand_forecast(monthly: DataFrame, n_months: int = 3,
     forecast = max(intercept + slope * (n + step), 0); the band is a flat
     -10 % / +10 %; variance_pct compares with the historical mean.
     """
-    if not 1 <= int(n_months) <= 120:
-        raise ValueError("n_months must be within 1..120")
+    if not 1 <= int(n_months) <= 12:
+        raise ValueError("n_months must be within 1..12")
     st = series_stats(monthly, branch)
     last_month = F.make_date((F.col("last_period") / 100).cast("int"),
                              (F.col("last_period") % 100).cast("int"), F.lit(1))
