@@ -78,9 +78,11 @@ def test_round_trips_exact_when_files_split_into_many_blocks(spark):
     try:
         for name in ["report_delivery_lines", "report_attendance", "report_item_sales"]:
             df = E.queries()[name](spark, SF)
-            blocks = df.sparkSession.read.text(
-                df.inputFiles()).select("_metadata.file_block_start").distinct().count()
-            assert blocks > 3, name
+            files = df.inputFiles()
+            splits = (df.sparkSession.read.text(files)
+                      .select("_metadata.file_path", "_metadata.file_block_start")
+                      .distinct().count())
+            assert splits > len(files), name          # some file is read as several splits
             got = [tuple(r) for r in df.collect()]
             res = con.execute(E.oracle_sql()[name])
             want_cols = [d[0] for d in res.description]
