@@ -31,16 +31,15 @@ def paid_lines(lines: DataFrame, item: str = "item", qty: str = "qty", price: st
     """Lines with price > 0, item names stripped and upper-cased, excluded items dropped.
 
     ``exclude`` is a list of names, or a one-column DataFrame of names (an
-    exclusion list kept as data), applied as a broadcast anti join; such a
-    list is small by nature and the broadcast is the planner's size-checked
-    hint.
+    exclusion list kept as data), applied as an anti join; the planner
+    broadcasts it when its size is under the broadcast threshold.
     """
     df = (lines.filter(F.col(price) > 0)
           .withColumn("item", F.upper(strip(item)))
           .withColumn("qty", F.col(qty)))
     if isinstance(exclude, DataFrame):
         names = exclude.select(F.upper(strip(exclude.columns[0])).alias("item"))
-        df = df.join(F.broadcast(names), "item", "left_anti")
+        df = df.join(names, "item", "left_anti")
     elif exclude:
         df = df.filter(~F.col("item").isin(list(exclude)))
     return df
