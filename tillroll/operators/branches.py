@@ -3,8 +3,8 @@
 Inputs: monthly sales (branch, year, month_num, total_sales), branch revenue
 (branch, revenue), menu channels (branch, menu_channel, num_customers, sales)
 and a candidates table (location, growth_factor, demand_base,
-competition_risk).  Network-wide scalars are one-row global aggregates joined
-back with a broadcast (exactly one row by construction).
+competition_risk).  Network-wide scalars are one-row global aggregates used as
+scalar subqueries (no joins).
 """
 
 from __future__ import annotations
