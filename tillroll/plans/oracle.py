@@ -628,7 +628,7 @@ SELECT c_mktsegment AS branch, 'Person_' || CAST(c_custkey AS VARCHAR) AS custom
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, c_custkey""")
 oracle("report_attendance", [], """, x AS (SELECT 1)
 SELECT CAST(user_id AS INTEGER) AS employee_id,
-       'Person_' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS employee_name,
+       format('Person_{:04d}', user_id) AS employee_name,
        'Store ' || event_type AS branch, CAST(ts AS DATE) AS date,
        strftime(ts, '%H.%M.%S') AS punch_in,
        h + m / 60.0::DOUBLE + s / 3600.0::DOUBLE AS work_hours

@@ -176,7 +176,7 @@ def report_attendance(t: Tables) -> DataFrame:
     uid = F.col("user_id").cast("string")
     emp = keys.select(*sec, F.lit(0).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
                       csv_line(["", F.concat(F.lit("EMP ID :"), uid, F.lit(".0")),
-                                F.concat(F.lit("NAME :Person_"), F.lpad(uid, 4, "0"))], 6)
+                                F.format_string("NAME :Person_%04d", "user_id")], 6)
                       .alias("text"))
     branch = keys.select(*sec, F.lit(1).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
                          csv_line(["", F.concat(F.lit("Store "), F.col("event_type"))], 6)

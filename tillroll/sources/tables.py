@@ -163,8 +163,7 @@ def attendance(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_type", "ts", "value")
     return e.select(
         F.col("user_id").alias("employee_id"),
-        F.concat(F.lit("Person_"), F.lpad(F.col("user_id").cast("string"), 4, "0"))
-        .alias("employee_name"),
+        F.format_string("Person_%04d", "user_id").alias("employee_name"),
         F.col("event_type").alias("branch"),
         F.to_date("ts").alias("date"),
         F.date_format("ts", "HH.mm.ss").alias("punch_in"),
