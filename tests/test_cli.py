@@ -21,3 +21,14 @@ def test_run_writes_available_analyses(spark, tmp_path):
         if f.endswith(".json"):
             lines += [json.loads(x) for x in open(tmp_path / "staffing_kpis" / f)]
     assert lines == [{"n_slots": 7, "total_recommended": 15, "n_at_risk": 7}]
+
+
+def test_ingest_writes_parsed_datasets(spark, tmp_path):
+    from tillroll.__main__ import main
+    assert main(["ingest", REFERENCE_DATA, str(tmp_path)]) == 0
+    written = sorted(os.listdir(tmp_path))
+    assert {"monthly_sales", "attendance", "division_summary"} <= set(written)
+    assert "sales_by_item" not in written                 # its report is not shipped
+    assert spark.read.parquet(str(tmp_path / "monthly_sales")).count() == 19
+    assert spark.read.parquet(str(tmp_path / "attendance")).count() == 311
+
