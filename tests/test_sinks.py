@@ -1,4 +1,6 @@
 """Result sinks."""
+
+
 def test_json_rows_sink(spark, tmp_path):
     from tillroll.sources.sinks import json_rows, write_result
     df = spark.createDataFrame([("a", 1.5, None)], "branch string, x double, y string")
