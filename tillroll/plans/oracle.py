@@ -220,24 +220,25 @@ oracle("beverage_gap", ["share"], """SELECT branch, bev AS beverage_share_pct,
             ELSE 'red' END AS status
   FROM (SELECT branch, sum(round_even(share_pct, 2)) AS bev FROM share
         WHERE segment IN ('coffee', 'milkshake') GROUP BY branch)""")
-oracle("growth_actions", ["seg", "share"], """, flags AS (
-    SELECT coalesce(bool_or(segment = 'coffee'), false) AS has_top_coffee,
-           coalesce(bool_or(segment = 'milkshake'), false) AS has_top_milkshake FROM seg),
-  under AS (SELECT list_sort(list(branch)) AS under_coffee FROM share
-            WHERE segment = 'coffee' AND round_even(share_pct, 2) < 20),
-  acts AS (
-    SELECT 1 AS ordinal, 'Star Product Upsell' AS strategy, 'coffee' AS target,
-           has_top_coffee AS fired FROM flags
-    UNION ALL SELECT 2, 'Coffee + Chimney Cake Combo Bundle', 'coffee + chimney_cake', true
-    UNION ALL SELECT 3, 'Branch-Level Coffee Drive',
-           'Branches: ' || array_to_string(under_coffee, ', '),
-           coalesce(len(under_coffee) > 0, false) FROM under
-    UNION ALL SELECT 4, 'Seasonal Milkshake Menu', 'milkshake', has_top_milkshake FROM flags
-    UNION ALL SELECT 5, 'Off-Peak Happy Hour', 'coffee + milkshake', true)
-SELECT CAST(rank AS INTEGER) AS rank, strategy, target,
-       CASE rank WHEN 1 THEN 'IMMEDIATE' WHEN 2 THEN 'IMMEDIATE' WHEN 3 THEN 'THIS MONTH'
-                 WHEN 4 THEN 'THIS QUARTER' WHEN 5 THEN 'THIS QUARTER' ELSE 'PLANNED' END AS priority
-  FROM (SELECT *, row_number() OVER (ORDER BY ordinal) AS rank FROM acts WHERE fired)""")
+CTES["gactions"] = ("""SELECT CAST(rank AS INTEGER) AS rank, strategy, target,
+              CASE rank WHEN 1 THEN 'IMMEDIATE' WHEN 2 THEN 'IMMEDIATE' WHEN 3 THEN 'THIS MONTH'
+                        WHEN 4 THEN 'THIS QUARTER' WHEN 5 THEN 'THIS QUARTER'
+                        ELSE 'PLANNED' END AS priority
+       FROM (SELECT *, row_number() OVER (ORDER BY ordinal) AS rank FROM (
+               SELECT 1 AS ordinal, 'Star Product Upsell' AS strategy, 'coffee' AS target,
+                      (SELECT coalesce(bool_or(segment = 'coffee'), false) FROM seg) AS fired
+               UNION ALL SELECT 2, 'Coffee + Chimney Cake Combo Bundle', 'coffee + chimney_cake',
+                      true
+               UNION ALL SELECT 3, 'Branch-Level Coffee Drive',
+                      'Branches: ' || array_to_string(u.under_coffee, ', '),
+                      coalesce(len(u.under_coffee) > 0, false)
+                 FROM (SELECT list_sort(list(branch)) AS under_coffee FROM share
+                       WHERE segment = 'coffee' AND round_even(share_pct, 2) < 20) u
+               UNION ALL SELECT 4, 'Seasonal Milkshake Menu', 'milkshake',
+                      (SELECT coalesce(bool_or(segment = 'milkshake'), false) FROM seg)
+               UNION ALL SELECT 5, 'Off-Peak Happy Hour', 'coffee + milkshake', true)
+             WHERE fired)""", ["seg", "share"])
+oracle("growth_actions", ["gactions"], "SELECT * FROM gactions")
 
 
 # --- branches / expansion -----------------------------------------------------
@@ -537,7 +538,8 @@ oracle("demand_insight", ["st", "fc"], """SELECT st.branch,
               growth_pct, 3, avg_forecast) AS insight
   FROM st JOIN (SELECT branch, avg(round_even(forecast, 2)) AS avg_forecast FROM fc
                 GROUP BY branch) r ON st.branch = r.branch""")
-oracle("network_overview", ["fc", "signals", "cand", "shift_summary", "seg", "rules"], """,
+oracle("network_overview", ["fc", "signals", "cand", "shift_summary", "seg", "rules",
+                            "gactions"], """,
   rk AS (SELECT branch, avg(round_even(forecast, 2)) AS avg_forecast FROM fc GROUP BY branch),
   dem AS (SELECT arg_max(branch, avg_forecast) AS top_branch,
                  arg_min(branch, avg_forecast) AS bottom_branch,
@@ -566,8 +568,12 @@ oracle("network_overview", ["fc", "signals", "cand", "shift_summary", "seg", "ru
                                    coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS a FROM seg)))),
   nr AS (SELECT count(*) AS n_rules FROM rules),
   cb AS (SELECT antecedents || ' + ' || consequents AS top_combo FROM rules
-         ORDER BY lift DESC, antecedents, consequents LIMIT 1)
-SELECT * FROM dem, sg, best, stf, tot, nr LEFT JOIN cb ON true""")
+         ORDER BY lift DESC, antecedents, consequents LIMIT 1),
+  c3 AS (SELECT string_agg(antecedents || ' + ' || consequents, ' | '
+                           ORDER BY lift DESC, antecedents, consequents) AS top_combos
+         FROM (SELECT * FROM rules ORDER BY lift DESC, antecedents, consequents LIMIT 3)),
+  ga AS (SELECT string_agg(strategy, '; ' ORDER BY rank) AS actions FROM gactions)
+SELECT * FROM dem, sg, best, stf, tot, nr, c3, ga LEFT JOIN cb ON true""")
 
 
 # --- remaining report pieces ----------------------------------------------------

@@ -21,7 +21,8 @@ CHANNELS = tb.DRIVER_CHANNELS
 
 def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
     """One row: demand ranking ends and spread, expansion verdict, best site, staffing
-    alerts, beverage shares and status, rule count and the strongest combo."""
+    alerts, beverage shares and status, rule count, the strongest combos and the
+    triggered growth actions."""
     monthly = tb.monthly_sales(t)
     rank = (demand.demand_forecast(monthly, n_months).groupBy("branch")
             .agg(F.avg(F.bround("forecast", 2)).alias("avg_forecast")))
@@ -41,6 +42,16 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
     rules = baskets.association_rules(baskets.frequent_itemsets(bk, 0.02), 1.0, 0.1)
     best_rule = (rules.orderBy(F.desc("lift"), "antecedents", "consequents").limit(1)
                  .select(F.concat_ws(" + ", "antecedents", "consequents")))
+    # the three strongest rules, ordered inside one bounded sorted list
+    top3 = (rules.orderBy(F.desc("lift"), "antecedents", "consequents").limit(3)
+            .agg(F.sort_array(F.collect_list(F.struct(
+                F.negative("lift").alias("k"), "antecedents", "consequents"))).alias("s"))
+            .select(F.when(F.size("s") > 0, F.array_join(F.transform(
+                "s", lambda x: F.concat_ws(" + ", x["antecedents"], x["consequents"])), " | "))))
+    # triggered growth actions in priority order (at most five rows)
+    acts = (segments.growth_actions(seg, segments.segment_share(seg))
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "strategy"))).alias("a"))
+            .select(F.array_join(F.transform("a", lambda x: x["strategy"]), "; ")))
 
     # every other part is a scalar subquery on the one-row demand summary
     coffee = tot.select("coffee_share_pct").scalar()
@@ -59,4 +70,6 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
         beverage_status(F.bround(coffee, 2) + F.bround(shake, 2)).alias("beverage_status"),
         rules.agg(F.count("*")).scalar().alias("n_rules"),
         best_rule.scalar().alias("top_combo"),
+        top3.scalar().alias("top_combos"),
+        acts.scalar().alias("actions"),
     )
