@@ -538,7 +538,7 @@ oracle("demand_insight", ["st", "fc"], """SELECT st.branch,
               growth_pct, 3, avg_forecast) AS insight
   FROM st JOIN (SELECT branch, avg(round_even(forecast, 2)) AS avg_forecast FROM fc
                 GROUP BY branch) r ON st.branch = r.branch""")
-oracle("network_overview", ["fc", "signals", "cand", "shift_summary", "seg", "rules",
+oracle("network_overview", ["fc", "st", "signals", "cand", "shift_summary", "seg", "rules",
                             "gactions"], """,
   rk AS (SELECT branch, avg(round_even(forecast, 2)) AS avg_forecast FROM fc GROUP BY branch),
   dem AS (SELECT arg_max(branch, avg_forecast) AS top_branch,
@@ -572,8 +572,10 @@ oracle("network_overview", ["fc", "signals", "cand", "shift_summary", "seg", "ru
   c3 AS (SELECT string_agg(antecedents || ' + ' || consequents, ' | '
                            ORDER BY lift DESC, antecedents, consequents) AS top_combos
          FROM (SELECT * FROM rules ORDER BY lift DESC, antecedents, consequents LIMIT 3)),
-  ga AS (SELECT string_agg(strategy, '; ' ORDER BY rank) AS actions FROM gactions)
-SELECT * FROM dem, sg, best, stf, tot, nr, c3, ga LEFT JOIN cb ON true""")
+  ga AS (SELECT string_agg(strategy, '; ' ORDER BY rank) AS actions FROM gactions),
+  wd AS (SELECT arg_min(branch, growth_pct) AS worst_declining_branch FROM st
+         WHERE growth_pct < -5)
+SELECT * FROM dem, sg, best, stf, tot, nr, c3, ga, wd LEFT JOIN cb ON true""")
 
 
 # --- remaining report pieces ----------------------------------------------------

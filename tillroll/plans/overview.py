@@ -61,6 +61,8 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
         "top_branch", "bottom_branch",
         ((F.col("top_avg") - F.col("bottom_avg"))
          / F.greatest(F.col("bottom_avg"), F.lit(1.0)) * 100).alias("demand_spread_pct"),
+        demand.worst_decline(monthly).select("worst_branch").scalar()
+        .alias("worst_declining_branch"),
         sig.select("feasibility").scalar().alias("feasibility"),
         network_growth_label(growth).alias("network_growth"),
         ranked.agg(F.max_by("location", "composite_score")).scalar().alias("top_location"),
