@@ -241,3 +241,18 @@ def test_order_baskets_equal_generic_build(spark):
     b = baskets.build_baskets(tb.delivery_lines(t)).select(
         "branch", "customer", F.array_join("items", "|").alias("i"))
     assert rows(a) == rows(b)
+
+
+def test_combo_summary_falls_back_to_single_items(spark):
+    lines = spark.createDataFrame(BASKET_LINES, "branch string, customer string, item string, "
+                                                "qty double, price double")
+    m = baskets.mine(baskets.build_baskets(lines), 0.2)
+    with_rules = baskets.combo_summary(baskets.association_rules(m.itemsets, 1.0, 0.1),
+                                       m.n_baskets, lines)
+    assert {r["method"] for r in with_rules.collect()} == {"apriori"}
+    none = baskets.combo_summary(baskets.association_rules(m.itemsets, 99.0, 0.1),
+                                 m.n_baskets, lines)
+    got = [(r["method"], r["items"], r["qty"]) for r in none.orderBy(F.desc("qty"), "items")
+           .collect()]
+    assert got[0] == ("top_single_items", "LATTE", 5.0)
+    assert all(g[0] == "top_single_items" for g in got)

@@ -271,3 +271,24 @@ def top_items_by_revenue(sales: DataFrame, top_n: int = 20) -> DataFrame:
     return (sales.filter(F.col("item").isNotNull()).groupBy("item")
             .agg(money_sum("total_amount").alias("total_revenue"), F.sum("qty").alias("total_qty"))
             .orderBy(F.desc("total_revenue"), "item").limit(int(top_n)))
+
+
+def combo_summary(rules: DataFrame, n_baskets: int, lines: DataFrame,
+                  top_n: int = K.TOP_COMBOS) -> DataFrame:
+    """method, items, support, confidence, lift, qty, recommendation.
+
+    The top rules (``method`` = apriori); when there are none, the best-selling
+    single items instead (``method`` = top_single_items).  The switch is a
+    scalar subquery on the rule count, decided inside the plan.
+    """
+    combos = combo_top(rules, n_baskets, top_n)
+    n = combos.agg(F.count("*")).scalar()
+    none = F.lit(None).cast("double")
+    a = combos.filter(n > 0).select(
+        F.lit("apriori").alias("method"), "items", "support", "confidence", "lift",
+        none.alias("qty"), "recommendation")
+    b = top_items_by_qty(lines, 10).filter(n == 0).select(
+        F.lit("top_single_items").alias("method"), F.col("item").alias("items"),
+        none.alias("support"), none.alias("confidence"), none.alias("lift"), "qty",
+        "recommendation")
+    return a.unionByName(b)

@@ -415,6 +415,18 @@ oracle("combo_top", ["combos"], """SELECT *,
        format('Bundle ''{}'' — {:,.0f}% of customers who buy one also buy the other (lift {:,.2f}x)',
               items, confidence * 100, lift) AS recommendation
   FROM combos""")
+oracle("combo_summary", ["combos", "delivery_lines"], """, ti AS (
+    SELECT item, qty FROM (SELECT upper(trim(item)) AS item, sum(qty) AS qty FROM delivery_lines
+                           WHERE price > 0 AND item IS NOT NULL GROUP BY 1)
+     ORDER BY qty DESC, item LIMIT 10)
+SELECT 'apriori' AS method, items, support, confidence, lift, CAST(NULL AS DOUBLE) AS qty,
+       format('Bundle ''{}'' — {:,.0f}% of customers who buy one also buy the other (lift {:,.2f}x)',
+              items, confidence * 100, lift) AS recommendation
+  FROM combos
+UNION ALL
+SELECT 'top_single_items', item, NULL, NULL, NULL, qty,
+       format('Promote {} as a featured item (sold {:.0f} units)', item, qty)
+  FROM ti WHERE (SELECT count(*) FROM combos) = 0""")
 oracle("combo_kpis", ["combos"], """SELECT count(*) AS n_rules,
        count(*) FILTER (WHERE lift >= 2) AS n_strong, max(lift) AS max_lift,
        avg(confidence) AS mean_confidence,

@@ -241,6 +241,12 @@ def q_combo_kpis(t: Tables) -> DataFrame:
     return baskets.combo_kpis(baskets.combo_top(*_rules(t), 10))
 
 
+@query("combo_summary")
+def q_combo_summary(t: Tables) -> DataFrame:
+    """Top rules, or the best-selling single items when no rule exists."""
+    return baskets.combo_summary(*_rules(t), tb.delivery_lines(t), 10)
+
+
 @query("item_pairs")
 def q_item_pairs(t: Tables) -> DataFrame:
     return baskets.item_pairs(_baskets(t), 20)
