@@ -1,0 +1 @@
+"""Native column expressions and the fixed values they use."""

@@ -1,0 +1 @@
+"""DataFrame -> DataFrame analyses: staffing, demand, branches, segments, baskets, topics."""

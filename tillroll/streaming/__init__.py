@@ -1,0 +1 @@
+"""Structured Streaming ingestion of report files."""
