@@ -131,3 +131,28 @@ def test_forecast_branch_and_unknown_branch(cat):
     assert len(missing) == 1 and missing[0]["error"] == "No data for this branch"
     w = demand.worst_decline(m).collect()[0]
     assert w["worst_branch"] == "Conut" and round(w["worst_growth_pct"], 2) == -87.75
+
+
+def test_remaining_survey_goldens(cat):
+    m = cat["monthly_sales"]
+    growth = {b: round(v, 2) for b, v in by_branch(demand.demand_growth(m), "growth_pct").items()}
+    assert growth == {"Conut": -87.75, "Conut - Tyre": 114.48, "Conut Jnah": 691.71,
+                      "Main Street Coffee": 2007.90}
+    mean = by_branch(demand.demand_growth(m), "historical_mean")
+    assert round(mean["Conut - Tyre"], 2) == 1035377151.15
+    assert round(mean["Conut Jnah"], 2) == 1137869256.05
+    assert round(mean["Main Street Coffee"], 2) == 1328045342.59
+    avg = {r["branch"]: r["avg_forecast"] for r in demand.demand_ranking(m, 3).collect()}
+    assert avg == pytest.approx({"Conut": 616735453.35, "Conut - Tyre": 1746603940.90,
+                                 "Conut Jnah": 3243035859.59,
+                                 "Main Street Coffee": 4490668959.09}, abs=0.01)
+    k = {r["branch"]: r for r in branches.branch_kpis(m, cat["branch_revenue"],
+                                                       cat["menu_avg_sales"]).collect()}
+    for b in ("Conut Jnah", "Main Street Coffee"):
+        assert (k[b]["pct_delivery"], k[b]["pct_table"], k[b]["pct_take_away"]) == (0.0, 100.0, 0.0)
+    h = {r["branch"]: r for r in staffing.hours_by_branch(cat["attendance"]).collect()}
+    got = {b: (round(r["avg_hours"], 4), round(r["median_hours"], 4), round(r["min_hours"], 4),
+               round(r["max_hours"], 4), r["shift_records"]) for b, r in h.items()}
+    assert got["Conut Jnah"] == (7.7934, 8.2374, 2.9767, 23.7172, 72)
+    assert got["Main Street Coffee"] == (9.0572, 9.0643, 0.5614, 23.97, 106)
+    assert cat["attendance"].filter("work_hours > 0.5").select("employee_id").distinct().count() == 15
