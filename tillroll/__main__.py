@@ -34,7 +34,9 @@ def analyses(cat: dict[str, DataFrame]) -> dict[str, DataFrame]:
                    demand_trend=demand.demand_trend(m), demand_insight=demand.demand_insight(m))
         if "branch_revenue" in cat and "menu_avg_sales" in cat:
             k = branches.branch_kpis(m, cat["branch_revenue"], cat["menu_avg_sales"])
-            out.update(branch_kpis=k, expansion_signals=branches.expansion_signals(k))
+            # KPI rows ordered by branch at the sink (one row per branch)
+            out.update(branch_kpis=k.orderBy("branch"),
+                       expansion_signals=branches.expansion_signals(k))
     if "sales_by_item" in cat:
         seg = segments.classify(cat["sales_by_item"])
         share = segments.segment_share(seg)
