@@ -27,3 +27,16 @@ def test_stream_ingests_new_files_once(spark, tmp_path):
     assert both.select("batch").distinct().count() == 2
     assert both.count() == 2 * want.count()
     assert both.filter("branch = 'Gamma'").count() == want.filter("branch = 'Alpha'").count()
+
+
+def test_continuous_trigger(spark, tmp_path):
+    src, sink, ckpt = tmp_path / "in", tmp_path / "out", tmp_path / "ckpt"
+    src.mkdir()
+    q = start_report_ingestion(spark, str(src), P.parse_monthly_sales, str(sink), str(ckpt),
+                               available_now=False, processing_time="1 second")
+    try:
+        shutil.copy(fixture_path("monthly.csv"), src / "a.csv")
+        q.processAllAvailable()
+        assert read_ingested(spark, str(sink)).count() == 5
+    finally:
+        q.stop()
