@@ -82,3 +82,47 @@ def test_duration_and_punch_hour_match_rule(spark, values):
         else:
             assert d == want or abs(d - want) <= 1e-9 * max(1.0, abs(want)), (v, d, want)
         assert h == py_hour(v), (v, h, py_hour(v))
+
+
+from tillroll.functions import constants as K  # noqa: E402
+from tillroll.functions.scalar import segment_of  # noqa: E402
+
+
+def py_segment(item):
+    up = item.upper()
+    if any(k in up for k in K.MILKSHAKE_KEYWORDS):
+        return "milkshake"
+    if any(k in up for k in K.COFFEE_KEYWORDS):
+        return "coffee"
+    if any(k in up for k in K.CHIMNEY_KEYWORDS):
+        return "chimney_cake"
+    return "other"
+
+
+def py_topic(text):
+    q = text.lower()
+    scores = {t: sum(1 for kw in kws if kw in q) for t, kws in K.TOPIC_KEYWORDS.items()}
+    best = max(scores, key=lambda t: scores[t])
+    return best if scores[best] > 0 else K.TOPIC_FALLBACK
+
+
+fragments = st.sampled_from(["latte", "SHAKE", "frappe", "Mocha", "conut", "chimney", "tea",
+                             " ", "milk", "hot chocolate", "Flat White", "cake", "x"])
+words = st.sampled_from(["staff", "shift", "combo", "pair", "demand", "forecast", "open",
+                         "site", "coffee", "milkshake", "bev", "how many staff", "hello", " ",
+                         "Shifts", "BUNDLE", "new store", "units", "drink"])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(fragments, max_size=4).map("".join), min_size=1, max_size=30))
+def test_segment_matches_rule(spark, items):
+    assert evaluate(spark, items, segment_of) == [py_segment(i) for i in items]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(words, max_size=6).map(" ".join), min_size=1, max_size=30))
+def test_topic_matches_rule(spark, texts):
+    from tillroll.operators.topics import classify_topics
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = [r["topic"] for r in classify_topics(df).orderBy("id").collect()]
+    assert got == [py_topic(t) for t in texts]
