@@ -126,3 +126,21 @@ def test_topic_matches_rule(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
     got = [r["topic"] for r in classify_topics(df).orderBy("id").collect()]
     assert got == [py_topic(t) for t in texts]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.floats(min_value=1.0, max_value=1e9, allow_nan=False), min_size=2,
+                max_size=14))
+def test_forecast_matches_numpy_least_squares(spark, sales):
+    import numpy as np
+
+    from tillroll.operators.demand import demand_forecast
+    rows_ = [("b", 2024 + (i // 12), i % 12 + 1, v) for i, v in enumerate(sales)]
+    m = spark.createDataFrame(rows_, "branch string, year int, month_num int, total_sales double")
+    got = [r["forecast"] for r in demand_forecast(m, 3).orderBy("step").collect()]
+    t = np.arange(1, len(sales) + 1)
+    slope, intercept = np.polyfit(t, np.array(sales), 1)
+    want = [max(intercept + slope * (len(sales) + k), 0.0) for k in (1, 2, 3)]
+    scale = max(sales)
+    for g, w in zip(got, want):
+        assert abs(g - w) <= 1e-6 * scale, (g, w)
