@@ -1,11 +1,14 @@
 """Skew-safe operators stay exact when one group holds most rows."""
 import itertools
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
+from test_operators import brute_rules
 from tillroll.operators import baskets
 from tillroll.sources.reports import forward_fill, forward_fill_blocked
 
@@ -90,3 +93,20 @@ def test_round_trips_exact_when_files_split_into_many_blocks(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.sets(st.sampled_from(["A", "B", "C", "D", "E"]), min_size=1, max_size=4),
+                min_size=5, max_size=25))
+def test_rules_match_brute_force_on_random_baskets(spark, sets):
+    recs = [("b", f"c{j}", item, 1.0, 1.0) for j, s in enumerate(sets) for item in s]
+    lines = spark.createDataFrame(recs, "branch string, customer string, item string, "
+                                        "qty double, price double")
+    bk = baskets.build_baskets(lines)
+    m = baskets.mine(bk, 0.2)
+    got = {(r["antecedents"], r["consequents"]): (r["support"], r["confidence"], r["lift"])
+           for r in baskets.association_rules(m.itemsets, 1.0, 0.3).collect()}
+    want = brute_rules([set(s) for s in sets], 0.2, 1.0, 0.3)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
