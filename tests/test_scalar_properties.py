@@ -1,6 +1,8 @@
 """Native number/duration/punch parsing agrees with plain-Python rules on random text."""
 import math
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -144,3 +146,41 @@ def test_forecast_matches_numpy_least_squares(spark, sales):
     scale = max(sales)
     for g, w in zip(got, want):
         assert abs(g - w) <= 1e-6 * scale, (g, w)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["n", "s", "e"]),
+                          st.floats(min_value=0.0, max_value=30.0, allow_nan=False)),
+                min_size=1, max_size=40))
+def test_hours_stats_match_pandas(spark, data):
+    import pandas as pd
+
+    from tillroll.operators.staffing import hours_by_branch
+    att = spark.createDataFrame(data, "branch string, work_hours double")
+    got = {r["branch"]: r for r in hours_by_branch(att).collect()}
+    pdf = pd.DataFrame(data, columns=["branch", "work_hours"])
+    pdf = pdf[pdf["work_hours"] > 0.5]
+    want = pdf.groupby("branch")["work_hours"].agg(["mean", "median", "min", "max", "count"])
+    assert set(got) == set(want.index)
+    for b, w in want.iterrows():
+        g = got[b]
+        assert g["avg_hours"] == pytest.approx(w["mean"])
+        assert g["median_hours"] == pytest.approx(w["median"])
+        assert (g["min_hours"], g["max_hours"], g["shift_records"]) == (w["min"], w["max"],
+                                                                        w["count"])
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["n", "s"]),
+                          st.sampled_from(["DELIVERY", "TABLE", "TAKE AWAY"]),
+                          st.integers(min_value=0, max_value=10 ** 7)),
+                min_size=1, max_size=20))
+def test_channel_mix_sums_to_100(spark, data):
+    from tillroll.operators.branches import channel_mix
+    menu = spark.createDataFrame([(b, c, x / 100) for b, c, x in data],
+                                 "branch string, menu_channel string, sales double")
+    for r in channel_mix(menu).collect():
+        total = r["sales_delivery"] + r["sales_table"] + r["sales_take_away"]
+        pct = r["pct_delivery"] + r["pct_table"] + r["pct_take_away"]
+        if total >= 1:
+            assert pct == pytest.approx(100.0)
