@@ -184,3 +184,45 @@ def test_channel_mix_sums_to_100(spark, data):
         pct = r["pct_delivery"] + r["pct_table"] + r["pct_take_away"]
         if total >= 1:
             assert pct == pytest.approx(100.0)
+
+
+def py_shift(hour):
+    if hour is None:
+        return K.SHIFT_UNKNOWN
+    if 6 <= hour < 14:
+        return K.SHIFT_MORNING
+    if 14 <= hour < 22:
+        return K.SHIFT_AFTERNOON
+    return K.SHIFT_NIGHT
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 6), st.sampled_from(["n", "s"]), st.integers(1, 5),
+                          st.integers(0, 23), st.floats(min_value=0.0, max_value=12.0,
+                                                        allow_nan=False)),
+                min_size=1, max_size=40))
+def test_shift_staffing_matches_pandas(spark, data):
+    import datetime as dt
+    import math as m
+
+    import pandas as pd
+
+    from tillroll.operators.staffing import shift_staffing
+    recs = [(e, b, dt.date(2025, 12, d), f"{h:02d}.10.00", w) for e, b, d, h, w in data]
+    att = spark.createDataFrame(recs, "employee_id int, branch string, date date, "
+                                      "punch_in string, work_hours double")
+    got = {(r["branch"], r["shift"]): (r["mean_staff"], r["max_staff"], r["min_staff"],
+                                       r["days_observed"], r["recommended_staff"])
+           for r in shift_staffing(att).collect()}
+    pdf = pd.DataFrame(recs, columns=["employee_id", "branch", "date", "punch_in", "work_hours"])
+    pdf = pdf[pdf["work_hours"] > 0.5].copy()
+    pdf["shift"] = [py_shift(int(p.split(".")[0])) for p in pdf["punch_in"]]
+    daily = pdf.groupby(["branch", "shift", "date"])["employee_id"].nunique()
+    want = {}
+    for (b, s), g in daily.groupby(level=[0, 1]):
+        mean = g.mean()
+        want[(b, s)] = (mean, g.max(), g.min(), len(g), int(min(m.ceil(mean * 1.15), g.max())))
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][0] == pytest.approx(want[k][0])
+        assert got[k][1:] == want[k][1:]
