@@ -226,3 +226,23 @@ def test_shift_staffing_matches_pandas(spark, data):
     for k in want:
         assert got[k][0] == pytest.approx(want[k][0])
         assert got[k][1:] == want[k][1:]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.floats(min_value=-100.0, max_value=1e7, allow_nan=False), min_size=1,
+                max_size=12))
+def test_growth_rates_match_formulas(spark, sales):
+    from tillroll.operators.branches import branch_growth
+    from tillroll.operators.demand import demand_growth
+    rows_ = [("b", 2025, i + 1, v) for i, v in enumerate(sales)]
+    m = spark.createDataFrame(rows_, "branch string, year int, month_num int, total_sales double")
+    g = demand_growth(m).collect()[0]["growth_pct"]
+    c = branch_growth(m).collect()[0]["monthly_growth_pct"]
+    first, last, n = sales[0], sales[-1], len(sales)
+    want_g = (last - first) / first * 100 if n > 1 and first > 0 else 0.0
+    if n >= 2 and first > 0 and last / first >= 0:
+        want_c = ((last / first) ** (1 / max(n - 1, 1)) - 1) * 100
+        assert c == pytest.approx(want_c, rel=1e-9, abs=1e-9)
+    elif not (n >= 2 and first > 0):
+        assert c == 0.0
+    assert g == pytest.approx(want_g, rel=1e-9, abs=1e-9)
