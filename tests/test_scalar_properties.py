@@ -246,3 +246,30 @@ def test_growth_rates_match_formulas(spark, sales):
     elif not (n >= 2 and first > 0):
         assert c == 0.0
     assert g == pytest.approx(want_g, rel=1e-9, abs=1e-9)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["n", "s", "e"]),
+                          st.sampled_from(["Iced Latte", "Vanilla Shake", "Chimney Roll",
+                                           "Water", "Frappe", "Donut"]),
+                          st.integers(min_value=0, max_value=10 ** 6)),
+                min_size=1, max_size=40))
+def test_segment_share_matches_pandas(spark, data):
+    import pandas as pd
+
+    from tillroll.operators.segments import classify, segment_share
+    recs = [(b, i, 1.0, c / 100) for b, i, c in data]
+    df = spark.createDataFrame(recs, "branch string, item string, qty double, total_amount double")
+    got = {(r["branch"], r["segment"]): (r["segment_revenue"], r["share_pct"])
+           for r in segment_share(classify(df)).collect()}
+    pdf = pd.DataFrame(recs, columns=["branch", "item", "qty", "total_amount"])
+    pdf["segment"] = [py_segment(i) for i in pdf["item"]]
+    seg = pdf.groupby(["branch", "segment"])["total_amount"].sum()
+    tot = pdf.groupby("branch")["total_amount"].sum()
+    assert set(got) == set(seg.index)
+    for (b, s), v in seg.items():
+        assert got[(b, s)][0] == pytest.approx(v)
+        if tot[b]:
+            assert got[(b, s)][1] == pytest.approx(v / tot[b] * 100)
+        else:
+            assert got[(b, s)][1] is None
