@@ -51,7 +51,7 @@ def py_hour(v):
         return None
 
 
-number_text = st.text(alphabet="0123456789,.-\" ", max_size=12)
+number_text = st.text(alphabet="0123456789,.-+eE\" \t\u00a0", max_size=12)
 clock_text = st.text(alphabet="0123456789.:", max_size=10)
 
 
