@@ -52,7 +52,7 @@ def py_hour(v):
 
 
 number_text = st.text(alphabet="0123456789,.-+eE\" \t\u00a0", max_size=12)
-clock_text = st.text(alphabet="0123456789.:", max_size=10)
+clock_text = st.text(alphabet="0123456789.:+- ", max_size=10)
 
 
 def evaluate(spark, values, fn):
