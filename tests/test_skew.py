@@ -110,3 +110,20 @@ def test_rules_match_brute_force_on_random_baskets(spark, sets):
     assert set(got) == set(want)
     for k in want:
         assert got[k] == pytest.approx(want[k])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["hot", "hot", "a"]), st.integers(0, 3),
+                          st.integers(0, 5), st.one_of(st.none(), st.sampled_from("xy")),
+                          st.one_of(st.none(), st.sampled_from("pq"))),
+                min_size=1, max_size=50))
+def test_blocked_fill_multi_column_struct_order(spark, data):
+    # block = chunk of the first order key; seq = (k1, position) as a struct
+    recs = [(g, k1, k1 * 100 + k2 * 10 + i % 10, i, u, v)
+            for i, (g, k1, k2, u, v) in enumerate(data)]
+    df = (spark.createDataFrame(recs, "file string, block long, k long, i long, u string, "
+                                      "v string")
+          .withColumn("seq", F.struct("k", "i")))
+    a = forward_fill_blocked(df, ["u", "v"])
+    b = forward_fill(df, ["u", "v"], ["file"], ["block", "k", "i"])
+    assert rows(a, "file", "i", "u", "v") == rows(b, "file", "i", "u", "v")
