@@ -45,3 +45,9 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(got_cols) == sorted(want_cols)
     assert len(got) == len(want)
     assert same(canon(got_cols, got), canon(want_cols, want))
+
+
+def test_every_query_is_documented():
+    import os
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "README.md")).read()
+    assert [k for k in QUERIES if f"`{k}`" not in readme] == []
