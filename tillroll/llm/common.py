@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of long texts that one Arrow batch may hold; a batch of very long texts stays in memory.
 BATCH_ROWS = 1000
+#: ... and bytes, by the batch's mean.
+BATCH_BYTES = 8 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,11 +55,12 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with one output batch for each slice of at most ``BATCH_ROWS`` rows."""
+    """``mapInArrow`` with one output batch for each slice of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                out = fn(batch.slice(start, BATCH_ROWS))
+            rows = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(start, rows))
                 if out is not None and out.num_rows:
                     yield out
     return df.mapInArrow(run, schema)

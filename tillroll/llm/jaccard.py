@@ -246,5 +246,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                     F.when(known, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Of every component the row with the smallest doc_id, in the columns of ``docs``.
+
+    Rows without words or without doc_id stay.  Rows equal in doc_id and text are
+    one group too: one of them stays.
+    """
+    ids = near_duplicates(docs, k, percent).where("doc_id is not null and n_shingles > 0 and doc_id != component_id")
+    dropped = ids.select(F.col("doc_id").alias("__jj_id")).distinct()
+    left = docs.join(dropped, F.col("doc_id").cast("long") == F.col("__jj_id"), "left_anti")
+    blank = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once = left.where(~blank).dropDuplicates(["doc_id"])
+    return left.where(blank).unionByName(once)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tillroll.llm import jaccard, lines, mixing
+from tillroll.llm import bpe, jaccard, lines, mixing, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_line_dedup": lines.op7_line_dedup,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
