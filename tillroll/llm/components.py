@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = now
     leaves = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.union(leaves.select("component", "component").distinct())
+
+
+class Forest:
+    """Spanning forest of links that one task sees among its members and passing queries."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.label = np.arange(len(ids))
+
+    def due(self, node: int, linked: np.ndarray) -> list[int]:
+        """Ids to which an edge from ``node`` is due so that it joins all ``linked`` members (positions)."""
+        if not len(linked):
+            return []
+        labels, first = np.unique(self.label[linked], return_index=True)
+        own = np.flatnonzero(self.ids == node)
+        if len(own):
+            first = first[labels != self.label[own[0]]]
+            labels = np.append(labels, self.label[own])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels.min()
+        return self.ids[linked[first]].tolist()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import lists, map_batches, mix, shingle_set, slices, table
-from tillroll.llm.components import connected_components
+from tillroll.llm.components import Forest, connected_components
 from tillroll.session import write_table
 
 #: Shingles below this hash have their frequency counted: a quarter of the hash space,
@@ -138,7 +138,7 @@ class _Group:
         self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]
         self.union, first = np.unique(flat[order], return_index=True)
         self.ends = np.append(first, len(flat))
-        self.label = np.arange(len(sets))          # members that a forest edge already joins
+        self.forest = Forest(self.ids)
 
     def open(self, doc: int, tokens: np.ndarray, percent: int) -> list[int]:
         """Members to which a forest edge from ``doc`` is due."""
@@ -150,15 +150,7 @@ class _Group:
         flat = np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
         common_ = np.bincount(self.members[flat], minlength=len(self.ids))
         linked = np.flatnonzero((100 * common_ >= percent * (len(tokens) + self.sizes - common_)) & (self.ids != doc))
-        if not len(linked):
-            return []
-        labels, first = np.unique(self.label[linked], return_index=True)
-        own = np.flatnonzero(self.ids == doc)
-        if len(own):
-            labels = np.append(labels, self.label[own])
-            first = first[self.label[linked[first]] != self.label[own[0]]]
-        self.label[np.isin(self.label, labels)] = labels.min()
-        return self.ids[linked[first]].tolist()
+        return self.forest.due(doc, linked)
 
 
 def _links(rows: DataFrame, percent: int) -> DataFrame:
