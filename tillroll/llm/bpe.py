@@ -30,7 +30,9 @@ from tillroll.session import ensure_checkpoint_dir
 #: Frequent words in the automaton.
 LEXICON_WORDS = 1 << 16
 #: Words whose ids a task keeps.
-CACHE = 400_000
+CACHE = 150_000
+#: Bytes of an Arrow batch that are worked on at once, by the batch's mean row.
+SLICE_BYTES = 2 << 20
 #: A word longer than this is not looked up.
 LONGEST = 32
 
@@ -301,7 +303,7 @@ def encode(docs: DataFrame, codec: Codec, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = codec.open()
         for b in batches:
-            rows = max(1, min(1000, (8 << 20) * b.num_rows // max(1, b.nbytes)))
+            rows = max(1, min(1000, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
                 yield pa.RecordBatch.from_arrays(
@@ -315,7 +317,7 @@ def decode(encoded: DataFrame, codec: Codec, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = codec.open()
         for b in batches:
-            rows = max(1, min(1000, (16 << 20) * b.num_rows // max(1, b.nbytes)))
+            rows = max(1, min(1000, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
                 texts = [lexicon.decode(ids.astype(np.int64)) for ids in slices(part.column(1))]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows of long texts that one Arrow batch may hold; a batch of very long texts stays in memory.
 BATCH_ROWS = 1000
 #: ... and bytes, by the batch's mean.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tillroll.llm import bpe, chat, hamming, hnsw, jaccard, lines, mixing, toxicity
+from tillroll.llm import attention, bpe, chat, hamming, hnsw, jaccard, lines, mixing, quality, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_embedding_dedup": hnsw.op2_embedding_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality": quality.op5_quality,
+    "op6_lm_scoring": attention.op6_lm_scoring,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_exact_top_k": hamming.op9_exact_top_k,

@@ -17,22 +17,28 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import fold_of, map_batches, table
 
 #: Labelled rows that learning uses at most (those with the lowest hash of the id).
-MAX_ROWS = 20_000
+MAX_ROWS = 10_000
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Letters that a stem has at least, and letters of a word that learning looks at.
 STEM_MIN, STEM_MAX = 3, 12
+#: Misspellings of an entry are expected this often, as a part of its exact hits, until seen.
+MISSPELT = 0.02
 #: A quoted hit has at most this part of the weight of the same hit unquoted.
 QUOTED = 0.3
 #: Characters to each side of a hit in which quotation marks are looked for.
 WINDOW = 60
+#: Contexts in toxic rows that a pattern has at least, and its log likelihood gain over chance
+#: (one in 400,000 patterns passes by chance).
+MIN_CONTEXTS, GAIN = 4, 13.0
 #: Words whose matches a task keeps.
 CACHE = 200_000
 
@@ -162,11 +168,11 @@ class Model:
                 for t in texts], dtype="float64")
 
 
-def _significant(toxic: int, clean: int, base: float, tested: int) -> bool:
-    """Whether a share of toxic rows this high is beyond chance among so many patterns."""
+def _significant(toxic: int, clean: int, base: float) -> bool:
+    """Whether a share of toxic contexts this high is beyond chance among very many patterns."""
     n, p = toxic + clean, toxic / (toxic + clean)
     gain = toxic * math.log(p / base) + (clean * math.log((1 - p) / (1 - base)) if clean else 0.0)
-    return p >= 0.5 and p > base and gain >= math.log(max(tested, 2)) + 3
+    return p >= 0.8 and p > base and gain >= GAIN
 
 
 def choose_entries(counts: dict[str, tuple[int, int]]) -> list[str]:
@@ -196,54 +202,64 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "__toxic")
 
-    def word_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        toxic, clean, rows = Counter(), Counter(), [0, 0]
+    def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: dict[tuple[str, int], int] = {}
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if label else clean).update(set(WORD.findall((text or "").lower())))
-            rows[bool(label)] += 1
-        both = [("", rows[1], rows[0])] + [(w, toxic[w], clean[w]) for w in toxic | clean]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*both)], ["word", "toxic", "clean"])
-
-    by_word = (map_batches(train, word_counts, "word string, toxic long, clean long")
-               .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+            w = ["", *WORD.findall((text or "").lower()), ""]
+            for before, word, after in zip(w, w[1:], w[2:]):
+                if len(word) >= STEM_MIN:
+                    key = word, xxhash.xxh3_64_intdigest(f"{before} {after}".encode()) >> 1
+                    found[key] = found.get(key, 0) | (1 if label else 2)
+        columns = ([k[0] for k in found], [k[1] for k in found], list(found.values()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
+                                          ["word", "context", "kinds"])
+
+    # copies of a text repeat its words with their neighbours: a word counts once for each pair of neighbours
+    by_word = (map_batches(train, contexts, "word string, context long, kinds long")
+               .groupBy("word", "context").agg(F.bit_or("kinds").alias("kinds"))
+               .groupBy("word").agg(F.count_if(F.col("kinds") == 1).alias("toxic"), F.count_if(F.col("kinds") > 1).alias("clean")))
     marked = F.concat("word", F.lit("$"))
-    stems = F.transform(F.sequence(F.lit(STEM_MIN), F.greatest(F.lit(STEM_MIN), F.least(F.length(marked), F.lit(STEM_MAX)))),
+    stems = F.transform(F.sequence(F.lit(STEM_MIN), F.least(F.length(marked), F.lit(STEM_MAX))),
                         lambda n: F.substring(marked, F.lit(1), n))
     whole = F.when(F.length(marked) > STEM_MAX, F.array(marked)).otherwise(F.array().cast("array<string>"))
-    by_stem = (by_word.where("word = '' or length(word) >= 2")
-               .select("toxic", "clean", F.explode(F.when(F.col("word") == "", F.array(F.lit(""))).otherwise(F.concat(stems, whole))).alias("p"))
+    by_stem = (by_word.select("toxic", "clean", F.explode(F.concat(stems, whole, F.array(F.lit("")))).alias("p"))
                .groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-               .where("p = '' or toxic >= 3 and toxic >= clean"))
+               .where(F.expr(f"p = '' or toxic >= {MIN_CONTEXTS} and toxic >= clean")))
     counts = {r.p: (r.toxic, r.clean) for r in by_stem.collect()}
-    n_toxic, n_clean = counts.pop("", (0, 0))
-    bias = math.log((n_toxic + 1) / (n_clean + 10))
-    if not n_toxic or not n_clean:
-        return Model([], {}, bias)
-    base = n_toxic / (n_toxic + n_clean)
-    entries = choose_entries({p: c for p, c in counts.items() if _significant(*c, base, max_rows)})
-
-    def evidence_counts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    all_toxic, all_clean = counts.pop("", (0, 0))
+    entries = []
+    if all_toxic and all_clean:
+        base = all_toxic / (all_toxic + all_clean)
+        entries = choose_entries({p: c for p, c in counts.items() if _significant(*c, base)})
+
+    def evidence_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         matcher, out = Matcher(entries), Counter()
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out[-1, 0, False, bool(label)] += 1
             out.update((*e, bool(label)) for e in matcher.evidence(text))
-        columns = list(zip(*((*k, n) for k, n in out.items()))) or [[]] * 5
+        columns = list(zip(*((*k, n) for k, n in out.items())))
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                           ["entry", "edits", "quoted", "toxic", "n"])
-    seen = Counter()
+    seen: Counter = Counter()
     for r in (map_batches(train, evidence_counts, "entry long, edits long, quoted boolean, toxic boolean, n long")
               .groupBy("entry", "edits", "quoted", "toxic").agg(F.sum("n").alias("n")).collect()):
         seen[r.entry, r.edits, r.quoted, r.toxic] = r.n
+    n_toxic, n_clean = seen[-1, 0, False, True], seen[-1, 0, False, False]
     weights = {}
     for i, entry in enumerate(entries):
+        expected = MISSPELT * (seen[i, 0, False, True] + seen[i, 0, True, True])
         for edits in range(edits_for(len(entry.rstrip("$"))) + 1):
             for quoted in (False, True):
                 t, c = seen[i, edits, quoted, True], seen[i, edits, quoted, False]
-                weight = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+                more = expected if edits else 0.5
+                weight = math.log((t + more) / (n_toxic + 1)) - math.log((c + (1 if edits else 0.5)) / (n_clean + 1))
+                if edits and c > t:                              # as common in clean rows: an ordinary word
+                    weight = 0.0
                 if quoted and not t + c:
                     weight = QUOTED * weights[i, edits, False]
                 weights[i, edits, quoted] = max(0.0, weight)
-    return Model(entries, weights, bias)
+    return Model(entries, weights, math.log((n_toxic + 1) / (n_clean + 10)))
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
