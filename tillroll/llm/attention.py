@@ -1,15 +1,16 @@
 """Language-model scoring with causal self-attention models in numpy.
 
 A text's words are cut into subword ids by the first merges of a public
-vocabulary.  Two attention models share the work: the outer one predicts a
-word's first id from the words before it (a word stands as the mean of its ids'
-vectors), the inner one predicts the other ids and the word's end from the ids
-before them in the word.  Their product is a distribution over texts.  Positions
-are scored in blocks that see the block before them: overlapping windows in
-which each id is scored once, many windows in one masked attention.  An id's
-probability is that of its class times that of the id within the class.  What
-the inner model says depends on the word alone, so equal words of a task are
-scored once.
+vocabulary.  The outer model predicts a word's first id by attention over the
+words before it (a word stands as the mean of its ids' vectors).  What follows in
+the word is a mixture: the counts of frequent words in all training documents,
+and the inner model, which predicts the other ids and the word's end by attention
+over the ids before them in the word.  The product is a distribution over texts.
+Positions are scored in blocks that see the block before them: overlapping
+windows in which each position is scored once, many windows in one masked
+attention.  An id's probability is that of its class times that of the id within
+the class.  What the inner model says depends on the word alone, so equal words
+of a batch are scored once.
 
 Learning is spread over tasks: counts come from all training documents; windows
 of a fixed share of them are learned by tasks that start from common weights,
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,11 @@ WORD_IDS = 6
 #: Share of training documents whose windows are learned (one in so many, by a hash of the text).
 LEARN_EVERY = 16
 #: Windows of a task, rounds, steps of a task in a round, windows of a step, rate.
-TASK_WINDOWS, ROUNDS, STEPS, STEP_WINDOWS, RATE = 131_072, 6, 64, 128, 0.015
-#: Frequent words whose counts every task knows; counts of others are joined.
+TASK_WINDOWS, ROUNDS, STEPS, STEP_WINDOWS, RATE = 131_072, 6, 64, 128, 0.01
+#: Frequent words that every task knows; the counts of others are joined.
 KNOWN_WORDS = 1 << 17
 #: Words whose ids and scores a task keeps, and words that one batch holds.
-CACHE, BATCH_WORDS = 300_000, 1 << 16
+CACHE, BATCH_WORDS = 150_000, 1 << 16
 TINY = np.float32(-1e9)
 #: Bytes of the pieces in which weights are averaged.
 PIECE = 1 << 16
@@ -154,7 +155,10 @@ class Attention:
     def attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, r: np.ndarray, none: np.ndarray) -> tuple:
         """(attention, mixed values, hidden state) of the last block; ``none`` marks positions that are not there."""
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a += np.where(none[:, None], TINY, self.causal + self.p["rel"][self.offset])
+        a += self.causal + self.p["rel"][self.offset]
+        some = np.flatnonzero(none.any(1))
+        if len(some):
+            a[some] = np.where(none[some][:, None], TINY, a[some])
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
@@ -287,17 +291,18 @@ class Language:
                 np.add.at(out, owner[at:at + 8192], self.inner.log_probs(tables, w[:, :-1], w[:, INNER + 1:]).sum(1))
         return out
 
-    def first_scores(self, ids: list[tuple[int, ...]], lines: list[np.ndarray]) -> np.ndarray:
-        """For each line of word numbers (after the end that stands before it) the log probability of the first ids."""
-        tables = self.outer.tables(self.outer.embed(padded(ids, WORD_IDS)))
-        first = np.fromiter((i[0] for i in ids), np.int64, len(ids))
+    def first_scores(self, ids: np.ndarray, lines: list[np.ndarray]) -> np.ndarray:
+        """For each line of rows of ``ids`` (words, WORD_IDS) the log probability of the first ids after its first word."""
+        tables = self.outer.tables(self.outer.embed(ids))
+        first = ids[:, 0].astype(np.int64)
         parts = [blocks_of(line, OUTER) for line in lines]
         w, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         out = np.zeros(len(lines))
         for at in range(0, len(w), 1024):
             x = w[at:at + 1024]
-            target = np.where(x[:, OUTER + 1:] >= 0, first[x[:, OUTER + 1:]], -1)
-            np.add.at(out, owner[at:at + 1024], self.outer.log_probs(tables, x[:, :-1], target).sum(1))
+            late = x[:, OUTER + 1:]
+            target = np.where(late >= 0, first[late], -1)
+            out += np.bincount(owner[at:at + 1024], weights=self.outer.log_probs(tables, x[:, :-1], target).sum(1), minlength=len(out))
         return out
 
     def _arrays(self) -> list[tuple[dict, str]]:
@@ -324,36 +329,79 @@ class Language:
         return out
 
 
-class Scorer:
-    """Scores texts; keeps ids and inner scores of words it has seen."""
-
-    def __init__(self, language: Language, subwords: Subwords):
-        self.language, self.subwords = language, subwords
-        self.inner: dict[bytes, float] = {b"": 0.0}
-
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Natural log probability of each list of words with the end after it."""
-        out, held = np.zeros(len(texts)), []
-        size = 0
-        for i, words_ in enumerate(texts):
-            held.append(i)
-            size += len(words_)
-            if size >= BATCH_WORDS or i == len(texts) - 1:
-                out[held] = self._batch([texts[j] for j in held])
-                held, size = [], 0
-        return out
+class Lexicon:
+    """Frequent words with their training counts, ids, and log probability after the first id; bounded, sent to tasks.
 
-    def _batch(self, texts: list[list[bytes]]) -> np.ndarray:
-        number: dict[bytes, int] = {b"": 0}
-        lines = [np.array([0, *(number.setdefault(w, len(number)) for w in words_), 0], np.int32) for words_ in texts]
-        ids = [self.subwords.ids(w) for w in number]
-        new = [(w, i) for w, i in zip(number, ids) if w not in self.inner]
-        if len(self.inner) + len(new) > CACHE:
-            self.inner = {b"": 0.0}
-            new = [(w, i) for w, i in zip(number, ids) if w]
-        self.inner.update(zip((w for w, _ in new), self.language.word_scores([i for _, i in new]).tolist()))
-        inner = np.fromiter((self.inner[w] for w in number), np.float64, len(number))
-        return self.language.first_scores(ids, lines) + np.array([inner[line].sum() for line in lines])
+    After first id f a word has (1 - miss[f]) * count / (count of frequent words
+    with f) + miss[f] * inner model; ``miss`` is the share of words with f that
+    are not frequent, and one for a first id that no frequent word has.
+    """
+
+    def __init__(self, counts: dict[bytes, int], subwords: Subwords):
+        self.number = {w: i for i, w in enumerate(counts)}
+        self.logs = np.log10(np.array([*counts.values()], np.float64) + 1)
+        own = [subwords.ids(w) for w in counts]
+        self.ids = padded(own, WORD_IDS).reshape(-1, WORD_IDS)
+        self.own, self.counts = own, np.array([*counts.values()], np.float64)
+        self.miss = np.ones(VOCAB)
+        self.rest = np.zeros(len(own))
+
+    def finish(self, language: Language, seen: np.ndarray, missed: np.ndarray) -> Lexicon:
+        """Sets the mixture from the counts of first ids in sampled words and of those whose word is not frequent."""
+        total = np.bincount(self.ids[:, 0], weights=self.counts, minlength=VOCAB)
+        self.miss = np.where(total > 0, (missed + 0.5) / (seen + 1), 1.0)
+        first = self.ids[:, 0]
+        miss = self.miss[first]
+        inner = np.zeros(len(first))
+        words_at = [i for i, w in enumerate(self.number) if w]
+        inner[words_at] = language.word_scores([self.own[i] for i in words_at])
+        with np.errstate(divide="ignore"):
+            self.rest = np.logaddexp(np.log1p(-miss) + np.log(self.counts / total[first]), np.log(miss) + inner)
+        end = self.number.get(b"")
+        if end is not None:
+            self.rest[end] = 0.0                              # nothing follows an end
+        self.own = self.counts = None
+        return self
+
+
+class Scorer:
+    """Scores texts; keeps the scores of words that are not frequent."""
+
+    def __init__(self, language: Language, subwords: Subwords, lexicon: Lexicon):
+        self.language, self.subwords, self.lexicon = language, subwords, lexicon
+        self.known: dict[bytes, float] = {}
+
+    def numbers(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[bytes]]:
+        """For each text the numbers of its words, and the words without a place in the lexicon, which are numbered on."""
+        get, n = self.lexicon.number.get, len(self.lexicon.number)
+        other: dict[bytes, int] = {}
+        out = []
+        for items in texts:
+            line = np.fromiter(map(get, items, repeat(-1)), np.int32, len(items))
+            for i in np.flatnonzero(line < 0).tolist():
+                line[i] = other.setdefault(items[i], n + len(other))
+            out.append(line)
+        return out, list(other)
+
+    def score(self, lines: list[np.ndarray], other: list[bytes]) -> np.ndarray:
+        """Natural log probability of each line of word numbers with the end after it."""
+        lex, n = self.lexicon, len(self.lexicon.number)
+        ids = [self.subwords.ids(w) for w in other]
+        new = [i for i, w in enumerate(other) if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, list(range(len(other)))
+        self.known.update(zip((other[i] for i in new), self.language.word_scores([ids[i] for i in new]).tolist()))
+        first = np.fromiter((i[0] for i in ids), np.int64, len(ids))
+        rest = np.concatenate([lex.rest, np.fromiter((self.known[w] for w in other), np.float64, len(other)) + np.log(lex.miss[first]), [0.0]])
+        all_ids = np.concatenate([lex.ids, padded(ids, WORD_IDS), padded([(END,)], WORD_IDS)])
+        end = n + len(other)
+        lines = [np.concatenate([[end], line, [end]]) for line in lines]
+        used = np.zeros(len(all_ids), bool)
+        for line in lines:
+            used[line] = True
+        place = np.cumsum(used, dtype=np.int32) - 1
+        return self.language.first_scores(all_ids[used], [place[line] for line in lines]) + np.array(
+            [rest[line].sum() for line in lines])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -366,7 +414,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), counted, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _learn(docs: DataFrame, subword_merges: list, start: Language) -> Language:
+def _learn(docs: DataFrame, subword_merges: list, start: Language) -> tuple[Language, DataFrame]:
     """Rounds of local steps on the windows of one document in ``LEARN_EVERY``, weights averaged by windows."""
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = [t or "" for t in batch.column(0).to_pylist()]
@@ -381,7 +429,7 @@ def _learn(docs: DataFrame, subword_merges: list, start: Language) -> Language:
     cuts = write_table(map_batches(docs.select("text"), cut, "key long, ids array<int>"), "windows")
     n = cuts.count()
     if not n:
-        return start
+        return start, cuts
     tasks = -(-n // TASK_WINDOWS)
     shares = write_table(cuts.repartition(tasks, "key").sortWithinPartitions("key"), "shares")
     slots, schema = start.slots(), "piece long, n long, weights binary"
@@ -414,61 +462,82 @@ def _learn(docs: DataFrame, subword_merges: list, start: Language) -> Language:
         # averaged in pieces of the weights, so no task holds all tasks' weights
         rows = parts.repartition("piece").mapInArrow(mean, schema).collect()
         start.load(b"".join(bytes(r.weights) for r in sorted(rows, key=lambda r: r.piece)))
-    return start
-
-
-def learn(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, dict, list, Language]:
-    """(word counts, counts of frequent words, merges, model) of training documents."""
+    return start, cuts
+
+
+def _first_ids(cuts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of first ids among the words of the sampled windows, and among those that are not frequent."""
+    rows = {tuple(r) for r in lexicon.ids.tolist()}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, missed = np.zeros(VOCAB, np.int64), np.zeros(VOCAB, np.int64)
+        for b in batches:
+            for ids in slices(b.column(0)):
+                for r in map(tuple, ids.reshape(-1, WORD_IDS)[OUTER + 1:].tolist()):
+                    if r[0] >= 0:
+                        seen[r[0]] += 1
+                        missed[r[0]] += r not in rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCAB)), pa.array(seen), pa.array(missed)], ["id", "seen", "missed"])
+    out = np.zeros((2, VOCAB))
+    for r in (cuts.select("ids").mapInArrow(counted, "id long, seen long, missed long").groupBy("id")
+              .agg(F.sum("seen").alias("seen"), F.sum("missed").alias("missed")).collect()):
+        out[:, r.id] = r.seen, r.missed
+    return out[0], out[1]
+
+
+def learn(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, Lexicon, list, Language]:
+    """(word counts, lexicon of frequent words, merges, model) of training documents."""
     counts = write_table(word_counts(docs), "counts")
     known = {bytes(r.w): r.c for r in counts.orderBy(F.desc("c"), "w").limit(KNOWN_WORDS).collect()}
     merges = first_merges(Vocabulary(vocabulary or default_vocabulary()))
     sub, first, rest = Subwords(merges), np.zeros(VOCAB), np.zeros(VOCAB)
-    for w, c in known.items():
-        ids = sub.ids(w)
+    lexicon = Lexicon(known, sub)
+    for ids, c in zip(lexicon.own, known.values()):
         first[ids[0]] += c
-        if w:
-            np.add.at(rest, [*ids[1:], END], c)
-    return counts, known, merges, _learn(docs, merges, Language(first, rest))
+        np.add.at(rest, [*ids[1:], END], c)
+    language, cuts = _learn(docs, merges, Language(first, rest))
+    return counts, lexicon.finish(language, *_first_ids(cuts, lexicon)), merges, language
 
 
 def score(docs: DataFrame, train: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words and one end for each text.  ``base_score`` is the add-one
-    unigram score by the counts of ``train``, ``score`` the attention model's
-    log10 probability of the whole text.  A null text is an empty one; without
+    unigram score by the counts of ``train``, ``score`` the model's log10
+    probability of the whole text.  A null text is an empty one; without
     training rows nothing is known and the model keeps its first weights.
     """
-    counts, known, merges, model = learn(train, vocabulary)
+    counts, lexicon, merges, model = learn(train, vocabulary)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(n), int(v)
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-    raw, slots = model.dump(), model.slots()
+    sent = docs.sparkSession.sparkContext.broadcast((lexicon, model.dump(), model.slots(), merges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Language.of(raw, slots), Subwords(merges))
-        logs = {w: float(np.log10(c + 1)) for w, c in sent.value.items()}
-        get = logs.get
+        lex, raw, slots, merges_ = sent.value
+        scorer = Scorer(Language.of(raw, slots), Subwords(merges_), lex)
+        held, size = [], 0
+
+        def scored() -> pa.RecordBatch:
+            lines, other = scorer.numbers([w for _, w in held])
+            total = scorer.score(lines, other) / np.log(10)
+            end, known = lex.number.get(b""), len(lex.number)
+            rare = [Counter(line[line >= known].tolist()) for line in lines]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in held], ids), pa.array([len(x) + 1 for x in lines], pa.int64()),
+                 pa.array([int((x < known).sum()) + (end is not None) for x in lines], pa.int64()),
+                 pa.array([float(lex.logs[x[x < known]].sum()) + (0.0 if end is None else lex.logs[end]) for x in lines], pa.float64()),
+                 pa.array(total), pa.array([[(other[w - known], c) for w, c in r.items()] for r in rare], pa.map_(pa.binary(), pa.int64()))],
+                ["doc_id", "n_tokens", "sure", "base", "score", "rare"])
         for batch in batches:
-            rows = max(1, min(500, (4 << 20) * batch.num_rows // max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                size, sure, base, rare, all_words = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    w = words(text)
-                    found = [x for x in map(get, w) if x is not None]
-                    other = Counter(x for x in w if x not in logs) if len(found) < len(w) else {}
-                    end = get(b"")
-                    size.append(len(w) + 1)
-                    sure.append(len(found) + (end is not None))
-                    base.append(sum(found) + (end or 0.0))
-                    rare.append(list(other.items()))
-                    all_words.append(w)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(scorer.score(all_words) / np.log(10)),
-                     pa.array(rare, pa.map_(pa.binary(), pa.int64()))],
-                    ["doc_id", "n_tokens", "sure", "base", "score", "rare"])
+            ids = batch.column(0).type
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append((i, words(text.as_py())))
+                size += len(held[-1][1])
+                if size >= BATCH_WORDS:
+                    yield scored()
+                    held, size = [], 0
+        if held:
+            yield scored()
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = write_table(
         docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, sure long, base double, score double, rare map<binary,long>")
