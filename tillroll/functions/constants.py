@@ -47,7 +47,6 @@ SATURATED_SHARE_PCT = 40.0       # a branch above this revenue share = saturated
 DENSE_CUSTOMERS = 500            # network customers above this = dense
 FEASIBLE_SIGNALS = 2
 COMPETITION_WEIGHT = 0.3
-TOP_LOCATIONS = 3
 
 # --- fixed values: demand forecast ------------------------------------------
 FORECAST_BAND_LOW = 0.9

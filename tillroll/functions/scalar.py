@@ -28,36 +28,44 @@ def strip(c: str | Column) -> Column:
     return F.trim(col_(c), F.lit(WHITESPACE))
 
 
-# wide enough for totals of totals at 100 TB (a network's revenue exceeds 10^16)
-MONEY_TYPE = "decimal(38,2)"
+# ten decimals lose nothing of an amount, 28 places before them hold totals of totals at 100 TB
+MONEY_TYPE = "decimal(38,10)"
 
 
-def money(c: str | Column) -> Column:
-    """A 2-decimal money amount as an exact DECIMAL."""
-    return col_(c).cast(MONEY_TYPE)
+def money(c: str | Column, kind: str = MONEY_TYPE) -> Column:
+    """A money amount as an exact DECIMAL."""
+    return col_(c).cast(kind)
 
 
-def money_sum(c: str | Column) -> Column:
-    """Exact sum of 2-decimal money amounts, returned as DOUBLE.
+def money_sum(c: str | Column, kind: str = MONEY_TYPE) -> Column:
+    """Exact sum of money amounts, returned as DOUBLE.
 
     Accumulating in DECIMAL makes the total independent of partitioning and
     aggregation order (a DOUBLE sum is not), so reruns and engines agree.
     """
-    return F.sum(money(c)).cast("double")
+    return F.sum(money(c, kind)).cast("double")
+
+
+# a decimal number as the reports print it; type suffixes, hexadecimal digits, inner blanks
+# and digit separators other than the comma are no numbers
+DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+
+
+def decimal_text(c: str | Column) -> Column:
+    """Plain decimal text -> DOUBLE, anything else NULL (blanks around it are allowed)."""
+    s = strip(c)
+    return F.when(s.rlike(DECIMAL_TEXT), s.try_cast("double"))
 
 
 def clean_number(c: str | Column) -> Column:
     """Report number text -> DOUBLE.
 
-    Strip, drop thousands separators and quotes; ``-`` is 0; empty, NaN text
-    and unparsable text are NULL.
+    Strip, drop thousands separators and quotes, strip again; ``-`` is 0;
+    empty, NaN and any other text is NULL (``5F``, ``12d``, ``0x1p3`` and
+    ``1_000`` are units or codes, not numbers).
     """
-    s = F.regexp_replace(strip(c), r'[,"]', "")
-    return (
-        F.when(s == "-", F.lit(0.0))
-        .when(F.lower(strip(s)).isin("nan", "+nan", "-nan"), F.lit(None).cast("double"))
-        .otherwise(s.try_cast("double"))
-    )
+    s = strip(F.regexp_replace(strip(c), r'[,"]', ""))
+    return F.when(s == "-", F.lit(0.0)).otherwise(decimal_text(s))
 
 
 def compact_cells(cells: str | Column) -> Column:
@@ -193,6 +201,12 @@ def fixed(x: str | Column, decimals: int) -> Column:
     return F.replace(F.format_number(col_(x), decimals), F.lit(","), F.lit(""))
 
 
+def signed(x: str | Column, decimals: int) -> Column:
+    """``f"{x:+.Nf}"``: as ``fixed``, with a plus sign before numbers that are not negative."""
+    text = fixed(x, decimals)
+    return F.when(text.startswith("-"), text).otherwise(F.concat(F.lit("+"), text))
+
+
 def month_label(year: str | Column, month: str | Column) -> Column:
     """``December 2025`` style label."""
     return F.date_format(F.make_date(col_(year), col_(month), F.lit(1)), "MMMM yyyy")

@@ -6,9 +6,10 @@
   becomes at most one entry per distinct item before ``collect_set``.
 * Frequent itemsets: Spark's parallel FP-growth (``pyspark.ml.fpm.FPGrowth``)
   — no candidate pairs are materialised.
-* Rules: every non-empty proper split of each frequent itemset, enumerated
-  with a bitmask (``sequence`` + indexed ``filter``), joined back to the
-  itemset supports; multi-item consequents, leverage and conviction included.
+* Rules: consequents of each frequent itemset grow level by level from those
+  that kept the confidence (a longer consequent never has more of it), supports
+  are joined on the sorted item arrays; multi-item consequents, leverage and
+  conviction included.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import lift_priority, lift_strength, money_sum, strip
+from tillroll.functions.scalar import fixed, lift_priority, lift_strength, money_sum, strip
 
 KEY_SEP = ", "
 
@@ -93,15 +94,16 @@ class Mined:
 
 
 def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
-         num_partitions: int | None = None, max_len: int | None = None) -> Mined:
+         num_partitions: int | None = None) -> Mined:
     """Parallel FP-growth over the basket item-sets.
 
     The item-sets are persisted for the duration of the fit (as FPGrowth
     itself does), counted once, and the frequent itemsets — bounded by the
     support threshold — are written as a table in the shared checkpoint
     folder, so every later use (rules, combos, overview) reads them instead
-    of re-running basket building and mining.  ``max_len`` optionally keeps
-    itemsets of at most that many items (rules split each itemset 2^n - 2 ways).
+    of re-running basket building and mining.  The fit runs a hair below the
+    threshold and the exact test follows: ``min_support * n`` in floating point
+    may lie above a whole number that it should equal.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -109,7 +111,7 @@ def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
 
     items = baskets.select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fp = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=0.0)
+        fp = FPGrowth(itemsCol="items", minSupport=float(min_support) * (1 - 1e-9), minConfidence=0.0)
         if num_partitions:
             fp = fp.setNumPartitions(int(num_partitions))
         model = fp.fit(items)
@@ -117,9 +119,8 @@ def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
         fi = (model.freqItemsets
               .select(F.array_sort("items").alias("items"), "freq")
               .select("items", F.size("items").alias("size"), "freq",
-                      (F.col("freq") / F.lit(max(n, 1))).alias("support")))
-        if max_len:
-            fi = fi.filter(F.col("size") <= int(max_len))
+                      (F.col("freq") / F.lit(max(n, 1))).alias("support"))
+              .filter(F.col("support") >= float(min_support)))
         fi = write_table(fi, "itemsets")
     finally:
         items.unpersist()
@@ -139,31 +140,44 @@ def association_rules(itemsets: DataFrame, min_lift: float = K.MIN_LIFT,
     Columns: antecedents, consequents (sorted, ", "-joined), support,
     confidence, lift, leverage, conviction (infinite at confidence 1).
     Kept: lift >= min_lift and confidence >= min_confidence.  The support
-    lookups are equi-joins on the itemset key; AQE broadcasts the itemset
-    side only when its runtime size is under the broadcast threshold.
+    lookups are equi-joins on the sorted item arrays (an item's name may hold
+    the text separator); AQE broadcasts the itemset side only when its runtime
+    size is under the broadcast threshold.
     """
-    key = lambda c: F.array_join(c, KEY_SEP)
-    sup = itemsets.select(key(F.col("items")).alias("key"), F.col("support").alias("s"))
-    multi = (itemsets.filter(F.col("size") >= 2)
-             .select("items", F.col("support").alias("support"),
-                     F.explode(F.expr("sequence(1L, (1L << size) - 2)")).alias("mask")))
-    splits = multi.select(
-        "support",
-        key(F.expr("filter(items, (x, i) -> ((mask >> i) & 1) = 1)")).alias("antecedents"),
-        key(F.expr("filter(items, (x, i) -> ((mask >> i) & 1) = 0)")).alias("consequents"))
-    a = sup.withColumnRenamed("key", "antecedents").withColumnRenamed("s", "antecedent_support")
-    c = sup.withColumnRenamed("key", "consequents").withColumnRenamed("s", "consequent_support")
-    r = splits.join(a, "antecedents").join(c, "consequents")
-    conf = F.col("support") / F.col("antecedent_support")
-    r = (r.withColumn("confidence", conf)
-          .withColumn("lift", F.col("confidence") / F.col("consequent_support"))
-          .withColumn("leverage", F.col("support")
-                      - F.col("antecedent_support") * F.col("consequent_support"))
-          .withColumn("conviction",
-                      F.when(F.col("confidence") == 1, F.lit(float("inf")))
-                      .otherwise((1 - F.col("consequent_support")) / (1 - F.col("confidence")))))
-    return (r.filter((F.col("lift") >= min_lift) & (F.col("confidence") >= min_confidence))
-            .select("antecedents", "consequents", "support", "confidence", "lift",
+    from tillroll.session import write_table
+
+    supports = itemsets.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
+    longest = itemsets.agg(F.max("size")).first()[0] or 0
+    level = (itemsets.filter(F.col("size") >= 2)
+             .select("items", "support", F.explode("items").alias("last")).withColumn("consequents", F.array("last")))
+    levels = []
+    for length in range(1, max(longest, 2)):
+        kept = (level.filter(F.size("items") > length)
+                .withColumn("antecedents", F.array_except("items", "consequents"))
+                .join(supports, "antecedents")
+                .withColumn("confidence", F.col("support") / F.col("antecedent_support"))
+                .filter(F.col("confidence") >= min_confidence)
+                .select("items", "support", "consequents", "last", "antecedents", "antecedent_support", "confidence"))
+        if length < longest - 1:
+            kept = write_table(kept, "rules")
+        levels.append(kept)
+        level = (kept.withColumn("next", F.explode(F.filter("items", lambda x: x > F.col("last"))))
+                 .select("items", "support", F.col("next").alias("last"),
+                         F.concat("consequents", F.array("next")).alias("consequents")))
+    rules = levels[0]
+    for kept in levels[1:]:
+        rules = rules.unionByName(kept)
+    c = supports.select(F.col("antecedents").alias("consequents"), F.col("antecedent_support").alias("consequent_support"))
+    r = (rules.join(c, "consequents")
+         .withColumn("lift", F.col("confidence") / F.col("consequent_support"))
+         .withColumn("leverage", F.col("support")
+                     - F.col("antecedent_support") * F.col("consequent_support"))
+         .withColumn("conviction",
+                     F.when(F.col("confidence") == 1, F.lit(float("inf")))
+                     .otherwise((1 - F.col("consequent_support")) / (1 - F.col("confidence")))))
+    return (r.filter(F.col("lift") >= min_lift)
+            .select(F.array_join("antecedents", KEY_SEP).alias("antecedents"),
+                    F.array_join("consequents", KEY_SEP).alias("consequents"), "support", "confidence", "lift",
                     "leverage", "conviction"))
 
 
@@ -262,8 +276,8 @@ def top_items_by_qty(lines: DataFrame, top_n: int = 10, item: str = "item",
             .agg(F.sum("qty").alias("qty"))
             .orderBy(F.desc("qty"), "item").limit(int(top_n))
             .withColumn("recommendation",
-                        F.format_string("Promote %s as a featured item (sold %.0f units)",
-                                        "item", "qty")))
+                        F.format_string("Promote %s as a featured item (sold %s units)",
+                                        F.col("item"), fixed("qty", 0))))
 
 
 def top_items_by_revenue(sales: DataFrame, top_n: int = 20) -> DataFrame:
@@ -274,20 +288,29 @@ def top_items_by_revenue(sales: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def combo_summary(rules: DataFrame, n_baskets: int, lines: DataFrame,
-                  top_n: int = K.TOP_COMBOS) -> DataFrame:
+                  top_n: int = K.TOP_COMBOS, itemsets: DataFrame | None = None,
+                  baskets: DataFrame | None = None) -> DataFrame:
     """method, items, support, confidence, lift, qty, recommendation.
 
-    The top rules (``method`` = apriori); when there are none, the best-selling
-    single items instead (``method`` = top_single_items).  The switch is a
-    scalar subquery on the rule count, decided inside the plan.
+    The top rules (``method`` = apriori); where no itemset is frequent, the most
+    frequent item pairs take their place (needs ``itemsets`` and ``baskets``);
+    when there is neither, the best-selling single items (``method`` =
+    top_single_items).  The switches are scalar subqueries, decided inside the
+    plan before the fallbacks' input is aggregated.
     """
+    if itemsets is not None and baskets is not None:
+        names = ["antecedents", "consequents", "support", "confidence", "lift"]
+        n_frequent = itemsets.agg(F.count("*")).scalar()
+        pairs = item_pairs(baskets.filter(n_frequent == 0), K.TOP_PAIRS)
+        # pairs come by support; combos are ordered by lift, so the first top_n pairs are taken before
+        rules = rules.select(*names).unionByName(pairs.select(*names).limit(int(top_n)))
     combos = combo_top(rules, n_baskets, top_n)
     n = combos.agg(F.count("*")).scalar()
     none = F.lit(None).cast("double")
-    a = combos.filter(n > 0).select(
+    a = combos.select(
         F.lit("apriori").alias("method"), "items", "support", "confidence", "lift",
         none.alias("qty"), "recommendation")
-    b = top_items_by_qty(lines, 10).filter(n == 0).select(
+    b = top_items_by_qty(lines.filter(n == 0), 10).select(
         F.lit("top_single_items").alias("method"), F.col("item").alias("items"),
         none.alias("support"), none.alias("confidence"), none.alias("lift"), "qty",
         "recommendation")

@@ -34,18 +34,18 @@ def branch_growth(monthly: DataFrame) -> DataFrame:
 
 
 def channel_mix(menu: DataFrame, channels: Sequence[str] = K.MENU_CHANNELS) -> DataFrame:
-    """Branch x channel sales (explicit pivot values) and percent of the branch total."""
-    chans = list(channels)
-    names = [column_suffix(c) for c in chans]
-    pv = (menu.filter(F.col("branch").isNotNull())
-          .groupBy("branch").pivot("menu_channel", chans).agg(money_sum("sales"))
-          .na.fill(0.0, chans))
-    total = F.greatest(sum((F.col(f"`{c}`") for c in chans), F.lit(0.0)), F.lit(1.0))
-    return pv.select(
-        "branch",
-        *[F.col(f"`{c}`").alias(f"sales_{n}") for c, n in zip(chans, names)],
-        *[(F.col(f"`{c}`") / total * 100).alias(f"pct_{n}") for c, n in zip(chans, names)],
-    )
+    """Branch x channel sales (one column per listed channel) and percent of the branch total.
+
+    The total is over all channels of the branch, listed or not.
+    """
+    names = [column_suffix(c) for c in channels]
+    sums = (menu.filter(F.col("branch").isNotNull()).groupBy("branch")
+            .agg(money_sum("sales").alias("_all"),
+                 *[F.coalesce(money_sum(F.when(F.col("menu_channel") == c, F.col("sales"))), F.lit(0.0)).alias(f"sales_{n}")
+                   for c, n in zip(channels, names)]))
+    total = F.greatest(F.coalesce("_all", F.lit(0.0)), F.lit(1.0))
+    return sums.select("branch", *[f"sales_{n}" for n in names],
+                       *[(F.col(f"sales_{n}") / total * 100).alias(f"pct_{n}") for n in names])
 
 
 def customer_kpis(menu: DataFrame) -> DataFrame:
@@ -98,7 +98,8 @@ def expansion_signals(kpis: DataFrame) -> DataFrame:
         F.sum("num_customers").alias("total_customers"),
         F.avg("monthly_growth_pct").alias("avg_monthly_growth_pct"),
         F.max("revenue_share_pct").alias("max_share_pct"),
-        F.max_by("branch", "revenue_share_pct").alias("saturated_branch"),
+        # ties: the first name
+        F.min_by("branch", F.struct(-F.col("revenue_share_pct"), F.col("branch"))).alias("saturated_branch"),
         F.count("*").alias("n_branches"),
     )
     growing = F.col("avg_monthly_growth_pct") > K.GROWING_PCT

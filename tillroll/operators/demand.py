@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import month_label, trend3, trend5
+from tillroll.functions.scalar import month_label, signed, trend3, trend5
 
 
 def _period(year: str = "year", month: str = "month_num"):
@@ -117,16 +117,16 @@ def demand_insight(monthly: DataFrame, n_months: int = 3) -> DataFrame:
           .agg(F.avg(F.bround("forecast", 2)).alias("avg_forecast")))
     return g.join(fc, "branch").select(
         "branch",
-        F.format_string("%s shows a %s trend (%+.1f%% over the data period). "
+        F.format_string("%s shows a %s trend (%s%% over the data period). "
                         "Next %d months avg projected demand: %s units.",
-                        "branch", trend3("growth_pct"), "growth_pct", F.lit(int(n_months)),
+                        "branch", trend3("growth_pct"), signed("growth_pct", 1), F.lit(int(n_months)),
                         F.format_number("avg_forecast", 0)).alias("insight"))
 
 
 def worst_decline(monthly: DataFrame, threshold: float = -5.0) -> DataFrame:
     """One row: the branch with the lowest growth among those below ``threshold``."""
     g = demand_growth(monthly).filter(F.col("growth_pct") < threshold)
-    return g.agg(F.min_by("branch", "growth_pct").alias("worst_branch"),
+    return g.agg(F.min_by("branch", F.struct("growth_pct", "branch")).alias("worst_branch"),
                  F.min("growth_pct").alias("worst_growth_pct"),
                  F.count("*").alias("n_declining"))
 

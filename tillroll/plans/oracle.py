@@ -254,8 +254,7 @@ _sales_cols = ", ".join(
     f"coalesce(CAST(sum(CAST(sales AS DECIMAL(18,2))) FILTER (WHERE menu_channel = '{c}') "
     f"AS DOUBLE), 0.0) AS sales_{_suffix(c)}"
     for c in _CHANNELS)
-_total = "greatest(" + "".join("(" for _ in _CHANNELS) + "0.0" + "".join(
-    f" + sales_{_suffix(c)})" for c in _CHANNELS) + ", 1.0)"
+_total = "greatest(sales_all, 1.0)"
 _pct_cols = ", ".join(f"sales_{_suffix(c)} / {_total} * 100 AS pct_{_suffix(c)}"
                       for c in _CHANNELS)
 
@@ -269,7 +268,7 @@ CTES.update({
                     arg_max(total_sales, year * 100 + month_num) AS last_sales
              FROM monthly_sales WHERE branch IS NOT NULL GROUP BY branch)""", ["monthly_sales"]),
     "mix": (f"""SELECT branch, {', '.join('sales_' + _suffix(c) for c in _CHANNELS)}, {_pct_cols}
-       FROM (SELECT branch, {_sales_cols} FROM menu_channels WHERE branch IS NOT NULL
+       FROM (SELECT branch, CAST(sum(CAST(sales AS DECIMAL(18,2))) AS DOUBLE) AS sales_all, {_sales_cols} FROM menu_channels WHERE branch IS NOT NULL
              GROUP BY branch)""", ["menu_channels"]),
     "kpis": (f"""SELECT b.branch, coalesce(total_revenue, 0.0) AS total_revenue,
               CASE WHEN coalesce(network_revenue, 0.0) <> 0
@@ -304,7 +303,7 @@ CTES.update({
                           CAST(sum(num_customers) AS BIGINT) AS total_customers,
                           avg(monthly_growth_pct) AS avg_monthly_growth_pct,
                           max(revenue_share_pct) AS max_share_pct,
-                          arg_max(branch, revenue_share_pct) AS saturated_branch,
+                          arg_min(branch, (-revenue_share_pct, branch)) AS saturated_branch,
                           count(*) AS n_branches FROM kpis))""", ["kpis"]),
     "cand": ("""SELECT location, 0.5 + pos_share AS growth_factor,
               60.0 + 40.0 * coalesce(n_cust / CASE WHEN max_cust > 0 THEN max_cust END, 0.0)
@@ -352,50 +351,77 @@ CTES.update({
        FROM bk GROUP BY 1, 2""", ["bk"]),
     "bi": ("""SELECT branch || chr(31) || customer AS bid, item FROM bk WHERE q <> 0""", ["bk"]),
     "nb": ("""SELECT count(*) AS n_baskets FROM bsk""", ["bsk"]),
-    "f1": ("""SELECT item AS i1, count(*) AS c FROM bi GROUP BY 1
-       HAVING count(*) >= 0.02::DOUBLE * (SELECT n_baskets FROM nb)""", ["bi", "nb"]),
-    "f2": ("""SELECT a.item AS i1, b.item AS i2, count(*) AS c
-       FROM bi a JOIN bi b ON a.bid = b.bid AND a.item < b.item
-       WHERE a.item IN (SELECT i1 FROM f1) AND b.item IN (SELECT i1 FROM f1)
-       GROUP BY 1, 2 HAVING count(*) >= 0.02::DOUBLE * (SELECT n_baskets FROM nb)""",
-           ["bi", "f1"]),
-    "f3": ("""SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS c
-       FROM bi a JOIN bi b ON a.bid = b.bid AND a.item < b.item
-                 JOIN bi c ON b.bid = c.bid AND b.item < c.item
-       WHERE a.item IN (SELECT i1 FROM f1) AND b.item IN (SELECT i1 FROM f1)
-         AND c.item IN (SELECT i1 FROM f1)
-       GROUP BY 1, 2, 3 HAVING count(*) >= 0.02::DOUBLE * (SELECT n_baskets FROM nb)""",
-           ["bi", "f1"]),
-    "fis": ("""SELECT itemset, size, freq, freq / (SELECT n_baskets FROM nb) AS support FROM (
-         SELECT i1 AS itemset, 1 AS size, c AS freq FROM f1
-         UNION ALL SELECT i1 || ', ' || i2, 2, c FROM f2
-         UNION ALL SELECT i1 || ', ' || i2 || ', ' || i3, 3, c FROM f3)""", ["f1", "f2", "f3"]),
-    "splits": ("""SELECT i1 AS antecedents, i2 AS consequents, c FROM f2
-       UNION ALL SELECT i2, i1, c FROM f2
-       UNION ALL SELECT i1, i2 || ', ' || i3, c FROM f3
-       UNION ALL SELECT i2, i1 || ', ' || i3, c FROM f3
-       UNION ALL SELECT i3, i1 || ', ' || i2, c FROM f3
-       UNION ALL SELECT i1 || ', ' || i2, i3, c FROM f3
-       UNION ALL SELECT i1 || ', ' || i3, i2, c FROM f3
-       UNION ALL SELECT i2 || ', ' || i3, i1, c FROM f3""", ["f2", "f3"]),
-    "rules": ("""SELECT antecedents, consequents, support, confidence, lift, leverage, conviction
+    "single": ("""SELECT item, count(*) AS cnt FROM bi GROUP BY 1""", ["bi"]),
+    "pairs": ("""SELECT a AS antecedents, b AS consequents, both_ / n_baskets AS support,
+       greatest(both_ / greatest(cnt_a, 1), both_ / greatest(cnt_b, 1)) AS confidence,
+       (both_ / greatest(cnt_a, 1)) / greatest(cnt_b / n_baskets, 1e-9) AS lift
+  FROM (SELECT x.item AS a, y.item AS b, count(*) AS both_
+        FROM bi x JOIN bi y ON x.bid = y.bid AND x.item < y.item GROUP BY 1, 2) p
+  JOIN (SELECT item, cnt AS cnt_a FROM single) sa ON p.a = sa.item
+  JOIN (SELECT item, cnt AS cnt_b FROM single) sb ON p.b = sb.item
+  CROSS JOIN nb
+  ORDER BY support DESC, antecedents, consequents LIMIT 20""", ["bi", "single", "nb"]),
+})
+
+
+def _mining(prefix: str, support: float, confidence: float, bi: str = "bi", nb: str = "nb",
+            lift: float = 1.0) -> None:
+    """CTEs of itemsets of up to three items and their rules; itemsets are lists of items."""
+    enough = f"HAVING count(*) >= {support}::DOUBLE * (SELECT n_baskets FROM {nb})"
+    p = prefix
+    CTES.update({
+        f"{p}f1": (f"SELECT item AS i1, count(*) AS c FROM {bi} GROUP BY 1 {enough}", [bi, nb]),
+        f"{p}f2": (f"""SELECT a.item AS i1, b.item AS i2, count(*) AS c
+       FROM {bi} a JOIN {bi} b ON a.bid = b.bid AND a.item < b.item
+       WHERE a.item IN (SELECT i1 FROM {p}f1) AND b.item IN (SELECT i1 FROM {p}f1)
+       GROUP BY 1, 2 {enough}""", [bi, f"{p}f1"]),
+        f"{p}f3": (f"""SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS c
+       FROM {bi} a JOIN {bi} b ON a.bid = b.bid AND a.item < b.item
+                 JOIN {bi} c ON b.bid = c.bid AND b.item < c.item
+       WHERE a.item IN (SELECT i1 FROM {p}f1) AND b.item IN (SELECT i1 FROM {p}f1)
+         AND c.item IN (SELECT i1 FROM {p}f1)
+       GROUP BY 1, 2, 3 {enough}""", [bi, f"{p}f1"]),
+        f"{p}fis": (f"""SELECT itemset, size, freq, freq / (SELECT n_baskets FROM {nb}) AS support FROM (
+         SELECT [i1] AS itemset, 1 AS size, c AS freq FROM {p}f1
+         UNION ALL SELECT [i1, i2], 2, c FROM {p}f2
+         UNION ALL SELECT [i1, i2, i3], 3, c FROM {p}f3)""", [f"{p}f1", f"{p}f2", f"{p}f3"]),
+        f"{p}splits": (f"""SELECT [i1] AS antecedents, [i2] AS consequents, c FROM {p}f2
+       UNION ALL SELECT [i2], [i1], c FROM {p}f2
+       UNION ALL SELECT [i1], [i2, i3], c FROM {p}f3
+       UNION ALL SELECT [i2], [i1, i3], c FROM {p}f3
+       UNION ALL SELECT [i3], [i1, i2], c FROM {p}f3
+       UNION ALL SELECT [i1, i2], [i3], c FROM {p}f3
+       UNION ALL SELECT [i1, i3], [i2], c FROM {p}f3
+       UNION ALL SELECT [i2, i3], [i1], c FROM {p}f3""", [f"{p}f2", f"{p}f3"]),
+        f"{p}rules": (f"""SELECT array_to_string(antecedents, ', ') AS antecedents,
+              array_to_string(consequents, ', ') AS consequents, support, confidence, lift, leverage, conviction
        FROM (SELECT *, confidence / consequent_support AS lift,
                     support - antecedent_support * consequent_support AS leverage,
                     CASE WHEN confidence = 1 THEN 'inf'::DOUBLE
                          ELSE (1 - consequent_support) / (1 - confidence) END AS conviction
              FROM (SELECT s.antecedents, s.consequents,
-                          s.c / (SELECT n_baskets FROM nb) AS support,
+                          s.c / (SELECT n_baskets FROM {nb}) AS support,
                           fa.support AS antecedent_support, fc.support AS consequent_support,
-                          (s.c / (SELECT n_baskets FROM nb)) / fa.support AS confidence
-                   FROM splits s JOIN fis fa ON s.antecedents = fa.itemset
-                                 JOIN fis fc ON s.consequents = fc.itemset))
-       WHERE lift >= 1.0 AND confidence >= 0.1""", ["splits", "fis"]),
+                          (s.c / (SELECT n_baskets FROM {nb})) / fa.support AS confidence
+                   FROM {p}splits s JOIN {p}fis fa ON s.antecedents = fa.itemset
+                                 JOIN {p}fis fc ON s.consequents = fc.itemset))
+       WHERE lift >= {lift} AND confidence >= {confidence}""", [f"{p}splits", f"{p}fis"]),
+    })
+
+
+_mining("", 0.02, 0.1)
+# baskets of return flags: three items, so no itemset is longer than the SQL goes
+CTES.update({
+    "t_bi": ("SELECT DISTINCT l_orderkey AS bid, l_returnflag AS item FROM lineitem WHERE l_extendedprice > 0", []),
+    "t_nb": ("SELECT count(DISTINCT bid) AS n_baskets FROM t_bi", ["t_bi"]),
+})
+_mining("t_", 0.02, 0.1, "t_bi", "t_nb", 0.1)
+CTES.update({
     "combos": ("""SELECT antecedents || ' + ' || consequents AS items, antecedents, consequents,
               round_even(support, 4) AS support, round_even(confidence, 4) AS confidence,
               round_even(lift, 4) AS lift
        FROM (SELECT * FROM rules WHERE (SELECT n_baskets FROM nb) >= 5
              ORDER BY rules.lift DESC, antecedents, consequents LIMIT 10)""", ["rules", "nb"]),
-    "single": ("""SELECT item, count(*) AS cnt FROM bi GROUP BY 1""", ["bi"]),
 })
 
 oracle("baskets", ["bsk"], """SELECT branch, customer, array_to_string(items, ', ') AS items,
@@ -406,8 +432,10 @@ oracle("basket_stats", ["bsk", "bi"], """SELECT n_baskets, nnz, n_items,
        CASE WHEN n_baskets * n_items > 0 THEN 1 - nnz / (n_baskets * n_items) END AS sparsity
   FROM (SELECT count(*) AS n_baskets, CAST(coalesce(sum(len(items)), 0) AS BIGINT) AS nnz
         FROM bsk), (SELECT count(DISTINCT item) AS n_items FROM bi)""")
-oracle("frequent_itemsets", ["fis"], "SELECT * FROM fis")
+oracle("frequent_itemsets", ["fis"], """SELECT array_to_string(itemset, ', ') AS itemset, size, freq, support
+  FROM fis""")
 oracle("association_rules", ["rules"], "SELECT * FROM rules")
+oracle("association_rules_triples", ["t_rules"], "SELECT * FROM t_rules")
 oracle("combo_top", ["combos"], """SELECT *,
        CASE WHEN lift > 3 THEN 'very strong' WHEN lift > 2 THEN 'strong'
             WHEN lift > 1.5 THEN 'moderate' ELSE 'present' END AS strength,
@@ -415,34 +443,31 @@ oracle("combo_top", ["combos"], """SELECT *,
        format('Bundle ''{}'' — {:,.0f}% of customers who buy one also buy the other (lift {:,.2f}x)',
               items, confidence * 100, lift) AS recommendation
   FROM combos""")
-oracle("combo_summary", ["combos", "delivery_lines"], """, ti AS (
-    SELECT item, qty FROM (SELECT upper(trim(item)) AS item, sum(qty) AS qty FROM delivery_lines
-                           WHERE price > 0 AND item IS NOT NULL GROUP BY 1)
-     ORDER BY qty DESC, item LIMIT 10)
-SELECT 'apriori' AS method, items, support, confidence, lift, CAST(NULL AS DOUBLE) AS qty,
-       format('Bundle ''{}'' — {:,.0f}% of customers who buy one also buy the other (lift {:,.2f}x)',
-              items, confidence * 100, lift) AS recommendation
+_BUNDLE = """format('Bundle ''{}'' — {:,.0f}% of customers who buy one also buy the other (lift {:,.2f}x)',
+              items, confidence * 100, lift)"""
+_SINGLE = """SELECT 'top_single_items' AS method, item AS items, CAST(NULL AS DOUBLE) AS support,
+       CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS DOUBLE) AS lift, qty,
+       format('Promote {} as a featured item (sold {:.0f} units)', item, qty) AS recommendation
+  FROM (SELECT upper(trim(item)) AS item, sum(qty) AS qty FROM delivery_lines
+        WHERE price > 0 AND item IS NOT NULL GROUP BY 1 ORDER BY qty DESC, 1 LIMIT 10)"""
+oracle("combo_summary", ["combos", "delivery_lines"], f"""SELECT 'apriori' AS method, items, support, confidence, lift,
+       CAST(NULL AS DOUBLE) AS qty, {_BUNDLE} AS recommendation
   FROM combos
 UNION ALL
-SELECT 'top_single_items', item, NULL, NULL, NULL, qty,
-       format('Promote {} as a featured item (sold {:.0f} units)', item, qty)
-  FROM ti WHERE (SELECT count(*) FROM combos) = 0""")
+SELECT * FROM ({_SINGLE}) WHERE (SELECT count(*) FROM combos) = 0""")
+oracle("combo_summary_pairs", ["pairs"], f"""SELECT 'apriori' AS method, items, support, confidence, lift,
+       CAST(NULL AS DOUBLE) AS qty, {_BUNDLE} AS recommendation
+  FROM (SELECT antecedents || ' + ' || consequents AS items, round_even(support, 4) AS support,
+               round_even(confidence, 4) AS confidence, round_even(lift, 4) AS lift
+        FROM (SELECT * FROM pairs ORDER BY pairs.support DESC, antecedents, consequents LIMIT 10))""")
+oracle("combo_summary_single", ["delivery_lines"], _SINGLE)
 oracle("combo_kpis", ["combos"], """SELECT count(*) AS n_rules,
        count(*) FILTER (WHERE lift >= 2) AS n_strong, max(lift) AS max_lift,
        avg(confidence) AS mean_confidence,
        CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE lift >= 2) / count(*) * 100
             ELSE 0.0 END AS strong_share_pct
   FROM combos""")
-oracle("item_pairs", ["bi", "single", "nb"], """SELECT a AS antecedents, b AS consequents,
-       both_ / n_baskets AS support,
-       greatest(both_ / greatest(cnt_a, 1), both_ / greatest(cnt_b, 1)) AS confidence,
-       (both_ / greatest(cnt_a, 1)) / greatest(cnt_b / n_baskets, 1e-9) AS lift
-  FROM (SELECT x.item AS a, y.item AS b, count(*) AS both_
-        FROM bi x JOIN bi y ON x.bid = y.bid AND x.item < y.item GROUP BY 1, 2) p
-  JOIN (SELECT item, cnt AS cnt_a FROM single) sa ON p.a = sa.item
-  JOIN (SELECT item, cnt AS cnt_b FROM single) sb ON p.b = sb.item
-  CROSS JOIN nb
-  ORDER BY support DESC, antecedents, consequents LIMIT 20""")
+oracle("item_pairs", ["pairs"], "SELECT * FROM pairs")
 oracle("top_items_by_qty", ["delivery_lines"], """SELECT item, qty,
        format('Promote {} as a featured item (sold {:.0f} units)', item, qty) AS recommendation
   FROM (SELECT upper(trim(item)) AS item, sum(qty) AS qty FROM delivery_lines

@@ -26,9 +26,9 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
     monthly = tb.monthly_sales(t)
     rank = (demand.demand_forecast(monthly, n_months).groupBy("branch")
             .agg(F.avg(F.bround("forecast", 2)).alias("avg_forecast")))
-    dem = rank.agg(F.max_by("branch", "avg_forecast").alias("top_branch"),
+    dem = rank.agg(F.min_by("branch", F.struct(-F.col("avg_forecast"), F.col("branch"))).alias("top_branch"),
                    F.max("avg_forecast").alias("top_avg"),
-                   F.min_by("branch", "avg_forecast").alias("bottom_branch"),
+                   F.min_by("branch", F.struct("avg_forecast", "branch")).alias("bottom_branch"),
                    F.min("avg_forecast").alias("bottom_avg"))
     kpis = branches.branch_kpis(monthly, tb.branch_revenue(t), tb.menu_channels(t), CHANNELS)
     sig = branches.expansion_signals(kpis)
@@ -65,7 +65,7 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
         .alias("worst_declining_branch"),
         sig.select("feasibility").scalar().alias("feasibility"),
         network_growth_label(growth).alias("network_growth"),
-        ranked.agg(F.max_by("location", "composite_score")).scalar().alias("top_location"),
+        ranked.agg(F.min_by("location", F.struct(-F.col("composite_score"), F.col("location")))).scalar().alias("top_location"),
         slots.agg(F.count_if(F.col("min_staff") < K.UNDERSTAFFED_MIN)).scalar()
         .alias("n_staff_alerts"),
         coffee.alias("coffee_share_pct"), shake.alias("milkshake_share_pct"),

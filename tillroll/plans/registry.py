@@ -15,6 +15,7 @@ from tillroll.functions.scalar import clean_number, compact_cells, duration_hour
 from tillroll.operators import baskets, branches, demand, segments, staffing, topics
 from tillroll.plans import roundtrip
 from tillroll.sources import reports
+from tillroll.session import write_table
 from tillroll.sources import tables as tb
 from tillroll.sources.tables import Tables
 
@@ -213,6 +214,9 @@ def q_basket_stats(t: Tables) -> DataFrame:
 # keep lift >= 1.0 and confidence >= 0.1 to have rules to compare; the
 # operators' defaults are the analysed application's 1.2 / 0.3.
 RULE_MIN_SUPPORT, RULE_MIN_LIFT, RULE_MIN_CONF = 0.02, 1.0, 0.1
+FLAG_MIN_LIFT = 0.1       # few flags share an order's lines: they repel each other
+# no itemset has this support, no rule this lift: the fallbacks are taken
+NONE_FREQUENT, NO_LIFT = 0.9, 99.0
 
 
 @query("frequent_itemsets")
@@ -226,6 +230,15 @@ def _rules(t: Tables) -> tuple[DataFrame, int]:
     return baskets.association_rules(m.itemsets, RULE_MIN_LIFT, RULE_MIN_CONF), m.n_baskets
 
 
+@query("association_rules_triples")
+def q_association_rules_triples(t: Tables) -> DataFrame:
+    """Rules between return flags in an order: itemsets of three items, so longer consequents too."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("customer"), F.col("l_returnflag").alias("item"),
+                              F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
+    m = baskets.mine(baskets.build_baskets(lines, ["customer"]), RULE_MIN_SUPPORT)
+    return baskets.association_rules(m.itemsets, FLAG_MIN_LIFT, RULE_MIN_CONF)
+
+
 @query("association_rules")
 def q_association_rules(t: Tables) -> DataFrame:
     return _rules(t)[0]
@@ -241,15 +254,35 @@ def q_combo_kpis(t: Tables) -> DataFrame:
     return baskets.combo_kpis(baskets.combo_top(*_rules(t), 10))
 
 
+def _summary(t: Tables, min_support: float, min_lift: float) -> DataFrame:
+    bk = write_table(_baskets(t), "baskets")
+    m = baskets.mine(bk, min_support)
+    return baskets.combo_summary(baskets.association_rules(m.itemsets, min_lift, RULE_MIN_CONF), m.n_baskets,
+                                 tb.delivery_lines(t), 10, m.itemsets, bk)
+
+
 @query("combo_summary")
 def q_combo_summary(t: Tables) -> DataFrame:
-    """Top rules, or the best-selling single items when no rule exists."""
-    return baskets.combo_summary(*_rules(t), tb.delivery_lines(t), 10)
+    """Top rules; the most frequent pairs or the best-selling single items where there are none."""
+    return _summary(t, RULE_MIN_SUPPORT, RULE_MIN_LIFT)
+
+
+@query("combo_summary_pairs")
+def q_combo_summary_pairs(t: Tables) -> DataFrame:
+    """The summary where no itemset is frequent: item pairs."""
+    return _summary(t, NONE_FREQUENT, RULE_MIN_LIFT)
+
+
+@query("combo_summary_single")
+def q_combo_summary_single(t: Tables) -> DataFrame:
+    """The summary where itemsets but no rules are found: single items."""
+    return _summary(t, RULE_MIN_SUPPORT, NO_LIFT)
 
 
 @query("item_pairs")
 def q_item_pairs(t: Tables) -> DataFrame:
-    return baskets.item_pairs(_baskets(t), 20)
+    # written once: the basket count, the single counts and the pairs read the table
+    return baskets.item_pairs(write_table(_baskets(t), "baskets"), 20)
 
 
 @query("top_items_by_qty")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import clean_number, duration_hours, numbers_of, strip
+from tillroll.functions.scalar import clean_number, decimal_text, duration_hours, numbers_of, strip
 from tillroll.sources.reports import (drop_boilerplate, forward_fill_blocked, has_keyword,
                                       read_report_lines, split_cells, strip_label, with_values)
 
@@ -147,7 +147,7 @@ def parse_delivery_lines(lines: DataFrame) -> DataFrame:
             .withColumn("customer", F.when(F.col("kind") == "customer", first)))
     df = _fill(df, ["branch", "customer"])
     desc = strip(F.get(F.col("vals"), 1))
-    qty = first.try_cast("double")
+    qty = decimal_text(first)
     return (df.filter((F.col("kind") == "detail") & F.col("branch").isNotNull()
                       & F.col("customer").isNotNull() & (F.size("vals") >= 3)
                       & qty.isNotNull() & (desc != "") & ~desc.startswith("Total"))
@@ -172,7 +172,7 @@ def parse_customer_orders(lines: DataFrame,
     dates = F.filter(vals, lambda x: x.rlike(r"^\d{4}-\d{2}-\d{2}"))
     # wall-clock timestamps (no time zone), as the report prints them
     first_order = F.try_to_timestamp(F.get(dates, 0)).cast("timestamp_ntz")
-    n_orders = _last(vals).try_cast("double").try_cast("int")
+    n_orders = decimal_text(_last(vals)).try_cast("int")
     return (df.filter((F.col("kind") == "detail") & first.rlike(r"^Person_\d+$")
                       & F.col("branch").isNotNull() & (F.size("vals") >= 5)
                       & n_orders.isNotNull())
@@ -198,7 +198,7 @@ def parse_attendance(lines: DataFrame, branch_markers: Sequence[str] = ("Conut",
             .when(marker & ~first.rlike(r"^\d{2}-"), "branch")
             .when(first.rlike(r"^\d{2}-\w{3}-\d{2}"), "day"))
     emp_id = (F.regexp_extract(first, r"EMP ID\s*:\s*([\d.]+)", 1)
-              .try_cast("double").try_cast("int"))
+              .try_cast("double").try_cast("int"))        # digits and dots only
     name_cell = F.get(F.filter(vals, lambda x: x.contains("NAME")), 0)
     name = F.regexp_extract(name_cell, r"NAME\s*:\s*(Person_\d+)", 1)
     df = (df.withColumn("kind", kind)
@@ -326,7 +326,9 @@ def load_reports(spark: SparkSession, folder: str,
         path = f"{folder.rstrip('/')}/{fname}"
         try:
             lines = read_report_lines(spark, path)      # lists the file: fails if absent
-        except AnalysisException:
+        except AnalysisException as ex:
+            if ex.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         out[name] = parser(lines)
     return out

@@ -33,41 +33,67 @@ ORDER = ["block", "seq"]
 
 
 def read_report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file, block, seq, line — one row per non-blank physical line."""
+    """file, block, seq, line — one row per non-blank record.
+
+    A quoted cell may hold line breaks: such physical lines are one record, at
+    the place of the first.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.text(paths)
-    return (df.select(F.col("_metadata.file_path").alias("file"),
-                      F.col("_metadata.file_block_start").alias("block"),
-                      F.monotonically_increasing_id().alias("seq"),
-                      # a byte-order mark would hide the first line's label
-                      F.regexp_replace("value", "^\ufeff", "").alias("line"))
-            .filter(F.trim(F.col("line")) != ""))
-
+    lines = (df.select(F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("seq"),
+                       # a byte-order mark would hide the first line's label
+                       F.regexp_replace("value", "^\ufeff", "").alias("line")))
+    return join_quoted_lines(lines).filter(F.trim(F.col("line")) != "")
 
-# a comma followed by an even number of quotes up to the end of the line,
-# i.e. a comma outside any quoted cell
-CSV_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
+def join_quoted_lines(lines: DataFrame) -> DataFrame:
+    """Joins physical lines whose quotes do not close with the lines up to the closing quote.
 
-def csv_split(line: str | Column) -> Column:
-    """Split one CSV text line into cells (quotes removed, ``""`` unescaped, '' -> NULL).
-
-    One regular-expression split per line; every cell of any line count.
+    Only lines with an odd number of quotes open or close a cell that spans
+    lines; they are few, so pairing them (blocked, no window over a file's
+    lines) and the join with the spans they make cost one narrow scan.
     """
-    raw = F.split(col_(line), CSV_COMMA, -1)
+    odd = (F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))) % 2 == 1
+    marks = lines.filter(odd).select("file", F.struct(*ORDER).alias("at"))
+    w = Window.partitionBy("file").orderBy("at")
+    spans = (marks.withColumn("n", F.row_number().over(w)).withColumn("end", F.lead("at").over(w))
+             .filter((F.col("n") % 2 == 1) & F.col("end").isNotNull())
+             .select(F.col("file").alias("f"), F.col("at").alias("start"), "end"))
+    at = F.struct(*ORDER)
+    placed = lines.join(spans, (F.col("file") == F.col("f")) & at.between(F.col("start"), F.col("end")), "left")
+    joined = (placed.filter(F.col("start").isNotNull()).groupBy("file", "start")
+              .agg(F.sort_array(F.collect_list(F.struct(*ORDER, "line"))).alias("parts"))
+              .select("file", "start.block", "start.seq",
+                      F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line")))
+    return placed.filter(F.col("start").isNull()).select("file", *ORDER, "line").unionByName(joined)
+
+
+# stands for a comma outside quotes while a line is split; no report holds it
+CELL_END = "\x00"
+
+
+def _raw_cells(line: str | Column) -> Column:
+    """Cells of a CSV line with their quotes: commas between an even number of quotes and the next end a cell.
+
+    The pieces between quotes alternate outside and inside, so one pass over
+    the line does, without a pattern that looks ahead.
+    """
+    pieces = F.split(col_(line), '"', -1)
+    marked = F.transform(pieces, lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit(","), F.lit(CELL_END))).otherwise(x))
+    return F.split(F.array_join(marked, '"'), CELL_END, -1)
+
 
+def csv_split(line: str | Column) -> Column:
+    """Split one CSV text line into cells (quotes removed, ``""`` unescaped, '' -> NULL)."""
     def unquote(x: Column) -> Column:
         inner = F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
         return (F.when(x == "", F.lit(None).cast("string"))
                 .when((F.length(x) >= 2) & x.startswith('"') & x.endswith('"'), inner)
                 .otherwise(x))
 
-    return F.transform(raw, unquote)
-
-
-def field_count(line: str | Column) -> Column:
-    """Number of CSV fields in a line (quoted sections may hold commas)."""
-    return F.size(F.split(col_(line), CSV_COMMA, -1))
+    return F.transform(_raw_cells(line), unquote)
 
 
 def split_cells(lines: DataFrame) -> DataFrame:
