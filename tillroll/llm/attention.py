@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.bpe import Vocabulary, default_vocabulary, merge
-from tillroll.llm.common import fold_of, lists, map_batches, mix, slices, table, words
+from tillroll.llm.bpe import Merges, Vocabulary, default_vocabulary
+from tillroll.llm.common import fold_of, lists, map_batches, mix, most_frequent, slices, table, words
 from tillroll.session import write_table
 
 FOLDS, HELD_OUT = 7, 2
@@ -60,17 +60,19 @@ class Subwords:
     """Words -> ids: bytes are 0..255, merges follow, the last id ends a text."""
 
     def __init__(self, merges: list[tuple[int, int, int]]):
-        self.ranks = {(a, b): (i, new) for i, (a, b, new) in enumerate(merges)}
+        self.merges = Merges(np.array(merges, np.int32).reshape(-1, 3))
         self.known: dict[bytes, tuple[int, ...]] = {}
 
-    def ids(self, word: bytes) -> tuple[int, ...]:
-        """The word with a blank before it; the empty word is the end of a text."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = self.known[word] = tuple(merge(list(b" " + word), self.ranks)) if word else (END,)
-        return found
+    def ids(self, items: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each word with a blank before it; the empty word is the end of a text."""
+        known = self.known
+        new = [w for w in dict.fromkeys(items) if w not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(dict.fromkeys(items))
+        known.update(zip(new, self.merges.merge([list(b" " + w) if w else [] for w in new])))
+        known[b""] = (END,)
+        return [known[w] for w in items]
 
 
 def first_merges(vocabulary: Vocabulary) -> list[tuple[int, int, int]]:
@@ -340,7 +342,7 @@ class Lexicon:
     def __init__(self, counts: dict[bytes, int], subwords: Subwords):
         self.number = {w: i for i, w in enumerate(counts)}
         self.logs = np.log10(np.array([*counts.values()], np.float64) + 1)
-        own = [subwords.ids(w) for w in counts]
+        own = subwords.ids(list(counts))
         self.ids = padded(own, WORD_IDS).reshape(-1, WORD_IDS)
         self.own, self.counts = own, np.array([*counts.values()], np.float64)
         self.miss = np.ones(VOCAB)
@@ -386,7 +388,7 @@ class Scorer:
     def score(self, lines: list[np.ndarray], other: list[bytes]) -> np.ndarray:
         """Natural log probability of each line of word numbers with the end after it."""
         lex, n = self.lexicon, len(self.lexicon.number)
-        ids = [self.subwords.ids(w) for w in other]
+        ids = self.subwords.ids(other)
         new = [i for i, w in enumerate(other) if w not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known, new = {}, list(range(len(other)))
@@ -422,7 +424,7 @@ def _learn(docs: DataFrame, subword_merges: list, start: Language) -> tuple[Lang
         if not texts:
             return None
         sub = Subwords(subword_merges)
-        rows = np.concatenate([blocks_of(padded([sub.ids(w) for w in (b"", *words(t), b"")], WORD_IDS), OUTER) for t in texts])
+        rows = np.concatenate([blocks_of(padded(sub.ids([b"", *words(t), b""]), WORD_IDS), OUTER) for t in texts])
         rows = rows.reshape(len(rows), -1)
         key = mix(np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64)).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(key), lists(list(rows), pa.int32())], ["key", "ids"])
@@ -488,7 +490,7 @@ def _first_ids(cuts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarra
 def learn(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, Lexicon, list, Language]:
     """(word counts, lexicon of frequent words, merges, model) of training documents."""
     counts = write_table(word_counts(docs), "counts")
-    known = {bytes(r.w): r.c for r in counts.orderBy(F.desc("c"), "w").limit(KNOWN_WORDS).collect()}
+    known = {bytes(r.w): r.c for r in most_frequent(counts, "c", KNOWN_WORDS).collect()}
     merges = first_merges(Vocabulary(vocabulary or default_vocabulary()))
     sub, first, rest = Subwords(merges), np.zeros(VOCAB), np.zeros(VOCAB)
     lexicon = Lexicon(known, sub)

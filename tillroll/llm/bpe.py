@@ -10,6 +10,7 @@ that it does not hold are merged exactly, so the lexicon never changes a result.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import uuid
@@ -24,13 +25,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import lists, map_batches, slices, table
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.llm.common import lists, map_batches, most_frequent, slices, table
+from tillroll.session import ensure_checkpoint_dir, write_table
 
 #: Frequent words in the automaton.
-LEXICON_WORDS = 1 << 16
+LEXICON_WORDS = 1 << 17
 #: Words whose ids a task keeps.
-CACHE = 150_000
+CACHE = 250_000
 #: Bytes of an Arrow batch that are worked on at once, by the batch's mean row.
 SLICE_BYTES = 2 << 20
 #: A word longer than this is not looked up.
@@ -76,15 +77,97 @@ class Vocabulary:
         self.merges = np.array([(ids[a], ids[b], ids[a + b]) for a, b in pairs], np.int32).reshape(-1, 3)
 
 
-def merge(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The merges of lowest rank first, the leftmost of equals first, until none applies."""
-    while len(ids) > 1:
-        best = min(((ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks), default=None)
-        if best is None:
-            break
-        (_, new), at = best
-        ids = [*ids[:at], new, *ids[at + 2:]]
-    return ids
+class Merges:
+    """Exact merging of many short pieces at once: lowest rank first, the leftmost of equals first."""
+
+    #: Pieces up to this many bytes share a grid of their width; longer ones are merged one by one.
+    WIDTHS = (4, 8, 16, 32, 64)
+
+    def __init__(self, merges: np.ndarray):
+        """merges: rows (left, right, merged) in order of rank."""
+        keys = (merges[:, 0].astype(np.int64) << 32) | merges[:, 1]
+        order = np.argsort(keys, kind="stable")
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.rank = np.append(order, len(keys)).astype(np.int32)
+        self.new = np.append(merges[order, 2], 0).astype(np.int32)
+        self.none = np.int32(len(keys))
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged id) of pairs; rank ``none`` where they do not merge."""
+        key = (left.astype(np.int64) << 32) | right
+        at = np.searchsorted(self.keys, key)
+        ok = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(ok, self.rank[at], self.none), self.new[at]
+
+    def merge(self, pieces: list[list[int]]) -> list[tuple[int, ...]]:
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        below = 0
+        for width in self.WIDTHS:
+            rows = np.flatnonzero((size > below) & (size <= width))
+            below = width
+            if len(rows):
+                self._grid([pieces[i] for i in rows], rows, size[rows], width, out)
+        for i in np.flatnonzero(size > below).tolist():
+            out[i] = self._long(pieces[i])
+        return out
+
+    def _grid(self, pieces: list[list[int]], rows: np.ndarray, size: np.ndarray, width: int, out: list) -> None:
+        grid = np.full((len(rows), width + 1), -1, np.int32)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        grid[np.repeat(np.arange(len(rows)), size), at] = np.fromiter(chain.from_iterable(pieces), np.int32, int(size.sum()))
+        rank, _ = self._find(grid[:, :-1], grid[:, 1:])
+        while len(rows):
+            j = rank.argmin(1)
+            here = np.arange(len(rows))
+            done = rank[here, j] == self.none
+            if done.any():
+                for i, line in zip(rows[done].tolist(), grid[done].tolist()):
+                    out[i] = tuple(line[:line.index(-1)])
+                rows, grid, rank, j = rows[~done], grid[~done], rank[~done], j[~done]
+                here = np.arange(len(rows))
+                if not len(rows):
+                    break
+            _, new = self._find(grid[here, j], grid[here, j + 1])
+            columns = np.arange(grid.shape[1] - 1)
+            grid = np.take_along_axis(grid, columns + (columns > j[:, None]), 1)
+            grid[here, j] = new
+            columns = np.arange(rank.shape[1] - 1)
+            rank = np.take_along_axis(rank, columns + (columns > j[:, None]), 1)
+            if rank.shape[1] == 0:
+                rank = np.full((len(rows), 1), self.none, np.int32)
+                grid = np.concatenate([grid, np.full((len(rows), 1), -1, np.int32)], 1)
+                continue
+            right = np.minimum(j, rank.shape[1] - 1)
+            after = j < rank.shape[1]
+            found, _ = self._find(new, grid[here, right + 1])
+            rank[here[after], j[after]] = found[after]
+            before = j > 0
+            found, _ = self._find(grid[here, np.maximum(j - 1, 0)], new)
+            rank[here[before], j[before] - 1] = found[before]
+
+    def _long(self, ids: list[int]) -> tuple[int, ...]:
+        """A long piece as a linked list with a heap of its pairs."""
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        ids, heap = list(ids), []
+
+        def push(i: int, j: int) -> None:
+            at = int(np.searchsorted(self.keys, key := (ids[i] << 32) | ids[j]))
+            if self.keys[at] == key:
+                heapq.heappush(heap, (int(self.rank[at]), i, j, ids[i], ids[j], int(self.new[at])))
+        for i in range(len(ids) - 1):
+            push(i, i + 1)
+        while heap:
+            _, i, j, a, b, new = heapq.heappop(heap)
+            if ids[i] != a or ids[j] != b or after[i] != j:
+                continue
+            ids[i], ids[j], after[i] = new, -1, after[j]
+            if after[i] < len(ids):
+                before[after[i]] = i
+                push(i, after[i])
+            if before[i] >= 0:
+                push(before[i], i)
+        return tuple(x for x in ids if x >= 0)
 
 
 def compile_automaton(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +262,7 @@ class Lexicon:
         self.a = arrays
         self.special = special
         self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.ranks = {(a, b): (rank, new) for rank, (a, b, new) in enumerate(arrays["merges"].tolist())}
+        self.merges = Merges(arrays["merges"])
         self.byte_ids = arrays["byte_ids"].tolist()
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -208,11 +291,12 @@ class Lexicon:
             live = live[~done]
         return out
 
-    def _merged(self, word: str) -> tuple[int, ...]:
-        out = []
-        for piece in PIECES.findall(word):
-            out += merge([self.byte_ids[b] for b in piece.encode("utf-8", "replace")], self.ranks)
-        return tuple(out)
+    def merged(self, items: list[str]) -> list[tuple[int, ...]]:
+        """The ids of words by merging their pieces; equal pieces are merged once."""
+        pieces = [PIECES.findall(w) for w in items]
+        number = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
+        ids = self.merges.merge([[self.byte_ids[b] for b in p.encode("utf-8", "replace")] for p in number])
+        return [ids[number[ps[0]]] if len(ps) == 1 else tuple(chain.from_iterable(ids[number[p]] for p in ps)) for ps in pieces]
 
     def learn_words(self, items: set[str]) -> None:
         """Makes the ids of these words known: by the automaton, else by merging."""
@@ -222,8 +306,10 @@ class Lexicon:
             new = list(items)
         places = self.look_up([w.encode("utf-8", "replace") for w in new])
         ends, ids = self.a["ends"], self.a["ids"]
-        for word, place in zip(new, places.tolist()):
-            self.known[word] = tuple(ids[ends[place]:ends[place + 1]].tolist()) if place >= 0 else self._merged(word)
+        for i in np.flatnonzero(places >= 0).tolist():
+            self.known[new[i]] = tuple(ids[ends[places[i]]:ends[places[i] + 1]].tolist())
+        unseen = [new[i] for i in np.flatnonzero(places < 0).tolist()]
+        self.known.update(zip(unseen, self.merged(unseen)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [self.at_special.split(t) if self.at_special else [t] for t in (t or "" for t in texts)]
@@ -245,15 +331,14 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents (ties: the smaller word); counts are summed in tasks first."""
+    """At most ``limit`` of the most frequent words of all documents (ties are in or out together), of those that repeat."""
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         c: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
             c.update(WORDS.findall(text or ""))
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
-    rows = (map_batches(docs.select("text"), counted, "w string, n long")
-            .groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(limit))
-    return [r.w for r in rows.collect()]
+    counts = map_batches(docs.select("text"), counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r.w for r in most_frequent(write_table(counts.where("n > 1"), "frequent"), "n", limit).select("w").collect()]
 
 
 def build(vocabulary: Vocabulary, words: list[str]) -> dict[str, np.ndarray]:
@@ -264,7 +349,7 @@ def build(vocabulary: Vocabulary, words: list[str]) -> dict[str, np.ndarray]:
     by_bytes = {w.encode("utf-8", "replace"): w for w in words}
     items = sorted(b for b in by_bytes if 0 < len(b) <= LONGEST)
     plain = Lexicon(arrays, {})
-    ids = [plain._merged(by_bytes[b]) for b in items]
+    ids = plain.merged([by_bytes[b] for b in items])
     arrays["keys"], arrays["targets"], arrays["outputs"], arrays["final"] = compile_automaton(items)
     arrays["ids"] = np.fromiter(chain.from_iterable(ids), np.int32)
     arrays["ends"] = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)

@@ -82,6 +82,23 @@ def slices(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] if ok else flat[:0] for a, b, ok in zip(ends[:-1], ends[1:], valid)]
 
 
+def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """Rows with the largest counts, at most ``limit``: a threshold from a histogram, so no task sorts or holds them all.
+
+    Counts fall into at most some thousand classes; a class is in whole or not at all.
+    """
+    n = F.col(column)
+    kind = F.when(n < 1024, n).otherwise(1024 + F.floor(F.log2(n) * 64)).cast("long")
+    classes = sorted(((r.kind, r.rows) for r in counts.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    least, total = 1 << 40, 0
+    for k, rows in classes:
+        total += rows
+        if total > limit:
+            break
+        least = k
+    return counts.where(kind >= least)
+
+
 def fold_of(column: str, buckets: int):
     """crc32 of the id as text, modulo ``buckets``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets
