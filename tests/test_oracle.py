@@ -5,10 +5,10 @@ import pytest
 import __spark_entry__ as E
 from check_oracle import canon, same
 from conftest import SF
+from tillroll.plans.oracle import ORACLE
+from tillroll.plans.registry import QUERIES
 from tillroll.sources.tables import TABLE_NAMES
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                  "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
@@ -23,6 +23,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry(spark):

@@ -3,9 +3,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF
 from tillroll.operators import baskets, demand
+from tillroll.plans.registry import QUERIES
 from tillroll.sources import tables as tb
 
 PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
@@ -17,9 +17,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_unpartitioned_window(spark, name):
-    p = plan(E.queries()[name](spark, SF))
+    p = plan(QUERIES[name](spark, SF))
     for node in PYTHON_NODES + PAIR_JOINS:
         assert node not in p, f"{name}: {node}"
     for line in p.splitlines():
