@@ -90,3 +90,12 @@ TOPIC_FALLBACK = "overview"
 FOOTER_PATTERN = r"(?i)Copyright|omegapos|Page \d+ of"
 BRANCH_NAMES = ["Conut - Tyre", "Conut Jnah", "Main Street Coffee", "Conut"]
 MENU_CHANNELS = ["DELIVERY", "TABLE", "TAKE AWAY"]
+
+# --- fixed values: finding on the network's beverage share (share, benchmark, gap) -----
+BEVERAGE_FINDINGS = {
+    "green": "Beverage revenue at %1$s%% meets the %2$d%% benchmark.",
+    "amber": "Beverage revenue at %1$s%% is below the %2$d%% industry benchmark. "
+             "A %3$spp improvement would reach best-in-class.",
+    "red": "Beverage revenue at %1$s%% is significantly below the %2$d%% benchmark. "
+           "This represents a major untapped revenue opportunity.",
+}

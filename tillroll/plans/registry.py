@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.scalar import clean_number, compact_cells, duration_hours
+from tillroll.functions.scalar import clean_number, compact_cells, duration_hours, money_sum
 from tillroll.operators import baskets, branches, demand, segments, staffing, topics
 from tillroll.plans import roundtrip
 from tillroll.sources import reports
@@ -85,6 +85,18 @@ def q_demand_forecast(t: Tables) -> DataFrame:
     return demand.demand_forecast(tb.monthly_sales(t), 3)
 
 
+@query("forecast_branch")
+def q_forecast_branch(t: Tables) -> DataFrame:
+    """The forecast of one branch (the filter reaches the scan)."""
+    return demand.forecast_branch(tb.monthly_sales(t), "BUILDING", 3)
+
+
+@query("forecast_branch_missing")
+def q_forecast_branch_missing(t: Tables) -> DataFrame:
+    """A branch without data: one row with the error."""
+    return demand.forecast_branch(tb.monthly_sales(t), "NO SUCH BRANCH", 3)
+
+
 @query("demand_ranking")
 def q_demand_ranking(t: Tables) -> DataFrame:
     return demand.demand_ranking(tb.monthly_sales(t), 3)
@@ -103,6 +115,13 @@ def _seg(t: Tables) -> DataFrame:
                              tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
 
 
+def _seg_items(t: Tables) -> DataFrame:
+    """Classified lines summed by branch, segment and item, written once: reports that need
+    several figures read this table instead of joining the lines again."""
+    return write_table(_seg(t).groupBy("branch", "segment", "item")
+                       .agg(F.sum("qty").alias("qty"), money_sum("total_amount").alias("total_amount")), "segment-items")
+
+
 @query("segment_classify")
 def q_segment_classify(t: Tables) -> DataFrame:
     """Segment of every distinct item name."""
@@ -116,7 +135,7 @@ def q_segment_share(t: Tables) -> DataFrame:
 
 @query("top_segment_items")
 def q_top_segment_items(t: Tables) -> DataFrame:
-    s = _seg(t)
+    s = _seg_items(t)
     return (segments.top_segment_items(s, "coffee", 10)
             .unionByName(segments.top_segment_items(s, "milkshake", 10)))
 
@@ -146,9 +165,14 @@ def q_beverage_gap(t: Tables) -> DataFrame:
     return segments.beverage_gap(segments.segment_share(_seg(t)))
 
 
+@query("beverage_gap_network")
+def q_beverage_gap_network(t: Tables) -> DataFrame:
+    return segments.beverage_gap_network(segments.segment_totals(_seg(t)))
+
+
 @query("growth_actions")
 def q_growth_actions(t: Tables) -> DataFrame:
-    s = _seg(t)
+    s = _seg_items(t)
     return segments.growth_actions(s, segments.segment_share(s))
 
 
@@ -370,11 +394,24 @@ def q_forward_fill_context(t: Tables) -> DataFrame:
     lines = (detail.unionByName(header)
              .withColumn("block", (F.col("ck") / 16).cast("long"))
              .withColumn("seq", F.struct("ck", "l_orderkey", "l_linenumber")))
-    filled = reports.forward_fill_blocked(lines, ["ctx"], group="branch")
+    # ranges of 4096 blocks: no window of the carry grows with the number of customers of a branch
+    filled = reports.forward_fill_blocked(lines, ["ctx"], group="branch", span=4096)
     return (filled.filter(F.col("l_orderkey") >= 0)
             .select("branch", "l_orderkey", "l_linenumber", F.col("ctx").alias("customer")))
 
 
+@query("result_sink")
+def q_result_sink(t: Tables) -> DataFrame:
+    """Shift staffing written as JSON lines to the shared folder and read back."""
+    import uuid
+
+    from tillroll.session import ensure_checkpoint_dir
+    from tillroll.sources.sinks import write_result
+    df = staffing.shift_staffing(tb.attendance(t))
+    path = write_result(df, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/tillroll-results/{uuid.uuid4().hex}")
+    return t.spark.read.schema(df.schema).json(path)
+
+
 @query("dataset_profile")
 def q_dataset_profile(t: Tables) -> DataFrame:
     """Row and column counts of every driver table."""

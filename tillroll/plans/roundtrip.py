@@ -52,8 +52,7 @@ def write_report(lines: DataFrame, section: Sequence[str], order: Sequence[str])
     """Write ``text`` lines; each file holds whole sections in (section, order) order."""
     spark = lines.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-reports/{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    (lines.repartition(n, *section).sortWithinPartitions(*section, *order)
+    (lines.repartition(*section).sortWithinPartitions(*section, *order)
      .select("text").write.text(path))
     return path
 

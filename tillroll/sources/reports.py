@@ -183,7 +183,7 @@ def forward_fill(df: DataFrame, columns: Sequence[str], partition: Sequence[str]
 
 
 def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "file",
-                         block: str = "block", seq: str = "seq") -> DataFrame:
+                         block: str = "block", seq: str = "seq", span: int | None = None) -> DataFrame:
     """Skew-safe forward fill over ``(group, block, seq)`` order.
 
     ``block`` must be non-decreasing along the order (contiguous chunks);
@@ -192,7 +192,9 @@ def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "fi
     block); phase 2 takes the last non-NULL value of every block, carries it
     forward over the blocks of the group (one row per block) and fills what
     phase 1 left NULL.  A group holding a third of all rows is spread over
-    its blocks; no window spans a whole group.
+    its blocks; no window spans a whole group.  ``span`` (for whole-number
+    blocks that grow in number with the data) carries in two levels: within
+    ranges of so many blocks, then over the ranges.
     """
     columns = list(columns)
     local = forward_fill(df, columns, [group, block], [seq])
@@ -201,11 +203,20 @@ def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "fi
     # aggregate adds no shuffle and does not re-read the input
     tails = (local.groupBy(group, block)
              .agg(*[F.max_by(F.col(c), F.col(seq)).alias(c) for c in columns]))
-    wb = (Window.partitionBy(group).orderBy(block)
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carry = tails.select(group, block,
-                         *[F.last(c, ignorenulls=True).over(wb).alias(f"_carry_{c}")
-                           for c in columns])
+
+    def carried(rows: DataFrame, keys: list[str], at: str, prefix: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"{prefix}{c}") for c in columns])
+
+    if span:
+        tails = carried(tails.withColumn("_range", F.floor(F.col(block) / span)), [group, "_range"], block, "_in_")
+        ends = (tails.groupBy(group, "_range")
+                .agg(*[F.max_by(F.coalesce(F.col(c), F.col(f"_in_{c}")), F.col(block)).alias(c) for c in columns]))
+        ends = carried(ends, [group], "_range", "_out_").select(group, "_range", *[f"_out_{c}" for c in columns])
+        carry = tails.join(ends, [group, "_range"]).select(
+            group, block, *[F.coalesce(f"_in_{c}", f"_out_{c}").alias(f"_carry_{c}") for c in columns])
+    else:
+        carry = carried(tails, [group], block, "_carry_").select(group, block, *[f"_carry_{c}" for c in columns])
     out = local.join(carry, [group, block], "left")
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_carry_{c}"))).drop(f"_carry_{c}")
