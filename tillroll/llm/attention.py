@@ -46,7 +46,7 @@ WORD_IDS = 6
 #: Share of training documents whose windows are learned (one in so many, by a hash of the text).
 LEARN_EVERY = 16
 #: Windows of a task, rounds, steps of a task in a round, windows of a step, rate.
-TASK_WINDOWS, ROUNDS, STEPS, STEP_WINDOWS, RATE = 131_072, 6, 64, 128, 0.01
+TASK_WINDOWS, ROUNDS, STEPS, STEP_WINDOWS, RATE = 131_072, 4, 32, 128, 0.01
 #: Frequent words that every task knows; the counts of others are joined.
 KNOWN_WORDS = 1 << 17
 #: Words whose ids and scores a task keeps, and words that one batch holds.
