@@ -3,9 +3,10 @@
 A text's words are cut into subword ids by the first merges of a public
 vocabulary.  The outer model predicts a word's first id by attention over the
 words before it (a word stands as the mean of its ids' vectors).  What follows in
-the word is a mixture: the counts of frequent words in all training documents,
-and the inner model, which predicts the other ids and the word's end by attention
-over the ids before them in the word.  The product is a distribution over texts.
+the word is a mixture: the word's count among the training words with that first
+id, and the inner model, which predicts the other ids and the word's end by
+attention over the ids before them in the word; the inner model's share is that
+of words seen once.  The product is a distribution over texts.
 Positions are scored in blocks that see the block before them: overlapping
 windows in which each position is scored once, many windows in one masked
 attention.  An id's probability is that of its class times that of the id within
@@ -46,7 +47,7 @@ WORD_IDS = 6
 #: Share of training documents whose windows are learned (one in so many, by a hash of the text).
 LEARN_EVERY = 16
 #: Windows of a task, rounds, steps of a task in a round, windows of a step, rate.
-TASK_WINDOWS, ROUNDS, STEPS, STEP_WINDOWS, RATE = 131_072, 4, 32, 128, 0.01
+TASK_WINDOWS, ROUNDS, STEPS, STEP_WINDOWS, RATE = 131_072, 4, 48, 128, 0.02
 #: Frequent words that every task knows; the counts of others are joined.
 KNOWN_WORDS = 1 << 17
 #: Words whose ids and scores a task keeps, and words that one batch holds.
@@ -334,9 +335,9 @@ class Language:
 class Lexicon:
     """Frequent words with their training counts, ids, and log probability after the first id; bounded, sent to tasks.
 
-    After first id f a word has (1 - miss[f]) * count / (count of frequent words
-    with f) + miss[f] * inner model; ``miss`` is the share of words with f that
-    are not frequent, and one for a first id that no frequent word has.
+    After first id f a word has (1 - m) * count / total + m * inner model, where
+    total is the count of all training words with f and m the share of those
+    seen once; m is one for a first id that no training word has.
     """
 
     def __init__(self, counts: dict[bytes, int], subwords: Subwords):
@@ -345,20 +346,19 @@ class Lexicon:
         own = subwords.ids(list(counts))
         self.ids = padded(own, WORD_IDS).reshape(-1, WORD_IDS)
         self.own, self.counts = own, np.array([*counts.values()], np.float64)
-        self.miss = np.ones(VOCAB)
         self.rest = np.zeros(len(own))
 
-    def finish(self, language: Language, seen: np.ndarray, missed: np.ndarray) -> Lexicon:
-        """Sets the mixture from the counts of first ids in sampled words and of those whose word is not frequent."""
-        total = np.bincount(self.ids[:, 0], weights=self.counts, minlength=VOCAB)
-        self.miss = np.where(total > 0, (missed + 0.5) / (seen + 1), 1.0)
+    def finish(self, language: Language, total: np.ndarray, once: np.ndarray) -> Lexicon:
+        """Sets the mixture from the counts of first ids among all training words and among words seen once."""
+        share = np.where(total > 0, (once + 0.5) / (total + 1), 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.by_count = np.where(total > 0, np.log1p(-share) - np.log(total), -np.inf)     # and the log of a word's count
+        self.by_model = np.log(share)                                                         # and the inner model
         first = self.ids[:, 0]
-        miss = self.miss[first]
         inner = np.zeros(len(first))
         words_at = [i for i, w in enumerate(self.number) if w]
         inner[words_at] = language.word_scores([self.own[i] for i in words_at])
-        with np.errstate(divide="ignore"):
-            self.rest = np.logaddexp(np.log1p(-miss) + np.log(self.counts / total[first]), np.log(miss) + inner)
+        self.rest = np.logaddexp(self.by_count[first] + np.log(self.counts), self.by_model[first] + inner)
         end = self.number.get(b"")
         if end is not None:
             self.rest[end] = 0.0                              # nothing follows an end
@@ -385,8 +385,9 @@ class Scorer:
             out.append(line)
         return out, list(other)
 
-    def score(self, lines: list[np.ndarray], other: list[bytes]) -> np.ndarray:
-        """Natural log probability of each line of word numbers with the end after it."""
+    def score(self, lines: list[np.ndarray], other: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log probability of each line of word numbers with the end after it, but for what follows the
+        first ids of other words: for each of them its two parts, by count (without the count) and by the inner model."""
         lex, n = self.lexicon, len(self.lexicon.number)
         ids = self.subwords.ids(other)
         new = [i for i, w in enumerate(other) if w not in self.known]
@@ -394,7 +395,8 @@ class Scorer:
             self.known, new = {}, list(range(len(other)))
         self.known.update(zip((other[i] for i in new), self.language.word_scores([ids[i] for i in new]).tolist()))
         first = np.fromiter((i[0] for i in ids), np.int64, len(ids))
-        rest = np.concatenate([lex.rest, np.fromiter((self.known[w] for w in other), np.float64, len(other)) + np.log(lex.miss[first]), [0.0]])
+        inner = np.fromiter((self.known[w] for w in other), np.float64, len(other))
+        rest = np.concatenate([lex.rest, np.zeros(len(other) + 1)])
         all_ids = np.concatenate([lex.ids, padded(ids, WORD_IDS), padded([(END,)], WORD_IDS)])
         end = n + len(other)
         lines = [np.concatenate([[end], line, [end]]) for line in lines]
@@ -402,8 +404,9 @@ class Scorer:
         for line in lines:
             used[line] = True
         place = np.cumsum(used, dtype=np.int32) - 1
-        return self.language.first_scores(all_ids[used], [place[line] for line in lines]) + np.array(
+        score = self.language.first_scores(all_ids[used], [place[line] for line in lines]) + np.array(
             [rest[line].sum() for line in lines])
+        return score, lex.by_count[first], lex.by_model[first] + inner
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -416,7 +419,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), counted, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _learn(docs: DataFrame, subword_merges: list, start: Language) -> tuple[Language, DataFrame]:
+def _learn(docs: DataFrame, subword_merges: list, start: Language) -> Language:
     """Rounds of local steps on the windows of one document in ``LEARN_EVERY``, weights averaged by windows."""
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = [t or "" for t in batch.column(0).to_pylist()]
@@ -431,7 +434,7 @@ def _learn(docs: DataFrame, subword_merges: list, start: Language) -> tuple[Lang
     cuts = write_table(map_batches(docs.select("text"), cut, "key long, ids array<int>"), "windows")
     n = cuts.count()
     if not n:
-        return start, cuts
+        return start
     tasks = -(-n // TASK_WINDOWS)
     shares = write_table(cuts.repartition(tasks, "key").sortWithinPartitions("key"), "shares")
     slots, schema = start.slots(), "piece long, n long, weights binary"
@@ -464,26 +467,23 @@ def _learn(docs: DataFrame, subword_merges: list, start: Language) -> tuple[Lang
         # averaged in pieces of the weights, so no task holds all tasks' weights
         rows = parts.repartition("piece").mapInArrow(mean, schema).collect()
         start.load(b"".join(bytes(r.weights) for r in sorted(rows, key=lambda r: r.piece)))
-    return start, cuts
+    return start
 
 
-def _first_ids(cuts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of first ids among the words of the sampled windows, and among those that are not frequent."""
-    rows = {tuple(r) for r in lexicon.ids.tolist()}
-
+def _first_ids(counts: DataFrame, merges: list) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of first ids over all training words, and over words seen once."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, missed = np.zeros(VOCAB, np.int64), np.zeros(VOCAB, np.int64)
+        total, once, sub = np.zeros(VOCAB, np.int64), np.zeros(VOCAB, np.int64), Subwords(merges)
         for b in batches:
-            for ids in slices(b.column(0)):
-                for r in map(tuple, ids.reshape(-1, WORD_IDS)[OUTER + 1:].tolist()):
-                    if r[0] >= 0:
-                        seen[r[0]] += 1
-                        missed[r[0]] += r not in rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCAB)), pa.array(seen), pa.array(missed)], ["id", "seen", "missed"])
+            first = np.fromiter((i[0] for i in sub.ids(b.column(0).to_pylist())), np.int64, b.num_rows)
+            c = b.column(1).to_numpy()
+            np.add.at(total, first, c)
+            np.add.at(once, first, c == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCAB)), pa.array(total), pa.array(once)], ["id", "total", "once"])
     out = np.zeros((2, VOCAB))
-    for r in (cuts.select("ids").mapInArrow(counted, "id long, seen long, missed long").groupBy("id")
-              .agg(F.sum("seen").alias("seen"), F.sum("missed").alias("missed")).collect()):
-        out[:, r.id] = r.seen, r.missed
+    for r in (counts.select("w", "c").mapInArrow(counted, "id long, total long, once long").groupBy("id")
+              .agg(F.sum("total").alias("total"), F.sum("once").alias("once")).collect()):
+        out[:, r.id] = r.total, r.once
     return out[0], out[1]
 
 
@@ -497,8 +497,8 @@ def learn(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, Le
     for ids, c in zip(lexicon.own, known.values()):
         first[ids[0]] += c
         np.add.at(rest, [*ids[1:], END], c)
-    language, cuts = _learn(docs, merges, Language(first, rest))
-    return counts, lexicon.finish(language, *_first_ids(cuts, lexicon)), merges, language
+    language = _learn(docs, merges, Language(first, rest))
+    return counts, lexicon.finish(language, *_first_ids(counts, merges)), merges, language
 
 
 def score(docs: DataFrame, train: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -521,14 +521,19 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str | None = None) -> D
 
         def scored() -> pa.RecordBatch:
             lines, other = scorer.numbers([w for _, w in held])
-            total = scorer.score(lines, other) / np.log(10)
+            total, by_count, by_model = (x / np.log(10) for x in scorer.score(lines, other))
             end, known = lex.number.get(b""), len(lex.number)
             rare = [Counter(line[line >= known].tolist()) for line in lines]
+            flat = [(other[w - known], c, by_count[w - known], by_model[w - known]) for r in rare for w, c in r.items()]
+            columns = list(zip(*flat)) or [[]] * 4
+            parts = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.float64(), pa.float64()))],
+                                               ["w", "times", "by_count", "by_model"])
+            ends = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in held], ids), pa.array([len(x) + 1 for x in lines], pa.int64()),
                  pa.array([int((x < known).sum()) + (end is not None) for x in lines], pa.int64()),
                  pa.array([float(lex.logs[x[x < known]].sum()) + (0.0 if end is None else lex.logs[end]) for x in lines], pa.float64()),
-                 pa.array(total), pa.array([[(other[w - known], c) for w, c in r.items()] for r in rare], pa.map_(pa.binary(), pa.int64()))],
+                 pa.array(total), pa.ListArray.from_arrays(pa.array(ends), parts)],
                 ["doc_id", "n_tokens", "sure", "base", "score", "rare"])
         for batch in batches:
             ids = batch.column(0).type
@@ -542,15 +547,25 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str | None = None) -> D
             yield scored()
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = write_table(
-        docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, sure long, base double, score double, rare map<binary,long>")
+        docs.select("doc_id", "text").mapInArrow(
+            run, f"doc_id {kind}, n_tokens long, sure long, base double, score double, "
+                 "rare array<struct<w: binary, times: long, by_count: double, by_model: double>>")
         .withColumn("row", F.monotonically_increasing_id()), "scored")
-    others = (scored.select("row", F.explode("rare").alias("w", "times")).join(counts, "w").groupBy("row")
-              .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs")))
+    # words that tasks don't know: their counts complete both scores
+    by_count = F.when(F.col("c").isNotNull(), F.col("by_count") + F.log10("c"))
+    more = F.greatest(by_count, "by_model")
+    less = F.least(by_count, "by_model")
+    rest = more + F.when(by_count.isNotNull(), F.log10(1 + F.pow(F.lit(10.0), less - more))).otherwise(0.0)
+    others = (scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "w", "left").groupBy("row")
+              .agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
+                   F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("logs"),
+                   F.sum(F.col("times") * rest).alias("rest")))
     unit = float(np.log10(n + 1 * (v + 1)))
     return (scored.drop("rare").join(others, "row", "left")
             .select("doc_id", "n_tokens", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("n_known"),
                     F.lit(n).cast("long").alias("train_tokens"),
-                    (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score"))
+                    (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
+                    (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score")))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
