@@ -33,6 +33,8 @@ BLOCK_QUERIES = 1024
 DEGREE = 16
 #: Beam while a graph is built, first beam of queries.
 BUILD_BEAM, FIRST_BEAM = 48, 48
+#: A beam of this part of a shard has opened most of its nodes' neighbourhoods: the shard is scanned instead.
+WHOLE = 8
 #: Queries of a block that are audited, and the recall at which the beam is wide enough.
 AUDITED, RECALL = 64, 0.995
 #: Nodes that are put into a graph together.
@@ -194,13 +196,14 @@ class Graph:
         step = max(8, BATCH * 48 // beam)
         for at in range(0, len(unit), step):
             q = unit[at:at + step]
-            if beam >= len(self.ids):
-                found = np.broadcast_to(np.arange(len(self.ids)), (len(q), len(self.ids)))
-            else:
-                entry = np.concatenate([descend(self.x, self.layers[:-1], q.astype(np.float32), self.start),
-                                        own[at:at + step, None]], 1)
-                found, sims = beam_search(self.x, self.layers[-1], q.astype(np.float32), entry, beam)
-                full[at:at + step] = sims[:, -1] >= threshold - 1e-3
+            if beam * WHOLE >= len(self.ids):
+                for i, row in enumerate(q @ self.unit.T):
+                    out[at + i] = np.flatnonzero(row >= threshold)
+                continue
+            entry = np.concatenate([descend(self.x, self.layers[:-1], q.astype(np.float32), self.start),
+                                    own[at:at + step, None]], 1)
+            found, sims = beam_search(self.x, self.layers[-1], q.astype(np.float32), entry, beam)
+            full[at:at + step] = sims[:, -1] >= threshold - 1e-3
             for i, row in enumerate(found):
                 row = row[row >= 0]
                 out[at + i] = row[self.unit[row] @ q[i] >= threshold]
