@@ -274,6 +274,9 @@ def test_bpe_equals_the_library(spark, library):
         expected[i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))] += 1
     assert got == expected
     assert bpe.digests(frame(spark, [])).count() == 0
+    codec = bpe.codec_for(frame(spark, rows))
+    texts = bpe.decode(bpe.encode(frame(spark, rows), codec), codec).select("doc_id", "decoded").collect()
+    assert Counter(map(tuple, texts)) == Counter((i, t or "") for i, t in rows)
 
 
 @settings(max_examples=60, deadline=None)

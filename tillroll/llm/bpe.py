@@ -383,18 +383,24 @@ def codec_for(docs: DataFrame, vocabulary: str | None = None, lexicon_words: int
     return publish(docs.sparkSession, Vocabulary(vocabulary or default_vocabulary()), frequent_words(docs, lexicon_words))
 
 
-def encode(docs: DataFrame, codec: Codec, key: str = "doc_id") -> DataFrame:
-    """(key, ids array<int>) of every whole ``text``; a null text is an empty one, a null key stays null."""
+def encode(docs: DataFrame, codec: Codec, key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(key, ids array<int>) of every whole ``text``; a null text is an empty one, a null key stays null.
+
+    ``decoded`` adds the text that the ids decode to, in the same pass.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = codec.open()
         for b in batches:
             rows = max(1, min(1000, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists(lexicon.encode(part.column(1).to_pylist()), pa.int32())], [key, "ids"])
+                ids = lexicon.encode(part.column(1).to_pylist())
+                columns = [part.column(0), lists(ids, pa.int32())]
+                if decoded:
+                    columns.append(pa.array([lexicon.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"][:len(columns)])
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, codec: Codec, key: str = "doc_id") -> DataFrame:
@@ -405,7 +411,7 @@ def decode(encoded: DataFrame, codec: Codec, key: str = "doc_id") -> DataFrame:
             rows = max(1, min(1000, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                texts = [lexicon.decode(ids.astype(np.int64)) for ids in slices(part.column(1))]
+                texts = [lexicon.decode(ids) for ids in slices(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())],
                                                  [key, "ids", "decoded"])
     kind = encoded.schema[key].dataType.simpleString()
@@ -415,7 +421,7 @@ def decode(encoded: DataFrame, codec: Codec, key: str = "doc_id") -> DataFrame:
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, digest of the ids, digest of the decoded text."""
     codec = codec_for(docs, vocabulary)
-    return decode(encode(docs, codec), codec).select(
+    return encode(docs, codec, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
