@@ -417,6 +417,24 @@ def test_words_longer_than_a_block_are_scored_once():
     assert targets == [[*w[1:], attention.END] for w in ids]
 
 
+def test_every_block_is_learned_once_in_some_round(monkeypatch):
+    sub, r = attention.Subwords([]), random.Random(4)
+    texts = ["", "one", *(sentence(r, n) for n in (15, 16, 17, 40, 700))]
+    rounds = [attention.windows_of(texts, sub, turn) for turn in range(attention.ROUNDS)]
+    lines = [attention.padded(sub.ids([b"", *words(t), b""]), attention.WORD_IDS) for t in texts]
+    whole = np.concatenate([attention.blocks_of(line, attention.OUTER) for line in lines])
+    assert sorted(w.tobytes() for w in np.concatenate(rounds)) == sorted(w.tobytes() for w in whole)
+    seen, gradient = Counter(), attention.Attention.gradient
+
+    def counted(self, x, target):
+        if self.block == attention.OUTER:
+            seen.update(w.tobytes() for w in x)
+        return gradient(self, x, target)
+    monkeypatch.setattr(attention.Attention, "gradient", counted)
+    assert language().train([whole[:20], whole[20:]], 0, 0.01, 0) == len(whole)
+    assert seen == Counter(w.tobytes() for w in whole[:, :-1])
+
+
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(attention, "KNOWN_WORDS", 20)            # most words take the join
     monkeypatch.setattr(attention, "LEARN_EVERY", 1)

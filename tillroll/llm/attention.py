@@ -13,15 +13,17 @@ attention.  An id's probability is that of its class times that of the id within
 the class.  What the inner model says depends on the word alone, so equal words
 of a batch are scored once.
 
-Learning is spread over tasks: counts come from all training documents; windows
-of a fixed share of them are learned by tasks that start from common weights,
-take some steps on their own windows and give back weights, which are averaged.
+Learning is spread over tasks: counts and windows come from all training
+documents.  In each round tasks start from common weights, take steps on their own
+windows and give back weights, which are averaged.  Each block of a document is
+learned in one of the rounds, so that every window is used once, or more often by
+tasks with few windows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.bpe import Merges, Vocabulary, default_vocabulary
-from tillroll.llm.common import fold_of, lists, map_batches, mix, most_frequent, slices, table, words
+from tillroll.llm.common import bounded, fold_of, map_batches, most_frequent, table, words
 from tillroll.session import write_table
 
 FOLDS, HELD_OUT = 7, 2
@@ -44,10 +46,10 @@ WIDTH = 32
 OUTER, INNER = 16, 4
 #: Ids of a word that stand for it in a window (and that learning looks at).
 WORD_IDS = 6
-#: Share of training documents whose windows are learned (one in so many, by a hash of the text).
-LEARN_EVERY = 16
-#: Windows of a task, rounds, steps of a task in a round, windows of a step, rate.
-TASK_WINDOWS, ROUNDS, STEPS, STEP_WINDOWS, RATE = 131_072, 4, 48, 128, 0.02
+#: One training document in so many has its windows learned: all of them.
+LEARN_EVERY = 1
+#: Least windows of a task, rounds, least steps of a task in a round, windows of a step up to these and after them, rate.
+TASK_WINDOWS, ROUNDS, STEPS, STEP_WINDOWS, LATE_WINDOWS, RATE = 16_384, 4, 48, 128, 1024, 0.02
 #: Frequent words that every task knows; the counts of others are joined.
 KNOWN_WORDS = 1 << 17
 #: Words whose ids and scores a task keeps, and words that one batch holds.
@@ -268,20 +270,35 @@ class Language:
     def __init__(self, first: np.ndarray, rest: np.ndarray):
         self.outer, self.inner = Attention(OUTER, first), Attention(INNER, rest)
 
-    def train(self, windows: np.ndarray, steps: int, rate: float, seed: int) -> Language:
-        """So many steps on windows (2 * OUTER + 1 words of WORD_IDS ids) drawn from these."""
+    def train(self, parts: Iterable[np.ndarray], steps: int, rate: float, seed: int) -> int:
+        """Steps on all windows (2 * OUTER + 1 words of WORD_IDS ids) of the parts, each at least once, until there
+        were so many steps; the number of windows."""
         r = np.random.default_rng(seed)
         outer, inner = Adam(self.outer.p, rate), Adam(self.inner.p, rate)
-        for _ in range(steps):
-            w = windows[r.integers(0, len(windows), STEP_WINDOWS)]
-            outer.take(self.outer.gradient(w[:, :-1], w[:, OUTER + 1:, 0]))
-            own = w[:, OUTER + 1:].reshape(-1, WORD_IDS)
-            own = own[(own[:, 0] >= 0) & (own[:, 0] != END)]
-            own = own[own[:, -1] < 0]                        # words cut off here have no end to learn
-            if len(own):
-                x, _ = inner_windows([tuple(i[i >= 0].tolist()) for i in own])
-                inner.take(self.inner.gradient(x[:, :-1, None], x[:, INNER + 1:]))
-        return self
+        taken, total, few = 0, 0, []
+
+        def steps_on(windows: np.ndarray) -> int:
+            size = STEP_WINDOWS if taken < steps else LATE_WINDOWS
+            count = -(-len(windows) // size)
+            for at in np.array_split(r.permutation(len(windows)), count):
+                w = windows[at]
+                outer.take(self.outer.gradient(w[:, :-1], w[:, OUTER + 1:, 0]))
+                own = w[:, OUTER + 1:].reshape(-1, WORD_IDS)
+                own = own[(own[:, 0] >= 0) & (own[:, 0] != END)]
+                own = own[own[:, -1] < 0]                        # words cut off here have no end to learn
+                if len(own):
+                    x, _ = inner_windows([tuple(i[i >= 0].tolist()) for i in own])
+                    inner.take(self.inner.gradient(x[:, :-1, None], x[:, INNER + 1:]))
+            return count
+        for windows in parts:
+            total += len(windows)
+            if taken < steps:
+                few.append(windows)                              # to be used again if there are no more
+            taken += steps_on(windows)
+        while few and taken < steps:
+            for windows in few:
+                taken += steps_on(windows)
+        return total
 
     def word_scores(self, ids: list[tuple[int, ...]]) -> np.ndarray:
         """Natural log probability of the ids after the first and of the end of each word."""
@@ -419,37 +436,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), counted, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _learn(docs: DataFrame, subword_merges: list, start: Language) -> Language:
-    """Rounds of local steps on the windows of one document in ``LEARN_EVERY``, weights averaged by windows."""
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        texts = [t for t in texts if xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) % LEARN_EVERY == 0]
-        if not texts:
-            return None
-        sub = Subwords(subword_merges)
-        rows = np.concatenate([blocks_of(padded(sub.ids([b"", *words(t), b""]), WORD_IDS), OUTER) for t in texts])
-        rows = rows.reshape(len(rows), -1)
-        key = mix(np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key), lists(list(rows), pa.int32())], ["key", "ids"])
-    cuts = write_table(map_batches(docs.select("text"), cut, "key long, ids array<int>"), "windows")
-    n = cuts.count()
-    if not n:
+def windows_of(texts: list[str], sub: Subwords, turn: int) -> np.ndarray:
+    """The windows (2 * OUTER + 1 words of WORD_IDS ids) of the blocks that are learned in this round.
+
+    A document's blocks are dealt over the rounds in runs, beginning at a round given by the text.
+    """
+    parts = [np.zeros((0, 2 * OUTER + 1, WORD_IDS), np.int32)]
+    for text in texts:
+        mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
+        if mark % LEARN_EVERY:
+            continue
+        line = [b"", *words(text), b""]
+        count = -(-(len(line) - 1) // OUTER)
+        run = (turn + mark // LEARN_EVERY) % ROUNDS
+        start, end = -(-run * count // ROUNDS), -(-(run + 1) * count // ROUNDS)
+        if start < end:
+            seen = max(0, start - 1)                          # the block before the first is only seen
+            ids = padded(sub.ids(line[seen * OUTER:end * OUTER + 1]), WORD_IDS)
+            parts.append(blocks_of(ids, OUTER)[start - seen:])
+    return np.concatenate(parts)
+
+
+def _learn(docs: DataFrame, n_words: int, subword_merges: list, start: Language) -> Language:
+    """Rounds of local steps on the windows of all documents, weights averaged by windows."""
+    if not n_words:
         return start
-    tasks = -(-n // TASK_WINDOWS)
-    shares = write_table(cuts.repartition(tasks, "key").sortWithinPartitions("key"), "shares")
+    docs = docs.select("text").coalesce(-(-n_words // (OUTER * TASK_WINDOWS)))
     slots, schema = start.slots(), "piece long, n long, weights binary"
     for turn in range(ROUNDS):
         raw, rate = start.dump(), RATE * (1 - turn / ROUNDS) + RATE / 20
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = [np.array(slices(b.column(0))) for b in batches if b.num_rows]
-            if not own:
+            sub, language = Subwords(subword_merges), Language.of(raw, slots)
+
+            def cut() -> Iterator[np.ndarray]:
+                for batch in bounded(batches):
+                    rows = windows_of([t or "" for t in batch.column(0).to_pylist()], sub, turn)
+                    if len(rows):
+                        yield rows
+            n_ = language.train(cut(), STEPS, rate, turn)
+            if not n_:
                 return
-            rows = np.concatenate(own).reshape(-1, 2 * OUTER + 1, WORD_IDS)
-            done = Language.of(raw, slots).train(rows, STEPS, rate, turn).dump()
+            done = language.dump()
             for at in range(0, len(done), PIECE):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([at // PIECE], pa.int64()), pa.array([len(rows)], pa.int64()), pa.array([done[at:at + PIECE]], pa.binary())],
+                    [pa.array([at // PIECE], pa.int64()), pa.array([n_], pa.int64()), pa.array([done[at:at + PIECE]], pa.binary())],
                     ["piece", "n", "weights"])
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,10 +494,11 @@ def _learn(docs: DataFrame, subword_merges: list, start: Language) -> Language:
                 yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([total[piece]], pa.int64()),
                                                   pa.array([(s / total[piece]).astype(np.float32).tobytes()], pa.binary())],
                                                  ["piece", "n", "weights"])
-        parts = shares.select("ids").mapInArrow(step, schema)
+        parts = docs.mapInArrow(step, schema)
         # averaged in pieces of the weights, so no task holds all tasks' weights
         rows = parts.repartition("piece").mapInArrow(mean, schema).collect()
-        start.load(b"".join(bytes(r.weights) for r in sorted(rows, key=lambda r: r.piece)))
+        if rows:
+            start.load(b"".join(bytes(r.weights) for r in sorted(rows, key=lambda r: r.piece)))
     return start
 
 
@@ -497,7 +529,8 @@ def learn(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, Le
     for ids, c in zip(lexicon.own, known.values()):
         first[ids[0]] += c
         np.add.at(rest, [*ids[1:], END], c)
-    language = _learn(docs, merges, Language(first, rest))
+    n = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    language = _learn(docs, int(n), merges, Language(first, rest))
     return counts, lexicon.finish(language, *_first_ids(counts, merges)), merges, language
 
 
