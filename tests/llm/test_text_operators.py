@@ -420,19 +420,52 @@ def test_words_longer_than_a_block_are_scored_once():
 def test_every_block_is_learned_once_in_some_round(monkeypatch):
     sub, r = attention.Subwords([]), random.Random(4)
     texts = ["", "one", *(sentence(r, n) for n in (15, 16, 17, 40, 700))]
+    spelt = lambda bags, w: tuple(() if i < 0 else tuple(bags.take(np.array([i])).flat.tolist()) for i in w)     # noqa: E731
     rounds = [attention.windows_of(texts, sub, turn) for turn in range(attention.ROUNDS)]
-    lines = [attention.padded(sub.ids([b"", *words(t), b""]), attention.WORD_IDS) for t in texts]
-    whole = np.concatenate([attention.blocks_of(line, attention.OUTER) for line in lines])
-    assert sorted(w.tobytes() for w in np.concatenate(rounds)) == sorted(w.tobytes() for w in whole)
-    seen, gradient = Counter(), attention.Attention.gradient
-
-    def counted(self, x, target):
-        if self.block == attention.OUTER:
-            seen.update(w.tobytes() for w in x)
-        return gradient(self, x, target)
-    monkeypatch.setattr(attention.Attention, "gradient", counted)
-    assert language().train([whole[:20], whole[20:]], 0, 0.01, 0) == len(whole)
-    assert seen == Counter(w.tobytes() for w in whole[:, :-1])
+    whole = []
+    for t in texts:
+        ids = [(), *sub.ids([b"", *words(t), b""]), *[()] * 16]
+        for at in range(1, len(words(t)) + 2, attention.OUTER):
+            block = lambda i: ids[i + 1] if 0 <= i <= len(words(t)) + 1 else ()                                  # noqa: E731
+            whole.append(tuple(block(i) for i in range(at - 1 - attention.OUTER, at + attention.OUTER)))
+    assert sorted(spelt(bags, w) for bags, ws in rounds for w in ws) == sorted(whole)
+    seen, gradient = Counter(), attention.Attention.word_gradient
+
+    def counted(self, bags, x, target):
+        seen.update(spelt(bags, w) for w in x)
+        return gradient(self, bags, x, target)
+    monkeypatch.setattr(attention.Attention, "word_gradient", counted)
+    assert language().train(rounds, 0, 0.01, 0) == len(whole)
+    assert seen == Counter(w[:-1] for w in whole)
+
+
+def test_long_words_are_learned_and_seen_whole(monkeypatch):
+    sub, learned, gradient = attention.Subwords([]), [], attention.Attention.gradient
+
+    def noted(self, x, target, times):
+        learned.extend((*w[w >= 0].tolist(), n) for w, n in zip(target, times))
+        return gradient(self, x, target, times)
+    monkeypatch.setattr(attention.Attention, "gradient", noted)
+    monkeypatch.setattr(attention, "ROUNDS", 1)
+    part = attention.windows_of(["Abcdefghi abcdefghi x"], sub, 0)
+    lm = language()
+    lm.train([part], 0, 0.01, 0)
+    assert sorted(learned) == sorted([(*b"abcd", 2), (*b"efgh", 2), (*b"i", attention.END, 2), (*b"x", attention.END, 1)])
+    ids = sub.ids([b"abcdefghi", b"abcdefghj", b"y", b""])
+    bags = attention.Bags.of(ids)
+    assert np.allclose(bags.mean(lm.outer.p["E"])[0], lm.outer.p["E"][list(ids[0])].mean(0), atol=1e-6)
+    a, b = lm.first_scores(bags, [np.array([3, 0, 2, 3]), np.array([3, 1, 2, 3])])
+    assert a != b                                            # they differ in the tenth id only
+
+
+def test_word_gradient_is_that_of_the_grid():
+    m, r = language(5).outer, np.random.default_rng(6)
+    ids = [tuple(r.integers(0, 50, n).tolist()) for n in (1, 2, 6, 3)]
+    x = r.integers(-1, len(ids), (3, 2 * attention.OUTER))
+    target = np.where(x[:, attention.OUTER:] >= 0, 7, -1)
+    grid = np.concatenate([attention.padded(ids, attention.WORD_IDS), np.full((1, attention.WORD_IDS), -1)])[x]
+    one, other = m.word_gradient(attention.Bags.of(ids), x, target), m.gradient(grid, target)
+    assert all(np.allclose(one[k], other[k], atol=1e-5) for k in one)
 
 
 def test_lm_scores(spark, monkeypatch):

@@ -44,7 +44,7 @@ END = VOCAB - 1
 WIDTH = 32
 #: Positions of a block of the outer and the inner model; a position sees its block and the one before.
 OUTER, INNER = 16, 4
-#: Ids of a word that stand for it in a window (and that learning looks at).
+#: Ids of a position where positions are a grid of ids; words of a text have all theirs (``Bags``).
 WORD_IDS = 6
 #: One training document in so many has its windows learned: all of them.
 LEARN_EVERY = 1
@@ -121,6 +121,54 @@ def inner_windows(words_ids: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndar
     return np.concatenate(parts), np.concatenate(owner)
 
 
+class Bags:
+    """All ids of words, one word after the other; each has at least one."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size = flat, size
+        self.start = np.cumsum(size) - size
+
+    @staticmethod
+    def of(words_ids: list[tuple[int, ...]]) -> Bags:
+        size = np.fromiter(map(len, words_ids), np.int64, len(words_ids))
+        return Bags(np.fromiter(chain.from_iterable(words_ids), np.int32, int(size.sum())), size)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def __add__(self, other: Bags) -> Bags:
+        return Bags(np.concatenate([self.flat, other.flat]), np.concatenate([self.size, other.size]))
+
+    def first(self) -> np.ndarray:
+        return self.flat[self.start].astype(np.int64)
+
+    def take(self, at: np.ndarray) -> Bags:
+        size = self.size[at]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return Bags(self.flat[np.repeat(self.start[at], size) + inside], size)
+
+    def mean(self, vectors: np.ndarray) -> np.ndarray:
+        """Mean vector of each word's ids."""
+        if not len(self):
+            return np.zeros((0, vectors.shape[1]), vectors.dtype)
+        return np.add.reduceat(vectors[self.flat], self.start, axis=0) / self.size[:, None].astype(vectors.dtype)
+
+    def spread(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """What gradients of the means are for the n vectors."""
+        return sum_rows(self.flat, np.repeat(rows / self.size[:, None].astype(rows.dtype), self.size, axis=0), n)
+
+
+def sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, width): sums of the rows that go to the same place."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        sorted_ = at[order]
+        start = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        out[sorted_[start]] = np.add.reduceat(rows[order], start, axis=0)
+    return out
+
+
 class Attention:
     """One layer of causal self-attention over 2 * block positions with learned offsets, and a class-factored output.
 
@@ -171,15 +219,16 @@ class Attention:
         h = r + (o.reshape(-1, WIDTH) @ self.p["Wo"]).reshape(r.shape)
         return a, o, np.maximum(h, 0, out=h)
 
-    def _output(self, h: np.ndarray, target: np.ndarray, back: bool) -> tuple:
-        """Log probability of each target; with ``back`` also the gradients of the mean loss."""
+    def _output(self, h: np.ndarray, target: np.ndarray, back: bool, times: np.ndarray | None = None) -> tuple:
+        """Log probability of each target; with ``back`` also the gradients of the mean loss, each target counted so many times."""
         p, members = self.p, VOCAB // CLASSES
         slot = self.slot[target]
         cls, member = slot // members, slot % members
         g = {k: np.zeros_like(p[k]) for k in ("Wc", "bc", "M", "bm")} if back else {}
-        scale = np.float32(1 / max(1, len(target)))
+        times = np.ones(len(target)) if times is None else times
+        scale = (times / max(1, times.sum())).astype(np.float32)[:, None]
 
-        def one(z: np.ndarray, hit: np.ndarray) -> tuple:
+        def one(z: np.ndarray, hit: np.ndarray, scale: np.ndarray) -> tuple:
             at = np.arange(len(z))
             z -= z.max(1, keepdims=True)
             picked = z[at, hit]
@@ -191,7 +240,7 @@ class Attention:
                 z *= scale
             return picked - np.log(total), z
 
-        found, d = one(h @ p["Wc"] + p["bc"], cls)
+        found, d = one(h @ p["Wc"] + p["bc"], cls, scale)
         found, dh = found.astype(np.float64), None
         if back:
             g["Wc"], g["bc"], dh = h.T @ d, d.sum(0), d @ p["Wc"].T
@@ -200,7 +249,7 @@ class Attention:
         for c in np.flatnonzero(np.diff(ends)):
             at = order[ends[c]:ends[c + 1]]
             hc = h[at]
-            more, d = one(hc @ p["M"][c].T + p["bm"][c], member[at])
+            more, d = one(hc @ p["M"][c].T + p["bm"][c], member[at], scale[at])
             found[at] += more
             if back:
                 g["M"][c], g["bm"][c] = d.T @ hc, d.sum(0)
@@ -217,15 +266,30 @@ class Attention:
         out[real] = self._output(h[real], target.ravel()[real], False)[0]
         return out.reshape(target.shape)
 
-    def gradient(self, x: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean loss of windows of ids (windows, 2 * block, ids of a position)."""
+    def gradient(self, x: np.ndarray, target: np.ndarray, times: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss of windows of ids (windows, 2 * block, ids of a position), each counted so many times."""
+        g, de = self._back(self.embed(x), x[:, :, 0] < 0, target, times)
+        there = x >= 0
+        share = de / np.maximum(there.sum(-1, keepdims=True), 1)
+        g["E"] = sum_rows(x[there], np.broadcast_to(share[:, :, None], (*x.shape, WIDTH))[there], VOCAB)
+        return g
+
+    def word_gradient(self, bags: Bags, x: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss of windows of words (windows, 2 * block); ``x`` are numbers of bags, -1 for none."""
+        vectors = np.concatenate([bags.mean(self.p["E"]), np.zeros((1, WIDTH), self.p["E"].dtype)])
+        g, de = self._back(vectors[x], x < 0, target)
+        there = x >= 0
+        g["E"] = bags.spread(sum_rows(x[there], de[there], len(bags)), VOCAB)
+        return g
+
+    def _back(self, e: np.ndarray, none: np.ndarray, target: np.ndarray, times: np.ndarray | None = None) -> tuple:
+        """Gradients of the mean loss for the weights but E, and for the vector of each position."""
         p, b = self.p, self.block
         flat = lambda m: m.reshape(-1, m.shape[-1])                      # noqa: E731
-        e = self.embed(x)
-        q, k, v, r = (t.reshape(len(x), 2 * b, WIDTH) for t in self.tables(flat(e)))
-        a, o, h = self.attend(q[:, b:], k, v, r[:, b:], x[:, :, 0] < 0)
+        q, k, v, r = (t.reshape(len(e), 2 * b, WIDTH) for t in self.tables(flat(e)))
+        a, o, h = self.attend(q[:, b:], k, v, r[:, b:], none)
         real = np.flatnonzero(target.ravel() >= 0)
-        _, g, dh = self._output(flat(h)[real], target.ravel()[real], True)
+        _, g, dh = self._output(flat(h)[real], target.ravel()[real], True, None if times is None else np.repeat(times, b)[real])
         du = np.zeros((h.shape[0] * b, WIDTH), np.float32)
         du[real] = dh
         du = du.reshape(h.shape) * (h > 0)
@@ -242,11 +306,7 @@ class Attention:
         g["Wq"], g["Wk"], g["Wv"] = flat(late).T @ flat(dq) / root, flat(e).T @ flat(dk), flat(e).T @ flat(dv)
         de = (flat(dk) @ p["Wk"].T + flat(dv) @ p["Wv"].T).reshape(e.shape)
         de[:, b:] += (flat(dq) @ p["Wq"].T / root + flat(du) @ p["Wr"].T).reshape(late.shape)
-        there = x >= 0
-        share = de / np.maximum(there.sum(-1, keepdims=True), 1)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], x[there], np.broadcast_to(share[:, :, None], (*x.shape, WIDTH))[there])
-        return g
+        return g, de
 
 
 class Adam:
@@ -270,34 +330,42 @@ class Language:
     def __init__(self, first: np.ndarray, rest: np.ndarray):
         self.outer, self.inner = Attention(OUTER, first), Attention(INNER, rest)
 
-    def train(self, parts: Iterable[np.ndarray], steps: int, rate: float, seed: int) -> int:
-        """Steps on all windows (2 * OUTER + 1 words of WORD_IDS ids) of the parts, each at least once, until there
-        were so many steps; the number of windows."""
+    def train(self, parts: Iterable[tuple[Bags, np.ndarray]], steps: int, rate: float, seed: int) -> int:
+        """Steps on all windows (2 * OUTER + 1 numbers of bags) of the parts, each at least once, until there were
+        so many steps; the number of windows.  The inner model learns the words of a window's own block whole."""
         r = np.random.default_rng(seed)
         outer, inner = Adam(self.outer.p, rate), Adam(self.inner.p, rate)
         taken, total, few = 0, 0, []
 
-        def steps_on(windows: np.ndarray) -> int:
-            size = STEP_WINDOWS if taken < steps else LATE_WINDOWS
-            count = -(-len(windows) // size)
+        def steps_on(bags: Bags, windows: np.ndarray) -> int:
+            first = bags.first()
+            spelt = np.flatnonzero(first != END)
+            ends = np.cumsum(bags.size)
+            if len(spelt):
+                inside, owner = inner_windows([tuple(bags.flat[ends[i] - bags.size[i]:ends[i]].tolist()) for i in spelt])
+                owner = spelt[owner]
+            count = -(-len(windows) // (STEP_WINDOWS if taken < steps else LATE_WINDOWS))
             for at in np.array_split(r.permutation(len(windows)), count):
                 w = windows[at]
-                outer.take(self.outer.gradient(w[:, :-1], w[:, OUTER + 1:, 0]))
-                own = w[:, OUTER + 1:].reshape(-1, WORD_IDS)
-                own = own[(own[:, 0] >= 0) & (own[:, 0] != END)]
-                own = own[own[:, -1] < 0]                        # words cut off here have no end to learn
-                if len(own):
-                    x, _ = inner_windows([tuple(i[i >= 0].tolist()) for i in own])
-                    inner.take(self.inner.gradient(x[:, :-1, None], x[:, INNER + 1:]))
+                late = w[:, OUTER + 1:]
+                used = np.unique(w[w >= 0])
+                place = np.full(len(bags) + 1, -1, np.int32)     # the last is that of -1
+                place[used] = np.arange(len(used))
+                outer.take(self.outer.word_gradient(bags.take(used), place[w[:, :-1]], np.where(late >= 0, first[late], -1)))
+                if len(spelt):
+                    times = np.bincount(late[late >= 0], minlength=len(bags))[owner]
+                    x, times = inside[times > 0], times[times > 0]
+                    if len(x):
+                        inner.take(self.inner.gradient(x[:, :-1, None], x[:, INNER + 1:], times))
             return count
-        for windows in parts:
-            total += len(windows)
+        for part in parts:
+            total += len(part[1])
             if taken < steps:
-                few.append(windows)                              # to be used again if there are no more
-            taken += steps_on(windows)
+                few.append(part)                                 # to be used again if there are no more
+            taken += steps_on(*part)
         while few and taken < steps:
-            for windows in few:
-                taken += steps_on(windows)
+            for part in few:
+                taken += steps_on(*part)
         return total
 
     def word_scores(self, ids: list[tuple[int, ...]]) -> np.ndarray:
@@ -311,10 +379,10 @@ class Language:
                 np.add.at(out, owner[at:at + 8192], self.inner.log_probs(tables, w[:, :-1], w[:, INNER + 1:]).sum(1))
         return out
 
-    def first_scores(self, ids: np.ndarray, lines: list[np.ndarray]) -> np.ndarray:
-        """For each line of rows of ``ids`` (words, WORD_IDS) the log probability of the first ids after its first word."""
-        tables = self.outer.tables(self.outer.embed(ids))
-        first = ids[:, 0].astype(np.int64)
+    def first_scores(self, bags: Bags, lines: list[np.ndarray]) -> np.ndarray:
+        """For each line of numbers of bags the log probability of the first ids after its first word."""
+        tables = self.outer.tables(bags.mean(self.outer.p["E"]))
+        first = bags.first()
         parts = [blocks_of(line, OUTER) for line in lines]
         w, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         out = np.zeros(len(lines))
@@ -361,7 +429,7 @@ class Lexicon:
         self.number = {w: i for i, w in enumerate(counts)}
         self.logs = np.log10(np.array([*counts.values()], np.float64) + 1)
         own = subwords.ids(list(counts))
-        self.ids = padded(own, WORD_IDS).reshape(-1, WORD_IDS)
+        self.bags = Bags.of(own)
         self.own, self.counts = own, np.array([*counts.values()], np.float64)
         self.rest = np.zeros(len(own))
 
@@ -371,7 +439,7 @@ class Lexicon:
         with np.errstate(divide="ignore", invalid="ignore"):
             self.by_count = np.where(total > 0, np.log1p(-share) - np.log(total), -np.inf)     # and the log of a word's count
         self.by_model = np.log(share)                                                         # and the inner model
-        first = self.ids[:, 0]
+        first = self.bags.first()
         inner = np.zeros(len(first))
         words_at = [i for i, w in enumerate(self.number) if w]
         inner[words_at] = language.word_scores([self.own[i] for i in words_at])
@@ -414,14 +482,14 @@ class Scorer:
         first = np.fromiter((i[0] for i in ids), np.int64, len(ids))
         inner = np.fromiter((self.known[w] for w in other), np.float64, len(other))
         rest = np.concatenate([lex.rest, np.zeros(len(other) + 1)])
-        all_ids = np.concatenate([lex.ids, padded(ids, WORD_IDS), padded([(END,)], WORD_IDS)])
+        bags = lex.bags + Bags.of([*ids, (END,)])
         end = n + len(other)
         lines = [np.concatenate([[end], line, [end]]) for line in lines]
-        used = np.zeros(len(all_ids), bool)
+        used = np.zeros(len(bags), bool)
         for line in lines:
             used[line] = True
         place = np.cumsum(used, dtype=np.int32) - 1
-        score = self.language.first_scores(all_ids[used], [place[line] for line in lines]) + np.array(
+        score = self.language.first_scores(bags.take(np.flatnonzero(used)), [place[line] for line in lines]) + np.array(
             [rest[line].sum() for line in lines])
         return score, lex.by_count[first], lex.by_model[first] + inner
 
@@ -436,12 +504,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), counted, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def windows_of(texts: list[str], sub: Subwords, turn: int) -> np.ndarray:
-    """The windows (2 * OUTER + 1 words of WORD_IDS ids) of the blocks that are learned in this round.
+def windows_of(texts: list[str], sub: Subwords, turn: int) -> tuple[Bags, np.ndarray]:
+    """Words and the windows (2 * OUTER + 1 numbers of words) of the blocks that are learned in this round.
 
     A document's blocks are dealt over the rounds in runs, beginning at a round given by the text.
     """
-    parts = [np.zeros((0, 2 * OUTER + 1, WORD_IDS), np.int32)]
+    number: dict[bytes, int] = {}
+    parts = [np.zeros((0, 2 * OUTER + 1), np.int32)]
     for text in texts:
         mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
         if mark % LEARN_EVERY:
@@ -452,9 +521,10 @@ def windows_of(texts: list[str], sub: Subwords, turn: int) -> np.ndarray:
         start, end = -(-run * count // ROUNDS), -(-(run + 1) * count // ROUNDS)
         if start < end:
             seen = max(0, start - 1)                          # the block before the first is only seen
-            ids = padded(sub.ids(line[seen * OUTER:end * OUTER + 1]), WORD_IDS)
-            parts.append(blocks_of(ids, OUTER)[start - seen:])
-    return np.concatenate(parts)
+            own = line[seen * OUTER:end * OUTER + 1]
+            at = np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own))
+            parts.append(blocks_of(at, OUTER)[start - seen:])
+    return Bags.of(sub.ids(list(number))), np.concatenate(parts)
 
 
 def _learn(docs: DataFrame, n_words: int, subword_merges: list, start: Language) -> Language:
@@ -469,11 +539,11 @@ def _learn(docs: DataFrame, n_words: int, subword_merges: list, start: Language)
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sub, language = Subwords(subword_merges), Language.of(raw, slots)
 
-            def cut() -> Iterator[np.ndarray]:
+            def cut() -> Iterator[tuple[Bags, np.ndarray]]:
                 for batch in bounded(batches):
-                    rows = windows_of([t or "" for t in batch.column(0).to_pylist()], sub, turn)
+                    bags, rows = windows_of([t or "" for t in batch.column(0).to_pylist()], sub, turn)
                     if len(rows):
-                        yield rows
+                        yield bags, rows
             n_ = language.train(cut(), STEPS, rate, turn)
             if not n_:
                 return
