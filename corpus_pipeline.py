@@ -21,9 +21,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go; ``n_chars`` follows the text, unchanged texts keep theirs."""
-    out = lines.dedup_lines(docs)
-    changed = F.col("ld_deleted") > 0
+    """Repeated runs of words go; ``n_chars`` follows the text, unchanged texts keep theirs."""
+    out = lines.dedup_passages(docs)
+    changed = ~F.col("ld_text").eqNullSafe(F.col("text"))
     return out.select(*[
         F.col("ld_text").alias(c) if c == "text"
         else F.when(changed, F.length("ld_text")).otherwise(F.col(c)).cast(kind).alias(c) if c == "n_chars"

@@ -161,7 +161,52 @@ def test_line_dedup_keeps_the_first_long_passage(spark):
     assert got == {1: "head one\n" + passage, 2: "tail two", 3: "short\nshort", 4: "short"}
 
 
+def brute_passages(rows, n):
+    """Words that stay, in order, by (doc_id, mark), after deleting every run of n words that stood at a smaller place."""
+    first = {}
+    for doc, mark, text in rows:
+        w = (text or "").split()
+        for a in range(len(w) - n + 1):
+            place = (doc is None, doc or 0, mark, a)
+            first[tuple(w[a:a + n])] = min(place, first.get(tuple(w[a:a + n]), place))
+    out = []
+    for doc, mark, text in rows:
+        w = (text or "").split()
+        gone = {i for a in range(len(w) - n + 1) if first[tuple(w[a:a + n])] < (doc is None, doc or 0, mark, a) for i in range(a, a + n)}
+        out.append((doc, [x for i, x in enumerate(w) if i not in gone]))
+    return sorted(out, key=repr)
+
+
+def test_passages_equal_brute_force(spark):
+    r = random.Random(8)
+    pool = [sentence(r, r.randrange(5, 40), 30) for _ in range(8)]
+    some = lambda: " ".join(r.choice([*pool, sentence(r, 6), "\n", "\n \n"]) for _ in range(r.randrange(1, 14)))       # noqa: E731
+    rows = [(i, some()) for i in range(50)] + [(7, "same id, other text " + pool[0]), (None, pool[1] + " " + pool[2])] + EDGE[:-1]
+    docs = frame(spark, rows)
+    marks = {(d, t): m for d, t, m in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, ''))").collect()}
+    for n in (3, 12, 50):
+        got = lines.dedup_passages(docs, n).collect()
+        assert sorted(((x.doc_id, (x.ld_text or "").split()) for x in got), key=repr) == brute_passages([(d, marks[d, t], t) for d, t in rows], n)
+        assert all((x.text is None) == (x.ld_text is None) for x in got)
+
+
+def test_passage_inside_longer_lines_is_deleted(spark, tmp_path):
+    r = random.Random(9)
+    passage = sentence(r, 51)
+    broken = passage.replace(" ", "\n", 30).replace("\n", " ", 20)
+    rows = [(1, f"some head {passage} and a tail\nlast"), (2, f"first\n\nother  words\t{passage}  then more\nend"),
+            (3, f"x y {broken} z"), (4, "only  " + " ".join(passage.split()[:49])), (5, passage), (6, "a\n" + passage + " \nb")]
+    expected = {1: rows[0][1], 2: "first\n\nother  words\tthen more\nend", 3: "x y\nz", 4: rows[3][1], 5: "", 6: "a\nb"}
+    got = {x.doc_id: (x.ld_text, x.ld_lines, x.ld_deleted) for x in lines.dedup_passages(frame(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == expected
+    assert [got[i][2] for i in range(1, 7)] == [0, 0, 9, 0, 1, 1] and got[2][1] == 4
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    query = {x.doc_id: x.kept_sha256 for x in lines.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert query == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in expected.items()}
+
+
 def test_line_dedup_empty_table(spark):
+    assert lines.dedup_passages(frame(spark, [])).count() == 0
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
