@@ -117,6 +117,18 @@ def test_keep_one_of_each_group(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    text = "the same seven words stand here again"
+    rows = [(1, text), (2, text), (2, "clean and unrelated words that nobody else has"), (4, "one text of a repeated id"),
+            (4, "another text under the same number"), (4, "another text under the same number"), (5, text), (5, "five is also this"),
+            (6, "six has this here and"), (6, "six has this here and "), (6, "near copies under one single id are one group a b c d e f g h i j k l m n o p"),
+            (6, "near copies under one single id are one group a b c d e f g h i j k l m n o p q")]
+    kept = sorted((r.doc_id, r.text.strip()) for r in jaccard.keep_one(frame(spark, rows)).collect())
+    near = [k for k in kept if k[1].startswith("near")]
+    assert len(near) == 1
+    assert [k for k in kept if k not in near] == [(1, text), (2, rows[2][1]), (4, rows[4][1]), (4, rows[3][1]), (5, rows[7][1]), (6, rows[8][1])]
+
+
 # --- 7: line dedup --------------------------------------------------------------------
 def brute_lines(rows, min_words):
     """Texts after deleting every window that stood at a smaller place; places by (null last, id, text's mark, line)."""

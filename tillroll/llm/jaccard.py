@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import lists, map_batches, mix, shingle_set, slices, table
@@ -215,6 +215,20 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataF
     return profiles, classes, _links(rows, percent)
 
 
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with the print of their set, classes of equal sets with their component: the smallest doc_id reachable)."""
+    profiles, classes, edges = jaccard_links(docs, k, percent)
+    found = connected_components(edges)
+    reached = classes.join(found, classes.rep == found.node).select("s1", "s2", "n", "doc_id", "component")
+    lowest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = reached.join(lowest, "component").select("s1", "s2", "n", "component_id", "component")
+    alone = classes.select("s1", "s2", "n", F.col("doc_id").alias("first"), "rep")
+    ids = write_table(alone.join(linked, ["s1", "s2", "n"], "left")
+                      .select("s1", "s2", "n", F.coalesce("component_id", "first").alias("component_id"),
+                              F.coalesce("component", "rep").alias("component")), "ids")
+    return profiles, ids
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles long, component_id long.
 
@@ -224,14 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     link with nothing (component: the own doc_id); rows that share a doc_id are
     linked by their texts only; an empty table gives no rows.
     """
-    profiles, classes, edges = jaccard_links(docs, k, percent)
-    found = connected_components(edges)
-    reached = classes.join(found, classes.rep == found.node).select("s1", "s2", "n", "doc_id", "component")
-    lowest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = reached.join(lowest, "component").select("s1", "s2", "n", "component_id")
-    alone = classes.select("s1", "s2", "n", F.col("doc_id").alias("first"))
-    ids = write_table(alone.join(linked, ["s1", "s2", "n"], "left")
-                      .select("s1", "s2", "n", F.coalesce("component_id", "first").alias("component_id")), "ids")
+    profiles, ids = _components(docs, k, percent)
     known = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return (profiles.select("doc_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
@@ -242,14 +249,28 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Of every component the row with the smallest doc_id, in the columns of ``docs``.
 
     Rows without words or without doc_id stay.  Rows equal in doc_id and text are
-    one group too: one of them stays.
+    one group too: one of them stays.  Rows that share a doc_id but not a text are
+    told apart by the print of their set: each is in the group of its own text,
+    and of a group's rows with the smallest doc_id the one with the smallest print
+    stays, then the one with the smallest text.
     """
-    ids = near_duplicates(docs, k, percent).where("doc_id is not null and n_shingles > 0 and doc_id != component_id")
-    dropped = ids.select(F.col("doc_id").alias("__jj_id")).distinct()
-    left = docs.join(dropped, F.col("doc_id").cast("long") == F.col("__jj_id"), "left_anti")
+    profiles, ids = _components(docs.select("doc_id", "text"), k, percent)
+    rows = profiles.where("doc_id is not null and n > 0").select("doc_id", "s1", "s2", "n").join(ids, ["s1", "s2", "n"])
+    stays = (rows.groupBy("component").agg(F.min(F.struct("doc_id", "s1", "s2")).alias("x"))
+             .select(F.col("x.doc_id").alias("__jj_id"), F.col("x.s1").alias("__jj_1"), F.col("x.s2").alias("__jj_2")))
+
+    @F.arrow_udf("s1 long, s2 long")
+    def print_(text: pa.Array) -> pa.Array:
+        found = [np.frombuffer(xxhash.xxh3_128_digest(shingle_set(t.as_py(), k).tobytes()), np.int64).tolist() for t in text]
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["s1", "s2"])
     blank = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    once = left.where(~blank).dropDuplicates(["doc_id"])
-    return left.where(blank).unionByName(once)
+    left = docs.where(~blank).withColumn("__jj_print", print_("text"))
+    once = left.join(stays, (F.col("doc_id").cast("long") == F.col("__jj_id")) & (F.col("__jj_print.s1") == F.col("__jj_1"))
+                     & (F.col("__jj_print.s2") == F.col("__jj_2")), "left_semi")
+    # texts of one id and one set (other blanks or order): the smallest stays
+    order = Window.partitionBy("doc_id", "__jj_print").orderBy("text")
+    once = once.withColumn("__jj_at", F.row_number().over(order)).where("__jj_at = 1").drop("__jj_at", "__jj_print")
+    return docs.where(blank).unionByName(once)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
