@@ -109,6 +109,21 @@ def test_graph_recall_against_brute_force():
     assert all(np.isin(a, b).all() for a, b in zip(found, true))
 
 
+def test_audit_counts_sparse_links_beside_a_dense_cluster(monkeypatch):
+    r = np.random.default_rng(6)
+    pairs = r.normal(size=(20, 32))
+    x = np.concatenate([np.repeat(r.normal(size=(1, 32)), 500, 0) + r.normal(0, 0.02, (500, 32)), pairs, pairs + r.normal(0, 0.01, (20, 32))])
+    ids = np.arange(len(x), dtype=np.int64)
+    graph, near = hnsw.Graph(ids, np.ones(len(x), np.int64), x), hnsw.Graph.near
+
+    def first_beam_misses_pairs(self, unit, own, threshold, beam):
+        exact, full = near(self, unit, own, threshold, len(self.ids))
+        return [np.array([o]) if o >= 500 and beam == hnsw.FIRST_BEAM else e for o, e in zip(own, exact)], full
+    monkeypatch.setattr(hnsw.Graph, "near", first_beam_misses_pairs)
+    found = graph.all_near(graph.unit, ids, 0.98)
+    assert all(np.array_equal(a, np.flatnonzero(graph.unit @ u >= 0.98)) for a, u in zip(found, graph.unit))
+
+
 # --- 9: exact search -----------------------------------------------------------------------------
 @pytest.mark.parametrize("dim, shard_rows", [(64, 8192), (20, 30), (3, 50)])
 def test_top_k_equals_brute_force(spark, monkeypatch, dim, shard_rows):
