@@ -12,12 +12,11 @@ their first place.  Words in a run that stood earlier are deleted: a longer repe
 is the union of its runs, whatever its edges.
 
 Runs of lines (``dedup_lines``): a window is a shortest run of lines that holds ``min_words`` words, taken from
-every line to the right and to the left.  The smallest line hash of a window is
-its fingerprint, so any run of ``min_words`` words that two places share has a
-fingerprint in common, and few lines are fingerprints.  Fingerprints that occur
-at one place only leave the join at once.  The others are joined by position:
-each occurrence is extended in both directions to the windows it is the minimum
-of, equal windows meet at their first position, and lines of a window that stood
+every line to the right and to the left.  Windows are matched whole, by a print of
+all their lines; no match is extended.  The smallest line hash of a window is its
+fingerprint and only filters: windows whose fingerprint begins at one line only
+leave before prints are compared, but windows of one text that overlap often share
+one.  Equal windows meet at their first position, and lines of a window that stood
 earlier are deleted.  Every line of a repeated run of ``min_words`` words lies in
 such a window, so whole runs go, also those longer than a window.
 
@@ -97,7 +96,7 @@ def _place() -> Column:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, mark, runs: array of (a, b) line ranges to delete) for rows with a later repeated run."""
     found = write_table(_window_rows(docs, min_words).withColumn("place", _place()).drop("doc_id", "mark"), "windows")
-    # fingerprints at more than one place
+    # fingerprints of windows that begin at more than one line: a filter
     shared = (found.groupBy("fp").agg(F.min("place").alias("x"), F.max("place").alias("y"))
               .where("x != y").select("fp"))
     seeds = found.join(shared, "fp", "left_semi")
