@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import attention, bpe, chat, hamming, hnsw, jaccard, language, lines, mixing, quality, toxicity, whitening
+from tillroll.llm import attention, bpe, chat, collocations, hamming, hnsw, jaccard, language, lines, mixing, quality, toxicity, whitening
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_exact_top_k": hamming.op9_exact_top_k,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
     "op12_language_id": language.op12_language_id,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
@@ -23,4 +24,5 @@ ORACLE = {
     "op3_mix_sources": mixing.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
     "op9_exact_top_k": hamming.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
 }
