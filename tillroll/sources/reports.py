@@ -13,6 +13,13 @@ Scale design
   and ``seq`` a ``monotonically_increasing_id`` taken straight after the scan,
   increasing within a split.  Re-running a lost task re-reads the same split
   and produces the same ids.
+* The text is scanned and cut into cells **once**; the lines with their cells are
+  written as a table, and everything after reads its columns.
+* A quoted cell may hold line breaks.  Whether a line begins inside such a cell
+  depends on all lines before it: each line is a function from the state at its
+  start to the state at its end, the functions of a split compose into one, and
+  a table of one row per split carries the state across splits
+  (``whole_records``).  Files without an open quote skip this.
 * Hierarchy context is forward-filled in two phases: inside each split (a
   window bounded by the split size), then the last value of every split is
   carried into the following splits through a small one-row-per-split table.
@@ -28,87 +35,196 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
 from tillroll.functions.scalar import col_, compact_cells, strip
+from tillroll.session import write_table
 
 ORDER = ["block", "seq"]
 
 
 def read_report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file, block, seq, line — one row per non-blank record.
+    """file, block, seq, line, raw, vals - one row per non-blank record, with its cells.
 
     A quoted cell may hold line breaks: such physical lines are one record, at
     the place of the first.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.text(paths)
-    lines = (df.select(F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_block_start").alias("block"),
-                       F.monotonically_increasing_id().alias("seq"),
-                       # a byte-order mark would hide the first line's label
-                       F.regexp_replace("value", "^\ufeff", "").alias("line")))
-    return join_quoted_lines(lines).filter(F.trim(F.col("line")) != "")
+    return report_records(df.select(F.col("_metadata.file_path").alias("file"),
+                                    F.col("_metadata.file_block_start").alias("block"),
+                                    F.monotonically_increasing_id().alias("seq"),
+                                    F.col("value").alias("line")))
 
 
-def join_quoted_lines(lines: DataFrame) -> DataFrame:
-    """Joins physical lines whose quotes do not close with the lines up to the closing quote.
+def report_records(lines: DataFrame) -> DataFrame:
+    """Records of physical lines (file, block, seq, line): cut once, written, joined where a quoted cell spans lines."""
+    # a byte-order mark would hide the first line's label
+    marked = F.col("line").startswith("\ufeff")
+    lines = lines.withColumn("line", F.when(marked, F.substring("line", 2, 1 << 30)).otherwise(F.col("line")))
+    staged = write_table(_with_cells(lines), "report-lines")
+    if staged.where("opens").limit(1).count():
+        staged = whole_records(staged)
+    return staged.filter(F.trim(F.col("line")) != "").select("file", *ORDER, "line", "raw", "vals")
 
-    Only lines with an odd number of quotes open or close a cell that spans
-    lines; they are few, so pairing them (blocked, no window over a file's
-    lines) and the join with the spans they make cost one narrow scan.
-    """
-    odd = (F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))) % 2 == 1
-    marks = lines.filter(odd).select("file", F.struct(*ORDER).alias("at"))
-    w = Window.partitionBy("file").orderBy("at")
-    spans = (marks.withColumn("n", F.row_number().over(w)).withColumn("end", F.lead("at").over(w))
-             .filter((F.col("n") % 2 == 1) & F.col("end").isNotNull())
-             .select(F.col("file").alias("f"), F.col("at").alias("start"), "end"))
-    at = F.struct(*ORDER)
-    placed = lines.join(spans, (F.col("file") == F.col("f")) & at.between(F.col("start"), F.col("end")), "left")
-    joined = (placed.filter(F.col("start").isNotNull()).groupBy("file", "start")
-              .agg(F.sort_array(F.collect_list(F.struct(*ORDER, "line"))).alias("parts"))
-              .select("file", "start.block", "start.seq",
-                      F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line")))
-    return placed.filter(F.col("start").isNull()).select("file", *ORDER, "line").unionByName(joined)
+
+# --- quotes ---------------------------------------------------------------------------------
+# States between the pieces that quotes cut a line into.  A quote opens a cell only at the
+# cell's start; elsewhere it is text.  LITERAL is added once a quote was text, or text followed
+# a closing quote: such lines need more than every second piece.
+CLOSED, INSIDE, LITERAL, TEXT, START = 0, 2, 4, 5, 8
+
+
+def _pieces(line: Column) -> Column:
+    """The text between quotes; NULL for a line without any."""
+    return F.when(line.contains('"'), F.split(line, '"', -1))
+
+
+def _after_quote(state: Column, piece: Column) -> Column:
+    """The state behind the quote that follows ``piece``."""
+    inside = (state == INSIDE) | (state == INSIDE + LITERAL)
+    begins, ends, plain = piece.startswith(","), piece.endswith(","), state < LITERAL
+    at_cell = ((state == START) | (state == CLOSED) | (state == CLOSED + LITERAL))
+    return (F.when(inside, state - INSIDE)
+            .when(ends & ((state == START) | (begins & plain)), F.lit(INSIDE))
+            .when(ends, F.lit(INSIDE + LITERAL))
+            .when((piece == "") & at_cell, F.when(state == CLOSED + LITERAL, INSIDE + LITERAL).otherwise(INSIDE))
+            .otherwise(F.lit(TEXT)))
+
+
+def _end_state(pieces: Column, start: int) -> Column:
+    """The state before a line's last piece; NULL for a line without quotes."""
+    return F.when(pieces.isNotNull(), F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.lit(start), _after_quote))
+
+
+def _is_inside(state: Column) -> Column:
+    return F.coalesce((state == INSIDE) | (state == INSIDE + LITERAL), F.lit(False))
+
+
+def _is_odd(pieces: Column, state: Column) -> Column:
+    """Whether some quote of the line is text, or text follows a closing quote."""
+    last = F.element_at(pieces, -1)
+    return F.coalesce((state >= LITERAL) | ((state == CLOSED) & (last != "") & ~last.startswith(",")), F.lit(False))
 
 
 # stands for a comma outside quotes while a line is split; no report holds it
 CELL_END = "\x00"
 
 
-def _raw_cells(line: str | Column) -> Column:
-    """Cells of a CSV line with their quotes: commas between an even number of quotes and the next end a cell.
-
-    The pieces between quotes alternate outside and inside, so one pass over
-    the line does, without a pattern that looks ahead.
-    """
-    pieces = F.split(col_(line), '"', -1)
+def _regular_cells(pieces: Column) -> Column:
+    """Cells of a line whose quotes all open, close or escape: the pieces alternate outside and inside."""
     marked = F.transform(pieces, lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit(","), F.lit(CELL_END))).otherwise(x))
-    return F.split(F.array_join(marked, '"'), CELL_END, -1)
 
-
-def csv_split(line: str | Column) -> Column:
-    """Split one CSV text line into cells (quotes removed, ``""`` unescaped, '' -> NULL)."""
     def unquote(x: Column) -> Column:
         inner = F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
         return (F.when(x == "", F.lit(None).cast("string"))
                 .when((F.length(x) >= 2) & x.startswith('"') & x.endswith('"'), inner)
                 .otherwise(x))
+    return F.transform(F.split(F.array_join(marked, '"'), CELL_END, -1), unquote)
 
-    return F.transform(_raw_cells(line), unquote)
+
+def _odd_cells(pieces: Column) -> Column:
+    """Cells of any line with quotes: opening and closing quotes go, escaped and other ones are text."""
+    outside = lambda x: F.replace(x, F.lit(","), F.lit(CELL_END))                     # noqa: E731
+
+    def step(acc: Column, piece: Column) -> Column:
+        state = acc["state"]
+        after = _after_quote(state, piece)
+        escaped = (piece == "") & ((state == CLOSED) | (state == CLOSED + LITERAL))
+        text = F.when(_is_inside(state), piece).otherwise(outside(piece))
+        quote = F.when(escaped | (after == TEXT), F.lit('"')).otherwise(F.lit(""))
+        return F.struct(after.alias("state"), F.concat(acc["text"], text, quote).alias("text"))
+
+    start = F.struct(F.lit(START).alias("state"), F.lit("").alias("text"))
+    last = F.element_at(pieces, -1)
+    done = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step,
+                       lambda acc: F.concat(acc["text"], F.when(_is_inside(acc["state"]), last).otherwise(outside(last))))
+    return F.transform(F.split(done, CELL_END, -1), lambda x: F.nullif(x, F.lit("")))
+
+
+def _cells(line: Column, pieces: Column, odd: Column) -> Column:
+    plain = F.transform(F.split(line, ",", -1), lambda x: F.nullif(x, F.lit("")))
+    return F.when(pieces.isNull(), plain).when(odd, _odd_cells(pieces)).otherwise(_regular_cells(pieces))
+
+
+def csv_split(line: str | Column) -> Column:
+    """Split one CSV text line into cells (quotes removed, ``""`` unescaped, '' -> NULL).
+
+    A quote that does not stand at a cell's start is text, and so is what follows a closing quote.
+    """
+    pieces = _pieces(col_(line))
+    return _cells(col_(line), pieces, _is_odd(pieces, _end_state(pieces, START)))
+
+
+def _with_cells(lines: DataFrame) -> DataFrame:
+    """``lines`` plus ``opens`` (ends inside a quoted cell), ``raw`` and ``vals``, step by step so that nothing is cut twice."""
+    state, pieces = F.col("_state"), F.col("_pieces")
+    return (lines.withColumn("_pieces", _pieces(F.col("line")))
+            .withColumn("_state", _end_state(pieces, START))
+            .withColumn("opens", _is_inside(state))
+            .withColumn("raw", _cells(F.col("line"), pieces, _is_odd(pieces, state)))
+            .withColumn("vals", compact_cells("raw"))
+            .drop("_pieces", "_state"))
+
+
+def whole_records(staged: DataFrame) -> DataFrame:
+    """Lines (with ``opens``, ``raw``, ``vals``) whose quoted cells span lines become one record, in files that have such lines.
+
+    State 1 is inside a quoted cell.  Each line maps the state before it to the state after
+    it; within a split both outcomes are followed at once, across splits one row per split is
+    composed.  A cell that is never closed opens nothing: its lines stay as they are.
+    """
+    files = staged.where("opens").select("file").distinct()
+    clean = staged.join(files, "file", "left_anti")
+    pieces = _pieces(F.col("line"))
+    out0 = F.col("opens").cast("int")
+    out1 = F.when(pieces.isNull(), F.lit(1)).otherwise(_is_inside(_end_state(pieces, INSIDE)).cast("int"))
+    in_split = Window.partitionBy("file", "block").orderBy("seq")
+    to_here = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = staged.join(files, "file", "left_semi").withColumn("_0", out0).withColumn("_1", out1)
+    # the last line with one outcome sets the state, lines that turn it around since then flip it
+    d = d.withColumn("_flips", F.sum(((F.col("_0") == 1) & (F.col("_1") == 0)).cast("int")).over(to_here))
+    d = d.withColumn("_set", F.last(F.when(F.col("_0") == F.col("_1"), (F.col("_0") + F.col("_flips")) % 2), ignorenulls=True).over(to_here))
+    for s in (0, 1):
+        d = d.withColumn(f"_after{s}", (F.coalesce("_set", F.lit(s)) + F.col("_flips")) % 2)
+    for s in (0, 1):
+        d = d.withColumn(f"_before{s}", F.lag(f"_after{s}", 1, s).over(in_split))
+    for s in (0, 1):
+        d = d.withColumn(f"_head{s}", F.last(F.when(F.col(f"_before{s}") == 0, F.col("seq")), ignorenulls=True).over(to_here))
+    d = write_table(d.drop("_0", "_1", "_flips", "_set"), "report-states")
+
+    ends = d.groupBy("file", "block").agg(F.max_by(F.struct("_after0", "_after1", "_head0", "_head1"), F.col("seq")).alias("end")).select("file", "block", "end.*")
+    by_file = Window.partitionBy("file").orderBy("block")
+    so_far = by_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same, flips = F.col("_after0") == F.col("_after1"), (F.col("_after0") == 1) & (F.col("_after1") == 0)
+    ends = ends.withColumn("_flips", F.sum(flips.cast("int")).over(so_far))
+    ends = ends.withColumn("_set", F.last(F.when(same, (F.col("_after0") + F.col("_flips")) % 2), ignorenulls=True).over(so_far))
+    ends = ends.withColumn("_end", (F.coalesce("_set", F.lit(0)) + F.col("_flips")) % 2)
+    ends = ends.withColumn("_begin", F.lag("_end", 1, 0).over(by_file))
+    own = F.when(F.col("_begin") == 0, F.col("_head0")).otherwise(F.col("_head1"))
+    ends = ends.withColumn("_head", F.when(own.isNotNull(), F.struct("block", own.alias("seq"))))
+    ends = ends.withColumn("_carried", F.last("_head", ignorenulls=True).over(so_far))
+    whole = by_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.withColumn("_open", F.last(F.when(F.col("_end") == 1, F.col("_carried"))).over(whole))
+    starts = ends.select("file", "block", "_begin", F.lag("_carried").over(by_file).alias("_earlier"), "_open")
+
+    d = d.join(starts, ["file", "block"])
+    chosen = lambda c: F.when(F.col("_begin") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))        # noqa: E731
+    head = F.when(chosen("_head").isNotNull(), F.struct("block", chosen("_head").alias("seq"))).otherwise(F.col("_earlier"))
+    part = ((chosen("_before") == 1) | (chosen("_after") == 1)) & ~F.coalesce(head == F.col("_open"), F.lit(False))
+    d = d.select("file", *ORDER, "line", "raw", "vals", head.alias("_at"), part.alias("_part"))
+    joined = (d.where("_part").groupBy("file", "_at")
+              .agg(F.sort_array(F.collect_list(F.struct(*ORDER, "line"))).alias("lines"))
+              .select("file", "_at.block", "_at.seq", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("line")))
+    keep = ["file", *ORDER, "line", "raw", "vals"]
+    return clean.select(keep).unionByName(d.where("not _part").select(keep)).unionByName(_with_cells(joined).select(keep))
 
 
 def split_cells(lines: DataFrame) -> DataFrame:
-    """Parse each line into ``cells`` (array<string>, NULL = empty cell).
+    """Each line's ``cells`` (array<string>, NULL = empty cell) and ``vals``.
 
     The width of a file is the field count of its first line; longer lines
-    are dropped, shorter ones padded with NULL.  The split is computed once
-    per line below the join with the one-row-per-file width table, so later
-    projections reference a column instead of re-parsing the line.
+    are dropped, shorter ones padded with NULL.
     """
-    df = lines.select("file", "block", "seq", "line", csv_split("line").alias("raw"))
-    # the compacted cells are computed here, below the join, so every later
-    # reference reads a column instead of re-running the compaction
-    df = (df.withColumn("n_fields", F.size("raw"))
-            .withColumn("vals", compact_cells("raw")))
+    df = lines if "raw" in lines.columns else _with_cells(lines)
+    df = df.select("file", *ORDER, "line", "raw", "vals", F.size("raw").alias("n_fields"))
     first = (df.groupBy("file")
              .agg(F.min_by("n_fields", F.struct(*ORDER)).alias("width")))
     pad = F.array_repeat(F.lit(None).cast("string"),

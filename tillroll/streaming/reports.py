@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tillroll.sources.reports import report_records
+
 Parser = Callable[[DataFrame], DataFrame]
 
 
@@ -36,9 +38,7 @@ def report_line_stream(spark: SparkSession, source_dir: str,
 def _batch_lines(batch: DataFrame) -> DataFrame:
     # the id is taken directly over the micro-batch scan: it increases with
     # line order inside each split, as in batch reading
-    return (batch.withColumn("seq", F.monotonically_increasing_id())
-            .select("file", "block", "seq", "line")
-            .filter(F.trim(F.col("line")) != ""))
+    return report_records(batch.select("file", "block", F.monotonically_increasing_id().alias("seq"), "line"))
 
 
 def start_report_ingestion(spark: SparkSession, source_dir: str, parser: Parser,
