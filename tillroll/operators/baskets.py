@@ -256,16 +256,63 @@ def item_pairs(baskets: DataFrame, top_n: int | None = K.TOP_PAIRS,
     pairs = pair_counts(baskets, keys, chunk)
     sa = single.select(F.col("item").alias("a"), F.col("cnt").alias("cnt_a"))
     sb = single.select(F.col("item").alias("b"), F.col("cnt").alias("cnt_b"))
-    j = pairs.join(sa, "a").join(sb, "b").withColumn("n_baskets", n)
+    out = _pair_measures(pairs.join(sa, "a").join(sb, "b").withColumn("n_baskets", n))
+    out = out.orderBy(F.desc("support"), "antecedents", "consequents")
+    return out.limit(int(top_n)) if top_n else out
+
+
+def top_pairs(baskets: DataFrame, top_n: int = K.TOP_PAIRS, keys: Sequence[str] = ("branch", "customer"),
+              head: int = 64, chunk: int = 2048) -> DataFrame:
+    """The ``top_n`` rows of ``item_pairs`` without forming the pairs of rare items.
+
+    A pair occurs in no more baskets than its rarer item.  Items enter by falling
+    count, first the ``head`` most frequent ones; the kth count found so far bounds from
+    below what can still be among the first k, so items below it never enter, and
+    the search ends when every item at or above it is in.  Items whose count equals
+    the bound do enter: ties go by name, as in ``item_pairs``.  Each round is one job over
+    the baskets, whose items carry their counts; only k rows reach the driver.
+    """
+    from tillroll.session import write_table
+
+    keys = list(keys)
+    entries = baskets.select(*keys, F.explode("items").alias("item"))
+    single = write_table(entries.groupBy("item").agg(F.count("*").alias("cnt")), "item-counts")
+    n = basket_count(baskets).collect()[0][0]
+    counted = write_table(
+        entries.join(single, "item").groupBy(*keys).agg(F.collect_list(F.struct("cnt", "item")).alias("items"))
+        .where(F.size("items") > 1), "counted-baskets")
+    spark = baskets.sparkSession
+    first = single.orderBy(F.desc("cnt"), "item").limit(int(head)).agg(F.min("cnt")).collect()[0][0]
+    found, least = [], first or 0
+    while least:
+        part = counted.select(*keys, F.transform(F.filter("items", lambda x: x["cnt"] >= F.lit(least)), lambda x: x["item"]).alias("items"))
+        found = (pair_counts(part.where(F.size("items") > 1), keys, chunk)
+                 .orderBy(F.desc("both"), "a", "b").limit(int(top_n)).collect())
+        bound = found[-1].both if len(found) == int(top_n) else 1
+        rest = single.where((F.col("cnt") < least) & (F.col("cnt") >= bound)).agg(F.max("cnt")).collect()[0][0]
+        if rest is None:
+            break
+        least = max(bound, min(rest, least // 4))
+    pairs = spark.createDataFrame([tuple(r) for r in found], f"a {_type_of(baskets)}, b {_type_of(baskets)}, both long")
+    sa = single.select(F.col("item").alias("a"), F.col("cnt").alias("cnt_a"))
+    sb = single.select(F.col("item").alias("b"), F.col("cnt").alias("cnt_b"))
+    return _pair_measures(pairs.join(sa, "a").join(sb, "b").withColumn("n_baskets", F.lit(n))).orderBy(
+        F.desc("support"), "antecedents", "consequents")
+
+
+def _type_of(baskets: DataFrame) -> str:
+    return baskets.schema["items"].dataType.elementType.simpleString()
+
+
+def _pair_measures(j: DataFrame) -> DataFrame:
+    """Support, confidence and lift of (a, b, both, cnt_a, cnt_b, n_baskets)."""
     conf_ab = F.col("both") / F.greatest(F.col("cnt_a"), F.lit(1))
     conf_ba = F.col("both") / F.greatest(F.col("cnt_b"), F.lit(1))
-    out = j.select(
+    return j.select(
         F.col("a").alias("antecedents"), F.col("b").alias("consequents"),
         (F.col("both") / F.col("n_baskets")).alias("support"),
         F.greatest(conf_ab, conf_ba).alias("confidence"),
         (conf_ab / F.greatest(F.col("cnt_b") / F.col("n_baskets"), F.lit(1e-9))).alias("lift"))
-    out = out.orderBy(F.desc("support"), "antecedents", "consequents")
-    return out.limit(int(top_n)) if top_n else out
 
 
 def top_items_by_qty(lines: DataFrame, top_n: int = 10, item: str = "item",

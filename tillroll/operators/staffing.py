@@ -8,6 +8,8 @@ over many tasks before the final count.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,54 @@ def staffing_by_day(att: DataFrame, branch_col: str = "branch",
               .agg(F.countDistinct(emp_col).alias("distinct_staff")))
 
 
+#: Levels of ``staff_rollup``: the columns that a count is given by.
+ROLLUP_LEVELS = {
+    "day": ("branch", "shift", "date", "day_of_week", "month"),
+    "weekday": ("branch", "day_of_week", "shift"),
+    "month": ("branch", "shift", "month"),
+    "branch": ("branch",),
+    "network": (),
+}
+
+
+def staff_rollup(att: DataFrame, levels: dict[str, Sequence[str]] = ROLLUP_LEVELS, branch_col: str = "branch",
+                 emp_col: str = "employee_id", date_col: str = "date", **kw) -> DataFrame:
+    """level, branch, shift, date, day_of_week, month, distinct_staff: distinct employees of every level in one pass.
+
+    Distinct counts do not add up, sets do: the employees of a (branch, shift, day)
+    are bitmaps of 32,768 numbers each, merged map-side, and the bitmaps are or-ed to
+    every level by grouping sets, so the punches are read and shuffled once.  Whole
+    numbers are their own place in a bitmap; other ids are numbered first.  Null
+    branches, dates and employees are not counted.
+    """
+    df = (assign_shifts(att, date_col=date_col, **kw)
+          .filter(F.col(branch_col).isNotNull() & F.col(date_col).isNotNull() & F.col(emp_col).isNotNull())
+          .select(F.col(branch_col).alias("branch"), "shift", F.col(date_col).alias("date"), F.col(emp_col).alias("employee")))
+    if dict(df.dtypes)["employee"] not in ("tinyint", "smallint", "int", "bigint"):
+        df = _numbered(df, "employee")
+    number = F.col("employee").cast("bigint")
+    daily = (df.groupBy("branch", "shift", "date", F.bitmap_bucket_number(number).alias("bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("staff"))
+             .withColumn("day_of_week", F.date_format("date", "EEEE"))
+             .withColumn("month", F.date_format("date", "yyyy-MM")))
+    keys = ["branch", "shift", "date", "day_of_week", "month"]
+    sets = [[F.col(c) for c in (*columns, "bucket")] for columns in levels.values()]
+    # a level is known by which columns it leaves out: the bits of grouping_id, first key first
+    ids = {name: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in columns) for name, columns in levels.items()}
+    merged = (daily.groupingSets(sets, *keys, "bucket")
+              .agg(F.grouping_id().alias("gid"), F.bitmap_count(F.bitmap_or_agg("staff")).alias("n")))
+    level = F.coalesce(*[F.when(F.shiftright("gid", 1) == i, F.lit(name)) for name, i in ids.items()])
+    return merged.groupBy(level.alias("level"), *keys).agg(F.sum("n").alias("distinct_staff"))
+
+
+def _numbered(df: DataFrame, column: str) -> DataFrame:
+    """``column`` replaced by a whole number of its own for each value, written once so that retries agree."""
+    from tillroll.session import write_table
+
+    ids = write_table(df.select(column).distinct().withColumn("_number", F.monotonically_increasing_id()), "numbers")
+    return df.join(ids, column).drop(column).withColumnRenamed("_number", column)
+
+
 def hours_by_branch(att: DataFrame, branch_col: str = "branch", hours_col: str = "work_hours",
                     min_hours: float = K.GHOST_PUNCH_HOURS) -> DataFrame:
     """Mean, exact median, min, max and count of worked hours per branch.

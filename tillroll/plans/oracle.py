@@ -740,3 +740,24 @@ SELECT branch, category,
                              FILTER (WHERE l_returnflag = 'N'), 0) AS DOUBLE) AS takeaway,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total
         FROM d GROUP BY 1, 2)""")
+
+
+# --- operators that compose, refine or bound their work --------------------------
+ORACLE["top_item_pairs"] = ORACLE["item_pairs"]
+_ROLLUP = """SELECT '{level}' AS level, {columns}, count(DISTINCT employee_id) AS distinct_staff
+  FROM (SELECT *, strftime(date, '%Y-%m') AS month FROM att_s WHERE branch IS NOT NULL AND date IS NOT NULL) {group}"""
+_ROLLUP_KEYS = {"branch": "VARCHAR", "shift": "VARCHAR", "date": "DATE", "day_of_week": "VARCHAR", "month": "VARCHAR"}
+oracle("staff_rollup", ["att_s"], "\nUNION ALL\n".join(
+    _ROLLUP.format(level=level, group=f"GROUP BY {', '.join(by)}" if by else "",
+                   columns=", ".join(k if k in by else f"CAST(NULL AS {kind}) AS {k}" for k, kind in _ROLLUP_KEYS.items()))
+    for level, by in {"day": ["branch", "shift", "date", "day_of_week", "month"], "weekday": ["branch", "day_of_week", "shift"],
+                      "month": ["branch", "shift", "month"], "branch": ["branch"], "network": []}.items()))
+oracle("hours_quantiles", ["attendance"], """SELECT branch, count(*) AS n, CAST(median(work_hours) AS DOUBLE) AS median,
+       quantile_disc(work_hours, 0.1) AS q10, quantile_disc(work_hours, 0.25) AS q25, quantile_disc(work_hours, 0.5) AS q50,
+       quantile_disc(work_hours, 0.75) AS q75, quantile_disc(work_hours, 0.9) AS q90
+  FROM attendance WHERE work_hours > 0.5 AND branch IS NOT NULL GROUP BY 1""")
+oracle("demand_fit", ["st"], """SELECT branch, n_months, historical_mean, growth_pct, slope, intercept, forecast,
+       forecast * 0.9 AS lower, forecast * 1.1 AS upper
+  FROM (SELECT *, (greatest(intercept + slope * (n_months + 1), 0.0) + greatest(intercept + slope * (n_months + 2), 0.0)
+                   + greatest(intercept + slope * (n_months + 3), 0.0)) / 3 AS forecast FROM st)""")
+ORACLE["demand_fit_appended"] = ORACLE["demand_fit"]

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions import constants as K
 from tillroll.functions.scalar import clean_number, compact_cells, duration_hours, money_sum
-from tillroll.operators import baskets, branches, demand, segments, staffing, topics
+from tillroll.operators import baskets, branches, demand, quantiles, segments, series, staffing, topics
 from tillroll.plans import roundtrip
 from tillroll.sources import reports
 from tillroll.session import write_table
@@ -472,6 +473,41 @@ def q_expansion_recommendations(t: Tables) -> DataFrame:
         sig, branches.score_candidates(tb.candidate_sites(t), sig), 2)
 
 
+# --- operators that compose, refine or bound their work --------------------------
+@query("top_item_pairs")
+def q_top_item_pairs(t: Tables) -> DataFrame:
+    """The most frequent item pairs by bound: items enter by falling count, pairs of rare items are never formed."""
+    return baskets.top_pairs(tb.order_baskets(t))
+
+
+@query("staff_rollup")
+def q_staff_rollup(t: Tables) -> DataFrame:
+    """Distinct staff per shift and day, weekday, month, branch and in the network from one set of bitmaps."""
+    return staffing.staff_rollup(tb.attendance(t))
+
+
+@query("hours_quantiles")
+def q_hours_quantiles(t: Tables) -> DataFrame:
+    """Exact quantiles of worked hours per branch by bucket refinement."""
+    real = tb.attendance(t).where(F.col("work_hours") > K.GHOST_PUNCH_HOURS)
+    return quantiles.exact_quantiles(real, ["branch"], "work_hours")
+
+
+@query("demand_fit")
+def q_demand_fit(t: Tables) -> DataFrame:
+    """Trend fit of every branch from one part a year, joined."""
+    return series.fit(series.join_parts(series.fold(tb.monthly_sales(t))))
+
+
+@query("demand_fit_appended")
+def q_demand_fit_appended(t: Tables) -> DataFrame:
+    """The same fit from a stored part of the years before the last one, and the months of the last year appended."""
+    months = tb.monthly_sales(t)
+    last = months.agg(F.max("year")).scalar()
+    stored = write_table(series.join_parts(series.fold(months.where(F.col("year") < last))), "series-parts")
+    return series.fit(series.append(stored, months.where(F.col("year") == last)))
+
+
 # --- report round trips (render driver data as report files, parse back) --------
 
 for _name in ["report_monthly_sales", "report_branch_revenue", "report_item_sales",
