@@ -49,7 +49,7 @@ def found_collocations(spark, rows, least, first, shards):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect())
 
 
-@pytest.mark.parametrize("shards", [1, 3])
+@pytest.mark.parametrize("shards", [1, 2, 5])
 def test_collocations_against_brute_force(spark, shards):
     r = random.Random(shards)
     vocab = ["new", "york", "City", "der", "é", "x1", "a", " b", "NUL\x00", "of"]
@@ -80,11 +80,13 @@ def test_collisions_of_the_table_do_not_change_counts(spark, monkeypatch):
     assert found_collocations(spark, rows, 8, 50, 4) == brute_collocations(rows, 8, 50)
 
 
-def test_hash_pairs_are_told_apart():
-    a = np.array([5, 5, 7, 5], np.uint64)
-    b = np.array([1, 2, 0, 1], np.uint64)
-    first, n = collocations._distinct(a, b)
-    assert sorted(zip(a[first].tolist(), b[first].tolist(), n.tolist())) == [(5, 1, 2), (5, 2, 1), (7, 0, 1)]
+def test_phrases_of_one_hash_are_told_apart():
+    ids = np.array([1, 2, 1, 2, 3, 4, 1, 2])
+    key, at = np.array([5, 5, 5, 5], np.uint64), np.array([0, 2, 4, 6])
+    first, n = collocations._distinct(key, at, ids, 2)
+    assert sorted(zip(first.tolist(), n.tolist())) == [(0, 3), (4, 1)]
+    first, n = collocations._distinct(np.array([9, 5, 9, 9], np.uint64), np.array([0, 4, 2, 6]), ids, 2)
+    assert sorted(n.tolist()) == [1, 3]
 
 
 # --- 12: language ------------------------------------------------------------------------------

@@ -7,12 +7,17 @@ is active: it is counted from the next shard on, until it has seen each shard
 once.  Phrases of two, three and four words are thus counted in the same scans,
 each over one full cycle, whichever shard it started with.
 
+Most active pairs of words are rare.  A pair that occurs ``least`` times in a cycle
+of so many shards occurs ``least / shards`` times in one of them: its cycle starts
+with the first shard that has so many, and pairs below that are not kept.
+
 A scan holds the phrases of a bounded chunk of text in numpy.  What reached
 the threshold is known to it by one table for each length, which holds for a
-hash of the phrase the last shard scan after which a phrase of this hash had
+hash of the phrase the last step after which a phrase of this hash had
 reached it.  Two phrases with one hash can only start a count early or keep it
-longer; what counts is decided by the counts table, which is keyed by the
-phrase itself and adds no scan beyond a phrase's full cycle.
+longer; what counts is decided by the counts table, which adds no scan beyond a
+phrase's full cycle.  Pairs are kept as the hashes (64 bits, by language) of their
+words, other phrases as text.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -33,7 +38,7 @@ UNKNOWN = "und"
 LEAST, MOST_WORDS, FIRST = 30, 4, 2000
 #: A longer phrase that makes up this percentage of a shorter one replaces it.
 COVERED = 80
-SHARDS = 4
+SHARDS = 2
 #: Slots of the table of a length: 16 for each phrase that reached the threshold, within these bounds.
 #: Beyond the larger bound more phrases are counted than need be.
 SLOTS = 1 << 16, 1 << 26
@@ -49,22 +54,23 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """The number of each word, 0 for the end of a piece; two hashes of each number."""
+    """The number of each word, 0 for the end of a piece; a hash of each number."""
 
     def __init__(self):
         super().__init__({_STOP: 0})
         self.names = [_STOP]
-        self.prints = [0, 0]
+        self.prints = [0]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.names)
         self.names.append(word)
-        found = xxhash.xxh3_128_intdigest(word)
-        self.prints += [found & 0xFFFFFFFFFFFFFFFF, found >> 64]
+        self.prints.append(xxhash.xxh3_64_intdigest(word))
         return n
 
-    def hashes(self) -> np.ndarray:
-        return np.array(self.prints, np.uint64).reshape(-1, 2)
+
+def seed_of(lang: str) -> int:
+    """What tells the hashes of a language's words from those of the same words in another."""
+    return xxhash.xxh3_64_intdigest(lang) | 1
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -72,74 +78,102 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().translate(_STOPS).replace(_STOP, b" \xff ").split() if text else []
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first place, number) of each distinct pair of hashes."""
-    order = np.argsort(a)
-    x, y = a[order], b[order]
-    if len(order) > 1 and ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
-        order = np.lexsort((b, a))
-        x, y = a[order], b[order]
-    new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(order) else np.zeros(0, np.int64)
-    return order[new], np.diff(new, append=len(order))
+def joined(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase and the word after it."""
+    return mix(phrase * _ODD + word)
+
+
+def _distinct(key: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number) of each distinct phrase of ``k`` words among the places ``at``, whose hashes are ``key``."""
+    if not len(at):
+        return at, np.zeros(0, np.int64)
+    order = np.argsort(key)
+    found, place = key[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    n = np.diff(new, append=len(order))
+    # equal hashes are equal phrases, word by word; if ever not, by the words themselves
+    if any((ids[place + j] != np.repeat(ids[place[new] + j], n)).any() for j in range(k)):
+        _, first, n = np.unique(ids[at[:, None] + np.arange(k)], axis=0, return_index=True, return_counts=True)
+        return at[first], n
+    return place[new], n
+
+
+class Step:
+    """What the scan of a step counts: its number, the lengths, and the tables of what has reached the threshold or begun."""
+
+    def __init__(self, number: int, shards: int, lengths: set[int], reached: dict[int, np.ndarray], begun: np.ndarray | None):
+        self.number, self.shards, self.lengths, self.reached, self.begun = number, shards, lengths, reached, begun
+
+    def active(self, k: int, key: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Whether phrases of ``k`` words (hash, last step in which a subphrase reached the threshold, 255 for never) are counted."""
+        here = (reach != 255) & (self.number <= reach.astype(np.int64) + self.shards)
+        if k == 2 and self.begun is not None:
+            begun = _look_up(self.begun, key)
+            here |= (begun != 255) & (self.number < begun.astype(np.int64) + self.shards)
+        return here
 
 
-def count_chunk(ids: np.ndarray, seeds: np.ndarray, words: _Words, step: int, shards: int, lengths: set[int],
-                tables: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, first places, numbers) of the phrases active in this step, length by length.
+def _look_up(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return known[(key & np.uint64(len(known) - 1)).astype(np.int64)]
 
-    ``seeds`` (a hash of the language at each token) keeps the languages apart.
+
+def count_chunk(ids: np.ndarray, hashes: np.ndarray, step: Step) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, first places, numbers) of the phrases active in this step, length by length.
+
+    ``hashes`` are those of the tokens by language; token 0 ends a piece, and every text ends one.
     """
-    hashes = words.hashes()
-    stop = ids == 0
-    one, two = hashes[ids, 0] ^ seeds, hashes[ids, 1] + seeds
-    a, b = mix(one), mix(two)
-    ok = ~stop
-    reached = None
-    for k in range(1, max(lengths) + 1):
+    ok = ids != 0
+    key = hashes
+    for k in range(1, max(step.lengths) + 1):
         if k > 1:
-            if len(a) < 2:
+            if len(key) < 2:
                 return
-            # when both subphrases are known to have reached the threshold, 255 for never
-            known = tables[k - 1]
-            found = np.where(ok, known[(a & np.uint64(len(known) - 1)).astype(np.int64)], 255)
-            reached = np.maximum(found[:-1], found[1:])
-            a = mix(a[:-1] * _ODD + one[k - 1:])
-            b = mix(b[:-1] * _ODD + two[k - 1:])
-            ok = ok[:-1] & ~stop[k - 1:]                # every text ends a piece, so a phrase has one language
-        if k in lengths:
-            take = ok if reached is None else ok & (reached != 255) & (step <= reached.astype(np.int64) + shards)
-            at = np.flatnonzero(take)
-            first, n = _distinct(a[at], b[at])
-            yield k, at[first], n
-
-
-def scan(docs: DataFrame, step: int, shards: int, lengths: set[int], tables: dict[int, np.ndarray]) -> DataFrame:
-    """(lang, phrase, k, n) of the active phrases in ``docs`` (lang, text as bytes), added up within chunks."""
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
+            reach = np.where(ok, _look_up(step.reached[k - 1], key), 255)
+            reach = np.maximum(reach[:-1], reach[1:])
+            key = joined(key[:-1], hashes[k - 1:])
+            ok = ok[:-1] & (ids[k - 1:] != 0)
+        if k in step.lengths:
+            at = np.flatnonzero(ok if k == 1 else ok & step.active(k, key, reach))
+            yield k, *_distinct(key[at], at, ids, k)
+
+
+_COUNTS = "k int, lang string, phrase string, a long, b long, n long"
+
+
+def scan(docs: DataFrame, step: Step) -> DataFrame:
+    """(k, lang, phrase, a, b, n) of the active phrases in ``docs`` (lang, text as bytes), added up within chunks.
+
+    ``a`` is the hash of a word; pairs have the hashes ``a`` and ``b`` of their words and no lang and phrase.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = _Words(), sent.value
+        words, step = _Words(), sent.value
         held: list[np.ndarray] = []
         langs: list[tuple[str, int]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate(held)
+            ids, name = np.concatenate(held), words.names
             size = [n for _, n in langs]
             names = sorted({lang for lang, _ in langs})
-            seed = {lang: xxhash.xxh3_64_intdigest(lang) | 1 for lang in names}
-            seeds = np.repeat(np.array([seed[lang] for lang, _ in langs], np.uint64), size)
+            seed = {lang: seed_of(lang) for lang in names}
+            hashes = mix(np.array(words.prints, np.uint64)[ids] ^ np.repeat(np.array([seed[lang] for lang, _ in langs], np.uint64), size))
             place = {lang: i for i, lang in enumerate(names)}
             of = np.repeat(np.array([place[lang] for lang, _ in langs], np.int32), size)
-            for k, first, n in count_chunk(ids, seeds, words, step, shards, lengths, known):
-                name = words.names
+            for k, first, n in count_chunk(ids, hashes, step):
                 for at in range(0, len(first), 100_000):
                     part = first[at:at + 100_000]
-                    columns = [[name[i] for i in ids[part + j].tolist()] for j in range(k)]
-                    phrases = columns[0] if k == 1 else [b" ".join(p) for p in zip(*columns)]
+                    nothing, signed = pa.nulls(len(part), pa.string()), hashes.view(np.int64)
+                    lang = phrase = nothing
+                    if k != 2:
+                        columns = [[name[i] for i in ids[part + j].tolist()] for j in range(k)]
+                        phrase = pa.array(columns[0] if k == 1 else [b" ".join(p) for p in zip(*columns)], pa.binary()).cast(pa.string())
+                        lang = pa.DictionaryArray.from_arrays(pa.array(of[part]), pa.array(names)).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([
-                        pa.DictionaryArray.from_arrays(pa.array(of[part]), pa.array(names)).cast(pa.string()),
-                        pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(part), k, np.int32)),
-                        pa.array(n[at:at + 100_000])], ["lang", "phrase", "k", "n"])
+                        pa.array(np.full(len(part), k, np.int32)), lang, phrase,
+                        pa.array(signed[part]) if k < 3 else pa.nulls(len(part), pa.int64()),
+                        pa.array(signed[part + 1]) if k == 2 else pa.nulls(len(part), pa.int64()),
+                        pa.array(n[at:at + 100_000], pa.int64())], ["k", "lang", "phrase", "a", "b", "n"])
 
         count = 0
         for batch in batches:
@@ -147,10 +181,10 @@ def scan(docs: DataFrame, step: int, shards: int, lengths: set[int], tables: dic
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = tokens(text)
                     if found:
-                        # every text starts a piece
-                        held.append(np.fromiter(map(words.__getitem__, [*found, _STOP]), np.int32, len(found) + 1))
-                        langs.append((lang, len(found) + 1))
-                        count += len(found) + 1
+                        found.append(_STOP)
+                        held.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                        langs.append((lang, len(found)))
+                        count += len(found)
                     if count >= CHUNK_WORDS:
                         yield from out()
                         held, langs, count = [], [], 0
@@ -158,48 +192,48 @@ def scan(docs: DataFrame, step: int, shards: int, lengths: set[int], tables: dic
                             words = _Words()
         if held:
             yield from out()
-    return docs.mapInArrow(run, "lang string, phrase string, k int, n long")
+    return docs.mapInArrow(run, _COUNTS)
 
 
-def _table(reached: DataFrame, slots: int) -> np.ndarray:
-    """For each slot the last step after which a phrase of this hash reached the threshold, 255 for none.
+def _tables(marks: DataFrame, slots: dict[int, int]) -> dict[int, np.ndarray]:
+    """For each table the last step of a phrase of each slot, 255 for none.
 
-    ``reached``: lang, phrase, reached.  Tasks make the rows of slots; the driver puts at most 2^26 bytes together.
+    ``marks``: table, k, lang, phrase, a, b, step.  Tasks make pieces of the tables; the driver puts them together.
     """
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded([batch]):
-                words = _Words()
-                seeds = np.array([xxhash.xxh3_64_intdigest(lang) | 1 for lang in part.column(0).to_pylist()], np.uint64)
-                parts = [p.split(b" ") for p in part.column(1).cast(pa.binary()).to_pylist()]
-                one = [words[p[0]] for p in parts]
-                for p in parts:
-                    for w in p[1:]:
-                        words[w]
-                known = words.hashes()
-                a = mix(known[one, 0] ^ seeds) if len(parts) else np.zeros(0, np.uint64)
-                for j in range(1, max(map(len, parts), default=0)):
-                    more = [words[p[j]] if j < len(p) else 0 for p in parts]
-                    longer = np.array([j < len(p) for p in parts])
-                    a = np.where(longer, mix(a * _ODD + (known[more, 0] ^ seeds)), a)
-                slot = (a & np.uint64(slots - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slot // ROW_SLOTS), pa.array((slot % ROW_SLOTS).astype(np.int32)),
-                                                  part.column(2).cast(pa.int32())], ["row", "slot", "step"])
-    cells = reached.select("lang", "phrase", "reached").mapInArrow(hashed, "row long, slot int, step int")
-    cells = cells.groupBy("row", "slot").agg(F.max("step").alias("step"))
-    rows = cells.groupBy("row").agg(F.collect_list(F.struct("slot", "step")).alias("cells"))     # at most ROW_SLOTS cells
+                kinds = part.column("k").to_numpy()
+                size = np.array([slots.get(t, 1) for t in part.column("table").to_pylist()], np.uint64)
+                first = part.column("a").fill_null(0).to_numpy().view(np.uint64)
+                key = np.where(kinds == 2, joined(first, part.column("b").fill_null(0).to_numpy().view(np.uint64)), first)
+                for i in np.flatnonzero(kinds > 2).tolist():
+                    seed = np.uint64(seed_of(part.column("lang")[i].as_py()))
+                    ws = mix(np.array([xxhash.xxh3_64_intdigest(w) for w in part.column("phrase")[i].as_py().encode().split(b" ")], np.uint64) ^ seed)
+                    h = ws[:1]
+                    for j in range(1, len(ws)):
+                        h = joined(h, ws[j:j + 1])
+                    key[i] = h[0]
+                slot = (key & (size - np.uint64(1))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("table"), pa.array(slot // ROW_SLOTS), pa.array((slot % ROW_SLOTS).astype(np.int32)),
+                                                  part.column("step").cast(pa.int32())], ["table", "row", "slot", "step"])
+    cells = (marks.select("table", "k", "lang", "phrase", "a", "b", "step").mapInArrow(hashed, "table int, row long, slot int, step int")
+             .groupBy("table", "row", "slot").agg(F.max("step").alias("step"))
+             .groupBy("table", "row").agg(F.collect_list(F.struct("slot", "step")).alias("cells")))     # at most ROW_SLOTS cells
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = batch.column(1).slice(i, 1).flatten()
+                cell = batch.column(2).slice(i, 1).flatten()
                 out = np.full(ROW_SLOTS, 255, np.uint8)
                 out[cell.field("slot").to_numpy()] = cell.field("step").to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([out.tobytes()])], ["row", "cells"])
-    found = rows.mapInArrow(packed, "row long, cells binary").toArrow()
-    out = np.full(slots, 255, np.uint8)
-    for row, cell in zip(found.column("row").to_pylist(), found.column("cells").to_pylist()):
-        out[row * ROW_SLOTS:(row + 1) * ROW_SLOTS] = np.frombuffer(cell, np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([out.tobytes()])],
+                                                 ["table", "row", "cells"])
+    found = cells.mapInArrow(packed, "table int, row long, cells binary").toArrow()
+    out = {t: np.full(n, 255, np.uint8) for t, n in slots.items()}
+    for t, row, cell in zip(*(found.column(c).to_pylist() for c in ("table", "row", "cells"))):
+        end = min((row + 1) * ROW_SLOTS, slots[t])
+        out[t][row * ROW_SLOTS:end] = np.frombuffer(cell, np.uint8)[:end - row * ROW_SLOTS]
     return out
 
 
@@ -213,50 +247,73 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WO
     rows = write_table(rows.where("text is not null and length(text) > 0")
                        .withColumn("shard", F.pmod(F.xxhash64("lang", "text", F.spark_partition_id()), F.lit(shards)).cast("int")),
                        "collocation-shards", "shard")
-    state = spark.createDataFrame([], "lang string, phrase string, k int, n long, start int, reached int")
-    words, step = state.select("lang", "n"), 0
+    state = spark.createDataFrame([], f"{_COUNTS}, start int, reached int")
+    words, number = state.select("lang", "n"), 0
     last = {k: -1 for k in range(1, most_words)}       # the last step after which a phrase of k words reached the threshold
-    tables: dict[int, np.ndarray] = {}
+    begun = -1                                         # the last step in which a pair began
+    tables: dict[int, np.ndarray] = {}                 # of what reached the threshold, by length; 0: of pairs that began
     while True:
         # words are counted for one cycle; k words as long as a shorter phrase became frequent less than a cycle ago
-        lengths = ({1} if step < shards else set()) | {
-            k for k in range(2, most_words + 1) if last[k - 1] >= 0 and step <= last[k - 1] + shards}
+        lengths = ({1} if number < shards else set()) | {
+            k for k in range(2, most_words + 1) if last[k - 1] >= 0 and number <= last[k - 1] + shards}
+        if begun >= 0 and number < begun + shards:
+            lengths.add(2)
         if not lengths:
             break
-        part = rows.where(F.col("shard") == step % shards).select("lang", "text")
-        new = scan(part, step, shards, lengths, {k - 1: tables[k - 1] for k in range(2, max(lengths) + 1)})
-        state = write_table(_merge(state, new, step, shards, least), f"collocation-counts-{step}")
-        if step == shards - 1:
+        step = Step(number, shards, lengths, {k: tables[k] for k in range(1, max(lengths))}, tables.get(0) if 2 in lengths else None)
+        new = scan(rows.where(F.col("shard") == number % shards).select("lang", "text"), step)
+        seen = Observation()
+        state = write_table(_merge(state, new, number, shards, least).observe(seen, *[
+            f(F.when(test, value)).alias(f"{name}{k}") for k in range(1, most_words)
+            for test in [(F.col("k") == k) & F.col("reached").isNotNull()]
+            for name, f, value in (("rows", F.count, F.lit(1)), ("last", F.max, F.col("reached")))],
+            F.max(F.when(F.col("k") == 2, F.col("start"))).alias("begun"), F.count(F.when(F.col("k") == 2, F.lit(1))).alias("rows0")),
+            f"collocation-counts-{number}")
+        if number == shards - 1:
             words = state.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-        fresh = {r.k: (r.rows, r.last) for r in state.where(F.col("reached").isNotNull()).groupBy("k")
-                 .agg(F.count(F.lit(1)).alias("rows"), F.max("reached").alias("last")).collect()}
-        for k, (n, at) in fresh.items():
-            if k < most_words and at == step:
-                last[k] = step
-                slots = min(SLOTS[1], max(SLOTS[0], 1 << (SLOTS_EACH * n).bit_length()))
-                tables[k] = _table(state.where((F.col("k") == k) & F.col("reached").isNotNull()), slots)
-        step += 1
-    return state.where(F.col("n") >= least).select("lang", "phrase", "k", "n"), words
+        found, fresh = seen.get, {}
+        for k in range(1, most_words):
+            if found[f"last{k}"] == number:
+                last[k], fresh[k] = number, found[f"rows{k}"]
+        if found["begun"] == number and shards > 1:
+            begun, fresh[0] = number, found["rows0"]
+        if fresh:
+            marks = F.explode(F.array_compact(F.array(
+                F.when(F.col("reached").isNotNull(), F.struct(F.col("k").alias("table"), F.col("reached").alias("step"))),
+                F.when(F.col("k") == 2, F.struct(F.lit(0).alias("table"), F.col("start").alias("step"))))))
+            slots = {t: min(SLOTS[1], max(SLOTS[0], 1 << (SLOTS_EACH * n).bit_length())) for t, n in fresh.items()}
+            tables.update(_tables(state.select("k", "lang", "phrase", "a", "b", marks.alias("m")).select("k", "lang", "phrase", "a", "b", "m.*")
+                                  .where(F.col("table").isin(list(slots))), slots))
+        number += 1
+    kept = state.where(F.col("n") >= least)
+    word = kept.where("k = 1").select("lang", "phrase", "a")
+    pairs = (kept.where("k = 2").select("a", "b", "n")
+             .join(word.select("lang", "a", F.col("phrase").alias("x")), "a")
+             .join(word.select(F.col("a").alias("b"), F.col("phrase").alias("y")), "b")
+             .select("lang", F.concat_ws(" ", "x", "y").alias("phrase"), F.lit(2).alias("k"), "n"))
+    counts = kept.where("k <> 2").select("lang", "phrase", "k", "n").unionByName(pairs)
+    return write_table(counts, "collocation-phrases"), words
 
 
 def _merge(state: DataFrame, new: DataFrame, step: int, shards: int, least: int) -> DataFrame:
     """The counts after this step: a phrase takes part in the ``shards`` scans from its first one on.
 
-    After the first cycle, phrases that have seen every shard without reaching the threshold leave.
+    A pair's first one is the first with its share of the threshold.  After the first cycle,
+    phrases that have seen every shard without reaching the threshold leave.
     """
-    both = state.unionByName(new.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
-                             .withColumns({"start": F.lit(step), "reached": F.lit(None).cast("int")}))
+    both = state.unionByName(new.withColumns({"start": F.lit(step), "reached": F.lit(None).cast("int")}))
     before = F.col("start") < step
-    both = (both.groupBy("lang", "phrase", "k")
-            .agg(F.coalesce(F.sum(F.when(before, F.col("n"))), F.lit(0)).alias("old"),
-                 F.coalesce(F.sum(F.when(~before, F.col("n"))), F.lit(0)).alias("new"),
+    both = (both.groupBy("k", "lang", "phrase", "a", "b")
+            .agg(F.sum(F.when(before, F.col("n")).otherwise(0)).alias("old"),
+                 F.sum(F.when(before, 0).otherwise(F.col("n"))).alias("new"),
                  F.min("start").alias("start"), F.max("reached").alias("reached")))
+    share = (F.col("k") != 2) | (F.col("start") < step) | (F.col("new") >= -(-least // shards))
     n = F.col("old") + F.when(F.col("start") + shards > step, F.col("new")).otherwise(0)
-    out = both.select("lang", "phrase", "k", n.alias("n"), "start", "reached")
+    out = both.where(share).select("k", "lang", "phrase", "a", "b", n.alias("n"), "start", "reached")
     out = out.withColumn("reached", F.when(F.col("reached").isNotNull(), F.col("reached")).when(F.col("n") >= least, F.lit(step)))
     # rare words stay to the end of their cycle: the sum of all words is the size of the language
     done = ((F.col("k") == 1) | (F.col("start") + shards - 1 <= step)) & (F.col("n") < least)
-    return out.where(~done) if step >= shards else out
+    return out.where(~done | (F.lit(step < shards) & (F.col("k") == 1)))
 
 
 def _cuts(k: int) -> list[tuple[int, int]]:
