@@ -73,11 +73,15 @@ def test_collocations_without_rows(spark):
 
 
 def test_collisions_of_the_table_do_not_change_counts(spark, monkeypatch):
+    """Every phrase shares its slot with others: counts start early and are kept long, but each pair begins once."""
     monkeypatch.setattr(collocations, "SLOTS", (4, 4))
     monkeypatch.setattr(collocations, "ROW_SLOTS", 2)
+    scans, scan = [], collocations.scan
+    monkeypatch.setattr(collocations, "scan", lambda docs, step: scans.append(step.number) or scan(docs, step))
     r = random.Random(9)
-    rows = [("en", " ".join(r.choice("abcdefgh") for _ in range(30))) for _ in range(60)]
-    assert found_collocations(spark, rows, 8, 50, 4) == brute_collocations(rows, 8, 50)
+    rows = [("en", " ".join(r.choice("abcdefghijklmn") for _ in range(30))) for _ in range(60)]
+    assert found_collocations(spark, rows, 8, 50, 2) == brute_collocations(rows, 8, 50)
+    assert max(scans) <= 4 * 2 + 2
 
 
 def test_phrases_of_one_hash_are_told_apart():

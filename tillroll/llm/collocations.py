@@ -298,8 +298,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WO
 def _merge(state: DataFrame, new: DataFrame, step: int, shards: int, least: int) -> DataFrame:
     """The counts after this step: a phrase takes part in the ``shards`` scans from its first one on.
 
-    A pair's first one is the first with its share of the threshold.  After the first cycle,
-    phrases that have seen every shard without reaching the threshold leave.
+    A pair's first one is the first with its share of the threshold; pairs stay, so that none begins
+    twice.  After the first cycle, other phrases that have seen every shard without reaching the threshold leave.
     """
     both = state.unionByName(new.withColumns({"start": F.lit(step), "reached": F.lit(None).cast("int")}))
     before = F.col("start") < step
@@ -312,8 +312,8 @@ def _merge(state: DataFrame, new: DataFrame, step: int, shards: int, least: int)
     out = both.where(share).select("k", "lang", "phrase", "a", "b", n.alias("n"), "start", "reached")
     out = out.withColumn("reached", F.when(F.col("reached").isNotNull(), F.col("reached")).when(F.col("n") >= least, F.lit(step)))
     # rare words stay to the end of their cycle: the sum of all words is the size of the language
-    done = ((F.col("k") == 1) | (F.col("start") + shards - 1 <= step)) & (F.col("n") < least)
-    return out.where(~done | (F.lit(step < shards) & (F.col("k") == 1)))
+    done = ((F.col("k") == 1) & F.lit(step >= shards)) | ((F.col("k") > 2) & (F.col("start") + shards - 1 <= step))
+    return out.where(~done | (F.col("n") >= least))
 
 
 def _cuts(k: int) -> list[tuple[int, int]]:
