@@ -84,13 +84,18 @@ def test_collisions_of_the_table_do_not_change_counts(spark, monkeypatch):
     assert max(scans) <= 4 * 2 + 2
 
 
-def test_phrases_of_one_hash_are_told_apart():
-    ids = np.array([1, 2, 1, 2, 3, 4, 1, 2])
-    key, at = np.array([5, 5, 5, 5], np.uint64), np.array([0, 2, 4, 6])
-    first, n = collocations._distinct(key, at, ids, 2)
-    assert sorted(zip(first.tolist(), n.tolist())) == [(0, 3), (4, 1)]
-    first, n = collocations._distinct(np.array([9, 5, 9, 9], np.uint64), np.array([0, 4, 2, 6]), ids, 2)
-    assert sorted(n.tolist()) == [1, 3]
+def test_words_have_one_hash_wherever_they_stand():
+    words = collocations.Words()
+    text = "ab cd\tab.é,cd  ab\n" * 3
+    start, length, hashes, piece = words.of(text.encode())
+    raw = text.encode()
+    found = [raw[a:a + n] for a, n in zip(start, length)]
+    assert found == re.findall(rb"[^ \t.,;:!?\n]+", raw)
+    assert len({(w, h) for w, h in zip(found, hashes.tolist())}) == len(set(found)) == len(set(hashes.tolist()))
+    assert piece.tolist()[:6] == [0, 0, 0, 1, 2, 2] and piece[6] == 3
+    assert all(len(x) == 0 for x in words.of(b"")) and len(words.of(b" . ")[0]) == 0
+    first, n = collocations._distinct(np.array([5, 7, 5, 5], np.uint64), np.array([0, 2, 4, 6]))
+    assert sorted(n.tolist()) == [1, 3] and first[n == 1].tolist() == [2]
 
 
 # --- 12: language ------------------------------------------------------------------------------

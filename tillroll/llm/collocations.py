@@ -11,8 +11,8 @@ Most active pairs of words are rare.  A pair that occurs ``least`` times in a cy
 of so many shards occurs ``least / shards`` times in one of them: its cycle starts
 with the first shard that has so many, and pairs below that are not kept.
 
-A scan holds the phrases of a bounded chunk of text in numpy.  What reached
-the threshold is known to it by one table for each length, which holds for a
+A scan holds the phrases of a bounded chunk of text in numpy, told apart by 64-bit
+hashes; words are hashed where they stand, all at once.  What reached the threshold is known to it by one table for each length, which holds for a
 hash of the phrase the last step after which a phrase of this hash had
 reached it.  Two phrases with one hash can only start a count early or keep it
 longer; what counts is decided by the counts table, which adds no scan beyond a
@@ -45,27 +45,39 @@ SLOTS = 1 << 16, 1 << 26
 SLOTS_EACH = 16
 #: Slots that one row of the table carries to the driver.
 ROW_SLOTS = 1 << 14
-#: Words that one chunk holds at most, but for a single text that has more; words a task remembers.
-CHUNK_WORDS, KNOWN_WORDS = 1 << 20, 1 << 20
+#: Bytes of text that are hashed at once, and words that are counted at once, but for a single text that has more.
+HASH_BYTES, CHUNK_WORDS = 1 << 18, 1 << 20
 
-_STOPS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)        # no byte of UTF-8 is 0xFF
-_STOP = b"\xff"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BLANK, _STOP = 1, 2
+_KIND = np.array([_STOP if chr(c) in ".,;:!?\n\x0b\x0c\r" else _BLANK if chr(c) in " \t" else 0 for c in range(256)], np.uint8)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
 
 
-class _Words(dict):
-    """The number of each word, 0 for the end of a piece; a hash of each number."""
+class Words:
+    """The words of bytes of text: where each starts, its length, its hash and the piece of text it stands in.
 
-    def __init__(self):
-        super().__init__({_STOP: 0})
-        self.names = [_STOP]
-        self.prints = [0]
+    A hash is a sum over powers of an odd number modulo 2^64, taken back to the word's start, so it does not depend on the place.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.names)
-        self.names.append(word)
-        self.prints.append(xxhash.xxh3_64_intdigest(word))
-        return n
+    def __init__(self):
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, lowered: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(lowered, np.uint8)
+        if len(data) > len(self.power):
+            self.power, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(data), b, np.uint64)))
+                                        for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        kind = _KIND[data]
+        edge = np.diff((kind == 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        value = data.astype(np.uint64)
+        value += np.uint64(1)
+        value *= self.power[:len(data)]
+        total = np.append(np.uint64(0), np.cumsum(value, dtype=np.uint64))
+        found = mix((total[end] - total[start]) * self.inverse[start])
+        return start, end - start, found, np.cumsum(kind == _STOP)[start]
 
 
 def seed_of(lang: str) -> int:
@@ -73,29 +85,17 @@ def seed_of(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang) | 1
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words with A-Z lower-cased; every end of a piece is a token of its own."""
-    return text.lower().translate(_STOPS).replace(_STOP, b" \xff ").split() if text else []
-
-
 def joined(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a phrase and the word after it."""
     return mix(phrase * _ODD + word)
 
 
-def _distinct(key: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first place, number) of each distinct phrase of ``k`` words among the places ``at``, whose hashes are ``key``."""
-    if not len(at):
-        return at, np.zeros(0, np.int64)
+def _distinct(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place, number) of each distinct phrase among the places ``at``, whose hashes are ``key``."""
     order = np.argsort(key)
-    found, place = key[order], at[order]
-    new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    n = np.diff(new, append=len(order))
-    # equal hashes are equal phrases, word by word; if ever not, by the words themselves
-    if any((ids[place + j] != np.repeat(ids[place[new] + j], n)).any() for j in range(k)):
-        _, first, n = np.unique(ids[at[:, None] + np.arange(k)], axis=0, return_index=True, return_counts=True)
-        return at[first], n
-    return place[new], n
+    found = key[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(found)), bool), found[1:] != found[:-1]]))
+    return at[order[new]], np.diff(new, append=len(order))
 
 
 class Step:
@@ -117,13 +117,9 @@ def _look_up(known: np.ndarray, key: np.ndarray) -> np.ndarray:
     return known[(key & np.uint64(len(known) - 1)).astype(np.int64)]
 
 
-def count_chunk(ids: np.ndarray, hashes: np.ndarray, step: Step) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, first places, numbers) of the phrases active in this step, length by length.
-
-    ``hashes`` are those of the tokens by language; token 0 ends a piece, and every text ends one.
-    """
-    ok = ids != 0
-    key = hashes
+def count_chunk(hashes: np.ndarray, piece: np.ndarray, step: Step) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, places, numbers) of the phrases active in this step, length by length; words of one piece can make phrases."""
+    key, ok = hashes, np.ones(len(hashes), bool)
     for k in range(1, max(step.lengths) + 1):
         if k > 1:
             if len(key) < 2:
@@ -131,15 +127,57 @@ def count_chunk(ids: np.ndarray, hashes: np.ndarray, step: Step) -> Iterator[tup
             reach = np.where(ok, _look_up(step.reached[k - 1], key), 255)
             reach = np.maximum(reach[:-1], reach[1:])
             key = joined(key[:-1], hashes[k - 1:])
-            ok = ok[:-1] & (ids[k - 1:] != 0)
+            ok = piece[:-k + 1] == piece[k - 1:]
         if k in step.lengths:
             at = np.flatnonzero(ok if k == 1 else ok & step.active(k, key, reach))
-            yield k, *_distinct(key[at], at, ids, k)
+            yield k, *_distinct(key[at], at)
 
 
 _COUNTS = "k int, lang string, phrase string, a long, b long, n long"
 
 
+class _Chunk:
+    """Words of texts that are counted together."""
+
+    def __init__(self):
+        self.texts: list[bytes] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.langs: list[tuple[str, int]] = []
+        self.size = self.pieces = 0
+
+    def add(self, lowered: bytes, found: tuple[np.ndarray, ...], langs: list[tuple[str, int]]) -> None:
+        start, length, hashes, piece = found
+        self.parts.append((start, length, hashes, piece + self.pieces, np.full(len(start), len(self.texts), np.int32)))
+        self.texts.append(lowered)
+        self.langs += langs
+        self.size += len(start)
+        self.pieces += (int(piece[-1]) if len(piece) else 0) + 1        # a part starts a piece
+
+    def counts(self, step: Step) -> Iterator[pa.RecordBatch]:
+        start, length, plain, piece, part = (np.concatenate(c) for c in zip(*self.parts))
+        names = sorted({lang for lang, _ in self.langs})
+        size = [n for _, n in self.langs]
+        seed = {lang: seed_of(lang) for lang in names}
+        hashes = mix(plain ^ np.repeat(np.array([seed[lang] for lang, _ in self.langs], np.uint64), size))
+        place = {lang: i for i, lang in enumerate(names)}
+        of = np.repeat(np.array([place[lang] for lang, _ in self.langs], np.int32), size)
+        signed, end, texts = hashes.view(np.int64), start + length, self.texts
+        for k, first, n in count_chunk(hashes, piece, step):
+            for at in range(0, len(first), 100_000):
+                here = first[at:at + 100_000]
+                lang = phrase = pa.nulls(len(here), pa.string())
+                if k != 2:
+                    columns = [[texts[t][a:b] for t, a, b in zip(part[here + j].tolist(), start[here + j].tolist(), end[here + j].tolist())]
+                               for j in range(k)]
+                    phrase = pa.array(columns[0] if k == 1 else [b" ".join(p) for p in zip(*columns)], pa.binary()).cast(pa.string())
+                    lang = pa.DictionaryArray.from_arrays(pa.array(of[here]), pa.array(names)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(here), k, np.int32)), lang, phrase,
+                    pa.array(signed[here]) if k < 3 else pa.nulls(len(here), pa.int64()),
+                    pa.array(signed[here + 1]) if k == 2 else pa.nulls(len(here), pa.int64()),
+                    pa.array(n[at:at + 100_000], pa.int64())], ["k", "lang", "phrase", "a", "b", "n"])
+
+
 def scan(docs: DataFrame, step: Step) -> DataFrame:
     """(k, lang, phrase, a, b, n) of the active phrases in ``docs`` (lang, text as bytes), added up within chunks.
 
@@ -148,50 +186,20 @@ def scan(docs: DataFrame, step: Step) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, step = _Words(), sent.value
-        held: list[np.ndarray] = []
-        langs: list[tuple[str, int]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            ids, name = np.concatenate(held), words.names
-            size = [n for _, n in langs]
-            names = sorted({lang for lang, _ in langs})
-            seed = {lang: seed_of(lang) for lang in names}
-            hashes = mix(np.array(words.prints, np.uint64)[ids] ^ np.repeat(np.array([seed[lang] for lang, _ in langs], np.uint64), size))
-            place = {lang: i for i, lang in enumerate(names)}
-            of = np.repeat(np.array([place[lang] for lang, _ in langs], np.int32), size)
-            for k, first, n in count_chunk(ids, hashes, step):
-                for at in range(0, len(first), 100_000):
-                    part = first[at:at + 100_000]
-                    nothing, signed = pa.nulls(len(part), pa.string()), hashes.view(np.int64)
-                    lang = phrase = nothing
-                    if k != 2:
-                        columns = [[name[i] for i in ids[part + j].tolist()] for j in range(k)]
-                        phrase = pa.array(columns[0] if k == 1 else [b" ".join(p) for p in zip(*columns)], pa.binary()).cast(pa.string())
-                        lang = pa.DictionaryArray.from_arrays(pa.array(of[part]), pa.array(names)).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(part), k, np.int32)), lang, phrase,
-                        pa.array(signed[part]) if k < 3 else pa.nulls(len(part), pa.int64()),
-                        pa.array(signed[part + 1]) if k == 2 else pa.nulls(len(part), pa.int64()),
-                        pa.array(n[at:at + 100_000], pa.int64())], ["k", "lang", "phrase", "a", "b", "n"])
-
-        count = 0
-        for batch in batches:
-            for part in bounded([batch]):
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = tokens(text)
-                    if found:
-                        found.append(_STOP)
-                        held.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                        langs.append((lang, len(found)))
-                        count += len(found)
-                    if count >= CHUNK_WORDS:
-                        yield from out()
-                        held, langs, count = [], [], 0
-                        if len(words) > KNOWN_WORDS:
-                            words = _Words()
-        if held:
-            yield from out()
+        words, chunk, step = Words(), _Chunk(), sent.value
+        for part in bounded(batches, HASH_BYTES):
+            texts = part.column(1).to_pylist()
+            # the line break between two texts ends a piece
+            lowered = b"\n".join(texts).translate(_LOWER)
+            found = words.of(lowered)
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            per_text = np.diff(np.searchsorted(found[0], begins)).tolist()
+            chunk.add(lowered, found, list(zip(part.column(0).to_pylist(), per_text)))
+            if chunk.size >= CHUNK_WORDS:
+                yield from chunk.counts(step)
+                chunk = _Chunk()
+        if chunk.size:
+            yield from chunk.counts(step)
     return docs.mapInArrow(run, _COUNTS)
 
 
@@ -201,6 +209,7 @@ def _tables(marks: DataFrame, slots: dict[int, int]) -> dict[int, np.ndarray]:
     ``marks``: table, k, lang, phrase, a, b, step.  Tasks make pieces of the tables; the driver puts them together.
     """
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             for part in bounded([batch]):
                 kinds = part.column("k").to_numpy()
@@ -209,7 +218,7 @@ def _tables(marks: DataFrame, slots: dict[int, int]) -> dict[int, np.ndarray]:
                 key = np.where(kinds == 2, joined(first, part.column("b").fill_null(0).to_numpy().view(np.uint64)), first)
                 for i in np.flatnonzero(kinds > 2).tolist():
                     seed = np.uint64(seed_of(part.column("lang")[i].as_py()))
-                    ws = mix(np.array([xxhash.xxh3_64_intdigest(w) for w in part.column("phrase")[i].as_py().encode().split(b" ")], np.uint64) ^ seed)
+                    ws = mix(words.of(part.column("phrase")[i].as_py().encode())[2] ^ seed)
                     h = ws[:1]
                     for j in range(1, len(ws)):
                         h = joined(h, ws[j:j + 1])
