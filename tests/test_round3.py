@@ -205,3 +205,51 @@ def test_appending_reads_only_the_new_months(spark, tmp_path):
     new = spark.createDataFrame([("a", 2025, 1, 130.0), ("z", 2025, 1, 7.0)], df.schema)
     got = {x.branch: (x.n_months, x.slope) for x in series.fit(series.append(spark.read.parquet(str(tmp_path / "part")), new)).collect()}
     assert got == {"a": (13, pytest.approx(10.0)), "z": (1, 0.0)}
+
+
+# --- itemsets over bitmaps ---------------------------------------------------------------------------
+def test_vertical_itemsets_equal_fp_growth(spark):
+    from tillroll.operators import itemsets
+    r = random.Random(6)
+    for support in (0.07, 0.25):
+        sets = [sorted({"every", *r.sample("abcdefg", r.randrange(0, 6))}) for _ in range(200)] + [[]] * 3
+        b = spark.createDataFrame([("m", str(i), s) for i, s in enumerate(sets)], "branch string, customer string, items array<string>").repartition(5)
+        want = {(tuple(x["items"]), x["size"], x.freq, x.support) for x in baskets.frequent_itemsets(b, support).collect()}
+        got = [(tuple(x["items"]), x["size"], x.freq, x.support) for x in itemsets.frequent_itemsets(b, support).collect()]
+        assert set(got) == want and len(got) == len(want)
+    pairs = itemsets.frequent_itemsets(b, 0.25, max_size=2).collect()
+    assert {len(x["items"]) for x in pairs} == {1, 2}
+    assert itemsets.frequent_itemsets(b.limit(0), 0.1).collect() == []
+
+
+def test_an_item_of_every_basket_is_no_large_group(spark):
+    """The hot item has one row a chunk, not one a basket."""
+    from tillroll.operators import itemsets
+    b = spark.range(50_000).select(F.col("id").alias("customer"), F.array(F.lit("hot"), F.concat(F.lit("i"), F.col("id") % 7)).alias("items")).repartition(4)
+    rows = itemsets.item_bitmaps(b).groupBy("items").count().collect()
+    assert max(x["count"] for x in rows) <= 8 and {x["items"][0] for x in rows} == {"hot", *(f"i{k}" for k in range(7))}
+
+
+# --- footers, keywords ----------------------------------------------------------------------------------
+def test_profile_reads_footers_only(spark, tmp_path):
+    from tillroll.sources.profile import column_profile
+    df = spark.createDataFrame([(1, "x", None, [1]), (3, None, 2.5, [2]), (-2, "y", 0.0, None)], "a long, b string, c double, d array<int>")
+    df.repartition(2).write.parquet(str(tmp_path / "t"))
+    profile = column_profile(spark, {"t": str(tmp_path / "t")})
+    assert sorted(map(tuple, profile.collect())) == [("t", "a", "bigint", 3, 0, -2.0, 3.0), ("t", "b", "string", 3, 1, None, None), ("t", "c", "double", 3, 1, 0.0, 2.5)]
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)" in plan and "FileScan" not in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown", "false") == "false"
+
+
+@settings(max_examples=6, deadline=None)
+@given(texts=st.lists(st.text(alphabet="abc .", max_size=25), min_size=1, max_size=20),
+       words=st.lists(st.text(alphabet="abc .", min_size=1, max_size=4), min_size=1, max_size=12, unique=True))
+def test_keywords_in_one_pass_equal_one_by_one(spark, texts, words):
+    from tillroll.operators import topics
+    table = {"one": words[::2], "two": words[1::2] or ["zz"]}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, text string")
+    a = topics.classify_topics(df, "text", table).orderBy("i").collect()
+    b = topics.classify_topics_one_pass(df, "text", table).orderBy("i").collect()
+    assert [r.asDict() for r in a[:-1]] == [r.asDict() for r in b[:-1]]
+    assert a[-1].topic == b[-1].topic

@@ -88,6 +88,16 @@ TOPIC_FALLBACK = "overview"
 
 # --- fixed values: report boilerplate -----------------------------------------
 FOOTER_PATTERN = r"(?i)Copyright|omegapos|Page \d+ of"
+# words of page headers by layout: a row that holds one (item sales: begins with one) is no record
+MONTHLY_HEADERS = ["Month", "Year", "Total", "Branch Name"]
+ITEM_HEADERS = ["Description", "Barcode", "Total by", "Branch:", "Division:", "Group:"]
+DELIVERY_HEADERS = ["Full Name", "Qty", "Description", "Price", "From Date", "To Date", "Page"]
+CUSTOMER_HEADERS = ["Customer Name", "Address", "Phone", "First Order", "Page", "From Date"]
+MENU_HEADERS = ["Menu Name", "# Cust", "Sales", "Avg", "Page", "Year"]
+DIVISION_HEADERS = ["Page", "Year", "Summary"]
+DIVISION_COLUMNS = ["DELIVERY", "TABLE", "TAKE AWAY", "TOTAL"]
+DIVISION_NO_CATEGORY = ["TOTAL", "Total", "Copyright", "REP_", "www.", "Page", "Year"]
+ATTENDANCE_BRANCH_MARKERS = ("Conut", "Main Street")
 BRANCH_NAMES = ["Conut - Tyre", "Conut Jnah", "Main Street Coffee", "Conut"]
 MENU_CHANNELS = ["DELIVERY", "TABLE", "TAKE AWAY"]
 

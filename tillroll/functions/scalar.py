@@ -46,15 +46,19 @@ def money_sum(c: str | Column, kind: str = MONEY_TYPE) -> Column:
     return F.sum(money(c, kind)).cast("double")
 
 
-# a decimal number as the reports print it; type suffixes, hexadecimal digits, inner blanks
-# and digit separators other than the comma are no numbers
-DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+# what a decimal number as the reports print it is made of; type suffixes, hexadecimal digits,
+# inner blanks and digit separators other than the comma are no numbers
+NOT_DECIMAL = r"[^0-9eE+.\-]"
+INFINITE = r"^[+-]?(?i:inf|infinity)$"
 
 
 def decimal_text(c: str | Column) -> Column:
-    """Plain decimal text -> DOUBLE, anything else NULL (blanks around it are allowed)."""
+    """Plain decimal text -> DOUBLE, anything else NULL (blanks around it are allowed).
+
+    One look for a character that no decimal number has; the cast decides the rest.
+    """
     s = strip(c)
-    return F.when(s.rlike(DECIMAL_TEXT), s.try_cast("double"))
+    return F.when(~s.rlike(NOT_DECIMAL) | s.rlike(INFINITE), s.try_cast("double"))
 
 
 def clean_number(c: str | Column) -> Column:
@@ -64,7 +68,7 @@ def clean_number(c: str | Column) -> Column:
     empty, NaN and any other text is NULL (``5F``, ``12d``, ``0x1p3`` and
     ``1_000`` are units or codes, not numbers).
     """
-    s = strip(F.regexp_replace(strip(c), r'[,"]', ""))
+    s = strip(F.replace(F.replace(strip(c), F.lit(","), F.lit("")), F.lit('"'), F.lit("")))
     return F.when(s == "-", F.lit(0.0)).otherwise(decimal_text(s))
 
 

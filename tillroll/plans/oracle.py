@@ -761,3 +761,82 @@ oracle("demand_fit", ["st"], """SELECT branch, n_months, historical_mean, growth
   FROM (SELECT *, (greatest(intercept + slope * (n_months + 1), 0.0) + greatest(intercept + slope * (n_months + 2), 0.0)
                    + greatest(intercept + slope * (n_months + 3), 0.0)) / 3 AS forecast FROM st)""")
 ORACLE["demand_fit_appended"] = ORACLE["demand_fit"]
+
+# --- bins, catalog, store, overview ------------------------------------------------
+# columns of the driver's tables that are not nested, and their types
+_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice "
+        "double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+_NUMBERS = ("int", "bigint", "float", "double")
+_PROFILE = """SELECT '{table}' AS dataset, '{column}' AS "column", '{kind}' AS type, count(*) AS n_rows, count(*) - count({column}) AS n_nulls,
+       {least} AS least, {greatest} AS greatest FROM {table}"""
+ORACLE["column_profile"] = "\nUNION ALL\n".join(
+    _PROFILE.format(table=table, column=column, kind=kind, **{
+        name: f"CAST({fn}({column}) AS DOUBLE)" if kind in _NUMBERS else "CAST(NULL AS DOUBLE)" for name, fn in (("least", "min"), ("greatest", "max"))})
+    for table, columns in _COLUMNS.items() for column, kind in (c.rsplit(" ", 1) for c in columns.split(", ")))
+ORACLE["itemsets_vertical"] = ORACLE["frequent_itemsets"]
+ORACLE["topic_classify_one_pass"] = ORACLE["topic_classify"]
+oracle("shift_bins", ["att_s"], """, span AS (SELECT min(date) AS a, max(date) AS b FROM att_s WHERE branch IS NOT NULL),
+  own AS (SELECT DISTINCT branch, ascii(substring(branch, 1, 1)) % 20 AS h FROM att_s WHERE branch IS NOT NULL),
+  bins AS (SELECT CAST(NULL AS VARCHAR) AS branch, a AS f, b AS u, x.* FROM span,
+             (VALUES (6, 14, 'morning', 1), (14, 22, 'afternoon', 1), (22, 6, 'night', 1)) x(h0, h1, label, rank)
+           UNION ALL SELECT branch, a + CAST((b - a) // 2 AS INTEGER), b, h, h + 3, 'rush', 2 FROM own, span
+           UNION ALL SELECT branch, a, b, 12, 13, 'noon', 1 FROM own, span),
+  r AS (SELECT row_number() OVER () AS id, * FROM att_s WHERE branch IS NOT NULL),
+  hits AS (SELECT r.id, first(label ORDER BY (bins.branch IS NULL), rank, label) AS bin
+           FROM r JOIN bins ON (bins.branch IS NULL OR bins.branch = r.branch) AND r.date BETWEEN f AND u
+            AND CASE WHEN h0 < h1 THEN punch_hour >= h0 AND punch_hour < h1 ELSE punch_hour >= h0 OR punch_hour < h1 END
+           GROUP BY r.id)
+SELECT branch, coalesce(bin, 'Unknown') AS bin, strftime(date, '%Y-%m') AS month, count(*) AS n_records
+  FROM r LEFT JOIN hits USING (id) GROUP BY 1, 2, 3""")
+_CATALOG = {"monthly_sales": ("report_monthly_sales", 5), "branch_revenue": ("report_branch_revenue", 2),
+            "sales_by_item": ("report_item_sales", 6), "delivery_items": ("report_delivery_lines", 5),
+            "customer_orders": ("report_customer_orders", 6), "attendance": ("report_attendance", 7),
+            "menu_avg_sales": ("report_menu_channels", 5), "division_summary": ("report_division_summary", 6)}
+ORACLE["report_catalog"] = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS dataset, count(*) AS n_rows, CAST({columns} AS INTEGER) AS n_columns FROM ({ORACLE[key]})"
+    for name, (key, columns) in _CATALOG.items())
+_PUBLISHED = {
+    "shift_staffing": "branch, days_observed, max_staff, mean_staff, min_staff, recommended_staff, shift",
+    "staffing_by_day": "branch, day_of_week, distinct_staff, shift",
+    "staffing_alerts": "alert, branch, recommendation, shift",
+    "demand_forecast": "branch, forecast, lower, month_num, period, step, upper, variance_pct, year",
+    "demand_ranking": "avg_forecast, branch",
+    "demand_trend": "branch, growth_pct, trend, trend_band",
+    "branch_kpis": "avg_spend, branch, monthly_growth_pct, num_customers, pct_1_urgent, pct_2_high, pct_3_medium, pct_4_not_specified, "
+                   "pct_5_low, revenue_share_pct, total_revenue",
+    "expansion_signals": "avg_monthly_growth_pct, feasibility, growing_network, high_customer_density, max_share_pct, n_branches, "
+                         "saturated_branch, saturated_branch_present, signal_score, total_customers, total_revenue",
+    "score_candidates": "competition_risk, composite_score, demand_score, location",
+    "segment_share": "branch, branch_total, segment, segment_revenue, share_pct",
+    "segment_comparison": "branch, segment, total_qty, total_revenue",
+    "segment_performance": "branch, segment, share_pct, status, threshold_pct",
+    "growth_actions": "action, expected_impact, priority, rank, strategy, target",
+    "combo_top": "antecedents, confidence, consequents, items, lift, priority, recommendation, strength, support",
+}
+ORACLE["published_reports"] = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS report, count(*) AS n_rows, CAST({len(columns.split(','))} AS INTEGER) AS n_columns, '{columns}' AS columns FROM ({ORACLE[name]})"
+    for name, columns in _PUBLISHED.items())
+_OVERVIEW = {"demand_ranking": ("demand_ranking", "branch", "avg_forecast", "CAST(NULL AS VARCHAR)", "avg_forecast DESC, branch"),
+             "locations": ("score_candidates", "location", "composite_score", "CAST(NULL AS VARCHAR)", "composite_score DESC, location"),
+             "combos": ("combo_top", "items", "lift", "recommendation", "lift DESC, antecedents, consequents"),
+             "staffing": ("staffing_alerts", "concat_ws(' – ', branch, shift)", "CAST(NULL AS DOUBLE)", "coalesce(alert, recommendation)", "branch, shift"),
+             "growth_actions": ("growth_actions", "strategy", "CAST(rank AS DOUBLE)", "action", "rank")}
+ORACLE["overview_sections"] = "\nUNION ALL\n".join(
+    f"SELECT '{section}' AS section, CAST(row_number() OVER (ORDER BY {by}) AS INTEGER) AS position, {name} AS name, {value} AS value, {text} AS text "
+    f"FROM ({ORACLE[key]})" for section, (key, name, value, text, by) in _OVERVIEW.items())

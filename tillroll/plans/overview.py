@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import constants as K
 from tillroll.functions.scalar import beverage_status, network_growth_label
 from tillroll.operators import baskets, branches, demand, segments, staffing
+from tillroll.session import write_table
 from tillroll.sources import tables as tb
 from tillroll.sources.tables import Tables
 
@@ -75,3 +76,47 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
         top3.scalar().alias("top_combos"),
         acts.scalar().alias("actions"),
     )
+
+
+def overview_sections(t: Tables, n_months: int = 3, top_rules: int = 10) -> DataFrame:
+    """section, position (from 1), name, value, text: the overview as rows, with whole rankings.
+
+    Sections: demand_ranking (mean forecast), locations (composite score), combos (lift and sentence),
+    staffing (recommended staff and alert), growth_actions (text: the strategy).  Order lines with their
+    branch and part are written once; baskets and segments both read them, so line items are scanned once.
+    """
+    from pyspark.sql import Window
+
+    lines = write_table(tb._lines_with_part(t).select(
+        "branch", F.col("l_orderkey").alias("order"), "p_brand", "p_name", "l_quantity", "l_extendedprice"), "order-lines")
+    monthly = write_table(tb.monthly_sales(t), "monthly")
+    sig = branches.expansion_signals(branches.branch_kpis(monthly, tb.branch_revenue(t), tb.menu_channels(t), CHANNELS))
+    bk = baskets.build_baskets(lines.select("branch", F.col("order").cast("string").alias("customer"), F.col("p_brand").alias("item"),
+                                            F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price")))
+    mined = baskets.mine(bk, 0.02)
+    combos = baskets.combo_top(baskets.association_rules(mined.itemsets, 1.0, 0.1), mined.n_baskets, top_rules)
+    seg = segments.classify(lines.select("branch", F.col("p_name").alias("item"), F.col("l_quantity").alias("qty"),
+                                         F.col("l_extendedprice").alias("total_amount")),
+                            "item", tb.PART_MILKSHAKE_KEYWORDS, tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
+    slots = staffing.staffing_alerts(staffing.shift_staffing(tb.attendance(t)))
+    # a section has a row per branch, candidate, slot, rule or action: numbering it is one small window each
+    parts = {
+        "demand_ranking": demand.demand_ranking(monthly, n_months).select(
+            F.col("branch").alias("name"), F.col("avg_forecast").alias("value"), F.lit(None).cast("string").alias("text"),
+            F.struct(-F.col("avg_forecast"), "branch").alias("by")),
+        "locations": branches.score_candidates(tb.candidate_sites(t), sig).select(
+            F.col("location").alias("name"), F.col("composite_score").alias("value"), F.lit(None).cast("string").alias("text"),
+            F.struct(-F.col("composite_score"), "location").alias("by")),
+        "combos": combos.select(F.col("items").alias("name"), F.col("lift").alias("value"), F.col("recommendation").alias("text"),
+                                F.struct(-F.col("lift"), "antecedents", "consequents").alias("by")),
+        "staffing": slots.select(F.concat_ws(" – ", "branch", "shift").alias("name"), F.lit(None).cast("double").alias("value"),
+                                 F.coalesce("alert", "recommendation").alias("text"), F.struct("branch", "shift").alias("by")),
+        "growth_actions": segments.growth_actions(seg, segments.segment_share(seg)).select(
+            F.col("strategy").alias("name"), F.col("rank").cast("double").alias("value"), F.col("action").alias("text"), F.struct("rank").alias("by")),
+    }
+    out = None
+    for section, rows in parts.items():
+        place = F.row_number().over(Window.partitionBy("section").orderBy("by"))
+        rows = rows.withColumn("section", F.lit(section)).withColumn("position", place).select("section", "position", "name", "value", "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out

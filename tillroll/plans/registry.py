@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
 from tillroll.functions.scalar import clean_number, compact_cells, duration_hours, money_sum
-from tillroll.operators import baskets, branches, demand, quantiles, segments, series, staffing, topics
+from tillroll.operators import baskets, bins, branches, demand, itemsets, quantiles, segments, series, staffing, topics
 from tillroll.plans import roundtrip
 from tillroll.sources import reports
 from tillroll.session import write_table
@@ -421,6 +421,14 @@ def q_dataset_profile(t: Tables) -> DataFrame:
     return dataset_profile({n: getattr(t, n) for n in TABLE_NAMES})
 
 
+@query("column_profile")
+def q_column_profile(t: Tables) -> DataFrame:
+    """Rows, nulls, least and greatest value of every plain column of every table, from Parquet footers."""
+    from tillroll.sources.profile import column_profile
+    from tillroll.sources.tables import TABLE_NAMES
+    return column_profile(t.spark, {n: f"{t.sf_dir.rstrip('/')}/{n}.parquet" for n in TABLE_NAMES})
+
+
 # --- topics ---------------------------------------------------------------------
 @query("topic_classify")
 def q_topic_classify(t: Tables) -> DataFrame:
@@ -436,6 +444,13 @@ def q_topic_classify_documents(t: Tables) -> DataFrame:
     return topics.classify_topics(d, "text").drop("text")
 
 
+@query("topic_classify_one_pass")
+def q_topic_classify_one_pass(t: Tables) -> DataFrame:
+    """Topic of every conversation turn, all keywords found in one scan of the text."""
+    c = t.conversations.select("conv_id", "turn", "text")
+    return topics.classify_topics_one_pass(c, "text").drop("text")
+
+
 @query("topic_counts")
 def q_topic_counts(t: Tables) -> DataFrame:
     c = t.conversations.select("text")
@@ -480,6 +495,13 @@ def q_top_item_pairs(t: Tables) -> DataFrame:
     return baskets.top_pairs(tb.order_baskets(t))
 
 
+@query("itemsets_vertical")
+def q_itemsets_vertical(t: Tables) -> DataFrame:
+    """Frequent itemsets by vertical bitmaps, joined to text as in ``frequent_itemsets``."""
+    fi = itemsets.frequent_itemsets(_baskets(t), RULE_MIN_SUPPORT)
+    return fi.select(F.array_join("items", ", ").alias("itemset"), "size", "freq", "support")
+
+
 @query("staff_rollup")
 def q_staff_rollup(t: Tables) -> DataFrame:
     """Distinct staff per shift and day, weekday, month, branch and in the network from one set of bitmaps."""
@@ -508,6 +530,55 @@ def q_demand_fit_appended(t: Tables) -> DataFrame:
     return series.fit(series.append(stored, months.where(F.col("year") == last)))
 
 
+@query("shift_bins")
+def q_shift_bins(t: Tables) -> DataFrame:
+    """Records per branch, day part and month by a table of bins: a general one, and own ones of some branches and months."""
+    att = staffing.assign_shifts(tb.attendance(t)).where(F.col("branch").isNotNull()).withColumn("record", F.monotonically_increasing_id())
+    span = att.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    middle = span.select(F.date_add("a", (F.datediff("b", "a") / 2).cast("int"))).scalar()
+    general = t.spark.createDataFrame([(6, 14, "morning", 1), (14, 22, "afternoon", 1), (22, 6, "night", 1)],
+                                      "from_hour int, to_hour int, label string, rank int")
+    every = general.select(F.lit(None).cast("string").alias("branch"), F.lit(None).cast("date").alias("valid_from"),
+                           F.lit(None).cast("date").alias("valid_to"), "from_hour", "to_hour", "label", "rank")
+    # every branch has a rush hour of its own in the second half of the span, and the long day shadows it at noon
+    own = att.select("branch").distinct().withColumn("h", F.pmod(F.ascii(F.substring("branch", 1, 1)), F.lit(20)).cast("int"))
+    rush = own.select("branch", middle.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.col("h").alias("from_hour"),
+                      (F.col("h") + 3).alias("to_hour"), F.lit("rush").alias("label"), F.lit(2).alias("rank"))
+    noon = own.select("branch", F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
+                      F.lit(12).alias("from_hour"), F.lit(13).alias("to_hour"), F.lit("noon").alias("label"), F.lit(1).alias("rank"))
+    rows = bins.assign_bins(att, every.unionByName(rush).unionByName(noon), ["record"])
+    return rows.groupBy("branch", "bin", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_records"))
+
+
+@query("overview_sections")
+def q_overview_sections(t: Tables) -> DataFrame:
+    """The network overview as rows, with whole rankings."""
+    from tillroll.plans.overview import overview_sections
+    return overview_sections(t)
+
+
+@query("report_catalog")
+def q_report_catalog(t: Tables) -> DataFrame:
+    """A mixed folder of all report layouts and a copy, found and parsed by content."""
+    return roundtrip.report_catalog(t)
+
+
+#: Reports that are published together.
+PUBLISHED = ["shift_staffing", "staffing_by_day", "staffing_alerts", "demand_forecast", "demand_ranking", "demand_trend", "branch_kpis",
+             "expansion_signals", "score_candidates", "segment_share", "segment_comparison", "segment_performance", "growth_actions", "combo_top"]
+
+
+@query("published_reports")
+def q_published_reports(t: Tables) -> DataFrame:
+    """report, n_rows, n_columns, columns of every report, written, audited, published and counted in the published files."""
+    from tillroll.session import ensure_checkpoint_dir
+    from tillroll.sources.store import ResultStore
+    import uuid
+    store = ResultStore(t.spark, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/tillroll-store/{uuid.uuid4().hex}")
+    store.publish({name: QUERIES[name](t.spark, t.sf_dir) for name in PUBLISHED}, "current")
+    return store.catalog("current")
+
+
 # --- report round trips (render driver data as report files, parse back) --------
 
 for _name in ["report_monthly_sales", "report_branch_revenue", "report_item_sales",

@@ -15,15 +15,19 @@ lines sorted within each file.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.scalar import money, money_sum
 from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources import parsers as P
 from tillroll.sources import tables as tb
+from tillroll.sources.catalog import load_catalog
 from tillroll.sources.reports import read_report_lines
 from tillroll.sources.tables import Tables
 
@@ -48,21 +52,69 @@ def fixed2(x: Column) -> Column:
     return F.format_string("%.2f", x)
 
 
-def write_report(lines: DataFrame, section: Sequence[str], order: Sequence[str]) -> str:
+def write_report(lines: DataFrame, section: Sequence[str], order: Sequence[str], path: str | None = None) -> str:
     """Write ``text`` lines; each file holds whole sections in (section, order) order."""
     spark = lines.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-reports/{uuid.uuid4().hex}"
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-reports/{uuid.uuid4().hex}"
     (lines.repartition(*section).sortWithinPartitions(*section, *order)
      .select("text").write.text(path))
     return path
 
 
-def _parse(t: Tables, lines: DataFrame, section, order, parser, **kw) -> DataFrame:
-    path = write_report(lines, section, order)
-    return parser(read_report_lines(t.spark, path), **kw)
+@dataclass
+class Rendered:
+    """Lines of a report, how they are sectioned and ordered, and how they are parsed back."""
 
+    spark: SparkSession
+    lines: DataFrame
+    section: Sequence[str]
+    order: Sequence[str]
+    parser: Callable[..., DataFrame]
+    options: dict
+    columns: Sequence[str] | None = None
 
-def report_monthly_sales(t: Tables) -> DataFrame:
+    def write(self, path: str | None = None) -> str:
+        return write_report(self.lines, self.section, self.order, path)
+
+    def parse(self) -> DataFrame:
+        out = self.parser(read_report_lines(self.spark, self.write()), **self.options)
+        return out.select(*self.columns) if self.columns else out
+
+
+#: Dataset of the catalog -> how its report is rendered from the driver's tables.
+RENDERED: dict[str, Callable[[Tables], Rendered]] = {}
+
+
+def round_trip(dataset: str):
+    """A function that renders a report becomes one that writes it and parses it back."""
+    def deco(fn: Callable[[Tables], Rendered]) -> Callable[[Tables], DataFrame]:
+        RENDERED[dataset] = fn
+
+        @wraps(fn)
+        def run(t: Tables) -> DataFrame:
+            return fn(t).parse()
+        return run
+    return deco
+
+
+def report_catalog(t: Tables) -> DataFrame:
+    """dataset, n_rows, n_columns of a mixed folder with every report and a copy of one, found by content."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/tillroll-reports/{uuid.uuid4().hex}"
+    rendered = {name: fn(t) for name, fn in RENDERED.items()}
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda item: item[1].write(f"{folder}/in-{item[0]}"), enumerate(rendered.values())))
+    rendered["menu_avg_sales"].write(f"{folder}/again")
+    found = load_catalog(t.spark, folder, {name: r.options for name, r in rendered.items()}).datasets
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("dataset"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+             for name, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@round_trip("monthly_sales")
+def report_monthly_sales(t: Tables) -> Rendered:
     m = tb.monthly_sales(t)
     br = m.select("branch").distinct()
     head = br.select("branch", F.lit(0).alias("k"), F.lit(0).alias("o"),
@@ -78,10 +130,11 @@ def report_monthly_sales(t: Tables) -> DataFrame:
                      csv_line(["REP_S_00334", "", "Copyright © 2026 report vendor"], 5)
                      .alias("text"))
     lines = head.unionByName(cols).unionByName(rows_).unionByName(foot)
-    return _parse(t, lines, ["branch"], ["k", "o"], P.parse_monthly_sales)
+    return Rendered(t.spark, lines, ["branch"], ["k", "o"], P.parse_monthly_sales, dict())
 
 
-def report_branch_revenue(t: Tables) -> DataFrame:
+@round_trip("branch_revenue")
+def report_branch_revenue(t: Tables) -> Rendered:
     r = tb.branch_revenue(t)
     head = r.select("branch", F.lit(0).alias("k"),
                     csv_line([F.concat(F.lit("Branch Name:  "), F.col("branch"))], 4)
@@ -89,10 +142,11 @@ def report_branch_revenue(t: Tables) -> DataFrame:
     tot = r.select("branch", F.lit(1).alias("k"),
                    csv_line(["Total By Branch", quoted(F.col("revenue")), "0.00"], 4)
                    .alias("text"))
-    return _parse(t, head.unionByName(tot), ["branch"], ["k"], P.parse_branch_revenue)
+    return Rendered(t.spark, head.unionByName(tot), ["branch"], ["k"], P.parse_branch_revenue, dict())
 
 
-def report_item_sales(t: Tables) -> DataFrame:
+@round_trip("sales_by_item")
+def report_item_sales(t: Tables) -> Rendered:
     s = (tb.item_sales(t).groupBy("branch", "division", "group", "item")
          .agg(F.sum("qty").alias("qty"),
               money_sum("total_amount").alias("amt")))
@@ -114,10 +168,11 @@ def report_item_sales(t: Tables) -> DataFrame:
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    return _parse(t, lines, sec, ["k", "o"], P.parse_item_sales)
+    return Rendered(t.spark, lines, sec, ["k", "o"], P.parse_item_sales, dict())
 
 
-def report_delivery_lines(t: Tables) -> DataFrame:
+@round_trip("delivery_items")
+def report_delivery_lines(t: Tables) -> Rendered:
     d = (tb._lines_with_part(t)
          .select("branch", F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string"))
                  .alias("customer"), F.col("p_brand").alias("item"),
@@ -136,10 +191,11 @@ def report_delivery_lines(t: Tables) -> DataFrame:
     tot = keys.select(*sec, F.lit(3).alias("k"), none.alias("o"),
                       csv_line(["Total :", "", "", "0.00"], 5).alias("text"))
     lines = head.unionByName(cust).unionByName(rows_).unionByName(tot)
-    return _parse(t, lines, sec, ["k", "o"], P.parse_delivery_lines)
+    return Rendered(t.spark, lines, sec, ["k", "o"], P.parse_delivery_lines, dict())
 
 
-def report_customer_orders(t: Tables) -> DataFrame:
+@round_trip("customer_orders")
+def report_customer_orders(t: Tables) -> Rendered:
     o = t.orders.select("o_custkey", "o_orderdate", "o_totalprice")
     c = t.customer.select("c_custkey", "c_name", "c_nationkey",
                           F.col("c_mktsegment").alias("branch"))
@@ -161,11 +217,11 @@ def report_customer_orders(t: Tables) -> DataFrame:
     head = per.select(*sec).distinct().select(
         *sec, F.lit(0).alias("k"), F.lit(-1).cast("long").alias("o"),
         csv_line([F.col("branch")], 8).alias("text"))
-    return _parse(t, head.unionByName(rows_), sec, ["k", "o"], P.parse_customer_orders,
-                  branches=SEGMENTS)
+    return Rendered(t.spark, head.unionByName(rows_), sec, ["k", "o"], P.parse_customer_orders, dict(branches=SEGMENTS))
 
 
-def report_attendance(t: Tables) -> DataFrame:
+@round_trip("attendance")
+def report_attendance(t: Tables) -> Rendered:
     e = t.events.select("user_id", "event_type", "ts", "value")
     # one section per employee, branch and month (a monthly attendance report),
     # each opening with its employee and branch lines
@@ -194,12 +250,12 @@ def report_attendance(t: Tables) -> DataFrame:
     tot = keys.select(*sec, F.lit(4).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
                       csv_line(["", "", "", "", "Total :", "0:00:00"], 6).alias("text"))
     lines = emp.unionByName(branch).unionByName(ghost).unionByName(rows_).unionByName(tot)
-    out = _parse(t, lines, sec, ["k", "o"], P.parse_attendance, branch_markers=("Store ",))
-    return out.select("employee_id", "employee_name", "branch", "date", "punch_in",
-                      "work_hours")
+    return Rendered(t.spark, lines, sec, ["k", "o"], P.parse_attendance, dict(branch_markers=("Store ",)),
+                    ["employee_id", "employee_name", "branch", "date", "punch_in", "work_hours"])
 
 
-def report_menu_channels(t: Tables) -> DataFrame:
+@round_trip("menu_avg_sales")
+def report_menu_channels(t: Tables) -> Rendered:
     mc = tb.menu_channels(t)
     br = mc.select("branch").distinct()
     hdr = br.select("branch", F.lit(0).alias("k"), F.lit("").alias("o"),
@@ -213,11 +269,11 @@ def report_menu_channels(t: Tables) -> DataFrame:
     tot = br.select("branch", F.lit(3).alias("k"), F.lit("").alias("o"),
                     csv_line(["Total By Branch:", "0.00", "0.00", "0.00"], 5).alias("text"))
     lines = hdr.unionByName(name).unionByName(rows_).unionByName(tot)
-    return _parse(t, lines, ["branch"], ["k", "o"], P.parse_menu_channels,
-                  branches=SEGMENTS, channels=PRIORITIES)
+    return Rendered(t.spark, lines, ["branch"], ["k", "o"], P.parse_menu_channels, dict(branches=SEGMENTS, channels=PRIORITIES))
 
 
-def report_division_summary(t: Tables) -> DataFrame:
+@round_trip("division_summary")
+def report_division_summary(t: Tables) -> Rendered:
     """Channel sales per (branch, category); branches A-F in the wide layout, others compact.
 
     Channels: DELIVERY = returned lines (R), TABLE = accepted (A), TAKE AWAY = open (N).
@@ -253,5 +309,4 @@ def report_division_summary(t: Tables) -> DataFrame:
     tot = br.select("branch", F.lit(4).alias("k"), F.lit("").alias("o"),
                     csv_line(["", "TOTAL", "0.00", "0.00", "0.00", "0.00"], 6).alias("text"))
     lines = title.unionByName(name).unionByName(head).unionByName(rows_).unionByName(tot)
-    return _parse(t, lines, ["branch"], ["k", "o"], P.parse_division_summary,
-                  branches=SEGMENTS)
+    return Rendered(t.spark, lines, ["branch"], ["k", "o"], P.parse_division_summary, dict(branches=SEGMENTS))

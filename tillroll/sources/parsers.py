@@ -62,7 +62,7 @@ def parse_monthly_sales(lines: DataFrame) -> DataFrame:
     df = _rows(lines)
     first = F.col("first")
     kind = (F.when(first.startswith("Branch Name"), "branch")
-            .when(has_keyword("cells", ["Month", "Year", "Total", "Branch Name"]), "skip")
+            .when(has_keyword("cells", K.MONTHLY_HEADERS), "skip")
             .otherwise("detail"))
     df = (df.withColumn("kind", kind)
             .withColumn("branch", F.when(F.col("kind") == "branch",
@@ -107,9 +107,8 @@ def parse_item_sales(lines: DataFrame) -> DataFrame:
     """branch, division, group, item, qty, total_amount."""
     df = _rows(lines)
     first = F.col("first")
-    skip = ["Description", "Barcode", "Total by", "Branch:", "Division:", "Group:"]
     skip_cond = F.lit(False)
-    for k in skip:
+    for k in K.ITEM_HEADERS:
         skip_cond = skip_cond | first.startswith(k)
     kind = (F.when(first.startswith("Branch:"), "branch")
             .when(first.startswith("Division:"), "division")
@@ -136,10 +135,9 @@ def parse_delivery_lines(lines: DataFrame) -> DataFrame:
     """branch, customer, item, qty, price."""
     df = _rows(lines)
     first = F.col("first")
-    headers = ["Full Name", "Qty", "Description", "Price", "From Date", "To Date", "Page"]
     kind = (F.when(first.startswith("Branch :"), "branch")
             .when(first.rlike(r"^Person_\d+$"), "customer")
-            .when(first.isin("Full Name", "Total :") | has_keyword("cells", headers), "skip")
+            .when(first.isin("Full Name", "Total :") | has_keyword("cells", K.DELIVERY_HEADERS), "skip")
             .otherwise("detail"))
     df = (df.withColumn("kind", kind)
             .withColumn("branch", F.when(F.col("kind") == "branch",
@@ -161,8 +159,7 @@ def parse_customer_orders(lines: DataFrame,
     """branch, customer, first_order, last_order, total, num_orders."""
     df = _rows(lines)
     first = F.col("first")
-    headers = ["Customer Name", "Address", "Phone", "First Order", "Page", "From Date"]
-    kind = (F.when(has_keyword("cells", headers), "skip")
+    kind = (F.when(has_keyword("cells", K.CUSTOMER_HEADERS), "skip")
             .when(first.isin(list(branches)), "branch")
             .otherwise("detail"))
     df = (df.withColumn("kind", kind)
@@ -186,7 +183,7 @@ def parse_customer_orders(lines: DataFrame,
 
 
 # --- S12 attendance ------------------------------------------------------------
-def parse_attendance(lines: DataFrame, branch_markers: Sequence[str] = ("Conut", "Main Street")
+def parse_attendance(lines: DataFrame, branch_markers: Sequence[str] = K.ATTENDANCE_BRANCH_MARKERS
                      ) -> DataFrame:
     """employee_id, employee_name, branch, date, punch_in, punch_out, work_hours."""
     df = _rows(lines, footer=False)
@@ -224,8 +221,7 @@ def parse_menu_channels(lines: DataFrame, branches: Sequence[str] = K.BRANCH_NAM
     """branch, menu_channel, num_customers, sales, avg_per_customer."""
     df = _rows(lines)
     first = F.col("first")
-    headers = ["Menu Name", "# Cust", "Sales", "Avg", "Page", "Year"]
-    kind = (F.when(has_keyword("cells", headers), "skip")
+    kind = (F.when(has_keyword("cells", K.MENU_HEADERS), "skip")
             .when(first.isin(list(branches)), "branch")
             .when(first.isin(list(channels)), "channel"))
     df = (df.withColumn("kind", kind)
@@ -250,16 +246,14 @@ def parse_division_summary(lines: DataFrame, branches: Sequence[str] = K.BRANCH_
     df = _rows(lines)
     cells = F.col("cells")
     c0 = strip(F.get(cells, 0))
-    exact = ["DELIVERY", "TABLE", "TAKE AWAY", "TOTAL"]
-    header = (F.exists(cells, lambda x: F.coalesce(F.upper(strip(x)).isin(exact), F.lit(False)))
-              | has_keyword("cells", ["Page", "Year", "Summary"]))
+    header = (F.exists(cells, lambda x: F.coalesce(F.upper(strip(x)).isin(K.DIVISION_COLUMNS), F.lit(False)))
+              | has_keyword("cells", K.DIVISION_HEADERS))
     df = (df.withColumn("branch", F.when(c0.isin(list(branches)), c0))
             .withColumn("is_header", header))
     df = _fill(df, ["branch"])
     cat = strip(F.get(cells, 1))
-    bad = ["TOTAL", "Total", "Copyright", "REP_", "www.", "Page", "Year"]
     bad_cond = F.lit(False)
-    for b in bad:
+    for b in K.DIVISION_NO_CATEGORY:
         bad_cond = bad_cond | cat.contains(b)
     nums = numbers_of(F.slice(cells, 3, F.greatest(F.size(cells) - 2, F.lit(0))))
     return (df.filter(~F.col("is_header") & F.col("branch").isNotNull()

@@ -40,14 +40,14 @@ from tillroll.session import write_table
 ORDER = ["block", "seq"]
 
 
-def read_report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_report_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
     """file, block, seq, line, raw, vals - one row per non-blank record, with its cells.
 
     A quoted cell may hold line breaks: such physical lines are one record, at
-    the place of the first.
+    the place of the first.  ``recursive`` takes files of folders below as well.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.text(paths)
+    df = spark.read.text(paths, recursiveFileLookup=recursive)
     return report_records(df.select(F.col("_metadata.file_path").alias("file"),
                                     F.col("_metadata.file_block_start").alias("block"),
                                     F.monotonically_increasing_id().alias("seq"),
