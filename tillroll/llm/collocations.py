@@ -90,12 +90,12 @@ def joined(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(phrase * _ODD + word)
 
 
-def _distinct(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a place, number) of each distinct phrase among the places ``at``, whose hashes are ``key``."""
+def _distinct(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place, number, hash) of each distinct phrase among the places ``at``, whose hashes are ``key``."""
     order = np.argsort(key)
     found = key[order]
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(found)), bool), found[1:] != found[:-1]]))
-    return at[order[new]], np.diff(new, append=len(order))
+    return at[order[new]], np.diff(new, append=len(order)), found[new]
 
 
 class Step:
@@ -117,8 +117,8 @@ def _look_up(known: np.ndarray, key: np.ndarray) -> np.ndarray:
     return known[(key & np.uint64(len(known) - 1)).astype(np.int64)]
 
 
-def count_chunk(hashes: np.ndarray, piece: np.ndarray, step: Step) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, places, numbers) of the phrases active in this step, length by length; words of one piece can make phrases."""
+def count_chunk(hashes: np.ndarray, piece: np.ndarray, step: Step) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, places, numbers, hashes) of the phrases active in this step, length by length; words of one piece can make phrases."""
     key, ok = hashes, np.ones(len(hashes), bool)
     for k in range(1, max(step.lengths) + 1):
         if k > 1:
@@ -162,7 +162,7 @@ class _Chunk:
         place = {lang: i for i, lang in enumerate(names)}
         of = np.repeat(np.array([place[lang] for lang, _ in self.langs], np.int32), size)
         signed, end, texts = hashes.view(np.int64), start + length, self.texts
-        for k, first, n in count_chunk(hashes, piece, step):
+        for k, first, n, key in count_chunk(hashes, piece, step):
             for at in range(0, len(first), 100_000):
                 here = first[at:at + 100_000]
                 lang = phrase = pa.nulls(len(here), pa.string())
@@ -173,7 +173,7 @@ class _Chunk:
                     lang = pa.DictionaryArray.from_arrays(pa.array(of[here]), pa.array(names)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(here), k, np.int32)), lang, phrase,
-                    pa.array(signed[here]) if k < 3 else pa.nulls(len(here), pa.int64()),
+                    pa.array(signed[here] if k == 2 else key[at:at + 100_000].view(np.int64)),
                     pa.array(signed[here + 1]) if k == 2 else pa.nulls(len(here), pa.int64()),
                     pa.array(n[at:at + 100_000], pa.int64())], ["k", "lang", "phrase", "a", "b", "n"])
 
@@ -181,7 +181,7 @@ class _Chunk:
 def scan(docs: DataFrame, step: Step) -> DataFrame:
     """(k, lang, phrase, a, b, n) of the active phrases in ``docs`` (lang, text as bytes), added up within chunks.
 
-    ``a`` is the hash of a word; pairs have the hashes ``a`` and ``b`` of their words and no lang and phrase.
+    ``a`` is the hash of the phrase; pairs have the hashes ``a`` and ``b`` of their words and no lang and phrase.
     """
     sent = docs.sparkSession.sparkContext.broadcast(step)
 
@@ -206,27 +206,18 @@ def scan(docs: DataFrame, step: Step) -> DataFrame:
 def _tables(marks: DataFrame, slots: dict[int, int]) -> dict[int, np.ndarray]:
     """For each table the last step of a phrase of each slot, 255 for none.
 
-    ``marks``: table, k, lang, phrase, a, b, step.  Tasks make pieces of the tables; the driver puts them together.
+    ``marks``: table, k, a, b, step.  Tasks make pieces of the tables; the driver puts them together.
     """
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for part in bounded([batch]):
-                kinds = part.column("k").to_numpy()
                 size = np.array([slots.get(t, 1) for t in part.column("table").to_pylist()], np.uint64)
-                first = part.column("a").fill_null(0).to_numpy().view(np.uint64)
-                key = np.where(kinds == 2, joined(first, part.column("b").fill_null(0).to_numpy().view(np.uint64)), first)
-                for i in np.flatnonzero(kinds > 2).tolist():
-                    seed = np.uint64(seed_of(part.column("lang")[i].as_py()))
-                    ws = mix(words.of(part.column("phrase")[i].as_py().encode())[2] ^ seed)
-                    h = ws[:1]
-                    for j in range(1, len(ws)):
-                        h = joined(h, ws[j:j + 1])
-                    key[i] = h[0]
+                first, second = (part.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("a", "b"))
+                key = np.where(part.column("k").to_numpy() == 2, joined(first, second), first)
                 slot = (key & (size - np.uint64(1))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("table"), pa.array(slot // ROW_SLOTS), pa.array((slot % ROW_SLOTS).astype(np.int32)),
                                                   part.column("step").cast(pa.int32())], ["table", "row", "slot", "step"])
-    cells = (marks.select("table", "k", "lang", "phrase", "a", "b", "step").mapInArrow(hashed, "table int, row long, slot int, step int")
+    cells = (marks.select("table", "k", "a", "b", "step").mapInArrow(hashed, "table int, row long, slot int, step int")
              .groupBy("table", "row", "slot").agg(F.max("step").alias("step"))
              .groupBy("table", "row").agg(F.collect_list(F.struct("slot", "step")).alias("cells")))     # at most ROW_SLOTS cells
 
@@ -291,7 +282,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WO
                 F.when(F.col("reached").isNotNull(), F.struct(F.col("k").alias("table"), F.col("reached").alias("step"))),
                 F.when(F.col("k") == 2, F.struct(F.lit(0).alias("table"), F.col("start").alias("step"))))))
             slots = {t: min(SLOTS[1], max(SLOTS[0], 1 << (SLOTS_EACH * n).bit_length())) for t, n in fresh.items()}
-            tables.update(_tables(state.select("k", "lang", "phrase", "a", "b", marks.alias("m")).select("k", "lang", "phrase", "a", "b", "m.*")
+            tables.update(_tables(state.select("k", "a", "b", marks.alias("m")).select("k", "a", "b", "m.*")
                                   .where(F.col("table").isin(list(slots))), slots))
         number += 1
     kept = state.where(F.col("n") >= least)
