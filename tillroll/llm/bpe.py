@@ -40,6 +40,10 @@ LONGEST = 32
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words with their leading blank, and runs of blanks, as the pre-tokenizer's rule divides them.
 WORDS = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+#: A place of the table of pairs that holds none.
+_NO_PAIR = np.int64(np.iinfo(np.int64).max)
+#: Words whose pieces are plain by the rule: letters below U+02B0, with or without a blank before them, then stops.
+PLAIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]+)([.,;:!?]*)")
 #: The rule inside one word.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
 
@@ -77,54 +81,98 @@ class Vocabulary:
         self.merges = np.array([(ids[a], ids[b], ids[a + b]) for a, b in pairs], np.int32).reshape(-1, 3)
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 class Merges:
     """Exact merging of many short pieces at once: lowest rank first, the leftmost of equals first."""
 
     #: Pieces up to this many bytes share a grid of their width; longer ones are merged one by one.
-    WIDTHS = (4, 8, 16, 32, 64)
+    WIDTHS = (4, 8, 12, 16, 24, 32, 64)
+    #: Rows of a grid.
+    ROWS = 8192
 
     def __init__(self, merges: np.ndarray):
         """merges: rows (left, right, merged) in order of rank."""
         keys = (merges[:, 0].astype(np.int64) << 32) | merges[:, 1]
-        order = np.argsort(keys, kind="stable")
-        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        self.rank = np.append(order, len(keys)).astype(np.int32)
-        self.new = np.append(merges[order, 2], 0).astype(np.int32)
+        # pairs in an open hash table: a look-up is a multiplication and about one probe
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, _NO_PAIR)
+        self.rank = np.full(1 << self.bits, len(keys), np.int32)
+        self.new = np.zeros(1 << self.bits, np.int32)
         self.none = np.int32(len(keys))
+        rest, slot = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            free = self.keys[slot] == _NO_PAIR
+            _, first = np.unique(slot, return_index=True)
+            put = np.zeros(len(rest), bool)
+            put[first] = True
+            put &= free
+            self.keys[slot[put]], self.rank[slot[put]], self.new[slot[put]] = keys[rest[put]], rest[put], merges[rest[put], 2]
+            rest, slot = rest[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged id) of pairs; rank ``none`` where they do not merge."""
         key = (left.astype(np.int64) << 32) | right
-        at = np.searchsorted(self.keys, key)
-        ok = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(ok, self.rank[at], self.none), self.new[at]
+        slot = self._slot(np.ascontiguousarray(key))
+        there = self.keys[slot]
+        open_ = np.flatnonzero((there != key) & (there != _NO_PAIR))
+        if len(open_):
+            flat, want = slot.reshape(-1), key.reshape(-1)
+            while len(open_):
+                flat[open_] = (flat[open_] + 1) & ((1 << self.bits) - 1)
+                there = self.keys[flat[open_]]
+                open_ = open_[(there != want[open_]) & (there != _NO_PAIR)]
+            there = self.keys[slot]
+        return np.where(there == key, self.rank[slot], self.none), self.new[slot]
 
     def merge(self, pieces: list[list[int]]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        below = 0
+        ids, size = self.merge_flat(np.fromiter(chain.from_iterable(pieces), np.int32, int(size.sum())), size)
+        ends = np.cumsum(size).tolist()
+        ids = ids.tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def merge_flat(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of pieces that stand one after the other, merged."""
+        start = np.cumsum(size) - size
+        out, left = ids.copy(), size.copy()
+        below = 1
         for width in self.WIDTHS:
             rows = np.flatnonzero((size > below) & (size <= width))
             below = width
-            if len(rows):
-                self._grid([pieces[i] for i in rows], rows, size[rows], width, out)
+            for at in range(0, len(rows), self.ROWS):
+                part = rows[at:at + self.ROWS]
+                self._grid(ids, start[part], size[part], width, part, out, left)
         for i in np.flatnonzero(size > below).tolist():
-            out[i] = self._long(pieces[i])
-        return out
-
-    def _grid(self, pieces: list[list[int]], rows: np.ndarray, size: np.ndarray, width: int, out: list) -> None:
+            done = self._long(ids[start[i]:start[i] + size[i]].tolist())
+            out[start[i]:start[i] + len(done)] = done
+            left[i] = len(done)
+        return out[_ranges(start, left)], left
+
+    def _grid(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, rows: np.ndarray,
+              out: np.ndarray, left: np.ndarray) -> None:
+        """Merges pieces as rows of a grid; a row that is done goes to its place in ``out``."""
         grid = np.full((len(rows), width + 1), -1, np.int32)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        grid[np.repeat(np.arange(len(rows)), size), at] = np.fromiter(chain.from_iterable(pieces), np.int32, int(size.sum()))
+        grid[np.repeat(np.arange(len(rows)), size), at] = ids[_ranges(start, size)]
         rank, _ = self._find(grid[:, :-1], grid[:, 1:])
         while len(rows):
             j = rank.argmin(1)
             here = np.arange(len(rows))
             done = rank[here, j] == self.none
             if done.any():
-                for i, line in zip(rows[done].tolist(), grid[done].tolist()):
-                    out[i] = tuple(line[:line.index(-1)])
-                rows, grid, rank, j = rows[~done], grid[~done], rank[~done], j[~done]
+                lines = grid[done]
+                held = lines >= 0
+                left[rows[done]] = n = held.sum(1)
+                out[_ranges(start[done], n)] = lines[held]
+                more = ~done
+                rows, start, grid, rank, j = rows[more], start[more], grid[more], rank[more], j[more]
                 here = np.arange(len(rows))
                 if not len(rows):
                     break
@@ -152,7 +200,10 @@ class Merges:
         ids, heap = list(ids), []
 
         def push(i: int, j: int) -> None:
-            at = int(np.searchsorted(self.keys, key := (ids[i] << 32) | ids[j]))
+            key = (ids[i] << 32) | ids[j]
+            at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+            while self.keys[at] not in (key, _NO_PAIR):
+                at = (at + 1) & ((1 << self.bits) - 1)
             if self.keys[at] == key:
                 heapq.heappush(heap, (int(self.rank[at]), i, j, ids[i], ids[j], int(self.new[at])))
         for i in range(len(ids) - 1):
@@ -255,6 +306,19 @@ def mapped(path: str) -> dict[str, np.ndarray]:
     return out
 
 
+class _Numbers(dict):
+    """A number for each word, given on first sight; ``new`` are the words that have no ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Lexicon:
     """The mapped file at work: ids of words, bytes of ids."""
 
@@ -263,8 +327,16 @@ class Lexicon:
         self.special = special
         self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.merges = Merges(arrays["merges"])
-        self.byte_ids = arrays["byte_ids"].tolist()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only special tokens have numbers; the ids of word n are ``ids[ends[n]:ends[n + 1]]``."""
+        self.known = _Numbers()
+        for text in self.special:
+            self.known[text]
+        self.known.new = []
+        self.ids = np.fromiter(self.special.values(), np.int32, len(self.special))
+        self.ends = np.arange(len(self.special) + 1)
 
     def look_up(self, items: list[bytes]) -> np.ndarray:
         """Place of each word in the automaton's order, -1 for others; all words walk at once."""
@@ -291,43 +363,55 @@ class Lexicon:
             live = live[~done]
         return out
 
-    def merged(self, items: list[str]) -> list[tuple[int, ...]]:
-        """The ids of words by merging their pieces; equal pieces are merged once."""
-        pieces = [PIECES.findall(w) for w in items]
-        number = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
-        ids = self.merges.merge([[self.byte_ids[b] for b in p.encode("utf-8", "replace")] for p in number])
-        return [ids[number[ps[0]]] if len(ps) == 1 else tuple(chain.from_iterable(ids[number[p]] for p in ps)) for ps in pieces]
-
-    def learn_words(self, items: set[str]) -> None:
-        """Makes the ids of these words known: by the automaton, else by merging."""
-        new = [w for w in items if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(items)
+    def merged(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words by merging their pieces."""
+        divided = [m.groups() if (m := PLAIN.fullmatch(w)) else PIECES.findall(w) for w in items]
+        raw = [p.encode("utf-8", "replace") for ps in divided for p in ps]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids, size = self.merges.merge_flat(self.a["byte_ids"][np.frombuffer(b"".join(raw), np.uint8)], size)
+        of = np.repeat(np.arange(len(items)), np.fromiter(map(len, divided), np.int64, len(divided)))
+        return ids, np.bincount(of, weights=size, minlength=len(items)).astype(np.int64)
+
+    def learn_words(self) -> None:
+        """The ids of the words that got numbers since: by the automaton, else by merging."""
+        new = self.known.new
+        if not new:
+            return
         places = self.look_up([w.encode("utf-8", "replace") for w in new])
-        ends, ids = self.a["ends"], self.a["ids"]
-        for i in np.flatnonzero(places >= 0).tolist():
-            self.known[new[i]] = tuple(ids[ends[places[i]]:ends[places[i] + 1]].tolist())
-        unseen = [new[i] for i in np.flatnonzero(places < 0).tolist()]
-        self.known.update(zip(unseen, self.merged(unseen)))
+        held = places >= 0
+        first, last = self.a["ends"][np.where(held, places, 0)], self.a["ends"][np.where(held, places + 1, 0)]
+        unseen = [new[i] for i in np.flatnonzero(~held).tolist()]
+        merged, sizes = self.merged(unseen)
+        size = np.where(held, last - first, 0)
+        size[~held] = sizes
+        ids = np.empty(int(size.sum()), np.int32)
+        of = np.repeat(held, size)
+        ids[of] = self.a["ids"][_ranges(first[held], size[held])]
+        ids[~of] = merged
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        self.known.new = []
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self.at_special.split(t) if self.at_special else [t] for t in (t or "" for t in texts)]
-        divided = [[p if p in self.special else WORDS.findall(p) for p in ps] for ps in parts]
-        self.learn_words(set(chain.from_iterable(p for ps in divided for p in ps if isinstance(p, list))))
-        get, out = self.known.__getitem__, []
-        for ps in divided:
-            ids: list[int] = []
-            for p in ps:
-                ids.extend(chain.from_iterable(map(get, p)) if isinstance(p, list) else (self.special[p],))
-            out.append(np.array(ids, np.int32))
-        return out
+        """The ids of each text: one number a word, then one gather of all words' ids."""
+        if len(self.known) > CACHE:
+            self._forget()
+        numbers = []
+        for text in texts:
+            words = WORDS.findall(text or "")
+            if self.at_special and text and self.at_special.search(text):
+                words = [w for part in self.at_special.split(text) for w in ([part] if part in self.special else WORDS.findall(part))]
+            numbers.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        self.learn_words()
+        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        size = self.ends[number + 1] - self.ends[number]
+        ids = self.ids[_ranges(self.ends[number], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(n) for n in numbers], dtype=np.int64)] if numbers else []
+        return np.split(ids, ends[:-1]) if numbers else []
 
     def decode(self, ids: np.ndarray) -> str:
         start, end = self.a["token_ends"][ids], self.a["token_ends"][ids + 1]
-        length = end - start
-        flat = np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
-        return self.a["token_bytes"][flat].tobytes().decode("utf-8", "replace")
+        return self.a["token_bytes"][_ranges(start, end - start)].tobytes().decode("utf-8", "replace")
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
@@ -349,10 +433,10 @@ def build(vocabulary: Vocabulary, words: list[str]) -> dict[str, np.ndarray]:
     by_bytes = {w.encode("utf-8", "replace"): w for w in words}
     items = sorted(b for b in by_bytes if 0 < len(b) <= LONGEST)
     plain = Lexicon(arrays, {})
-    ids = plain.merged([by_bytes[b] for b in items])
+    ids, size = plain.merged([by_bytes[b] for b in items])
     arrays["keys"], arrays["targets"], arrays["outputs"], arrays["final"] = compile_automaton(items)
-    arrays["ids"] = np.fromiter(chain.from_iterable(ids), np.int32)
-    arrays["ends"] = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
+    arrays["ids"] = ids
+    arrays["ends"] = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     return arrays
 
 
