@@ -54,18 +54,19 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of bounded size."""
+def bounded(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded size (``size`` bytes by the batch's mean row)."""
     for batch in batches:
-        rows = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        rows = max(1, min(BATCH_ROWS, size * batch.num_rows // max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+                size: int = BATCH_BYTES) -> DataFrame:
     """``mapInArrow`` with one output batch for each slice of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in bounded(batches):
+        for part in bounded(batches, size):
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out

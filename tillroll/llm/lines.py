@@ -41,6 +41,10 @@ from tillroll.session import write_table
 MIN_WORDS = 50
 #: Bits of the map of fingerprints that occur twice: so many for each, and at most.  A wrong bit costs time only.
 BITS_EACH, MAP_BITS = 16, 1 << 29
+#: Bits of a piece of the map, as Spark's bitmap functions have them.
+PIECE_BITS = 1 << 15
+#: Bytes of text whose words are hashed at once; arrays of some 15 numbers a word are made of them.
+SLICE_BYTES = 1 << 20
 #: Multipliers of the two hashes of a run; odd, so that they have inverses.
 BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -131,10 +135,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .drop("__ld_doc", "__ld_mark", "__ld_runs"))
 
 
-#: Powers of the multipliers and of their inverses, as many as a batch has needed.
-_POWERS: dict[int, np.ndarray] = {}
-
-
 class _Runs:
     """Hashes of the words of texts, one text after the other, and of all runs of so many words."""
 
@@ -148,13 +148,9 @@ class _Runs:
     def grams(self, width: int, base: int) -> np.ndarray:
         """Hash of the words that follow each place, by sums over powers of an odd number modulo 2^64."""
         n = len(self.words)
-
-        def power(b: int) -> np.ndarray:
-            if len(_POWERS.get(b, ())) <= n:
-                _POWERS[b] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b, np.uint64)]))
-            return _POWERS[b]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * power(base)[:n], dtype=np.uint64)])
-        return mix((total[width:] - total[:n + 1 - width]) * power(pow(base, -1, 1 << 64))[:n + 1 - width])
+        power = lambda b, count: np.cumprod(np.append(np.uint64(1), np.full(max(0, count - 1), b, np.uint64)))[:count]     # noqa: E731
+        total = np.append(np.uint64(0), np.cumsum(self.words * power(base, n), dtype=np.uint64))
+        return mix((total[width:] - total[:n + 1 - width]) * power(pow(base, -1, 1 << 64), n + 1 - width))
 
     def marked(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places where a run of a text starts, the fingerprint of each, fingerprints by their own places)."""
@@ -182,25 +178,20 @@ def _over(x: np.ndarray, width: int, fn: np.ufunc) -> np.ndarray:
 
 
 def _bit_map(ids: DataFrame) -> np.ndarray:
-    """Bit map of the numbers in a table of one column."""
-    bits = min(MAP_BITS, max(1 << 12, 1 << (BITS_EACH * ids.count()).bit_length()))
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(b.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1))
-            slot, first = np.unique(at >> np.uint64(6), return_index=True)
-            if len(slot):
-                word = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64)), pa.array(word.view(np.int64))], ["slot", "bits"])
-    rows = (ids.mapInArrow(mapped, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow())
-    out = np.zeros(bits // 64, np.int64)
-    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
-    return out.view(np.uint64)
+    """Bit map of the numbers in a table of one column; tasks make its pieces, at most 64 MB reach the driver."""
+    bits = min(MAP_BITS, max(PIECE_BITS, 1 << (BITS_EACH * ids.count()).bit_length()))
+    bit = F.col(ids.columns[0]).bitwiseAND(F.lit(bits - 1))
+    pieces = (ids.select(F.shiftright(bit, PIECE_BITS.bit_length() - 1).alias("piece"), bit.bitwiseAND(F.lit(PIECE_BITS - 1)).alias("bit"))
+              .groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow())
+    out = np.zeros(bits // 8, np.uint8)
+    for piece, found in zip(pieces.column("piece").to_pylist(), pieces.column("bits").to_pylist()):
+        out[piece * PIECE_BITS // 8:(piece + 1) * PIECE_BITS // 8] = np.frombuffer(found, np.uint8)
+    return out
 
 
 def _in_map(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    bit = ids & np.uint64(64 * len(known) - 1)
-    return known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1) > 0
+    bit = (ids & np.uint64(8 * len(known) - 1)).astype(np.int64)
+    return known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
 
 
 def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
@@ -209,7 +200,7 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
     def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, c = np.unique(_Runs(batch.column(0).to_pylist()).marked(min_words)[2], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(c)], ["fp", "c"])
-    shared = write_table(map_batches(docs.select("text"), marks, "fp long, c long").groupBy("fp")
+    shared = write_table(map_batches(docs.select("text"), marks, "fp long, c long", SLICE_BYTES).groupBy("fp")
                          .agg(F.sum("c").alias("c")).where("c > 1").select("fp"), "fingerprints")
     sent = docs.sparkSession.sparkContext.broadcast(_bit_map(shared))
     longest = min_words - (min_words + 1) // 2 + 1
@@ -243,7 +234,7 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
              pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64))), pa.array(again)],
             ["doc_id", "mark", "a", "fp", "h", "n", "runs", "again"])
     found = map_batches(docs.select(F.col("doc_id").cast("long"), _mark().alias("mark"), "text"), rows,
-                        "doc_id long, mark long, a int, fp long, h long, n int, runs array<long>, again boolean")
+                        "doc_id long, mark long, a int, fp long, h long, n int, runs array<long>, again boolean", SLICE_BYTES)
     return write_table(found.withColumn("place", _place()).drop("doc_id", "mark", "a"), "stretches")
 
 
@@ -325,9 +316,18 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ends; ``ld_deleted`` counts the lines that went whole.  Words are runs of
     characters other than blanks.  Other rules are those of ``dedup_lines``.
     """
-    runs = repeated_runs(docs, min_words).select(
-        F.col("doc_id").alias("__ld_doc"), F.col("mark").alias("__ld_mark"), F.col("runs").alias("__ld_runs"))
-    here = docs.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__ld_doc")) & (_mark() == F.col("__ld_mark")), "left")
+    runs = write_table(repeated_runs(docs, min_words).select(
+        F.col("doc_id").alias("__ld_doc"), F.col("mark").alias("__ld_mark"), F.col("runs").alias("__ld_runs")), "repeated")
+    # texts without a repeat are not shuffled: a map of the others holds every one of them, and a few more
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(runs.select(F.xxhash64("__ld_doc", "__ld_mark"))))
+
+    @F.arrow_udf("boolean")
+    def known(key: pa.Array) -> pa.Array:
+        return pa.array(_in_map(key.to_numpy(zero_copy_only=False).view(np.uint64), sent.value))
+    marked = docs.withColumn("__ld_known", known(F.xxhash64(F.col("doc_id").cast("long"), _mark())))
+    some = marked.where("__ld_known").drop("__ld_known")
+    here = some.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__ld_doc")) & (_mark() == F.col("__ld_mark")), "left")
+    here = here.unionByName(marked.where("not __ld_known").drop("__ld_known"), allowMissingColumns=True)
 
     @F.arrow_udf("text string, deleted long")
     def cut(text: pa.Array, runs: pa.Array) -> pa.Array:
