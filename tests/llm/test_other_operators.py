@@ -93,6 +93,57 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, shard_rows, block
     assert sorted(map(tuple, got.collect()), key=repr) == brute_links(rows, 0.98)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_with_repeated_ids(spark, kind):
+    """Rows that share an id are one vector with several values; each other id counts once."""
+    r = np.random.default_rng(11)
+    base = r.normal(size=(6, 12))
+    rows = []
+    for i in range(60):
+        vec = base[r.integers(6)] + r.normal(0, 0.03, 12) * r.integers(0, 2)
+        rows.append((int(r.integers(25)), (np.float32(vec) if kind == "float" else vec).tolist(), int(r.integers(2))))
+    rows += rows[:10]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int"), 0.98)
+    linked = {i: {i} for i, *_ in rows}
+    for a, x, la in rows:
+        for b, y, lb in rows:
+            u, v = np.array(x, float), np.array(y, float)
+            if la == lb and u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.98:
+                linked[a].add(b)
+    root = {i: i for i in linked}
+    for _ in root:
+        for a, bs in linked.items():
+            for b in bs:
+                root[a] = root[b] = min(root[a], root[b])
+    assert sorted(map(tuple, got.collect())) == sorted((i, len(linked[i]) - 1, root[i], root[i] == i) for i, *_ in rows)
+
+
+def test_links_of_double_vectors_near_the_threshold(spark):
+    """Cosines are those of the vectors as given, not of rounded ones."""
+    angle = np.arccos(0.98) + np.arange(-100, 101) * 1e-9
+    rows = [(0, [1.0, 0.0], 1)] + [(i + 1, [float(np.cos(a)), float(np.sin(a))], 1) for i, a in enumerate(angle)]
+    got = {x.vec_id: x.n_links for x in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(rows))] == [int((row >= 0.98).sum()) - 1 for row in x @ x.T]
+
+
+def test_spark_shards_walk_their_graphs(spark):
+    """Shards larger than the beam: planted links are all found, and the beam search did the work."""
+    r = np.random.default_rng(12)
+    base = r.normal(size=(900, 24))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(base)] + [(1000 + i, (base[i] + r.normal(0, 0.03, 24)).tolist(), 0) for i in range(0, 900, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: x for x in hnsw.near_duplicates(df, 0.98).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.98).sum(1) - 1
+    assert len(rows) > 8 * hnsw.FIRST_BEAM and [got[i].n_links for i, *_ in rows] == true.tolist()
+    graph = hnsw.Graph(np.arange(len(x)), np.ones(len(x), np.int64), x)
+    found, _ = graph.near(x, np.arange(len(x)), 0.98, hnsw.FIRST_BEAM)
+    assert sum(map(len, found)) >= 0.99 * (true + 1).sum()
+
+
 def test_embedding_empty_table(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

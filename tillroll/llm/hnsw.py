@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import mix, slices, table
@@ -28,13 +28,12 @@ from tillroll.session import write_table
 
 THRESHOLD = 0.98
 SHARD_ROWS = 16_384
-BLOCK_QUERIES = 1024
+#: Queries that meet a shard in one group: a graph is shuffled once for so many.
+BLOCK_QUERIES = 8192
 #: Neighbours of a node in upper graphs; twice as many in the lowest.
 DEGREE = 16
 #: Beam while a graph is built, first beam of queries.
 BUILD_BEAM, FIRST_BEAM = 48, 48
-#: A beam of this part of a shard has opened most of its nodes' neighbourhoods: the shard is scanned instead.
-WHOLE = 8
 #: Queries of a block that are audited, and the recall of each of them at which the beam is wide enough.
 AUDITED, RECALL = 64, 0.995
 #: Nodes that are put into a graph together.
@@ -162,8 +161,11 @@ def descend(x: np.ndarray, upper: list[np.ndarray], q: np.ndarray, start: int) -
 class Graph:
     """Unit vectors of a shard and its graphs from the top down."""
 
-    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, layers: list[np.ndarray] | None = None):
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, layers: list[np.ndarray] | None = None,
+                 shared: np.ndarray | None = None):
+        """``copies``: vec_ids that a node alone holds; ``shared``: whether it holds one that another node holds too."""
         self.ids, self.copies, self.exact = ids, copies, vectors
+        self.shared = np.zeros(len(ids), bool) if shared is None else shared
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         self.x = self.unit.astype(np.float32)
         draws = mix(ids.view(np.uint64)) / float(1 << 64)
@@ -179,7 +181,7 @@ class Graph:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, copies=self.copies, vectors=self.exact,
+        np.savez(out, ids=self.ids, copies=self.copies, vectors=self.exact, shared=self.shared,
                  **{f"layer{i}": a.astype(np.int32) for i, a in enumerate(self.layers)})
         return out.getvalue()
 
@@ -187,7 +189,7 @@ class Graph:
     def load(raw: bytes) -> Graph:
         f = np.load(io.BytesIO(raw))
         return Graph(f["ids"], f["copies"], f["vectors"],
-                     [f[f"layer{i}"].astype(np.int64) for i in range(sum(n.startswith("layer") for n in f.files))])
+                     [f[f"layer{i}"].astype(np.int64) for i in range(sum(n.startswith("layer") for n in f.files))], f["shared"])
 
     def near(self, unit: np.ndarray, own: np.ndarray, threshold: float, beam: int) -> tuple[list[np.ndarray], np.ndarray]:
         """For each query the positions at or above the threshold, and whether its beam held nothing else."""
@@ -196,7 +198,7 @@ class Graph:
         step = max(8, BATCH * 48 // beam)
         for at in range(0, len(unit), step):
             q = unit[at:at + step]
-            if beam * WHOLE >= len(self.ids):
+            if beam >= len(self.ids):                       # the beam holds every node: nothing is left to walk
                 for i, row in enumerate(q @ self.unit.T):
                     out[at + i] = np.flatnonzero(row >= threshold)
                 continue
@@ -225,8 +227,8 @@ class Graph:
             else:
                 for i, f in zip(todo, found):
                     out[i] = f
-            # each audited query counts alone, so that dense clusters do not make up for sparse links; a scan finds all
-            passed = beam * WHOLE >= len(self.ids) or all(
+            # each audited query counts alone, so that dense clusters do not make up for sparse links; a beam of all nodes finds all
+            passed = beam >= len(self.ids) or all(
                 len(np.intersect1d(out[i], t)) >= RECALL * len(t) for i, t in zip(audited, truth))
             todo = todo[full] if passed else np.arange(len(unit))
             beam *= 2 if passed else 4
@@ -243,70 +245,91 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _build_group(key: str, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = _vectors(batches)
-    graph = Graph(rows.column("vec_id").to_numpy(), rows.column("copies").to_numpy(), _matrix(rows.column("embedding")))
+    graph = Graph(rows.column("node").to_numpy(), rows.column("copies").to_numpy(), _matrix(rows.column("embedding")),
+                  shared=rows.column("shared").to_numpy(zero_copy_only=False))
     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([graph.dump()], pa.binary())], ["shard_key", "graph"])
 
 
+#: Kinds of rows that a query group returns: links of a class, an edge of the forest, a link of a class that shares an id.
+COUNT, EDGE, PAIR = 0, 1, 2
+
+
 def _query_group(threshold: float):
     def run(key: str, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, ids, copies, parts = None, [], [], []
+        graph, ids, shared, parts = None, [], [], []
         for b in batches:
             for i, g in enumerate(b.column("graph").to_pylist()):
                 if g is not None:
                     graph = Graph.load(g)
             asked = b.filter(pa.compute.equal(b.column("role"), 1))
             if asked.num_rows:
-                ids.append(asked.column("vec_id").to_numpy())
+                ids.append(asked.column("node").to_numpy())
+                shared.append(asked.column("shared").to_numpy(zero_copy_only=False))
                 parts += slices(asked.column("embedding"))
         if graph is None or not ids:
             return
-        ids, vectors = np.concatenate(ids), np.array(parts, np.float64)
+        ids, shared, vectors = np.concatenate(ids), np.concatenate(shared), np.array(parts, np.float64)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         found = graph.all_near(unit, ids, threshold)
         forest = Forest(graph.ids)
-        a, b, n = [], [], []
-        for i, linked in zip(ids.tolist(), found):
+        a, b, n, kind = [], [], [], []
+        for i, own, linked in zip(ids.tolist(), shared.tolist(), found):
             linked = linked[graph.ids[linked] != i]
             due = forest.due(i, linked)
-            a += [i] * (1 + len(due))
-            b += [i, *due]
-            n += [int(graph.copies[linked].sum())] + [0] * len(due)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "n"])
+            pairs = graph.ids[linked if own else linked[graph.shared[linked]]].tolist()
+            a += [i] * (1 + len(due) + len(pairs))
+            b += [i, *due, *pairs]
+            n += [int(graph.copies[linked].sum())] + [0] * (len(due) + len(pairs))
+            kind += [COUNT] + [EDGE] * len(due) + [PAIR] * len(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)] + [pa.array(kind, pa.int32())], ["a", "b", "n", "kind"])
     return run
 
 
-def links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with the ``rep`` of their class, links of each rep, forest edges between reps).
+def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, label, embedding: one row for each class, (vec_id, node) of each member).
 
-    A class is a set of equal vectors of one label; its rep is its smallest vec_id.
+    A class is a set of equal vectors of one label.  Null, empty and zero vectors, those with a null or
+    non-finite component and those without a label or an id are in none.
     """
     ok = (F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
           & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
           & F.exists("embedding", lambda x: x != 0))
     usable = vectors.where(ok).select("vec_id", "label", "embedding")
-    classes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = write_table(classes.withColumn("kind", F.concat_ws(":", "label", F.size("embedding"))), "classes")
-    sizes = classes.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("shards"),
-                                        F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("blocks"))
-    dealt = classes.join(sizes, "kind").withColumn("shard", F.pmod(F.xxhash64("rep"), "shards"))
+    # numbered in the written table, so that retries agree
+    classes = write_table(usable.select("label", "embedding").distinct().withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = usable.join(classes, ["label", "embedding"]).select(F.col("vec_id").cast("long").alias("vec_id"), "node").distinct()
+    return classes, write_table(members, "members")
+
+
+def links(classes: DataFrame, members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, n, kind) of classes: ``COUNT`` rows say how many ids the linked classes of ``a`` hold alone, ``EDGE`` rows
+    are a forest of the links, ``PAIR`` rows are the links in which a class shares an id with another one."""
+    per = Window.partitionBy("vec_id")
+    held = members.withColumn("many", F.count(F.lit(1)).over(per) > 1)
+    held = held.groupBy("node").agg(F.count_if(~F.col("many")).alias("copies"), F.max("many").alias("shared"))
+    numbers = classes.schema["embedding"].dataType.elementType.simpleString()
+    kept = "array<float>" if numbers == "float" else "array<double>"
+    rows = write_table(classes.join(held, "node").select(
+        "node", F.col("embedding").cast(kept).alias("embedding"), "copies", "shared",
+        F.concat_ws(":", "label", F.size("embedding")).alias("kind")), "nodes")
+    sizes = rows.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("shards"),
+                                     F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("blocks"))
+    dealt = rows.join(sizes, "kind").withColumn("shard", F.pmod(F.xxhash64("node"), "shards"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))         # noqa: E731
     shard_key = F.concat_ws(":", "kind", "shard")
     graphs = write_table(map_groups(
-        dealt.select(shard_key.alias("key"), F.col("rep").alias("vec_id"), "copies", "embedding"),
-        _build_group, "shard_key string, graph binary", ("vec_id",)), "graphs")
+        dealt.select(shard_key.alias("key"), "node", "copies", "shared", "embedding"),
+        _build_group, "shard_key string, graph binary", ("node",)), "graphs")
     blocks = dealt.select(shard_key.alias("shard_key"), "blocks").distinct()
-    whole = F.lit(None).cast("array<float>")
-    members = graphs.join(blocks, "shard_key").select("shard_key", every("blocks").alias("block"), F.lit(0).alias("role"),
-                                                      F.lit(-1).cast("long").alias("vec_id"), whole.alias("embedding"), "graph")
-    asking = (dealt.select("kind", "rep", "embedding", F.pmod(F.xxhash64("rep", "kind"), "blocks").alias("block"),
+    stored = graphs.join(blocks, "shard_key").select(
+        "shard_key", every("blocks").alias("block"), F.lit(0).alias("role"), F.lit(-1).cast("long").alias("node"),
+        F.lit(False).alias("shared"), F.lit(None).cast(kept).alias("embedding"), "graph")
+    asking = (dealt.select("kind", "node", "shared", "embedding", F.pmod(F.xxhash64("node", "kind"), "blocks").alias("block"),
                            every("shards").alias("shard"))
-              .select(shard_key.alias("shard_key"), "block", F.lit(1).alias("role"), F.col("rep").alias("vec_id"),
-                      F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("binary").alias("graph")))
-    rows = members.union(asking).select(F.concat_ws(":", "shard_key", "block").alias("key"), "role", "vec_id", "embedding", "graph")
-    found = write_table(map_groups(rows, _query_group(threshold), "a long, b long, n long", ("role", "vec_id")), "links")
-    member = usable.join(classes.select("label", "embedding", "rep", "copies"), ["label", "embedding"]).select("vec_id", "rep", "copies")
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    return member, counts, found.where("a != b").select("a", "b")
+              .select(shard_key.alias("shard_key"), "block", F.lit(1).alias("role"), "node", "shared", "embedding",
+                      F.lit(None).cast("binary").alias("graph")))
+    both = stored.union(asking).select(F.concat_ws(":", "shard_key", "block").alias("key"), "role", "node", "shared", "embedding", "graph")
+    return write_table(map_groups(both, _query_group(threshold), "a long, b long, n long, kind int", ("role", "node")), "links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -316,17 +339,42 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Null, empty and zero vectors, those with a null or non-finite component and
     those without a label link with nothing.  Equal vectors are one class: its
     rows link with each other.  Rows that share a vec_id are one vector with
-    several values.  A null vec_id links with nothing and is not kept.
+    several values: it links with what any of them links with, and each other
+    vec_id counts once.  A null vec_id links with nothing and is not kept.
     """
-    member, counts, edges = links(vectors, threshold)
-    found = connected_components(edges)
-    by_id = (member.join(counts, "rep").join(found, member.rep == found.node, "left")
-             .groupBy("vec_id").agg(F.sum(F.col("n") + F.col("copies") - 1).alias("n"),
-                                    F.min(F.coalesce("component", "rep")).alias("c")))
-    out = vectors.select("vec_id").join(by_id.withColumnRenamed("vec_id", "__v"), F.col("vec_id") == F.col("__v"), "left")
-    component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"),
-                      F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    classes, members = classes_of(vectors)
+    found = links(classes, members, threshold)
+    per = Window.partitionBy("vec_id")
+    named = write_table(members.withColumn("many", F.count(F.lit(1)).over(per) > 1)
+                        .withColumn("first", F.min("node").over(per)), "named")
+    # the classes of one id are linked by it
+    edges = found.where(f"kind = {EDGE}").select("a", "b").union(named.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    component = connected_components(edges)
+    rooted = named.join(component, named.node == component.node, "left").select(
+        "vec_id", named.node.alias("node"), "many", F.coalesce("component", named.node).alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("vec_id").alias("c"))
+    counts = found.where(f"kind = {COUNT}").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    own = named.groupBy("node").agg(F.count_if(~F.col("many")).alias("alone"))
+    # ids of several classes, seen from a class: its own and those of linked classes, each once
+    pairs = found.where(f"kind = {PAIR}").select(F.col("a").alias("node"), "b").union(
+        named.where("many").select("node", F.col("node").alias("b")).distinct())
+    seen = pairs.join(named.where("many").select(F.col("node").alias("b"), F.col("vec_id").alias("other")), "b")
+    shared = seen.select("node", "other").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    single = (named.where("not many").select("vec_id", "node").join(counts, "node").join(own, "node").join(shared, "node", "left")
+              .select("vec_id", (F.col("n") + F.col("alone") - 1 + F.coalesce("m", F.lit(0))).alias("n")))
+    # an id of several classes: the classes that any of them links with, each once, and the other ids of several classes
+    several = named.where("many").select("vec_id", "node")
+    reached = several.join(pairs, "node").select("vec_id", "b").distinct()
+    alone = reached.join(own.withColumnRenamed("node", "b"), "b").groupBy("vec_id").agg(F.sum("alone").alias("n"))
+    others = (several.join(seen, "node").where("other != vec_id").select("vec_id", "other").distinct()
+              .groupBy("vec_id").agg(F.count(F.lit(1)).alias("m")))
+    multiple = alone.join(others, "vec_id", "left").select("vec_id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+    by_id = single.union(multiple).join(
+        rooted.select("vec_id", "root").distinct().join(smallest, "root").select(F.col("vec_id").alias("__w"), "c"), F.col("vec_id") == F.col("__w"))
+    out = vectors.select("vec_id").join(by_id.select(F.col("vec_id").alias("__v"), "n", "c"), F.col("vec_id") == F.col("__v"), "left")
+    component_id = F.coalesce("c", "vec_id")
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component_id.cast("long").alias("component_id"),
+                      F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
