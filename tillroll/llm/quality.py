@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import fold_of, map_batches, slices, table
+from tillroll.llm.common import fold_of, lists, map_batches, slices, table
 
-#: Labelled rows that learning uses at most (lowest hash of the id), and passages of each
-#: that enter the training bag (lowest hash of their place); scoring uses every passage.
-MAX_ROWS, MAX_PASSAGES = 6_000, 48
+#: Labelled rows that learning uses at most (lowest hash of the id); every passage of them is learned.
+MAX_ROWS = 6_000
 PASSAGE_WORDS = 64
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 3, 1
@@ -166,9 +165,9 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """A model from ``labels`` (doc_id, quality) outside the held-out fold.
 
-    At most ``max_rows`` bags of at most ``MAX_PASSAGES`` passages are read; that
-    bounds what is broadcast and what reaches the driver.  Without labels every
-    text scores one half.
+    At most ``max_rows`` labelled rows are read, each as a bag of all its passages
+    (twenty numbers for 64 words); that bounds what is broadcast and what reaches
+    the driver.  Without labels every text scores one half.
     """
     known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT))
              .groupBy("doc_id").agg(F.max("quality").cast("int").alias("__quality"))
@@ -178,13 +177,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     def bags(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, owner = encode_passages(batch.column(1).to_pylist())
-        out = []
-        for i in range(batch.num_rows):
-            own = x[owner == i]
-            spread = np.argsort((np.arange(len(own), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
-            out.append(np.ascontiguousarray(own[np.sort(spread[:MAX_PASSAGES])]).ravel())
+        out = np.split(x, np.flatnonzero(np.diff(owner)) + 1)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.float32()))], ["doc_id", "quality", "bag"])
+            [batch.column(0), batch.column(2), lists([bag.ravel() for bag in out], pa.float32())], ["doc_id", "quality", "bag"])
     rows = map_batches(train, bags, "doc_id long, quality int, bag array<float>").toArrow().sort_by("doc_id")
     y = rows.column("quality").to_numpy().astype(np.float64)
     if not len(y):
@@ -202,5 +197,5 @@ def score(docs: DataFrame, model: Model, column: str = "quality") -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, learn(docs, table(spark, sf_dir, "labels")), "score").select(
-        "doc_id", (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
