@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -304,6 +305,50 @@ def test_toxicity_quotation_weighs_less():
     assert m.evidence('he said "what a moron" today') == {(0, 0, True)} and m.evidence("what a moron") == {(0, 0, False)}
 
 
+@pytest.mark.parametrize("text, quoted", [
+    ('he said "what a moron" today', True), ("what a moron", False), ('"hello". You moron! "bye"', False), ('"moron', False),
+    ("er rief „du moron“ laut", True), ("il dit « quel moron » hier", True), ("“you moron” he said", True), ('moron" he said', False),
+    ('"' + "x " * 60 + 'moron"', False)])
+def test_quotation_marks_are_paired(text, quoted):
+    m = toxicity.Matcher(["moron$"])
+    assert m.evidence(text) == {(0, 0, quoted)}
+
+
+def test_toxicity_score_against_a_plain_statement(spark):
+    """The score is the logistic function of the bias and the weight of each distinct piece of evidence, words one by one."""
+    r = random.Random(3)
+    entries = ["dabcd$", "ba", "cabbag"]
+    weights = {(i, e, q): r.uniform(0, 3) for i in range(3) for e in range(3) for q in (False, True)}
+    model = toxicity.Model(entries, weights, -2.5)
+    texts = [" ".join("".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(0, 12))) for _ in range(60)]
+    texts += [None, "", "... 12", "DABCD dabcd"]
+    for text, got in zip(texts, next(model.scores(iter([pd.Series(texts)])))):
+        evidence = set()
+        for word in (text or "").lower().split():
+            near = [(d, i) for i, e in enumerate(entries) if word.isalpha() and (d := distance_to(e, word)) <= toxicity.edits_for(len(e.rstrip("$")))]
+            if near:
+                evidence.add((*min(near)[::-1], False))
+        assert got == pytest.approx(1 / (1 + math.exp(2.5 - sum(weights[e] for e in evidence))))
+
+
+def test_automaton_is_made_anew_when_it_is_large(monkeypatch):
+    r = random.Random(2)
+    words_ = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 12))) for _ in range(400)]
+    entries = ["abcdefga$", "bcdefgh", "hgfedcba$"]
+    want = [toxicity.Matcher(entries).match(w) for w in words_]
+    monkeypatch.setattr(toxicity, "STATES", 5)
+    small = toxicity.Matcher(entries)
+    assert [small.match(w) for w in words_] == want and len(small.sets) < 5 + 20
+
+
+def test_toxicity_and_quality_of_null_ids_are_not_held_out(spark, tmp_path):
+    frame(spark, EDGE).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (toxicity.op4_toxicity, quality.op5_quality):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == len(EDGE) and [r.held_out for r in got if r.doc_id is None] == [False]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.drop_toxic(frame(spark, EDGE), none).count() == len(EDGE)
@@ -393,6 +438,54 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= v <= 1 for v in got.values())
 
 
+def plain_features(words_):
+    """The numbers of one passage, stated one by one."""
+    n = max(1, len(words_))
+    text = "".join(words_)
+    low, up, dig = (lambda c: "a" <= c <= "z"), (lambda c: "A" <= c <= "Z"), (lambda c: "0" <= c <= "9")
+    stop, other = (lambda c: c in ".,;:'?"), (lambda c: ord(c) >= 128)
+    symbol = lambda c: not (low(c) or up(c) or dig(c) or stop(c) or other(c) or ord(c) <= 32)                    # noqa: E731
+    part = lambda f: sum(map(f, text)) / max(1, len(text))                                                  # noqa: E731
+    count = lambda f: sum(f(w) for w in words_) / n                                                         # noqa: E731
+    letters = lambda w: sum(low(c) or up(c) or other(c) for c in w)                                         # noqa: E731
+    has = lambda w, f: sum(map(f, w))                                                                       # noqa: E731
+    mean = sum(map(len, words_)) / n
+    return [part(low), part(up), part(dig), part(stop), part(symbol), part(other), len(set(words_)) / n,
+            sum(a == b for a, b in zip(words_, words_[1:])) / n, sum(a == b for a, b in zip(words_, words_[2:])) / n,
+            mean / 10, max(0.0, sum(len(w) ** 2 for w in words_) / n - mean ** 2) ** 0.5 / 10,
+            count(lambda w: has(w, up) > 1 and not has(w, low)), count(lambda w: has(w, symbol) > 0 and letters(w) > 0),
+            count(lambda w: has(w, symbol) > 0 and not letters(w)), count(lambda w: not letters(w)), count(lambda w: has(w, dig) > 0),
+            count(lambda w: has(w, stop) > 0), count(lambda w: len(w) == 1), count(lambda w: has(w, up) == 1 and has(w, low) > 0),
+            math.log1p(len(words_))]
+
+
+def test_passages_against_a_plain_statement():
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choice("abZQ09.,!#é中") for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(0, 150))) for _ in range(12)]
+    texts += [None, "", "one", "a a a b a"]
+    x, owner = quality.encode_passages(texts)
+    at = 0
+    for i, text in enumerate(texts):
+        words_ = (text or "").split()
+        for start in range(0, max(1, len(words_)), quality.PASSAGE_WORDS):
+            assert owner[at] == i and x[at] == pytest.approx(plain_features(words_[start:start + quality.PASSAGE_WORDS]), abs=1e-5)
+            at += 1
+    assert at == len(x)
+
+
+def test_pooled_score_against_a_plain_statement():
+    model, r = quality.Model(), np.random.default_rng(4)
+    x, p = r.normal(size=(9, quality.N_FEATURES)), None
+    owner, p = np.array([0, 0, 0, 1, 2, 2, 2, 2, 2]), model.p
+    got = model.forward(x, owner, 3)[-1]
+    for bag in range(3):
+        h = [np.tanh(row @ p["W"] + p["b"]) for row in x[owner == bag]]
+        e = [float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
+        a = np.exp(e) / np.exp(e).sum()
+        z = sum(w * v for w, v in zip(a, h))
+        assert got[bag] == pytest.approx(1 / (1 + math.exp(-float(z @ p["c"] + p["d"][0]))))
+
+
 def test_quality_gradient_matches_differences():
     r = np.random.default_rng(0)
     m = quality.Model()
