@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import lists, map_batches, most_frequent, slices, table
+from tillroll.llm.common import lists, map_batches, most_frequent, released, slices, table
 from tillroll.session import ensure_checkpoint_dir, write_table
 
 #: Frequent words in the automaton.
@@ -484,7 +484,7 @@ def encode(docs: DataFrame, codec: Codec, key: str = "doc_id", decoded: bool = F
                     columns.append(pa.array([lexicon.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"][:len(columns)])
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, ids array<int>" + ", decoded string" * decoded)
+    return docs.select(key, "text").mapInArrow(lambda batches: released(run(batches)), f"{key} {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, codec: Codec, key: str = "doc_id") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tillroll.llm.common import bounded, mix, table
+from tillroll.llm.common import WordHashes, bounded, mix, released, table
 from tillroll.session import write_table
 
 UNKNOWN = "und"
@@ -52,32 +52,17 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK, _STOP = 1, 2
 _KIND = np.array([_STOP if chr(c) in ".,;:!?\n\x0b\x0c\r" else _BLANK if chr(c) in " \t" else 0 for c in range(256)], np.uint8)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
 
 
-class Words:
-    """The words of bytes of text: where each starts, its length, its hash and the piece of text it stands in.
-
-    A hash is a sum over powers of an odd number modulo 2^64, taken back to the word's start, so it does not depend on the place.
-    """
+class Words(WordHashes):
+    """Start, length and hash of each word, and the number of the piece that it stands in."""
 
     def __init__(self):
-        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        super().__init__(_KIND > 0)
 
     def of(self, lowered: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        data = np.frombuffer(lowered, np.uint8)
-        if len(data) > len(self.power):
-            self.power, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(data), b, np.uint64)))
-                                        for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-        kind = _KIND[data]
-        edge = np.diff((kind == 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        value = data.astype(np.uint64)
-        value += np.uint64(1)
-        value *= self.power[:len(data)]
-        total = np.append(np.uint64(0), np.cumsum(value, dtype=np.uint64))
-        found = mix((total[end] - total[start]) * self.inverse[start])
-        return start, end - start, found, np.cumsum(kind == _STOP)[start]
+        start, length, found = super().of(lowered)
+        return start, length, found, np.cumsum(_KIND[np.frombuffer(lowered, np.uint8)] == _STOP)[start]
 
 
 def seed_of(lang: str) -> int:
@@ -200,7 +185,7 @@ def scan(docs: DataFrame, step: Step) -> DataFrame:
                 chunk = _Chunk()
         if chunk.size:
             yield from chunk.counts(step)
-    return docs.mapInArrow(run, _COUNTS)
+    return docs.mapInArrow(lambda batches: released(run(batches)), _COUNTS)
 
 
 def _tables(marks: DataFrame, slots: dict[int, int]) -> dict[int, np.ndarray]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of long texts that one Arrow batch may hold; a batch of very long texts stays in memory.
 BATCH_ROWS = 1000
 #: ... and bytes, by the batch's mean.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -31,6 +33,34 @@ def hashes(items: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
 
 
+class WordHashes:
+    """The words of bytes of text: where each starts, its length and a 64-bit hash, for all words at once.
+
+    A hash is a sum over powers of an odd number modulo 2^64, taken back to the word's start, so
+    it does not depend on the place.
+    """
+
+    BASE = 0xD1342543DE82EF95
+
+    def __init__(self, between: np.ndarray):
+        """``between``: for each of the 256 bytes whether it stands between words."""
+        self.between = between
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(raw, np.uint8)
+        if len(data) > len(self.power):
+            self.power, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(data), b, np.uint64)))
+                                        for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        edge = np.diff((~self.between[data]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        value = data.astype(np.uint64)
+        value += np.uint64(1)
+        value *= self.power[:len(data)]
+        total = np.append(np.uint64(0), np.cumsum(value, dtype=np.uint64))
+        return start, end - start, mix((total[end] - total[start]) * self.inverse[start])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose results look independent of the input's order."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,6 +84,21 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def released(results: Iterator) -> Iterator:
+    """The results of a task; when they end, what the task's objects held goes back to the system.
+
+    Python workers live on after a task, several to an executor: without this each keeps its largest size.
+    """
+    try:
+        yield from results
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc has it
+        if trim:
+            trim(0)
+
+
 def bounded(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of bounded size (``size`` bytes by the batch's mean row)."""
     for batch in batches:
@@ -70,7 +115,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tillroll.llm.common import released
+
 
 def map_groups(rows: DataFrame, fn: Callable[[str, list[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                schema: str, order: tuple[str, ...]) -> DataFrame:
@@ -29,4 +31,4 @@ def map_groups(rows: DataFrame, fn: Callable[[str, list[pa.RecordBatch]], Iterat
                     start = i
         if held:
             yield from fn(key, held)
-    return rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(lambda batches: released(run(batches)), schema)

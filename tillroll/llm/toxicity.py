@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import fold_of, map_batches, table
+from tillroll.llm.common import fold_of, map_batches, released, table
 
 #: Labelled rows that learning uses at most (those with the lowest hash of the id).
 MAX_ROWS = 10_000
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-#: Letters that a stem has at least, and letters of a word that learning looks at.
+#: Letters that a stem has; whole words are learned at any length.
 STEM_MIN, STEM_MAX = 3, 12
 #: Misspellings of an entry are expected this often, as a part of its exact hits, until seen.
 MISSPELT = 0.02
@@ -39,11 +39,13 @@ WINDOW = 60
 #: Contexts in toxic rows that a pattern has at least, and its log likelihood gain over chance
 #: (one in 400,000 patterns passes by chance).
 MIN_CONTEXTS, GAIN = 4, 13.0
-#: Words whose matches a task keeps.
-CACHE = 200_000
+#: Words whose matches a task keeps, and states of the automaton; beyond that they are made anew.
+CACHE, STATES = 100_000, 20_000
+#: Bytes of text whose words are collected with their neighbours at once.
+SLICE_BYTES = 1 << 19
 
 WORD = re.compile(r"[^\W\d_]+")
-OPEN, CLOSE = frozenset("\"“„«»‘‹"), frozenset("\"”“»«’›")
+MARK = re.compile("[\"“”„«»‹›]")
 
 
 def edits_for(letters: int) -> int:
@@ -78,11 +80,14 @@ class Matcher:
             for at in path:
                 self.limit[at] = max(self.limit[at], edits_for(len(letters)))
             (self.whole if entry.endswith("$") else self.stem)[node] = number
+        self.words: dict[str, tuple[int, int] | None] = {}
+        self._restart()
+
+    def _restart(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: dict[tuple[int, str], int] = {}
         self.start = self._state({(0, 0)})
-        self.words: dict[str, tuple[int, int] | None] = {}
 
     def _state(self, pairs: set) -> int:
         """The number of a state, after skipped letters of the entries are added."""
@@ -126,6 +131,8 @@ class Matcher:
         """(entry, edits) of the nearest entry, the first of equals; None without any."""
         if word in self.words:
             return self.words[word]
+        if len(self.sets) > STATES:
+            self._restart()
         state, steps = self.start, self.steps
         for ch in word:
             found = steps.get((state, ch))
@@ -148,12 +155,31 @@ class Matcher:
         if hits:
             for m in WORD.finditer(low):
                 if m[0] in hits:
-                    a, b = m.span()
-                    quoted = (not OPEN.isdisjoint(low[max(0, a - WINDOW):a]) and not CLOSE.isdisjoint(low[b:b + WINDOW]))
-                    found.add((*self.match(m[0]), quoted))
+                    found.add((*self.match(m[0]), is_quoted(low, *m.span())))
         return found
 
 
+def _opens(text: str, at: int) -> bool:
+    """Whether the quotation mark at this place opens: it follows a blank, and a word or text follows it."""
+    before = at == 0 or not text[at - 1].isalnum() and text[at - 1] not in ".,;:!?)]…"
+    return before and (text[at] in "„«‹“" or at + 1 < len(text) and not text[at + 1].isspace())
+
+
+def is_quoted(text: str, start: int, end: int) -> bool:
+    """Whether a quotation is open at ``start`` and closes after ``end``, both within the window.
+
+    The nearest mark to the left must be an opening one and the nearest to the right a closing
+    one, so text between two quotations is not quoted.
+    """
+    last = None
+    for m in MARK.finditer(text, max(0, start - WINDOW), start):
+        last = m.start()
+    if last is None or not _opens(text, last):
+        return False
+    after = MARK.search(text, end, min(len(text), end + WINDOW))
+    return after is not None and not _opens(text, after.start())
+
+
 class Model:
     """Entries with the weight of each kind of evidence; plain numbers, small, sent with the tasks."""
 
@@ -207,19 +233,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             w = ["", *WORD.findall((text or "").lower()), ""]
             for before, word, after in zip(w, w[1:], w[2:]):
-                if len(word) >= STEM_MIN:
-                    key = word, xxhash.xxh3_64_intdigest(f"{before} {after}".encode()) >> 1
-                    found[key] = found.get(key, 0) | (1 if label else 2)
+                key = word, xxhash.xxh3_64_intdigest(f"{before} {after}".encode()) >> 1
+                found[key] = found.get(key, 0) | (1 if label else 2)
         columns = ([k[0] for k in found], [k[1] for k in found], list(found.values()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
                                           ["word", "context", "kinds"])
 
     # copies of a text repeat its words with their neighbours: a word counts once for each pair of neighbours
-    by_word = (map_batches(train, contexts, "word string, context long, kinds long")
+    by_word = (map_batches(train, contexts, "word string, context long, kinds long", SLICE_BYTES)
                .groupBy("word", "context").agg(F.bit_or("kinds").alias("kinds"))
                .groupBy("word").agg(F.count_if(F.col("kinds") == 1).alias("toxic"), F.count_if(F.col("kinds") > 1).alias("clean")))
     marked = F.concat("word", F.lit("$"))
-    stems = F.transform(F.sequence(F.lit(STEM_MIN), F.least(F.length(marked), F.lit(STEM_MAX))),
+    # a word of one or two letters is only looked at whole: its "stem" of three places is the marked word
+    stems = F.transform(F.sequence(F.lit(STEM_MIN), F.greatest(F.lit(STEM_MIN), F.least(F.length(marked), F.lit(STEM_MAX)))),
                         lambda n: F.substring(marked, F.lit(1), n))
     whole = F.when(F.length(marked) > STEM_MAX, F.array(marked)).otherwise(F.array().cast("array<string>"))
     by_stem = (by_word.select("toxic", "clean", F.explode(F.concat(stems, whole, F.array(F.lit("")))).alias("p"))
@@ -264,8 +290,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     """``docs`` plus a score in 0..1 of each whole ``text``; null and empty texts get the score of no evidence."""
-    udf = F.pandas_udf(model.scores, "double")
-    return docs.withColumn(column, udf(F.col("text")))
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return released(model.scores(parts))
+    return docs.withColumn(column, F.pandas_udf(scores, "double")(F.col("text")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -277,5 +304,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, learn(docs, table(spark, sf_dir, "labels")), "score").select(
-        "doc_id", (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
