@@ -27,7 +27,6 @@ window only.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import hashes, map_batches, mix, slices, table
+from tillroll.llm.common import WordHashes, map_batches, mix, slices, table
 from tillroll.session import write_table
 
 MIN_WORDS = 50
@@ -44,7 +43,7 @@ BITS_EACH, MAP_BITS = 16, 1 << 29
 #: Bits of a piece of the map, as Spark's bitmap functions have them.
 PIECE_BITS = 1 << 15
 #: Bytes of text whose words are hashed at once; arrays of some 15 numbers a word are made of them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Multipliers of the two hashes of a run; odd, so that they have inverses.
 BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -138,11 +137,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 class _Runs:
     """Hashes of the words of texts, one text after the other, and of all runs of so many words."""
 
-    def __init__(self, texts: list[str | None]):
-        parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.words = hashes(list(chain.from_iterable(parts)))
-        self.text = np.repeat(np.arange(len(parts)), size)
+    def __init__(self, texts: pa.Array):
+        raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        start, _, self.words = WordHashes(_BLANK).of(b"\n".join(raw))
+        size = np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in raw)])))
+        self.text = np.repeat(np.arange(len(raw)), size)
         self.at = np.arange(len(self.words)) - np.repeat(np.cumsum(size) - size, size)
 
     def grams(self, width: int, base: int) -> np.ndarray:
@@ -198,7 +197,7 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
     """(fp, h, place, n, runs, again): runs that follow each other and have the same fingerprint, if it occurs more than
     once; ``h`` is a print of the stretch, ``runs`` one of each run, ``again`` whether two of them are equal."""
     def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, c = np.unique(_Runs(batch.column(0).to_pylist()).marked(min_words)[2], return_counts=True)
+        own, c = np.unique(_Runs(batch.column(0)).marked(min_words)[2], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(c)], ["fp", "c"])
     shared = write_table(map_batches(docs.select("text"), marks, "fp long, c long", SLICE_BYTES).groupBy("fp")
                          .agg(F.sum("c").alias("c")).where("c > 1").select("fp"), "fingerprints")
@@ -206,7 +205,7 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
     longest = min_words - (min_words + 1) // 2 + 1
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        runs = _Runs(batch.column("text").to_pylist())
+        runs = _Runs(batch.column("text"))
         start, fp, _ = runs.marked(min_words)
         some = _in_map(fp, sent.value)
         start, fp = start[some], fp[some]
