@@ -234,7 +234,7 @@ def test_an_item_of_every_basket_is_no_large_group(spark):
 def test_profile_reads_footers_only(spark, tmp_path):
     from tillroll.sources.profile import column_profile
     df = spark.createDataFrame([(1, "x", None, [1]), (3, None, 2.5, [2]), (-2, "y", 0.0, None)], "a long, b string, c double, d array<int>")
-    df.repartition(2).write.parquet(str(tmp_path / "t"))
+    df.coalesce(1).write.parquet(str(tmp_path / "t"))
     profile = column_profile(spark, {"t": str(tmp_path / "t")})
     assert sorted(map(tuple, profile.collect())) == [("t", "a", "bigint", 3, 0, -2.0, 3.0), ("t", "b", "string", 3, 1, None, None), ("t", "c", "double", 3, 1, 0.0, 2.5)]
     plan = profile._jdf.queryExecution().executedPlan().toString()
@@ -242,6 +242,16 @@ def test_profile_reads_footers_only(spark, tmp_path):
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown", "false") == "false"
 
 
+def test_profile_of_columns_without_bounds(spark, tmp_path):
+    """A row group of nulls only and a NaN leave no bounds in the footer: the columns are read."""
+    from tillroll.sources.profile import column_profile
+    for i, v in enumerate((None, 2.0, float("nan"))):
+        spark.createDataFrame([(i, v)], "a int, c double").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    got = {r.column: r for r in column_profile(spark, {"t": str(tmp_path / "t")}).collect()}
+    assert (got["a"].n_rows, got["a"].n_nulls, got["a"].least, got["a"].greatest) == (3, 0, 0.0, 2.0)
+    assert (got["c"].n_rows, got["c"].n_nulls, got["c"].least) == (3, 1, 2.0)
+
+
 @settings(max_examples=6, deadline=None)
 @given(texts=st.lists(st.text(alphabet="abc .", max_size=25), min_size=1, max_size=20),
        words=st.lists(st.text(alphabet="abc .", min_size=1, max_size=4), min_size=1, max_size=12, unique=True))

@@ -9,6 +9,8 @@ session that shares the caller's cluster and leaves the caller's options alone.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +29,11 @@ def footer_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def table_profile(own: SparkSession, name: str, path: str) -> DataFrame:
+def table_profile(spark: SparkSession, own: SparkSession, name: str, path: str) -> DataFrame:
     """dataset, column, type, n_rows, n_nulls, least, greatest of each column that is not nested; one aggregate over footers.
 
-    Writers leave the bounds out where a column holds NaN; Spark then refuses the aggregate.
+    Writers leave the bounds out where a column holds NaN, or nothing but nulls in a row group; Spark then refuses
+    to answer from the footers, and the table's plain columns are read.  A first look at the footers tells.
     """
     df = own.read.parquet(path)
     columns = [f for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
@@ -44,7 +47,12 @@ def table_profile(own: SparkSession, name: str, path: str) -> DataFrame:
     rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"),
                      (F.col("n") - F.col(f"c{i}")).alias("n_nulls"), bound(f"a{i}", f).alias("least"), bound(f"b{i}", f).alias("greatest"))
             for i, f in enumerate(columns)]
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select(F.lit(name).alias("dataset"), "r.*")
+    totals = df.agg(*aggs)
+    try:
+        totals.collect()
+    except (Py4JJavaError, PySparkException):
+        totals = spark.read.parquet(path).agg(*aggs)
+    return totals.select(F.explode(F.array(*rows)).alias("r")).select(F.lit(name).alias("dataset"), "r.*")
 
 
 def column_profile(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -52,6 +60,6 @@ def column_profile(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     own = footer_session(spark)
     out = None
     for name, path in paths.items():
-        part = table_profile(own, name, path)
+        part = table_profile(spark, own, name, path)
         out = part if out is None else out.unionByName(part)
     return out
