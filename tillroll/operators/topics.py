@@ -86,10 +86,10 @@ def classify_topics_one_pass(df: DataFrame, text_col: str = "text", topics: dict
     """The columns of ``classify_topics`` for keyword tables of any size: one scan of a text finds all its keywords.
 
     ``classify_topics`` looks for each keyword on its own, which is the faster way up to some hundred
-    keywords.  A null text has null scores, as there.
+    keywords.  A null text holds no keyword, as there.
     """
     topics = topics or K.TOPIC_KEYWORDS
-    found = keywords_present(F.lower(F.col(text_col)), [k for ks in topics.values() for k in ks])
+    found = keywords_present(F.lower(F.coalesce(F.col(text_col), F.lit(""))), [k for ks in topics.values() for k in ks])
     out = df.withColumn("_found", found)
     for name, keywords in topics.items():
         # a keyword that is listed twice counts twice, as it does one by one
