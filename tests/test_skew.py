@@ -127,3 +127,26 @@ def test_blocked_fill_multi_column_struct_order(spark, data):
     a = forward_fill_blocked(df, ["u", "v"])
     b = forward_fill(df, ["u", "v"], ["file"], ["block", "k", "i"])
     assert rows(a, "file", "i", "u", "v") == rows(b, "file", "i", "u", "v")
+
+
+def test_mining_adds_up_equal_baskets_and_builds_no_tree(spark, monkeypatch):
+    """Equal baskets are one row with a count; a basket without items counts in the base, a repeated item once."""
+    from pyspark.ml.fpm import FPGrowth
+
+    def tree(*_):
+        raise AssertionError("a tree of baskets in a task")
+    monkeypatch.setattr(FPGrowth, "fit", tree)
+    sets = [("a", "b", "c")] * 40 + [("b", "c")] * 30 + [("a", "d")] * 5 + [()] * 10 + [("c", "e", "a", "b")] * 15 + [("a", "a")] * 2 + [None] * 3
+    bk = spark.createDataFrame([(list(x) if x is not None else None,) for x in sets], "items array<string>")
+    for support in (0.06, 0.6):
+        n = len(sets)
+        held = [set(x or ()) for x in sets]
+        want = {}
+        for size in range(1, 6):
+            for c in itertools.combinations("abcde", size):
+                freq = sum(set(c) <= h for h in held)
+                if freq and freq / n >= support:
+                    want[c] = (size, freq, freq / n)
+        m = baskets.mine(bk, support, 3)
+        assert m.n_baskets == n
+        assert {tuple(r["items"]): (r["size"], r["freq"], r["support"]) for r in m.itemsets.collect()} == want

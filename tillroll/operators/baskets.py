@@ -4,8 +4,8 @@
   quantity is non-zero.  Lines are first reduced to distinct (basket, item)
   with a map-side partial sum, so a basket holding a third of all lines still
   becomes at most one entry per distinct item before ``collect_set``.
-* Frequent itemsets: Spark's parallel FP-growth (``pyspark.ml.fpm.FPGrowth``)
-  — no candidate pairs are materialised.
+* Frequent itemsets: pattern growth over distinct item-sets with their counts
+  (``mine``), level by level as joins and grouping; no tree in any task.
 * Rules: consequents of each frequent itemset grow level by level from those
   that kept the confidence (a longer consequent never has more of it), supports
   are joined on the sorted item arrays; multi-item consequents, leverage and
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,36 +94,58 @@ class Mined:
 
 def mine(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
          num_partitions: int | None = None) -> Mined:
-    """Parallel FP-growth over the basket item-sets.
-
-    The item-sets are persisted for the duration of the fit (as FPGrowth
-    itself does), counted once, and the frequent itemsets — bounded by the
-    support threshold — are written as a table in the shared checkpoint
-    folder, so every later use (rules, combos, overview) reads them instead
-    of re-running basket building and mining.  The fit runs a hair below the
-    threshold and the exact test follows: ``min_support * n`` in floating point
-    may lie above a whole number that it should equal.
+    """Pattern growth over the basket item-sets, level by level.
+
+    Equal item-sets become one row with their number (a map-side sum), written
+    once.  A level has rows (suffix, prefix, n): n baskets hold ``suffix`` and, of
+    the items before it in order, the frequent ones in ``prefix``.  The items of
+    the prefixes that are frequent with a suffix give the itemsets of the level;
+    each of them becomes the suffix of a row whose prefix is what stands before
+    it, and equal rows are added up again.  This is FP-growth with its trees kept
+    as rows that are grouped and shuffled: no tree is built, merged or serialised
+    in a task.  The frequent itemsets are written to the shared checkpoint folder,
+    so every later use (rules, combos, overview) reads them.  ``num_partitions``
+    spreads the item-sets over so many partitions.
     """
-    from pyspark.ml.fpm import FPGrowth
-
     from tillroll.session import write_table
 
-    items = baskets.select("items").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fp = FPGrowth(itemsCol="items", minSupport=float(min_support) * (1 - 1e-9), minConfidence=0.0)
-        if num_partitions:
-            fp = fp.setNumPartitions(int(num_partitions))
-        model = fp.fit(items)
-        n = items.count()
-        fi = (model.freqItemsets
-              .select(F.array_sort("items").alias("items"), "freq")
-              .select("items", F.size("items").alias("size"), "freq",
-                      (F.col("freq") / F.lit(max(n, 1))).alias("support"))
-              .filter(F.col("support") >= float(min_support)))
-        fi = write_table(fi, "itemsets")
-    finally:
-        items.unpersist()
-    return Mined(fi, n)
+    sets = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    if num_partitions:
+        sets = sets.repartition(int(num_partitions))
+    sets = write_table(sets.withColumn("id", F.monotonically_increasing_id()), "basket-sets")
+    n = sets.agg(F.sum("n")).first()[0] or 0
+    support = F.col("freq") / F.lit(max(n, 1))
+
+    def frequent(rows: DataFrame, name: str, *by: str) -> DataFrame:
+        return write_table(rows.groupBy(*by, "item").agg(F.sum("n").alias("freq")).filter(support >= float(min_support)), name)
+
+    entries = sets.select("id", "n", F.explode(F.array_distinct("items")).alias("item"))
+    single = frequent(entries, "items-1")
+    found = [single.select(F.array("item").alias("items"), "freq")]
+    # item-sets without their rare items; sets of one item grow no further
+    level = (entries.join(single.select("item"), "item").groupBy("id")
+             .agg(F.array_sort(F.collect_list("item")).alias("prefix"), F.first("n").alias("n"))
+             .filter(F.size("prefix") > 1))
+    level = _grown(level.withColumn("suffix", F.slice("prefix", 1, 0)))
+    while True:
+        level = write_table(level, f"projected-{len(found)}")
+        pairs = frequent(level.select("suffix", "n", F.explode("prefix").alias("item")), f"items-{len(found) + 1}", "suffix")
+        if not pairs.limit(1).count():
+            break
+        found.append(pairs.select(F.concat(F.array("item"), "suffix").alias("items"), "freq"))
+        kept = pairs.groupBy("suffix").agg(F.collect_list("item").alias("kept"))
+        level = _grown(level.join(kept, "suffix").withColumn("prefix", F.array_intersect("prefix", "kept")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return Mined(write_table(out.select("items", F.size("items").alias("size"), "freq", support.alias("support")), "itemsets"), n)
+
+
+def _grown(level: DataFrame) -> DataFrame:
+    """suffix, prefix, n: each item of a row's prefix joins its suffix, the items before it stay the prefix."""
+    rows = level.select("suffix", "prefix", "n", F.posexplode("prefix").alias("p", "item")).filter(F.col("p") > 0)
+    return (rows.select(F.concat(F.array("item"), "suffix").alias("suffix"), F.slice(F.col("prefix"), F.lit(1), F.col("p")).alias("prefix"), "n")
+            .groupBy("suffix", "prefix").agg(F.sum("n").alias("n")))
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float = K.MIN_SUPPORT,
