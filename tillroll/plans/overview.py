@@ -1,8 +1,8 @@
 """Network overview: one row combining every analysis (A34, A36, P14, P17).
 
 Each part is a one-row aggregate (or the top row of a sorted frame) attached
-as a scalar subquery — no joins; shared inputs are lazy views, so Catalyst
-merges scalar subqueries over one source and AQE reuses identical exchanges.
+as a scalar subquery — no joins.  What several parts read (months, signals, rules,
+classified lines summed by item) is written once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import beverage_status, network_growth_label
+from tillroll.functions.scalar import beverage_status, money, network_growth_label
 from tillroll.operators import baskets, branches, demand, segments, staffing
 from tillroll.session import write_table
 from tillroll.sources import tables as tb
@@ -20,11 +20,18 @@ from tillroll.sources.tables import Tables
 CHANNELS = tb.DRIVER_CHANNELS
 
 
+def _segment_items(sales: DataFrame) -> DataFrame:
+    """branch, segment, item, qty, total_amount (exact decimals, so that sums of them equal sums of the lines), written once."""
+    seg = segments.classify(sales, "item", tb.PART_MILKSHAKE_KEYWORDS, tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
+    return write_table(seg.groupBy("branch", "segment", "item")
+                       .agg(F.sum("qty").alias("qty"), F.sum(money("total_amount")).alias("total_amount")), "segment-items")
+
+
 def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
     """One row: demand ranking ends and spread, expansion verdict, best site, staffing
     alerts, beverage shares and status, rule count, the strongest combos and the
     triggered growth actions."""
-    monthly = tb.monthly_sales(t)
+    monthly = write_table(tb.monthly_sales(t), "monthly")
     rank = (demand.demand_forecast(monthly, n_months).groupBy("branch")
             .agg(F.avg(F.bround("forecast", 2)).alias("avg_forecast")))
     dem = rank.agg(F.min_by("branch", F.struct(-F.col("avg_forecast"), F.col("branch"))).alias("top_branch"),
@@ -32,15 +39,14 @@ def network_overview(t: Tables, n_months: int = 3) -> DataFrame:
                    F.min_by("branch", F.struct("avg_forecast", "branch")).alias("bottom_branch"),
                    F.min("avg_forecast").alias("bottom_avg"))
     kpis = branches.branch_kpis(monthly, tb.branch_revenue(t), tb.menu_channels(t), CHANNELS)
-    sig = branches.expansion_signals(kpis)
+    sig = write_table(branches.expansion_signals(kpis), "signals")
     ranked = branches.score_candidates(tb.candidate_sites(t), sig)
     slots = staffing.shift_staffing(tb.attendance(t))
-    seg = segments.classify(tb.item_sales(t), "item", tb.PART_MILKSHAKE_KEYWORDS,
-                            tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
+    seg = _segment_items(tb.item_sales(t))
     tot = segments.segment_totals(seg)
     bk = tb.order_baskets(t)
     # thresholds as in the registered rule queries (the driver data has lift ~ 1)
-    rules = baskets.association_rules(baskets.frequent_itemsets(bk, 0.02), 1.0, 0.1)
+    rules = write_table(baskets.association_rules(baskets.frequent_itemsets(bk, 0.02), 1.0, 0.1), "rules")
     best_rule = (rules.orderBy(F.desc("lift"), "antecedents", "consequents").limit(1)
                  .select(F.concat_ws(" + ", "antecedents", "consequents")))
     # the three strongest rules, ordered inside one bounded sorted list
@@ -90,14 +96,13 @@ def overview_sections(t: Tables, n_months: int = 3, top_rules: int = 10) -> Data
     lines = write_table(tb._lines_with_part(t).select(
         "branch", F.col("l_orderkey").alias("order"), "p_brand", "p_name", "l_quantity", "l_extendedprice"), "order-lines")
     monthly = write_table(tb.monthly_sales(t), "monthly")
-    sig = branches.expansion_signals(branches.branch_kpis(monthly, tb.branch_revenue(t), tb.menu_channels(t), CHANNELS))
+    sig = write_table(branches.expansion_signals(branches.branch_kpis(monthly, tb.branch_revenue(t), tb.menu_channels(t), CHANNELS)), "signals")
     bk = baskets.build_baskets(lines.select("branch", F.col("order").cast("string").alias("customer"), F.col("p_brand").alias("item"),
                                             F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price")))
     mined = baskets.mine(bk, 0.02)
     combos = baskets.combo_top(baskets.association_rules(mined.itemsets, 1.0, 0.1), mined.n_baskets, top_rules)
-    seg = segments.classify(lines.select("branch", F.col("p_name").alias("item"), F.col("l_quantity").alias("qty"),
-                                         F.col("l_extendedprice").alias("total_amount")),
-                            "item", tb.PART_MILKSHAKE_KEYWORDS, tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
+    seg = _segment_items(lines.select("branch", F.col("p_name").alias("item"), F.col("l_quantity").alias("qty"),
+                                      F.col("l_extendedprice").alias("total_amount")))
     slots = staffing.staffing_alerts(staffing.shift_staffing(tb.attendance(t)))
     # a section has a row per branch, candidate, slot, rule or action: numbering it is one small window each
     parts = {
