@@ -138,3 +138,9 @@ def test_byte_order_mark_and_crlf(spark, tmp_path):
     # the first line now names a branch, so the early August row is kept under it
     assert ("Zeta", "August", 2025, 100.0, 8) in rows(df)
     assert len(rows(df)) == 6
+
+
+def test_parsed_rows_are_sorted_once(spark):
+    """Filled rows are written: what follows reads them, and no window sorts the cells again."""
+    plan = P.parse_delivery_lines(lines(spark, "delivery.csv"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "raw" not in plan

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
 from tillroll.functions.scalar import clean_number, decimal_text, duration_hours, numbers_of, strip
-from tillroll.sources.reports import (drop_boilerplate, forward_fill_blocked, has_keyword,
+from tillroll.sources.reports import (ORDER, drop_boilerplate, forward_fill_blocked, has_keyword,
                                       read_report_lines, split_cells, strip_label, with_values)
 
 
@@ -33,8 +33,14 @@ def _rows(lines: DataFrame, footer: bool = True) -> DataFrame:
     return with_values(df)
 
 
-def _fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return forward_fill_blocked(df, columns)
+def _details(df: DataFrame, context: Sequence[str], detail: Column, **columns: Column) -> DataFrame:
+    """The rows where ``detail`` holds: ``columns``, and the ``context`` of the rows above them.
+
+    Columns are taken from the cells before the fill, which sorts and carries no cells.
+    """
+    rows = df.withColumn("_detail", F.coalesce(detail, F.lit(False)))
+    rows = rows.select("file", *ORDER, *context, "_detail", *[F.when(F.col("_detail"), c).alias(n) for n, c in columns.items()])
+    return forward_fill_blocked(rows, context).filter("_detail")
 
 
 def _rest(vals: str = "vals") -> Column:
@@ -67,23 +73,19 @@ def parse_monthly_sales(lines: DataFrame) -> DataFrame:
     df = (df.withColumn("kind", kind)
             .withColumn("branch", F.when(F.col("kind") == "branch",
                                          strip_label(first, "Branch Name:"))))
-    df = _fill(df, ["branch"])
     rest = _rest()
     year_pos = F.array_position(F.transform(rest, lambda x: x.rlike(r"^\d{4}$")), True)
     sales = _last(F.filter(
         F.transform(rest, lambda x, i: F.when(i + 1 != year_pos, clean_number(x))),
         lambda x: x > 0))
     month_ok = F.lower(first).isin([m.lower() for m in K.MONTH_NAMES])
-    out = (df.filter((F.col("kind") == "detail") & (F.size("vals") >= 2)
-                     & F.col("branch").isNotNull()
-                     & ~(first.contains("Total") | first.contains("Grand")
-                         | first.contains("REP_"))
-                     & month_ok)
-             .select("branch", first.alias("month"),
-                     F.when(year_pos > 0, F.get(rest, year_pos - 1).try_cast("int"))
-                     .alias("year"),
-                     sales.alias("total_sales"))
-             .filter((F.col("year") != 0) & F.col("total_sales").isNotNull()))
+    detail = ((F.col("kind") == "detail") & (F.size("vals") >= 2)
+              & ~(first.contains("Total") | first.contains("Grand") | first.contains("REP_"))
+              & month_ok)
+    out = (_details(df, ["branch"], detail, month=first, total_sales=sales,
+                    year=F.when(year_pos > 0, F.get(rest, year_pos - 1).try_cast("int")))
+           .filter(F.col("branch").isNotNull() & (F.col("year") != 0) & F.col("total_sales").isNotNull())
+           .select("branch", "month", "year", "total_sales"))
     return out.withColumn("month_num", _month_number(F.col("month")))
 
 
@@ -96,10 +98,9 @@ def parse_branch_revenue(lines: DataFrame) -> DataFrame:
                         .when(first == "Total By Branch", "total"))
             .withColumn("branch", F.when(F.col("kind") == "branch",
                                          strip_label(first, "Branch Name:"))))
-    df = _fill(df, ["branch"])
-    return (df.filter((F.col("kind") == "total") & F.col("branch").isNotNull())
-              .select("branch", F.when(F.size("vals") > 1, clean_number(_nth(F.col("vals"), 1)))
-                      .alias("revenue")))
+    revenue = F.when(F.size("vals") > 1, clean_number(_nth(F.col("vals"), 1)))
+    return (_details(df, ["branch"], F.col("kind") == "total", revenue=revenue)
+            .filter(F.col("branch").isNotNull()).select("branch", "revenue"))
 
 
 # --- S9 item sales -------------------------------------------------------------
@@ -118,16 +119,13 @@ def parse_item_sales(lines: DataFrame) -> DataFrame:
     for name, label in [("branch", "Branch:"), ("division", "Division:"), ("group", "Group:")]:
         df = df.withColumn(name, F.when(F.col("kind") == name,
                                         strip(F.replace(first, F.lit(label), F.lit("")))))
-    df = _fill(df, ["branch", "division", "group"])
-    nums = numbers_of(_rest())
-    return (df.filter((F.col("kind") == "detail") & F.col("branch").isNotNull()
-                      & F.col("group").isNotNull() & (F.size("vals") >= 3)
-                      & ~(first.contains("Total") | first.contains("REP_"))
-                      & (F.size(nums) >= 1))
-              .select("branch", "division", "group", first.alias("item"),
-                      F.get(nums, 0).alias("qty"),
-                      F.when(F.size(nums) >= 2, _last(nums)).otherwise(F.lit(0.0))
-                      .alias("total_amount")))
+    df = df.withColumn("nums", F.when(F.col("kind") == "detail", numbers_of(_rest())))
+    nums = F.col("nums")
+    detail = ((F.size("vals") >= 3) & ~(first.contains("Total") | first.contains("REP_")) & (F.size(nums) >= 1))
+    return (_details(df, ["branch", "division", "group"], detail, item=first, qty=F.get(nums, 0),
+                     total_amount=F.when(F.size(nums) >= 2, _last(nums)).otherwise(F.lit(0.0)))
+            .filter(F.col("branch").isNotNull() & F.col("group").isNotNull())
+            .select("branch", "division", "group", "item", "qty", "total_amount"))
 
 
 # --- S10 delivery lines --------------------------------------------------------
@@ -143,14 +141,13 @@ def parse_delivery_lines(lines: DataFrame) -> DataFrame:
             .withColumn("branch", F.when(F.col("kind") == "branch",
                                          strip(F.replace(first, F.lit("Branch :"), F.lit("")))))
             .withColumn("customer", F.when(F.col("kind") == "customer", first)))
-    df = _fill(df, ["branch", "customer"])
     desc = strip(F.get(F.col("vals"), 1))
-    qty = decimal_text(first)
-    return (df.filter((F.col("kind") == "detail") & F.col("branch").isNotNull()
-                      & F.col("customer").isNotNull() & (F.size("vals") >= 3)
-                      & qty.isNotNull() & (desc != "") & ~desc.startswith("Total"))
-              .select("branch", "customer", desc.alias("item"), qty.alias("qty"),
-                      clean_number(_last(F.col("vals"))).alias("price")))
+    df = df.withColumn("qty", F.when(F.col("kind") == "detail", decimal_text(first)))
+    detail = (F.col("qty").isNotNull() & (F.size("vals") >= 3) & (desc != "") & ~desc.startswith("Total"))
+    return (_details(df, ["branch", "customer"], detail, item=desc, qty=F.col("qty"),
+                     price=clean_number(_last(F.col("vals"))))
+            .filter(F.col("branch").isNotNull() & F.col("customer").isNotNull())
+            .select("branch", "customer", "item", "qty", "price"))
 
 
 # --- S11 customer orders -------------------------------------------------------
@@ -164,22 +161,19 @@ def parse_customer_orders(lines: DataFrame,
             .otherwise("detail"))
     df = (df.withColumn("kind", kind)
             .withColumn("branch", F.when(F.col("kind") == "branch", first)))
-    df = _fill(df, ["branch"])
     vals = F.col("vals")
     dates = F.filter(vals, lambda x: x.rlike(r"^\d{4}-\d{2}-\d{2}"))
     # wall-clock timestamps (no time zone), as the report prints them
     first_order = F.try_to_timestamp(F.get(dates, 0)).cast("timestamp_ntz")
     n_orders = decimal_text(_last(vals)).try_cast("int")
-    return (df.filter((F.col("kind") == "detail") & first.rlike(r"^Person_\d+$")
-                      & F.col("branch").isNotNull() & (F.size("vals") >= 5)
-                      & n_orders.isNotNull())
-              .select("branch", first.alias("customer"),
-                      first_order.alias("first_order"),
-                      F.when(F.size(dates) > 1,
-                             F.try_to_timestamp(F.get(dates, 1)).cast("timestamp_ntz"))
-                      .otherwise(first_order).alias("last_order"),
-                      clean_number(F.try_element_at(vals, F.lit(-2))).alias("total"),
-                      n_orders.alias("num_orders")))
+    last_order = (F.when(F.size(dates) > 1, F.try_to_timestamp(F.get(dates, 1)).cast("timestamp_ntz"))
+                  .otherwise(first_order))
+    detail = ((F.col("kind") == "detail") & first.rlike(r"^Person_\d+$")
+              & (F.size("vals") >= 5) & n_orders.isNotNull())
+    return (_details(df, ["branch"], detail, customer=first, first_order=first_order, last_order=last_order,
+                     total=clean_number(F.try_element_at(vals, F.lit(-2))), num_orders=n_orders)
+            .filter(F.col("branch").isNotNull())
+            .select("branch", "customer", "first_order", "last_order", "total", "num_orders"))
 
 
 # --- S12 attendance ------------------------------------------------------------
@@ -203,16 +197,15 @@ def parse_attendance(lines: DataFrame, branch_markers: Sequence[str] = K.ATTENDA
             .withColumn("employee_name", F.when((F.col("kind") == "employee") & (name != ""),
                                                 name))
             .withColumn("branch", F.when(F.col("kind") == "branch", strip(first))))
-    df = _fill(df, ["employee_id", "employee_name", "branch"])
     times = F.filter(vals, lambda x: x.rlike(r"^\d{2}[.:]\d{2}[.:]\d{2}"))
     hours = duration_hours(_last(vals))
-    return (df.filter((F.col("kind") == "day")
-                      & ~F.exists(vals, lambda x: F.coalesce(x.contains("Total"), F.lit(False)))
-                      & (F.size(times) >= 2) & hours.isNotNull())
-              .select("employee_id", "employee_name", "branch",
-                      F.to_date(F.try_to_timestamp(first, F.lit("dd-MMM-yy"))).alias("date"),
-                      F.get(times, 0).alias("punch_in"), F.get(times, 1).alias("punch_out"),
-                      hours.alias("work_hours")))
+    detail = ((F.col("kind") == "day")
+              & ~F.exists(vals, lambda x: F.coalesce(x.contains("Total"), F.lit(False)))
+              & (F.size(times) >= 2) & hours.isNotNull())
+    return (_details(df, ["employee_id", "employee_name", "branch"], detail,
+                     date=F.to_date(F.try_to_timestamp(first, F.lit("dd-MMM-yy"))),
+                     punch_in=F.get(times, 0), punch_out=F.get(times, 1), work_hours=hours)
+            .select("employee_id", "employee_name", "branch", "date", "punch_in", "punch_out", "work_hours"))
 
 
 # --- S14 menu channels ---------------------------------------------------------
@@ -226,13 +219,12 @@ def parse_menu_channels(lines: DataFrame, branches: Sequence[str] = K.BRANCH_NAM
             .when(first.isin(list(channels)), "channel"))
     df = (df.withColumn("kind", kind)
             .withColumn("branch", F.when(F.col("kind") == "branch", first)))
-    df = _fill(df, ["branch"])
     nums = numbers_of(_rest())
-    return (df.filter((F.col("kind") == "channel") & F.col("branch").isNotNull()
-                      & (F.size("vals") >= 4) & (F.size(nums) >= 3))
-              .select("branch", first.alias("menu_channel"),
-                      F.get(nums, 0).alias("num_customers"), F.get(nums, 1).alias("sales"),
-                      F.get(nums, 2).alias("avg_per_customer")))
+    detail = (F.col("kind") == "channel") & (F.size("vals") >= 4) & (F.size(nums) >= 3)
+    return (_details(df, ["branch"], detail, menu_channel=first, num_customers=F.get(nums, 0),
+                     sales=F.get(nums, 1), avg_per_customer=F.get(nums, 2))
+            .filter(F.col("branch").isNotNull())
+            .select("branch", "menu_channel", "num_customers", "sales", "avg_per_customer"))
 
 
 # --- S15 division summary ------------------------------------------------------
@@ -250,21 +242,19 @@ def parse_division_summary(lines: DataFrame, branches: Sequence[str] = K.BRANCH_
               | has_keyword("cells", K.DIVISION_HEADERS))
     df = (df.withColumn("branch", F.when(c0.isin(list(branches)), c0))
             .withColumn("is_header", header))
-    df = _fill(df, ["branch"])
     cat = strip(F.get(cells, 1))
     bad_cond = F.lit(False)
     for b in K.DIVISION_NO_CATEGORY:
         bad_cond = bad_cond | cat.contains(b)
     nums = numbers_of(F.slice(cells, 3, F.greatest(F.size(cells) - 2, F.lit(0))))
-    return (df.filter(~F.col("is_header") & F.col("branch").isNotNull()
-                      & (F.size(cells) >= 6) & cat.isNotNull() & (cat != "") & ~bad_cond
-                      & (F.size(nums) >= 3))
-              .select("branch", cat.alias("category"),
-                      F.get(nums, 0).alias("delivery"), F.get(nums, 1).alias("table"),
-                      F.get(nums, 2).alias("takeaway"),
-                      F.when(F.size(nums) > 3, F.get(nums, 3))
-                      .otherwise(F.get(nums, 0) + F.get(nums, 1) + F.get(nums, 2))
-                      .alias("total")))
+    detail = (~F.col("is_header") & (F.size(cells) >= 6) & cat.isNotNull() & (cat != "") & ~bad_cond
+              & (F.size(nums) >= 3))
+    total = (F.when(F.size(nums) > 3, F.get(nums, 3))
+             .otherwise(F.get(nums, 0) + F.get(nums, 1) + F.get(nums, 2)))
+    return (_details(df, ["branch"], detail, category=cat, delivery=F.get(nums, 0), table=F.get(nums, 1),
+                     takeaway=F.get(nums, 2), total=total)
+            .filter(F.col("branch").isNotNull())
+            .select("branch", "category", "delivery", "table", "takeaway", "total"))
 
 
 # --- declared schemas of the parsed datasets ------------------------------------------

@@ -139,9 +139,28 @@ def _odd_cells(pieces: Column) -> Column:
     return F.transform(F.split(done, CELL_END, -1), lambda x: F.nullif(x, F.lit("")))
 
 
+# a line all of whose quoted cells close before a comma or its end, in one look; longer lines take the
+# way by pieces, as a match goes one call deeper with every cell
+CELL = r'"[^"]*+(?:""[^"]*+)*+"|[^",]*+'
+CLOSED_LINE, CELLS, LONGEST = rf"^(?:{CELL})(?:,(?:{CELL}))*+\z", rf"(?<=^|,)({CELL})", 512
+
+
+def _is_closed(line: Column) -> Column:
+    """Whether a short line's quotes all open, close or escape, and every quoted cell ends in it."""
+    return ~line.contains('"') | ((F.length(line) <= LONGEST) & line.rlike(CLOSED_LINE))
+
+
+def _closed_cells(line: Column) -> Column:
+    inner = lambda x: F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))        # noqa: E731
+    return F.transform(F.regexp_extract_all(line, F.lit(CELLS), 1),
+                       lambda x: F.when(x.startswith('"'), inner(x)).otherwise(F.nullif(x, F.lit(""))))
+
+
 def _cells(line: Column, pieces: Column, odd: Column) -> Column:
+    """Cells of a line; ``pieces`` are NULL where ``_is_closed``."""
     plain = F.transform(F.split(line, ",", -1), lambda x: F.nullif(x, F.lit("")))
-    return F.when(pieces.isNull(), plain).when(odd, _odd_cells(pieces)).otherwise(_regular_cells(pieces))
+    closed = F.when(line.contains('"'), _closed_cells(line)).otherwise(plain)
+    return F.when(pieces.isNull(), closed).when(odd, _odd_cells(pieces)).otherwise(_regular_cells(pieces))
 
 
 def csv_split(line: str | Column) -> Column:
@@ -149,14 +168,14 @@ def csv_split(line: str | Column) -> Column:
 
     A quote that does not stand at a cell's start is text, and so is what follows a closing quote.
     """
-    pieces = _pieces(col_(line))
+    pieces = F.when(~_is_closed(col_(line)), _pieces(col_(line)))
     return _cells(col_(line), pieces, _is_odd(pieces, _end_state(pieces, START)))
 
 
 def _with_cells(lines: DataFrame) -> DataFrame:
     """``lines`` plus ``opens`` (ends inside a quoted cell), ``raw`` and ``vals``, step by step so that nothing is cut twice."""
     state, pieces = F.col("_state"), F.col("_pieces")
-    return (lines.withColumn("_pieces", _pieces(F.col("line")))
+    return (lines.withColumn("_pieces", F.when(~_is_closed(F.col("line")), _pieces(F.col("line"))))
             .withColumn("_state", _end_state(pieces, START))
             .withColumn("opens", _is_inside(state))
             .withColumn("raw", _cells(F.col("line"), pieces, _is_odd(pieces, state)))
@@ -225,8 +244,10 @@ def split_cells(lines: DataFrame) -> DataFrame:
     """
     df = lines if "raw" in lines.columns else _with_cells(lines)
     df = df.select("file", *ORDER, "line", "raw", "vals", F.size("raw").alias("n_fields"))
-    first = (df.groupBy("file")
-             .agg(F.min_by("n_fields", F.struct(*ORDER)).alias("width")))
+    # two levels of plain numbers, which are hashed; written, as its size lets the join choose a broadcast
+    first = (df.groupBy("file", "block").agg(F.min_by("n_fields", "seq").alias("n_fields"))
+             .groupBy("file").agg(F.min_by("n_fields", "block").alias("width")))
+    first = write_table(first, "report-widths")
     pad = F.array_repeat(F.lit(None).cast("string"),
                          F.greatest(F.col("width") - F.col("n_fields"), F.lit(0)).cast("int"))
     return (df.join(first, "file")
@@ -243,7 +264,7 @@ def csv_cells(line: str | Column, n_cells: int) -> Column:
 
 def joined_text(cells: str | Column) -> Column:
     """Cells joined by single spaces, empty cells skipped (for keyword tests)."""
-    return F.array_join(F.filter(col_(cells), lambda x: x.isNotNull()), " ")
+    return F.array_join(col_(cells), " ")
 
 
 def has_keyword(cells: str | Column, keywords: Sequence[str]) -> Column:
@@ -313,12 +334,11 @@ def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "fi
     ranges of so many blocks, then over the ranges.
     """
     columns = list(columns)
-    local = forward_fill(df, columns, [group, block], [seq])
-    # the filled value on a block's last row is the block's last non-NULL
-    # value; ``local`` is already partitioned by (group, block), so this
-    # aggregate adds no shuffle and does not re-read the input
-    tails = (local.groupBy(group, block)
-             .agg(*[F.max_by(F.col(c), F.col(seq)).alias(c) for c in columns]))
+    # the filled value on a block's last row is the block's last non-NULL value; the filled
+    # rows are written, so that they are sorted once and the last ones found by a mark
+    is_last = F.lead(F.lit(False), 1, True).over(Window.partitionBy(group, block).orderBy(seq)).alias("_last")
+    local = write_table(forward_fill(df.select("*", is_last), columns, [group, block], [seq]), "report-filled")
+    tails = local.filter("_last").select(group, block, *columns)
 
     def carried(rows: DataFrame, keys: list[str], at: str, prefix: str) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
@@ -333,7 +353,8 @@ def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "fi
             group, block, *[F.coalesce(f"_in_{c}", f"_out_{c}").alias(f"_carry_{c}") for c in columns])
     else:
         carry = carried(tails, [group], block, "_carry_").select(group, block, *[f"_carry_{c}" for c in columns])
-    out = local.join(carry, [group, block], "left")
+    # written: its size lets the join choose a broadcast
+    out = local.drop("_last").join(write_table(carry, "report-carry"), [group, block], "left")
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_carry_{c}"))).drop(f"_carry_{c}")
     return out
