@@ -40,3 +40,14 @@ def test_basket_scan_reads_only_needed_columns(spark):
     li = [s for s in schemas if "l_orderkey" in s][0]
     assert "l_shipdate" not in li and "l_tax" not in li and "l_comment" not in li
     assert "l_quantity" in li and "l_extendedprice" in li
+
+
+def test_published_reports_join_line_items_once(spark):
+    """Reports that run together read one table of classified line items, and hold the rows of their own queries."""
+    from conftest import SF, rows
+    from tillroll.plans import registry as R
+    shared = R.SharedTables(spark, SF)
+    for name in ("segment_share", "segment_comparison", "segment_performance", "growth_actions"):
+        df = R.PLANS[name](shared)
+        assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(df) == rows(R.QUERIES[name](spark, SF), *df.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import clean_number, compact_cells, duration_hours, money_sum
+from tillroll.functions.scalar import clean_number, compact_cells, duration_hours, money, money_sum
 from tillroll.operators import baskets, bins, branches, demand, itemsets, quantiles, segments, series, staffing, topics
 from tillroll.plans import roundtrip
 from tillroll.sources import reports
@@ -22,12 +22,14 @@ from tillroll.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+PLANS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def query(name: str):
     def deco(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         QUERIES[name].__doc__ = fn.__doc__
+        PLANS[name] = fn
         return fn
     return deco
 
@@ -111,7 +113,19 @@ def q_demand_trend(t: Tables) -> DataFrame:
 # --- segments -----------------------------------------------------------------
 
 
+class SharedTables(Tables):
+    """Tables of queries that run together: the classified line items are joined, summed and written once for all."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        # exact decimals, so that sums of the sums equal sums of the lines
+        self.segment_items = write_table(_seg(Tables(spark, sf_dir)).groupBy("branch", "segment", "item").agg(
+            F.sum("qty").alias("qty"), F.sum(money("total_amount")).alias("total_amount")), "segment-items")
+
+
 def _seg(t: Tables) -> DataFrame:
+    if isinstance(t, SharedTables):
+        return t.segment_items
     return segments.classify(tb.item_sales(t), "item", tb.PART_MILKSHAKE_KEYWORDS,
                              tb.PART_COFFEE_KEYWORDS, tb.PART_CHIMNEY_KEYWORDS)
 
@@ -575,7 +589,8 @@ def q_published_reports(t: Tables) -> DataFrame:
     from tillroll.sources.store import ResultStore
     import uuid
     store = ResultStore(t.spark, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/tillroll-store/{uuid.uuid4().hex}")
-    store.publish({name: QUERIES[name](t.spark, t.sf_dir) for name in PUBLISHED}, "current")
+    shared = SharedTables(t.spark, t.sf_dir)
+    store.publish({name: PLANS[name](shared) for name in PUBLISHED}, "current")
     return store.catalog("current")
 
 
