@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -640,6 +641,57 @@ def test_lm_scores(spark, monkeypatch):
     assert attention.score(frame(spark, rows[:2]), frame(spark, [])).count() == 2
 
 
+def test_distinct_words_are_learned_once_by_their_counts(monkeypatch):
+    learned, gradient = Counter(), attention.Attention.gradient
+    rows = []
+
+    def noted(self, x, target, times):
+        rows.append(len(x))
+        for w, n in zip(target, times):
+            learned[tuple(w[w >= 0].tolist())] += n
+        return gradient(self, x, target, times)
+    monkeypatch.setattr(attention.Attention, "gradient", noted)
+    monkeypatch.setattr(attention, "ROUNDS", 1)
+    monkeypatch.setattr(attention, "LATE_WINDOWS", 8)            # many steps of the outer model
+    sub = attention.Subwords([])
+    language().train([attention.windows_of(["ab c d ab " * 500], sub, 0)], 0, 0.01, 0)
+    assert learned == {(ord("a"), ord("b"), attention.END): 1000, (ord("c"), attention.END): 500, (ord("d"), attention.END): 500}
+    assert sum(rows) == 3                                        # not three for each step
+    learned.clear()
+    items = [bytes(w) for w in {tuple(random.Random(i).choices(b"abcdefgh", k=3)) for i in range(300)}]
+    times = np.array([5000, *[1] * (len(items) - 1)])
+    assert language().train_inner([(sub.bags(items), times)], 6, 0.01, 0) == len(items)
+    total = {k: pytest.approx(v) for k, v in zip((( *w, attention.END) for w in items), times.tolist())}
+    once = sum(times) * 1.0
+    rounds = sum(learned.values()) / once
+    assert rounds >= 1 and all(learned[k] == pytest.approx(v.expected * rounds) for k, v in total.items())
+
+
+def test_rounds_of_documents_agree_with_spark(spark, monkeypatch):
+    r = random.Random(8)
+    texts = ["", *(sentence(r, n) for n in range(1, 40)), "Größe \u65e5\u672c " * 3]
+    docs, sub = frame(spark, list(enumerate(texts))), attention.Subwords([])
+    for turn in range(attention.ROUNDS):
+        here = [row.text for row in docs.where(attention.of_round("text", attention.LEARN_EVERY, turn)).collect()]
+        of = lambda t: len(attention.windows_of(t, sub, turn)[1])            # noqa: E731
+        assert of(here) == of(texts) == sum(-(-(len(words(t)) + 1) // attention.OUTER) for t in here)
+
+
+def test_split_words_and_run_sums_match_plain_ones():
+    texts = pa.array([None, " A b ", "", None, "  ", "\x0bQ\x1cz\u00c9 k\n", "x"])
+    for part in (texts, texts.slice(1, 5), texts.slice(5), texts.slice(2, 0)):
+        at, ends, distinct = attention.split_words(part)
+        assert [[distinct[i] for i in at[a:b]] for a, b in zip(ends[:-1], ends[1:])] == [words(t) for t in part.to_pylist()]
+    r = np.random.default_rng(3)
+    rows, size = r.normal(size=(50, 4)), np.array([1, 200, 3, attention.LONG_RUN, attention.LONG_RUN + 1, 2, 1])
+    order, start = r.integers(0, 50, size.sum()), np.cumsum(size) - size
+    assert np.allclose(attention.run_sums(rows, order, start, size), [rows[order[a:a + n]].sum(0) for a, n in zip(start, size)])
+    sub = attention.Subwords([(ord("a"), ord("b"), 256)])
+    items = [b"ab", b"q", b"xabab" * 20]
+    bags = sub.bags(items)
+    assert [tuple(bags.take(np.array([i])).flat.tolist()) for i in range(3)] == sub.ids(items)
+
+
 # --- the pipeline ---------------------------------------------------------------------------------------
 def test_pipeline_stages_on_edge_rows(spark, tmp_path):
     rows, labels = toxic_corpus()
