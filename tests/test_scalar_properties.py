@@ -6,7 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tillroll.functions.scalar import clean_number, duration_hours, punch_hour
+from pyspark.sql import functions as F
+
+from tillroll.functions.scalar import clean_number, decimal_text, duration_hours, punch_hour
 
 
 def py_clean_number(v):
@@ -273,3 +275,30 @@ def test_segment_share_matches_pandas(spark, data):
             assert got[(b, s)][1] == pytest.approx(v / tot[b] * 100)
         else:
             assert got[(b, s)][1] is None
+
+
+def test_usual_numbers_take_the_short_way_with_equal_values(spark):
+    texts = ["1", "-1", "12.50", "1,234.56", "1,2,3", "5,", "-,5", "-", "+1", "1e3", ".5", "5.", " 7 ", "1,234.5,6", '"9"', "5F", "0x1p3", "1\n", "", "٣", "1 2", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    # a blank before the text turns the short way off and is stripped by the long one
+    long = F.concat(F.lit(" "), F.col("x"))
+    for f in (clean_number, decimal_text):
+        got = df.select("x", f("x"), f(long)).collect()
+        assert [r[1] for r in got] == [r[2] for r in got], f
+    assert [r[0] for r in df.select(clean_number("x")).orderBy("i").collect()][:7] == [1.0, -1.0, 12.5, 1234.56, 123.0, 5.0, -5.0]
+
+
+def test_cells_and_values_of_any_line(spark):
+    """Lines cut without patterns have the cells that the patterns give, and stripped values."""
+    import random
+    from tillroll.functions.scalar import compact_cells
+    from tillroll.sources import reports as R
+    r = random.Random(11)
+    alphabet = ["a", "b c", ",", ",", '"', '"x,1"', '""', " ", "\t", "\xa0", "\x01", "é", "7"]
+    texts = [f'a,"{x}",c' for x in ("", ",", '""', "p,q", " s ", "\x01")] + ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 9))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, line string")
+    cut = R._with_cells(df).withColumn("vals", R._values(F.col("line"), F.col("raw")))
+    got = cut.select("line", "opens", "raw", "vals", R.csv_split("line").alias("by_pattern"), compact_cells(R.csv_split("line")).alias("compact"),
+                     R.ends_inside(F.col("line")).alias("inside")).collect()
+    for x in got:
+        assert (x.raw, x.vals, x.opens) == (x.by_pattern, x.compact, x.inside), x.line

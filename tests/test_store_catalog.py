@@ -132,3 +132,74 @@ def test_bins_are_joined_by_equality(spark):
     from tillroll.plans.registry import QUERIES
     plan = QUERIES["shift_bins"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_catalog_parsers_read_their_own_files(spark, tmp_path, monkeypatch):
+    """Each layout's parser gets the lines of its files only, cut from their text, whatever else lies in the folder."""
+    from tillroll.sources import catalog as C
+    (tmp_path / "a [1].csv").write_bytes(open(fixture_path("monthly.csv"), "rb").read())
+    (tmp_path / "b c.csv").write_bytes(open(fixture_path("delivery.csv"), "rb").read())
+    (tmp_path / "copy.csv").write_bytes(open(fixture_path("delivery.csv"), "rb").read())
+    scanned = []
+    read = C.read_report_lines
+
+    def watched(*args, **kw):
+        lines = read(*args, **kw)
+        scanned.append({(r.file.rsplit("/", 1)[1], r.n) for r in lines.groupBy("file").agg(F.count("*").alias("n")).collect()})
+        staged = [r.file for r in spark.read.parquet(*lines.inputFiles()).select("file").distinct().collect()]
+        assert len(staged) == 1
+        return lines
+    monkeypatch.setattr(C, "read_report_lines", watched)
+    found = load_catalog(spark, str(tmp_path))
+    assert set(found.datasets) == {"monthly_sales", "delivery_items"} and len(scanned) == 2 and all(len(s) == 1 for s in scanned)
+    for dataset, file in (("monthly_sales", "monthly.csv"), ("delivery_items", "delivery.csv")):
+        want = P.REPORT_FILES[dataset][1](read_report_lines(spark, fixture_path(file)))
+        assert sorted(map(repr, found.datasets[dataset].collect())) == sorted(map(repr, want.collect()))
+
+
+def test_catalog_of_records_with_line_breaks(spark, tmp_path):
+    """Records are counted and compared, not physical lines; the first records lie behind blank lines and many others."""
+    head = "\n" * 3000 + "Branch :,Harbor,,,\n" + '"note, of\ntwo lines",,,,\n' * 30 + "Total :,,,0.00,\n"
+    (tmp_path / "a.csv").write_text(head + "x,1\n" * 2500)
+    (tmp_path / "b.csv").write_text("Branch :,Harbor,,,\n" + "x,1\n" * 2500 + "Total :,,,0.00,\n" + '"note, of\ntwo lines",,,,\n' * 30)
+    (tmp_path / "c.csv").write_text("y,2\n" * 60 + "Branch :,Harbor,,,\n")
+    files = {r.file.rsplit("/", 1)[1]: r for r in load_catalog(spark, str(tmp_path)).files.collect()}
+    assert [files[f"{x}.csv"].lines for x in "abc"] == [2532, 2532, 61]
+    assert files["a.csv"].dataset == files["b.csv"].dataset == "delivery_items" and files["c.csv"].dataset is None
+    assert files["b.csv"].copy_of.endswith("/a.csv") and files["a.csv"].copy_of is None
+
+
+# --- rendered reports -------------------------------------------------------------------------------
+def test_rendered_sections_are_made_in_one_pass(spark):
+    """The lines of a section stay together and in order, also of a null branch and an order that comes twice; rows are joined once."""
+    from tillroll.plans import roundtrip as RT
+    rows = spark.createDataFrame([("b", 1, "y", 2.0), (None, 1, "x", 1.5), ("b", 1, "x", 1.0), ("b", 1, "x", 1.0), ("a", 2, None, 1234.0)],
+                                 "branch string, k long, item string, qty double")
+    head, foot = [RT.csv_line([F.concat(F.lit("Branch :"), F.col("branch"))], 3)], [RT.csv_line(["Total :"], 2)]
+    r = RT.Rendered(spark, rows, ["branch", "k"], ["item", "qty"], RT.csv_line([F.col("item"), RT.fixed2(F.col("qty"))], 3), None, {}, head, foot)
+    text = [x.text for x in r.lines().coalesce(1).collect()]
+    b = text.index("Branch :b,,")
+    assert text[b:b + 5] == ["Branch :b,,", "x,1.00,", "x,1.00,", "y,2.00,", "Total :,"]
+    assert sorted(text[:b] + text[b + 5:]) == sorted([",,", "x,1.50,", "Total :,", "Branch :a,,", ",1234.00,", "Total :,"])
+    plan = r.lines()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("x", [0.0, -0.0, 1.0, -3.0, 12.345, 0.005, 1e14, 1e15, 123456789.0, float("nan"), float("inf"), None])
+def test_numbers_print_as_the_formatter_prints_them(spark, x):
+    from tillroll.plans import roundtrip as RT
+    df = spark.createDataFrame([(x,)], "x double").withColumn("n", F.floor("x"))
+    got = df.select(RT.fixed2(F.col("x")), F.format_string("%.2f", "x"), RT.two_digits(F.col("n")), F.format_string("%02d", "n")).first()
+    assert got[0] == got[1] and got[2] == got[3]
+
+
+def test_reports_of_the_catalog_share_one_join(spark):
+    from conftest import SF, rows
+    from tillroll.plans import roundtrip as RT
+    from tillroll.sources import tables as tb
+    t = tb.JoinedTables(spark, SF)
+    for name in ("delivery_items", "sales_by_item", "division_summary"):
+        shared = RT.RENDERED[name](t).lines()
+        plan = shared._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "l_partkey" not in plan
+        assert rows(shared) == rows(RT.RENDERED[name](tb.Tables(spark, SF)).lines())

@@ -88,6 +88,8 @@ TOPIC_FALLBACK = "overview"
 
 # --- fixed values: report boilerplate -----------------------------------------
 FOOTER_PATTERN = r"(?i)Copyright|omegapos|Page \d+ of"
+# in lower case, one of them is in any line with a footer
+FOOTER_WORDS = ["copyright", "omegapos", "page "]
 # words of page headers by layout: a row that holds one (item sales: begins with one) is no record
 MONTHLY_HEADERS = ["Month", "Year", "Total", "Branch Name"]
 ITEM_HEADERS = ["Description", "Barcode", "Total by", "Branch:", "Division:", "Group:"]

@@ -50,6 +50,8 @@ def money_sum(c: str | Column, kind: str = MONEY_TYPE) -> Column:
 # inner blanks and digit separators other than the comma are no numbers
 NOT_DECIMAL = r"[^0-9eE+.\-]"
 INFINITE = r"^[+-]?(?i:inf|infinity)$"
+# the usual number, which needs no other look
+PLAIN_DECIMAL, PLAIN_GROUPED = r"^-?[0-9]+(?:\.[0-9]+)?\z", r"^-?[0-9][0-9,]*(?:\.[0-9]+)?\z"
 
 
 def decimal_text(c: str | Column) -> Column:
@@ -58,7 +60,8 @@ def decimal_text(c: str | Column) -> Column:
     One look for a character that no decimal number has; the cast decides the rest.
     """
     s = strip(c)
-    return F.when(~s.rlike(NOT_DECIMAL) | s.rlike(INFINITE), s.try_cast("double"))
+    return (F.when(col_(c).rlike(PLAIN_DECIMAL), col_(c).try_cast("double"))
+            .when(~s.rlike(NOT_DECIMAL) | s.rlike(INFINITE), s.try_cast("double")))
 
 
 def clean_number(c: str | Column) -> Column:
@@ -69,7 +72,8 @@ def clean_number(c: str | Column) -> Column:
     ``1_000`` are units or codes, not numbers).
     """
     s = strip(F.replace(F.replace(strip(c), F.lit(","), F.lit("")), F.lit('"'), F.lit("")))
-    return F.when(s == "-", F.lit(0.0)).otherwise(decimal_text(s))
+    return (F.when(col_(c).rlike(PLAIN_GROUPED), F.replace(col_(c), F.lit(","), F.lit("")).try_cast("double"))
+            .when(s == "-", F.lit(0.0)).otherwise(decimal_text(s)))
 
 
 def compact_cells(cells: str | Column) -> Column:
@@ -91,7 +95,7 @@ def duration_hours(c: str | Column) -> Column:
     Anything that does not split into three parts is 0.0; three parts that
     are not integers give NULL.
     """
-    parts = F.split(F.regexp_replace(col_(c), r"\.", ":"), ":")
+    parts = F.split(F.replace(col_(c), F.lit("."), F.lit(":")), ":")
     h = F.get(parts, 0).try_cast("bigint")
     m = F.get(parts, 1).try_cast("bigint")
     s = F.get(parts, 2).try_cast("bigint")

@@ -20,7 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.scalar import money, money_sum
@@ -49,32 +49,53 @@ def quoted(amount: Column) -> Column:
 
 
 def fixed2(x: Column) -> Column:
-    return F.format_string("%.2f", x)
+    """``%.2f``; whole numbers need no formatter."""
+    return (F.when((x > 0) & (x < 1e15) & (x == F.floor(x)), F.concat(x.cast("long").cast("string"), F.lit(".00")))
+            .otherwise(F.format_string("%.2f", x)))
 
 
-def write_report(lines: DataFrame, section: Sequence[str], order: Sequence[str], path: str | None = None) -> str:
-    """Write ``text`` lines; each file holds whole sections in (section, order) order."""
-    spark = lines.sparkSession
-    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-reports/{uuid.uuid4().hex}"
-    (lines.repartition(*section).sortWithinPartitions(*section, *order)
-     .select("text").write.text(path))
+def two_digits(x: Column) -> Column:
+    """``%02d``; usual numbers need no formatter."""
+    return F.when((x >= 0) & (x <= 99), F.lpad(x.cast("string"), 2, "0")).otherwise(F.format_string("%02d", x))
+
+
+def write_report(lines: DataFrame, path: str | None = None) -> str:
+    """Write ``text`` lines in their order."""
+    path = path or f"{ensure_checkpoint_dir(lines.sparkSession).rstrip('/')}/tillroll-reports/{uuid.uuid4().hex}"
+    lines.select("text").write.text(path)
     return path
 
 
 @dataclass
 class Rendered:
-    """Lines of a report, how they are sectioned and ordered, and how they are parsed back."""
+    """Rows of a report in sections, the line of a row and those before and after a section, and how they are parsed back."""
 
     spark: SparkSession
-    lines: DataFrame
+    rows: DataFrame
     section: Sequence[str]
     order: Sequence[str]
+    line: Column
     parser: Callable[..., DataFrame]
     options: dict
+    before: Sequence[Column] = ()
+    after: Sequence[Column] = ()
     columns: Sequence[str] | None = None
 
+    def lines(self) -> DataFrame:
+        """text: whole sections, their rows sorted, made in one pass: the first and last row of a section bring its other lines."""
+        w = Window.partitionBy(*self.section).orderBy(*self.order)
+        none = F.array().cast("array<string>")
+        rows = self.rows.select("*", (F.row_number().over(w) == 1).alias("_first"), F.lead(F.lit(False), 1, True).over(w).alias("_last"))
+        rows = rows.withColumn("_line", self.line)               # made before lines are dealt out, as a generator makes what is equal anew
+        parts = [F.array("_line")]
+        if self.before:
+            parts.insert(0, F.when(F.col("_first"), F.array(*self.before)).otherwise(none))
+        if self.after:
+            parts.append(F.when(F.col("_last"), F.array(*self.after)).otherwise(none))
+        return rows.select(F.explode(F.concat(*parts)).alias("text"))
+
     def write(self, path: str | None = None) -> str:
-        return write_report(self.lines, self.section, self.order, path)
+        return write_report(self.lines(), path)
 
     def parse(self) -> DataFrame:
         out = self.parser(read_report_lines(self.spark, self.write()), **self.options)
@@ -100,6 +121,7 @@ def round_trip(dataset: str):
 def report_catalog(t: Tables) -> DataFrame:
     """dataset, n_rows, n_columns of a mixed folder with every report and a copy of one, found by content."""
     folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/tillroll-reports/{uuid.uuid4().hex}"
+    t = tb.JoinedTables(t.spark, t.sf_dir)
     rendered = {name: fn(t) for name, fn in RENDERED.items()}
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(lambda item: item[1].write(f"{folder}/in-{item[0]}"), enumerate(rendered.values())))
@@ -116,33 +138,17 @@ def report_catalog(t: Tables) -> DataFrame:
 @round_trip("monthly_sales")
 def report_monthly_sales(t: Tables) -> Rendered:
     m = tb.monthly_sales(t)
-    br = m.select("branch").distinct()
-    head = br.select("branch", F.lit(0).alias("k"), F.lit(0).alias("o"),
-                     csv_line([F.concat(F.lit("Branch Name: "), F.col("branch"))], 5)
-                     .alias("text"))
-    cols = br.select("branch", F.lit(1).alias("k"), F.lit(0).alias("o"),
-                     csv_line(["Month", "", "Year", "Total"], 5).alias("text"))
-    rows_ = m.select("branch", F.lit(2).alias("k"),
-                     (F.col("year") * 100 + F.col("month_num")).alias("o"),
-                     csv_line([F.col("month"), "", F.col("year"), quoted(F.col("total_sales"))],
-                              5).alias("text"))
-    foot = br.select("branch", F.lit(3).alias("k"), F.lit(0).alias("o"),
-                     csv_line(["REP_S_00334", "", "Copyright © 2026 report vendor"], 5)
-                     .alias("text"))
-    lines = head.unionByName(cols).unionByName(rows_).unionByName(foot)
-    return Rendered(t.spark, lines, ["branch"], ["k", "o"], P.parse_monthly_sales, dict())
+    head = [csv_line([F.concat(F.lit("Branch Name: "), F.col("branch"))], 5), csv_line(["Month", "", "Year", "Total"], 5)]
+    line = csv_line([F.col("month"), "", F.col("year"), quoted(F.col("total_sales"))], 5)
+    foot = [csv_line(["REP_S_00334", "", "Copyright © 2026 report vendor"], 5)]
+    return Rendered(t.spark, m, ["branch"], ["year", "month_num"], line, P.parse_monthly_sales, dict(), head, foot)
 
 
 @round_trip("branch_revenue")
 def report_branch_revenue(t: Tables) -> Rendered:
-    r = tb.branch_revenue(t)
-    head = r.select("branch", F.lit(0).alias("k"),
-                    csv_line([F.concat(F.lit("Branch Name:  "), F.col("branch"))], 4)
-                    .alias("text"))
-    tot = r.select("branch", F.lit(1).alias("k"),
-                   csv_line(["Total By Branch", quoted(F.col("revenue")), "0.00"], 4)
-                   .alias("text"))
-    return Rendered(t.spark, head.unionByName(tot), ["branch"], ["k"], P.parse_branch_revenue, dict())
+    head = [csv_line([F.concat(F.lit("Branch Name:  "), F.col("branch"))], 4)]
+    line = csv_line(["Total By Branch", quoted(F.col("revenue")), "0.00"], 4)
+    return Rendered(t.spark, tb.branch_revenue(t), ["branch"], ["revenue"], line, P.parse_branch_revenue, dict(), head)
 
 
 @round_trip("sales_by_item")
@@ -151,47 +157,25 @@ def report_item_sales(t: Tables) -> Rendered:
          .agg(F.sum("qty").alias("qty"),
               money_sum("total_amount").alias("amt")))
     sec = ["branch", "division", "group"]
-    keys = s.select(*sec).distinct()
-    parts = [keys.select(*sec, F.lit(i).alias("k"), F.lit("").alias("o"),
-                         csv_line([F.concat(F.lit(label), F.col(c))], 5).alias("text"))
-             for i, (label, c) in enumerate([("Branch: ", "branch"), ("Division: ", "division"),
-                                             ("Group: ", "group")])]
-    parts.append(keys.select(*sec, F.lit(3).alias("k"), F.lit("").alias("o"),
-                             csv_line(["Description", "Barcode", "Qty", "Total Amount"], 5)
-                             .alias("text")))
-    parts.append(s.select(*sec, F.lit(4).alias("k"), F.col("item").alias("o"),
-                          csv_line([F.col("item"), "", fixed2(F.col("qty")),
-                                    quoted(F.col("amt"))], 5).alias("text")))
-    parts.append(keys.select(*sec, F.lit(5).alias("k"), F.lit("").alias("o"),
-                             csv_line([F.concat(F.lit("Total by Group: "), F.col("group"))], 5)
-                             .alias("text")))
-    lines = parts[0]
-    for p in parts[1:]:
-        lines = lines.unionByName(p)
-    return Rendered(t.spark, lines, sec, ["k", "o"], P.parse_item_sales, dict())
+    head = [csv_line([F.concat(F.lit(label), F.col(c))], 5)
+            for label, c in [("Branch: ", "branch"), ("Division: ", "division"), ("Group: ", "group")]]
+    head.append(csv_line(["Description", "Barcode", "Qty", "Total Amount"], 5))
+    line = csv_line([F.col("item"), "", fixed2(F.col("qty")), quoted(F.col("amt"))], 5)
+    foot = [csv_line([F.concat(F.lit("Total by Group: "), F.col("group"))], 5)]
+    return Rendered(t.spark, s, sec, ["item"], line, P.parse_item_sales, dict(), head, foot)
 
 
 @round_trip("delivery_items")
 def report_delivery_lines(t: Tables) -> Rendered:
-    d = (tb._lines_with_part(t)
-         .select("branch", F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string"))
-                 .alias("customer"), F.col("p_brand").alias("item"),
-                 F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
-         .withColumn("o", F.struct("item", "qty", "price")))
-    sec = ["branch", "customer"]
-    keys = d.select(*sec).distinct()
-    none = F.lit(None).cast("struct<item:string,qty:double,price:double>")
-    head = keys.select(*sec, F.lit(0).alias("k"), none.alias("o"),
-                       csv_line([F.concat(F.lit("Branch :"), F.col("branch"))], 5).alias("text"))
-    cust = keys.select(*sec, F.lit(1).alias("k"), none.alias("o"),
-                       csv_line([F.col("customer")], 5).alias("text"))
-    rows_ = d.select(*sec, F.lit(2).alias("k"), "o",
-                     csv_line(["", fixed2(F.col("qty")), F.col("item"), quoted(F.col("price"))],
-                              5).alias("text"))
-    tot = keys.select(*sec, F.lit(3).alias("k"), none.alias("o"),
-                      csv_line(["Total :", "", "", "0.00"], 5).alias("text"))
-    lines = head.unionByName(cust).unionByName(rows_).unionByName(tot)
-    return Rendered(t.spark, lines, sec, ["k", "o"], P.parse_delivery_lines, dict())
+    # a customer is an order
+    d = tb._lines_with_part(t).select("branch", "l_orderkey", F.col("p_brand").alias("item"),
+                                      F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
+    head = [csv_line([F.concat(F.lit("Branch :"), F.col("branch"))], 5),
+            csv_line([F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string"))], 5)]
+    line = csv_line(["", fixed2(F.col("qty")), F.col("item"), quoted(F.col("price"))], 5)
+    foot = [csv_line(["Total :", "", "", "0.00"], 5)]
+    # sorted by a number first
+    return Rendered(t.spark, d, ["l_orderkey", "branch"], ["item", "qty", "price"], line, P.parse_delivery_lines, dict(), head, foot)
 
 
 @round_trip("customer_orders")
@@ -208,16 +192,11 @@ def report_customer_orders(t: Tables) -> Rendered:
     # sections of 1024 customer keys, each opening with its branch line, so a
     # branch holding most customers still spreads over many files
     per = per.withColumn("chunk", (F.col("c_custkey") / 1024).cast("long"))
-    sec = ["branch", "chunk"]
-    rows_ = per.select(*sec, F.lit(1).alias("k"), F.col("c_custkey").alias("o"),
-                       csv_line([F.concat(F.lit("Person_"), F.col("c_custkey").cast("string")),
-                                 F.col("c_name"), F.concat(F.lit("+"), F.col("c_nationkey")),
-                                 stamp("first"), stamp("last"), quoted(F.col("total")),
-                                 F.col("n")], 8).alias("text"))
-    head = per.select(*sec).distinct().select(
-        *sec, F.lit(0).alias("k"), F.lit(-1).cast("long").alias("o"),
-        csv_line([F.col("branch")], 8).alias("text"))
-    return Rendered(t.spark, head.unionByName(rows_), sec, ["k", "o"], P.parse_customer_orders, dict(branches=SEGMENTS))
+    line = csv_line([F.concat(F.lit("Person_"), F.col("c_custkey").cast("string")),
+                     F.col("c_name"), F.concat(F.lit("+"), F.col("c_nationkey")),
+                     stamp("first"), stamp("last"), quoted(F.col("total")), F.col("n")], 8)
+    head = [csv_line([F.col("branch")], 8)]
+    return Rendered(t.spark, per, ["branch", "chunk"], ["c_custkey"], line, P.parse_customer_orders, dict(branches=SEGMENTS), head)
 
 
 @round_trip("attendance")
@@ -225,51 +204,30 @@ def report_attendance(t: Tables) -> Rendered:
     e = t.events.select("user_id", "event_type", "ts", "value")
     # one section per employee, branch and month (a monthly attendance report),
     # each opening with its employee and branch lines
-    sec = ["user_id", "event_type", "month"]
     e = e.withColumn("month", F.date_trunc("month", "ts"))
-    keys = e.select(*sec).distinct()
     uid = F.col("user_id").cast("string")
-    emp = keys.select(*sec, F.lit(0).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
-                      csv_line(["", F.concat(F.lit("EMP ID :"), uid, F.lit(".0")),
-                                F.format_string("NAME :Person_%04d", "user_id")], 6)
-                      .alias("text"))
-    branch = keys.select(*sec, F.lit(1).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
-                         csv_line(["", F.concat(F.lit("Store "), F.col("event_type"))], 6)
-                         .alias("text"))
-    ghost = keys.select(*sec, F.lit(2).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
-                        csv_line(["", F.date_format("month", "dd-MMM-yy"),
-                                  "From Date: report period"], 6).alias("text"))
+    head = [csv_line(["", F.concat(F.lit("EMP ID :"), uid, F.lit(".0")), F.format_string("NAME :Person_%04d", "user_id")], 6),
+            csv_line(["", F.concat(F.lit("Store "), F.col("event_type"))], 6),
+            csv_line(["", F.date_format("month", "dd-MMM-yy"), "From Date: report period"], 6)]
     h = F.floor("value")
     m = F.floor(F.col("value") * 60) % 60
     s = F.floor(F.col("value") * 3600) % 60
-    day = F.date_format("ts", "dd-MMM-yy")
-    clock = F.date_format("ts", "HH.mm.ss")
-    rows_ = e.select(*sec, F.lit(3).alias("k"), F.col("ts").alias("o"),
-                     csv_line([day, "", clock, day, clock,
-                               F.format_string("%02d.%02d.%02d", h, m, s)], 6).alias("text"))
-    tot = keys.select(*sec, F.lit(4).alias("k"), F.lit(None).cast("timestamp_ntz").alias("o"),
-                      csv_line(["", "", "", "", "Total :", "0:00:00"], 6).alias("text"))
-    lines = emp.unionByName(branch).unionByName(ghost).unionByName(rows_).unionByName(tot)
-    return Rendered(t.spark, lines, sec, ["k", "o"], P.parse_attendance, dict(branch_markers=("Store ",)),
-                    ["employee_id", "employee_name", "branch", "date", "punch_in", "work_hours"])
+    e = e.withColumn("day", F.date_format("ts", "dd-MMM-yy")).withColumn("clock", F.date_format("ts", "HH.mm.ss"))
+    day, clock = F.col("day"), F.col("clock")
+    line = csv_line([day, "", clock, day, clock, F.concat_ws(".", *map(two_digits, (h, m, s)))], 6)
+    foot = [csv_line(["", "", "", "", "Total :", "0:00:00"], 6)]
+    return Rendered(t.spark, e, ["user_id", "event_type", "month"], ["ts"], line, P.parse_attendance, dict(branch_markers=("Store ",)),
+                    head, foot, ["employee_id", "employee_name", "branch", "date", "punch_in", "work_hours"])
 
 
 @round_trip("menu_avg_sales")
 def report_menu_channels(t: Tables) -> Rendered:
-    mc = tb.menu_channels(t)
-    br = mc.select("branch").distinct()
-    hdr = br.select("branch", F.lit(0).alias("k"), F.lit("").alias("o"),
-                    csv_line(["Menu Name", "# Cust", "Sales", "Avg Customer"], 5).alias("text"))
-    name = br.select("branch", F.lit(1).alias("k"), F.lit("").alias("o"),
-                     csv_line([F.col("branch")], 5).alias("text"))
-    rows_ = mc.select("branch", F.lit(2).alias("k"), F.col("menu_channel").alias("o"),
-                      csv_line([F.col("menu_channel"), fixed2(F.col("num_customers")),
-                                fixed2(F.col("sales")), fixed2(F.col("avg_per_customer"))], 5)
-                      .alias("text"))
-    tot = br.select("branch", F.lit(3).alias("k"), F.lit("").alias("o"),
-                    csv_line(["Total By Branch:", "0.00", "0.00", "0.00"], 5).alias("text"))
-    lines = hdr.unionByName(name).unionByName(rows_).unionByName(tot)
-    return Rendered(t.spark, lines, ["branch"], ["k", "o"], P.parse_menu_channels, dict(branches=SEGMENTS, channels=PRIORITIES))
+    head = [csv_line(["Menu Name", "# Cust", "Sales", "Avg Customer"], 5), csv_line([F.col("branch")], 5)]
+    line = csv_line([F.col("menu_channel"), fixed2(F.col("num_customers")),
+                     fixed2(F.col("sales")), fixed2(F.col("avg_per_customer"))], 5)
+    foot = [csv_line(["Total By Branch:", "0.00", "0.00", "0.00"], 5)]
+    return Rendered(t.spark, tb.menu_channels(t), ["branch"], ["menu_channel"], line, P.parse_menu_channels,
+                    dict(branches=SEGMENTS, channels=PRIORITIES), head, foot)
 
 
 @round_trip("division_summary")
@@ -278,11 +236,9 @@ def report_division_summary(t: Tables) -> Rendered:
 
     Channels: DELIVERY = returned lines (R), TABLE = accepted (A), TAKE AWAY = open (N).
     """
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag")
-    p = t.part.select("p_partkey", "p_type")
-    o = tb._orders_with_branch(t).select("o_orderkey", "branch")
-    amt = money("l_extendedprice")
-    s = (li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey)
+    # exact decimals, so that sums of the sums equal sums of the lines
+    amt = F.col("amount")
+    s = (tb._lines_with_part(t).groupBy("branch", "p_type", "l_returnflag").agg(F.sum(money("l_extendedprice")).alias("amount"))
          .groupBy("branch", F.concat(F.initcap("p_type"), F.lit(" Delivery")).alias("category"))
          .agg(*[F.coalesce(F.sum(F.when(F.col("l_returnflag") == f, amt)), F.lit(0))
                 .cast("double").alias(n)
@@ -290,23 +246,11 @@ def report_division_summary(t: Tables) -> Rendered:
               F.sum(amt).cast("double").alias("total")))
     wide = F.col("branch") < "G"
     num = [fixed2(F.col(c)) for c in ["delivery", "dine_in", "takeaway", "total"]]
-    row = F.when(wide, csv_line(["", F.col("category"), "", num[0], num[1], "", num[2],
-                                 num[3]], 11)).otherwise(
+    line = F.when(wide, csv_line(["", F.col("category"), "", num[0], num[1], "", num[2],
+                                  num[3]], 11)).otherwise(
         csv_line(["", F.col("category"), *num], 6))
-    br = s.select("branch").distinct()
-    title = br.select("branch", F.lit(0).alias("k"), F.lit("").alias("o"),
-                      csv_line(["Summary By Division"], 11).alias("text"))
-    name = br.select("branch", F.lit(1).alias("k"), F.lit("").alias("o"),
-                     csv_line([F.col("branch")], 11).alias("text"))
-    head = br.select("branch", F.lit(2).alias("k"), F.lit("").alias("o"),
-                     F.when(F.col("branch") < "G",
-                            csv_line(["", "", "", "DELIVERY", "TABLE", "", "TAKE AWAY", "TOTAL"],
-                                     11))
-                     .otherwise(csv_line(["", "", "DELIVERY", "TABLE", "TAKE AWAY", "TOTAL"], 6))
-                     .alias("text"))
-    rows_ = s.select("branch", F.lit(3).alias("k"), F.col("category").alias("o"),
-                     row.alias("text"))
-    tot = br.select("branch", F.lit(4).alias("k"), F.lit("").alias("o"),
-                    csv_line(["", "TOTAL", "0.00", "0.00", "0.00", "0.00"], 6).alias("text"))
-    lines = title.unionByName(name).unionByName(head).unionByName(rows_).unionByName(tot)
-    return Rendered(t.spark, lines, ["branch"], ["k", "o"], P.parse_division_summary, dict(branches=SEGMENTS))
+    head = [csv_line(["Summary By Division"], 11), csv_line([F.col("branch")], 11),
+            F.when(wide, csv_line(["", "", "", "DELIVERY", "TABLE", "", "TAKE AWAY", "TOTAL"], 11))
+            .otherwise(csv_line(["", "", "DELIVERY", "TABLE", "TAKE AWAY", "TOTAL"], 6))]
+    foot = [csv_line(["", "TOTAL", "0.00", "0.00", "0.00", "0.00"], 6)]
+    return Rendered(t.spark, s, ["branch"], ["category"], line, P.parse_division_summary, dict(branches=SEGMENTS), head, foot)

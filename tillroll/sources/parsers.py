@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
 from tillroll.functions.scalar import clean_number, decimal_text, duration_hours, numbers_of, strip
-from tillroll.sources.reports import (ORDER, drop_boilerplate, forward_fill_blocked, has_keyword,
+from tillroll.sources.reports import (ORDER, drop_boilerplate, forward_fill_blocked, has_keyword, joined_text,
                                       read_report_lines, split_cells, strip_label, with_values)
 
 
@@ -30,7 +30,9 @@ def _rows(lines: DataFrame, footer: bool = True) -> DataFrame:
     df = split_cells(lines)
     if footer:
         df = drop_boilerplate(df, line="line")
-    return with_values(df)
+    # what several conditions look at is a column of its own, so that it is made once a row; an empty row is
+    # neither context nor detail of any layout, and a filter of them would make all values twice
+    return with_values(df, empty=True).withColumn("low", F.lower(joined_text("cells")))
 
 
 def _details(df: DataFrame, context: Sequence[str], detail: Column, **columns: Column) -> DataFrame:
@@ -39,8 +41,8 @@ def _details(df: DataFrame, context: Sequence[str], detail: Column, **columns: C
     Columns are taken from the cells before the fill, which sorts and carries no cells.
     """
     rows = df.withColumn("_detail", F.coalesce(detail, F.lit(False)))
-    rows = rows.select("file", *ORDER, *context, "_detail", *[F.when(F.col("_detail"), c).alias(n) for n, c in columns.items()])
-    return forward_fill_blocked(rows, context).filter("_detail")
+    rows = rows.select("place", *ORDER, *context, "_detail", *[F.when(F.col("_detail"), c).alias(n) for n, c in columns.items()])
+    return forward_fill_blocked(rows, context, group="place", keep="_detail")
 
 
 def _rest(vals: str = "vals") -> Column:
@@ -68,7 +70,7 @@ def parse_monthly_sales(lines: DataFrame) -> DataFrame:
     df = _rows(lines)
     first = F.col("first")
     kind = (F.when(first.startswith("Branch Name"), "branch")
-            .when(has_keyword("cells", K.MONTHLY_HEADERS), "skip")
+            .when(has_keyword("cells", K.MONTHLY_HEADERS, "low"), "skip")
             .otherwise("detail"))
     df = (df.withColumn("kind", kind)
             .withColumn("branch", F.when(F.col("kind") == "branch",
@@ -134,14 +136,14 @@ def parse_delivery_lines(lines: DataFrame) -> DataFrame:
     df = _rows(lines)
     first = F.col("first")
     kind = (F.when(first.startswith("Branch :"), "branch")
-            .when(first.rlike(r"^Person_\d+$"), "customer")
-            .when(first.isin("Full Name", "Total :") | has_keyword("cells", K.DELIVERY_HEADERS), "skip")
+            .when(first.startswith("Person_") & first.rlike(r"^Person_\d+$"), "customer")
+            .when(first.isin("Full Name", "Total :") | has_keyword("cells", K.DELIVERY_HEADERS, "low"), "skip")
             .otherwise("detail"))
     df = (df.withColumn("kind", kind)
             .withColumn("branch", F.when(F.col("kind") == "branch",
                                          strip(F.replace(first, F.lit("Branch :"), F.lit("")))))
             .withColumn("customer", F.when(F.col("kind") == "customer", first)))
-    desc = strip(F.get(F.col("vals"), 1))
+    desc = F.get(F.col("vals"), 1)                      # values are stripped
     df = df.withColumn("qty", F.when(F.col("kind") == "detail", decimal_text(first)))
     detail = (F.col("qty").isNotNull() & (F.size("vals") >= 3) & (desc != "") & ~desc.startswith("Total"))
     return (_details(df, ["branch", "customer"], detail, item=desc, qty=F.col("qty"),
@@ -156,7 +158,7 @@ def parse_customer_orders(lines: DataFrame,
     """branch, customer, first_order, last_order, total, num_orders."""
     df = _rows(lines)
     first = F.col("first")
-    kind = (F.when(has_keyword("cells", K.CUSTOMER_HEADERS), "skip")
+    kind = (F.when(has_keyword("cells", K.CUSTOMER_HEADERS, "low"), "skip")
             .when(first.isin(list(branches)), "branch")
             .otherwise("detail"))
     df = (df.withColumn("kind", kind)
@@ -196,12 +198,12 @@ def parse_attendance(lines: DataFrame, branch_markers: Sequence[str] = K.ATTENDA
             .withColumn("employee_id", F.when(F.col("kind") == "employee", emp_id))
             .withColumn("employee_name", F.when((F.col("kind") == "employee") & (name != ""),
                                                 name))
-            .withColumn("branch", F.when(F.col("kind") == "branch", strip(first))))
-    times = F.filter(vals, lambda x: x.rlike(r"^\d{2}[.:]\d{2}[.:]\d{2}"))
-    hours = duration_hours(_last(vals))
-    detail = ((F.col("kind") == "day")
-              & ~F.exists(vals, lambda x: F.coalesce(x.contains("Total"), F.lit(False)))
-              & (F.size(times) >= 2) & hours.isNotNull())
+            .withColumn("branch", F.when(F.col("kind") == "branch", strip(first)))
+            .withColumn("times", F.when(F.col("kind") == "day", F.filter(vals, lambda x: x.rlike(r"^\d{2}[.:]\d{2}[.:]\d{2}"))))
+            .withColumn("hours", F.when(F.size("times") >= 2, duration_hours(_last(vals)))))
+    times, hours = F.col("times"), F.col("hours")
+    detail = ((F.col("kind") == "day") & (F.size(times) >= 2) & hours.isNotNull()
+              & ~F.exists(vals, lambda x: F.coalesce(x.contains("Total"), F.lit(False))))
     return (_details(df, ["employee_id", "employee_name", "branch"], detail,
                      date=F.to_date(F.try_to_timestamp(first, F.lit("dd-MMM-yy"))),
                      punch_in=F.get(times, 0), punch_out=F.get(times, 1), work_hours=hours)
@@ -214,7 +216,7 @@ def parse_menu_channels(lines: DataFrame, branches: Sequence[str] = K.BRANCH_NAM
     """branch, menu_channel, num_customers, sales, avg_per_customer."""
     df = _rows(lines)
     first = F.col("first")
-    kind = (F.when(has_keyword("cells", K.MENU_HEADERS), "skip")
+    kind = (F.when(has_keyword("cells", K.MENU_HEADERS, "low"), "skip")
             .when(first.isin(list(branches)), "branch")
             .when(first.isin(list(channels)), "channel"))
     df = (df.withColumn("kind", kind)
@@ -239,7 +241,7 @@ def parse_division_summary(lines: DataFrame, branches: Sequence[str] = K.BRANCH_
     cells = F.col("cells")
     c0 = strip(F.get(cells, 0))
     header = (F.exists(cells, lambda x: F.coalesce(F.upper(strip(x)).isin(K.DIVISION_COLUMNS), F.lit(False)))
-              | has_keyword("cells", K.DIVISION_HEADERS))
+              | has_keyword("cells", K.DIVISION_HEADERS, "low"))
     df = (df.withColumn("branch", F.when(c0.isin(list(branches)), c0))
             .withColumn("is_header", header))
     cat = strip(F.get(cells, 1))

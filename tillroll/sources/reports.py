@@ -14,7 +14,8 @@ Scale design
   increasing within a split.  Re-running a lost task re-reads the same split
   and produces the same ids.
 * The text is scanned and cut into cells **once**; the lines with their cells are
-  written as a table, and everything after reads its columns.
+  written as a table, and everything after reads its columns.  A line without quotes,
+  or with one quoted cell, is cut without patterns.
 * A quoted cell may hold line breaks.  Whether a line begins inside such a cell
   depends on all lines before it: each line is a function from the state at its
   start to the state at its end, the functions of a split compose into one, and
@@ -34,35 +35,55 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import constants as K
-from tillroll.functions.scalar import col_, compact_cells, strip
+from tillroll.functions.scalar import col_, compact_cells, contains_any, strip
 from tillroll.session import write_table
 
 ORDER = ["block", "seq"]
 
 
-def read_report_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
+def _physical_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool, files: Sequence[str] | None) -> DataFrame:
+    """file, block, seq, line of the text."""
+    df = spark.read.text([paths] if isinstance(paths, str) else list(paths), recursiveFileLookup=recursive)
+    if files is not None:
+        df = df.where(F.col("_metadata.file_path").isin(list(files)))            # other files are not opened
+    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+
+
+def read_report_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False,
+                      files: Sequence[str] | None = None) -> DataFrame:
     """file, block, seq, line, raw, vals - one row per non-blank record, with its cells.
 
     A quoted cell may hold line breaks: such physical lines are one record, at
-    the place of the first.  ``recursive`` takes files of folders below as well.
+    the place of the first.  ``recursive`` takes files of folders below as well,
+    ``files`` only those of these names (as ``file`` has them).
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.text(paths, recursiveFileLookup=recursive)
-    return report_records(df.select(F.col("_metadata.file_path").alias("file"),
-                                    F.col("_metadata.file_block_start").alias("block"),
-                                    F.monotonically_increasing_id().alias("seq"),
-                                    F.col("value").alias("line")))
+    return report_records(_physical_lines(spark, paths, recursive, files))
 
 
-def report_records(lines: DataFrame) -> DataFrame:
-    """Records of physical lines (file, block, seq, line): cut once, written, joined where a quoted cell spans lines."""
+def read_text_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
+    """file, block, seq, line - one row per non-blank physical line, straight from the text.
+
+    These are the records where no quoted cell spans lines, that is where no line ``ends_inside`` one.
+    """
+    return _without_mark(_physical_lines(spark, paths, recursive, None)).filter(F.trim(F.col("line")) != "")
+
+
+def _without_mark(lines: DataFrame) -> DataFrame:
     # a byte-order mark would hide the first line's label
     marked = F.col("line").startswith("\ufeff")
-    lines = lines.withColumn("line", F.when(marked, F.substring("line", 2, 1 << 30)).otherwise(F.col("line")))
-    staged = write_table(_with_cells(lines), "report-lines")
+    return lines.withColumn("line", F.when(marked, F.substring("line", 2, 1 << 30)).otherwise(F.col("line")))
+
+
+def report_records(lines: DataFrame) -> DataFrame:
+    """Records of physical lines (file, block, seq, line): cut once, written, joined where a quoted cell spans lines.
+
+    ``seq`` is unique over all lines and increases within a split.
+    """
+    staged = write_table(_with_cells(_without_mark(lines)), "report-lines")
     if staged.where("opens").limit(1).count():
         staged = whole_records(staged)
-    return staged.filter(F.trim(F.col("line")) != "").select("file", *ORDER, "line", "raw", "vals")
+    return staged.filter(F.trim(F.col("line")) != "").select("file", *ORDER, "line", "n_fields", "raw").withColumn("vals", _values(F.col("line"), F.col("raw")))
 
 
 # --- quotes ---------------------------------------------------------------------------------
@@ -98,6 +119,17 @@ def _is_inside(state: Column) -> Column:
     return F.coalesce((state == INSIDE) | (state == INSIDE + LITERAL), F.lit(False))
 
 
+def may_end_inside(line: Column) -> Column:
+    """True for every line that ends inside a quoted cell, and few others: its last quote follows a comma, a quote or nothing."""
+    before = F.substring(line, F.lit(1), F.length(line) - F.length(F.substring_index(line, '"', -1)) - 1)
+    return line.contains('"') & ((before == "") | before.endswith(",") | before.endswith('"'))
+
+
+def ends_inside(line: Column) -> Column:
+    """Whether a line ends inside a quoted cell."""
+    return may_end_inside(line) & _is_inside(_end_state(_pieces(line), START))
+
+
 def _is_odd(pieces: Column, state: Column) -> Column:
     """Whether some quote of the line is text, or text follows a closing quote."""
     last = F.element_at(pieces, -1)
@@ -106,6 +138,8 @@ def _is_odd(pieces: Column, state: Column) -> Column:
 
 # stands for a comma outside quotes while a line is split; no report holds it
 CELL_END = "\x00"
+# stands for a comma inside quotes while a line that does not hold it is split
+INNER_COMMA = "\x01"
 
 
 def _regular_cells(pieces: Column) -> Column:
@@ -156,6 +190,19 @@ def _closed_cells(line: Column) -> Column:
                        lambda x: F.when(x.startswith('"'), inner(x)).otherwise(F.nullif(x, F.lit(""))))
 
 
+def _one_quoted(line: Column, pieces: Column) -> Column:
+    """Whether a line has one quoted cell, which is not empty, between commas or the line's ends."""
+    before, inner, after = (F.get(pieces, i) for i in range(3))
+    return ((F.size(pieces) == 3) & ((before == "") | before.endswith(",")) & ((after == "") | after.startswith(","))
+            & (inner != "") & ~line.contains(INNER_COMMA))
+
+
+def _one_quoted_cells(pieces: Column) -> Column:
+    before, inner, after = (F.get(pieces, i) for i in range(3))
+    text = F.concat(before, F.replace(inner, F.lit(","), F.lit(INNER_COMMA)), after)
+    return F.transform(F.split(text, ",", -1), lambda x: F.nullif(F.replace(x, F.lit(INNER_COMMA), F.lit(",")), F.lit("")))
+
+
 def _cells(line: Column, pieces: Column, odd: Column) -> Column:
     """Cells of a line; ``pieces`` are NULL where ``_is_closed``."""
     plain = F.transform(F.split(line, ",", -1), lambda x: F.nullif(x, F.lit("")))
@@ -163,6 +210,14 @@ def _cells(line: Column, pieces: Column, odd: Column) -> Column:
     return F.when(pieces.isNull(), closed).when(odd, _odd_cells(pieces)).otherwise(_regular_cells(pieces))
 
 
+def _values(line: Column, raw: Column) -> Column:
+    """``compact_cells`` of a line's cells; where no cell can begin or end with a blank, only the empty ones go."""
+    tidy = ~line.rlike(r"[^ -~]") & ~line.startswith(" ") & ~line.endswith(" ")
+    for beside in (" ,", ", ", ' "', '" ', '""'):
+        tidy = tidy & ~line.contains(beside)
+    return F.when(tidy, F.filter(raw, lambda x: x.isNotNull())).otherwise(compact_cells(raw))
+
+
 def csv_split(line: str | Column) -> Column:
     """Split one CSV text line into cells (quotes removed, ``""`` unescaped, '' -> NULL).
 
@@ -173,18 +228,20 @@ def csv_split(line: str | Column) -> Column:
 
 
 def _with_cells(lines: DataFrame) -> DataFrame:
-    """``lines`` plus ``opens`` (ends inside a quoted cell), ``raw`` and ``vals``, step by step so that nothing is cut twice."""
-    state, pieces = F.col("_state"), F.col("_pieces")
-    return (lines.withColumn("_pieces", F.when(~_is_closed(F.col("line")), _pieces(F.col("line"))))
+    """``lines`` plus ``opens`` (ends inside a quoted cell), ``raw`` and their number, step by step so that nothing is cut twice."""
+    line, cut, simple, state, pieces = (F.col(c) for c in ("line", "_cut", "_simple", "_state", "_pieces"))
+    return (lines.withColumn("_cut", _pieces(line))
+            .withColumn("_simple", F.coalesce(_one_quoted(line, cut), F.lit(False)))
+            .withColumn("_pieces", F.when(cut.isNotNull() & ~simple & ~_is_closed(line), cut))
             .withColumn("_state", _end_state(pieces, START))
             .withColumn("opens", _is_inside(state))
-            .withColumn("raw", _cells(F.col("line"), pieces, _is_odd(pieces, state)))
-            .withColumn("vals", compact_cells("raw"))
-            .drop("_pieces", "_state"))
+            .withColumn("raw", F.when(simple, _one_quoted_cells(cut)).otherwise(_cells(line, pieces, _is_odd(pieces, state))))
+            .withColumn("n_fields", F.size("raw"))
+            .drop("_cut", "_simple", "_pieces", "_state"))
 
 
 def whole_records(staged: DataFrame) -> DataFrame:
-    """Lines (with ``opens``, ``raw``, ``vals``) whose quoted cells span lines become one record, in files that have such lines.
+    """Lines (with ``opens``, ``raw``, ``n_fields``) whose quoted cells span lines become one record, in files that have such lines.
 
     State 1 is inside a quoted cell.  Each line maps the state before it to the state after
     it; within a split both outcomes are followed at once, across splits one row per split is
@@ -228,31 +285,34 @@ def whole_records(staged: DataFrame) -> DataFrame:
     chosen = lambda c: F.when(F.col("_begin") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))        # noqa: E731
     head = F.when(chosen("_head").isNotNull(), F.struct("block", chosen("_head").alias("seq"))).otherwise(F.col("_earlier"))
     part = ((chosen("_before") == 1) | (chosen("_after") == 1)) & ~F.coalesce(head == F.col("_open"), F.lit(False))
-    d = d.select("file", *ORDER, "line", "raw", "vals", head.alias("_at"), part.alias("_part"))
+    d = d.select("file", *ORDER, "line", "raw", "n_fields", head.alias("_at"), part.alias("_part"))
     joined = (d.where("_part").groupBy("file", "_at")
               .agg(F.sort_array(F.collect_list(F.struct(*ORDER, "line"))).alias("lines"))
               .select("file", "_at.block", "_at.seq", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("line")))
-    keep = ["file", *ORDER, "line", "raw", "vals"]
+    keep = ["file", *ORDER, "line", "raw", "n_fields"]
     return clean.select(keep).unionByName(d.where("not _part").select(keep)).unionByName(_with_cells(joined).select(keep))
 
 
 def split_cells(lines: DataFrame) -> DataFrame:
-    """Each line's ``cells`` (array<string>, NULL = empty cell) and ``vals``.
+    """Each line's ``cells`` (array<string>, NULL = empty cell) and ``vals``, and its file's ``place``.
 
     The width of a file is the field count of its first line; longer lines
-    are dropped, shorter ones padded with NULL.
+    are dropped, shorter ones padded with NULL.  ``place``, the least ``seq`` of a
+    file, is a number that stands for its name.
     """
-    df = lines if "raw" in lines.columns else _with_cells(lines)
-    df = df.select("file", *ORDER, "line", "raw", "vals", F.size("raw").alias("n_fields"))
+    df = lines
+    if "raw" not in df.columns:
+        df = _with_cells(lines).withColumn("vals", _values(F.col("line"), F.col("raw")))
     # two levels of plain numbers, which are hashed; written, as its size lets the join choose a broadcast
-    first = (df.groupBy("file", "block").agg(F.min_by("n_fields", "seq").alias("n_fields"))
-             .groupBy("file").agg(F.min_by("n_fields", "block").alias("width")))
+    first = (df.groupBy("file", "block").agg(F.min_by("n_fields", "seq").alias("n_fields"), F.min("seq").alias("place"))
+             .groupBy("file").agg(F.min_by("n_fields", "block").alias("width"), F.min("place").alias("place")))
     first = write_table(first, "report-widths")
     pad = F.array_repeat(F.lit(None).cast("string"),
                          F.greatest(F.col("width") - F.col("n_fields"), F.lit(0)).cast("int"))
+    cells = F.when(F.col("n_fields") == F.col("width"), F.col("raw")).otherwise(F.concat("raw", pad))
     return (df.join(first, "file")
             .filter(F.col("n_fields") <= F.col("width"))
-            .select("file", "block", "seq", "line", F.concat("raw", pad).alias("cells"),
+            .select("file", "place", "block", "seq", "line", cells.alias("cells"),
                     "vals"))
 
 
@@ -267,13 +327,12 @@ def joined_text(cells: str | Column) -> Column:
     return F.array_join(col_(cells), " ")
 
 
-def has_keyword(cells: str | Column, keywords: Sequence[str]) -> Column:
-    """True when the joined row text contains any keyword, case-insensitively."""
-    low = F.lower(joined_text(cells))
-    cond = F.lit(False)
-    for kw in keywords:
-        cond = cond | low.contains(kw.lower())
-    return cond
+def has_keyword(cells: str | Column, keywords: Sequence[str], low: str | Column | None = None) -> Column:
+    """True when the joined row text contains any keyword, case-insensitively.
+
+    ``low`` is that text in lower case, where it is a column already.
+    """
+    return contains_any(F.lower(joined_text(cells)) if low is None else col_(low), [kw.lower() for kw in keywords])
 
 
 def is_footer(cells: str | Column, pattern: str = K.FOOTER_PATTERN) -> Column:
@@ -292,7 +351,8 @@ def drop_boilerplate(df: DataFrame, cells: str = "cells",
     """
     cond = F.lit(False)
     if footer and line:
-        cond = cond | F.coalesce(F.col(line).rlike(K.FOOTER_PATTERN), F.lit(False))
+        low = F.lower(F.col(line))
+        cond = cond | F.coalesce(contains_any(low, K.FOOTER_WORDS) & F.col(line).rlike(K.FOOTER_PATTERN), F.lit(False))
     elif footer:
         cond = cond | is_footer(cells)
     if header_keywords:
@@ -300,12 +360,13 @@ def drop_boilerplate(df: DataFrame, cells: str = "cells",
     return df.filter(~cond)
 
 
-def with_values(df: DataFrame) -> DataFrame:
-    """Add ``vals`` (stripped non-empty cells, unless present) and ``first``; drop empty rows."""
+def with_values(df: DataFrame, empty: bool = False) -> DataFrame:
+    """Add ``vals`` (stripped non-empty cells, unless present) and ``first``; drop empty rows, unless ``empty``."""
     if "vals" not in df.columns:
         df = df.withColumn("vals", compact_cells("cells"))
-    return (df.filter(F.size("vals") > 0)
-              .withColumn("first", F.get(F.col("vals"), 0)))
+    if not empty:
+        df = df.filter(F.size("vals") > 0)
+    return df.withColumn("first", F.get(F.col("vals"), 0))
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], partition: Sequence[str],
@@ -320,7 +381,7 @@ def forward_fill(df: DataFrame, columns: Sequence[str], partition: Sequence[str]
 
 
 def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "file",
-                         block: str = "block", seq: str = "seq", span: int | None = None) -> DataFrame:
+                         block: str = "block", seq: str = "seq", span: int | None = None, keep: str | None = None) -> DataFrame:
     """Skew-safe forward fill over ``(group, block, seq)`` order.
 
     ``block`` must be non-decreasing along the order (contiguous chunks);
@@ -331,13 +392,15 @@ def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "fi
     phase 1 left NULL.  A group holding a third of all rows is spread over
     its blocks; no window spans a whole group.  ``span`` (for whole-number
     blocks that grow in number with the data) carries in two levels: within
-    ranges of so many blocks, then over the ranges.
+    ranges of so many blocks, then over the ranges.  ``keep`` names a boolean
+    column: only rows where it holds are returned, and others are not written.
     """
     columns = list(columns)
     # the filled value on a block's last row is the block's last non-NULL value; the filled
     # rows are written, so that they are sorted once and the last ones found by a mark
     is_last = F.lead(F.lit(False), 1, True).over(Window.partitionBy(group, block).orderBy(seq)).alias("_last")
-    local = write_table(forward_fill(df.select("*", is_last), columns, [group, block], [seq]), "report-filled")
+    local = forward_fill(df.select("*", is_last), columns, [group, block], [seq])
+    local = write_table(local.filter(F.col(keep) | F.col("_last")) if keep else local, "report-filled")
     tails = local.filter("_last").select(group, block, *columns)
 
     def carried(rows: DataFrame, keys: list[str], at: str, prefix: str) -> DataFrame:
@@ -354,6 +417,7 @@ def forward_fill_blocked(df: DataFrame, columns: Sequence[str], group: str = "fi
     else:
         carry = carried(tails, [group], block, "_carry_").select(group, block, *[f"_carry_{c}" for c in columns])
     # written: its size lets the join choose a broadcast
+    local = local.filter(keep) if keep else local
     out = local.drop("_last").join(write_table(carry, "report-carry"), [group, block], "left")
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_carry_{c}"))).drop(f"_carry_{c}")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.scalar import money_sum
+from tillroll.session import write_table
 
 TABLE_NAMES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -66,7 +67,19 @@ class Tables:
         raise AttributeError(name)
 
 
+class JoinedTables(Tables):
+    """Tables of reports that are rendered together: orders and line items are joined and written once for all."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self.orders_with_branch = self.lines_with_part = None
+        self.orders_with_branch = write_table(_orders_with_branch(self), "orders-branch")
+        self.lines_with_part = write_table(_lines_with_part(self), "lines-part")
+
+
 def _orders_with_branch(t: Tables) -> DataFrame:
+    if isinstance(t, JoinedTables) and t.orders_with_branch:
+        return t.orders_with_branch
     c = t.customer.select("c_custkey", F.col("c_mktsegment").alias("branch"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
                         "o_orderpriority")
@@ -105,11 +118,14 @@ def menu_channels(t: Tables) -> DataFrame:
 
 
 def _lines_with_part(t: Tables) -> DataFrame:
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    if isinstance(t, JoinedTables) and t.lines_with_part:
+        return t.lines_with_part
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
     p = t.part.select("p_partkey", "p_name", "p_brand", "p_type")
     o = _orders_with_branch(t).select("o_orderkey", "branch")
     return (li.join(p, li.l_partkey == p.p_partkey)
-            .join(o, li.l_orderkey == o.o_orderkey))
+            .join(o, li.l_orderkey == o.o_orderkey)
+            .select("branch", "l_orderkey", "p_name", "p_brand", "p_type", "l_quantity", "l_extendedprice", "l_returnflag"))
 
 
 def delivery_lines(t: Tables) -> DataFrame:
