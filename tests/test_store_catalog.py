@@ -203,3 +203,17 @@ def test_reports_of_the_catalog_share_one_join(spark):
         plan = shared._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "l_partkey" not in plan
         assert rows(shared) == rows(RT.RENDERED[name](tb.Tables(spark, SF)).lines())
+
+
+def test_deliveries_without_a_branch_go_to_no_other_branch(spark):
+    from tillroll.plans import roundtrip as RT
+    from tillroll.sources import tables as tb
+
+    class Joined(tb.JoinedTables):
+        def __init__(self, lines):
+            self.spark, self.lines_with_part = spark, lines
+    data = [([None, "b", "c"][k % 3], k, "n", "x", "t", 2.0, 5.0, "R") for k in range(300)]
+    lines = spark.createDataFrame(data, "branch string, l_orderkey long, p_name string, p_brand string, p_type string, "
+                                        "l_quantity double, l_extendedprice double, l_returnflag string")
+    got = {(r.branch, r.customer) for r in RT.RENDERED["delivery_items"](Joined(lines)).parse().collect()}
+    assert got == {(b, f"Person_{k}") for b, k, *_ in data if b}

@@ -170,12 +170,13 @@ def report_delivery_lines(t: Tables) -> Rendered:
     # a customer is an order
     d = tb._lines_with_part(t).select("branch", "l_orderkey", F.col("p_brand").alias("item"),
                                       F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
+    # sorted by a number first; sections without a branch begin a file, where no branch line stands above them
+    d = d.withColumn("named", F.when(F.col("branch").isNotNull(), F.col("l_orderkey")))
     head = [csv_line([F.concat(F.lit("Branch :"), F.col("branch"))], 5),
             csv_line([F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string"))], 5)]
     line = csv_line(["", fixed2(F.col("qty")), F.col("item"), quoted(F.col("price"))], 5)
     foot = [csv_line(["Total :", "", "", "0.00"], 5)]
-    # sorted by a number first
-    return Rendered(t.spark, d, ["l_orderkey", "branch"], ["item", "qty", "price"], line, P.parse_delivery_lines, dict(), head, foot)
+    return Rendered(t.spark, d, ["named", "l_orderkey", "branch"], ["item", "qty", "price"], line, P.parse_delivery_lines, dict(), head, foot)
 
 
 @round_trip("customer_orders")
